@@ -34,3 +34,184 @@ QUERIES = {
     "p7_found": lambda spark, d: skew.heavy_keys(_profile(spark, d)),
     "p7_profile": _profile,
 }
+
+
+_MESSAGES = r"""
+base AS (
+  SELECT seq, nullif(regexp_replace(lower(id), '^\s+|\s+$', '', 'g'), '') AS nid, run_id, lower(trim(kind)) AS k FROM run_events
+),
+named AS (SELECT run_id, k, min(nid) AS nid FROM base WHERE nid IS NOT NULL GROUP BY 1, 2),
+ranked AS (
+  SELECT seq, row_number() OVER (PARTITION BY coalesce(b.nid, n.nid, 'none:' || b.run_id || ':' || b.k) ORDER BY seq) AS r
+  FROM base b LEFT JOIN named n ON b.run_id = n.run_id AND b.k = n.k
+)
+"""
+
+_FLAT = r"""
+wf AS (
+  SELECT concat_ws('/', tenant, name, version) AS parent_key,
+         CASE WHEN json_type(document) = 'VARCHAR' THEN json_extract_string(document, '$') ELSE document END AS doc
+  FROM workflows WHERE json_valid(document)
+),
+rn AS (
+  SELECT id AS parent_key,
+         CASE WHEN json_type(document) = 'VARCHAR' THEN json_extract_string(document, '$') ELSE document END AS doc
+  FROM runs WHERE json_valid(document)
+),
+task AS (
+  SELECT parent_key, key AS i, value AS body FROM (SELECT parent_key, doc::JSON AS doc FROM wf WHERE json_valid(doc)), json_each(doc, '$.tasks')
+  WHERE type = 'OBJECT'
+),
+dep_field AS (
+  SELECT parent_key, i, coalesce(nullif(body->'$.depends_on', 'null'), nullif(body->'$.dependsOn', 'null'), nullif(body->'$.needs', 'null')) AS deps
+  FROM task
+),
+dep_names AS (
+  SELECT parent_key, i,
+         CASE json_type(deps)
+           WHEN 'ARRAY' THEN (deps->>'$[*]')
+           WHEN 'VARCHAR' THEN list_filter(list_transform(string_split(deps->>'$', ','), lambda x: trim(x)), lambda x: x <> '')
+         END AS names
+  FROM dep_field
+),
+failure AS (
+  SELECT parent_key, coalesce(
+    doc->'$.hooks.on_failure', doc->'$.hooks.onFailure', doc->'$.hooks.on_error',
+    doc->'$.notifications.on_failure', doc->'$.notifications.onFailure', doc->'$.notifications.on_error') AS f
+  FROM (SELECT parent_key, doc::JSON AS doc FROM wf WHERE json_valid(doc))
+),
+hook AS (
+  SELECT parent_key, key AS i, value AS body
+  FROM (SELECT parent_key, CASE json_type(f) WHEN 'OBJECT' THEN json_array(f) ELSE f END AS f FROM failure WHERE json_type(f) IN ('OBJECT', 'ARRAY')), json_each(f)
+),
+artifacts AS (
+  SELECT parent_key, CASE json_type(value) WHEN 'OBJECT' THEN json_array(value) ELSE value END AS a
+  FROM (SELECT parent_key, doc::JSON AS doc FROM rn WHERE json_valid(doc)), json_tree(doc, '$.output')
+  WHERE key = 'artifacts' AND json_type(value) IN ('OBJECT', 'ARRAY')
+),
+artifact AS (SELECT parent_key, key AS i, value AS body FROM artifacts, json_each(a)),
+part AS (
+  SELECT parent_key, i, key AS j
+  FROM (SELECT parent_key, i, body->'$.parts' AS parts FROM artifact WHERE json_type(body->'$.parts') = 'ARRAY'), json_each(parts)
+)
+"""
+
+_WALK = """
+current AS (
+  SELECT tenant, def_name, name, list_filter(d, lambda x: x IS NOT NULL AND x <> '')[1] AS p0
+  FROM (SELECT tenant, def_name, name, arg_max(coalesce(depends_on, []), updated_at_ms) AS d FROM ml_training GROUP BY 1, 2, 3)
+),
+linked AS (
+  SELECT a.tenant, a.def_name, a.name, b.name AS parent
+  FROM current a LEFT JOIN current b ON a.tenant = b.tenant AND a.def_name = b.def_name AND a.p0 = b.name
+),
+sizes AS (SELECT tenant, def_name, count(*) AS n FROM linked GROUP BY 1, 2),
+walk AS (
+  SELECT tenant, def_name, name, parent AS anc, 1 AS i FROM linked WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT w.tenant, w.def_name, w.name, l.parent, w.i + 1
+  FROM walk w JOIN linked l ON w.tenant = l.tenant AND w.def_name = l.def_name AND w.anc = l.name
+  JOIN sizes s ON s.tenant = w.tenant AND s.def_name = w.def_name
+  WHERE l.parent IS NOT NULL AND w.i < s.n
+),
+cyclic AS (
+  SELECT w.tenant, w.def_name, w.name, w.anc FROM walk w JOIN sizes s ON s.tenant = w.tenant AND s.def_name = w.def_name WHERE w.i = s.n
+),
+heads AS (
+  SELECT c.tenant, c.def_name, c.name, min(w.anc) AS cycle_head
+  FROM cyclic c JOIN walk w ON w.tenant = c.tenant AND w.def_name = c.def_name AND w.name = c.anc GROUP BY 1, 2, 3
+),
+above AS (
+  SELECT w.* FROM walk w LEFT JOIN cyclic c ON c.tenant = w.tenant AND c.def_name = w.def_name AND c.name = w.name WHERE c.name IS NULL
+)
+"""
+
+_PROFILE = """
+SELECT key_column, key_value, count(*) AS n_rows, min(created_at_ms) AS first_ms, max(created_at_ms) AS last_ms,
+       max(gap) AS max_gap_ms, coalesce(max(streak), 0) AS longest_failed
+FROM (
+  SELECT *, CASE WHEN marked THEN count(*) OVER (PARTITION BY key_column, key_value, island, marked) ELSE 0 END AS streak
+  FROM (
+    SELECT *, created_at_ms - lag(created_at_ms) OVER (PARTITION BY key_column, key_value ORDER BY created_at_ms, id, status) AS gap,
+           row_number() OVER (PARTITION BY key_column, key_value ORDER BY created_at_ms, id, status)
+           - row_number() OVER (PARTITION BY key_column, key_value, marked ORDER BY created_at_ms, id, status) AS island
+    FROM (
+      SELECT 'tenant' AS key_column, tenant AS key_value, created_at_ms, id, status, status = 'failed' AS marked FROM runs
+      UNION ALL
+      SELECT 'def_name', def_name, created_at_ms, id, status, status = 'failed' FROM runs
+    )
+  )
+) GROUP BY 1, 2
+"""
+
+_ORPHANS = """
+task_refs AS (SELECT id, run_id, min(min(loaded_at)) OVER (PARTITION BY id) AS seen FROM task_runs GROUP BY id, run_id),
+run_refs AS (
+  SELECT id, tenant, def_name, def_version, min(min(loaded_at)) OVER (PARTITION BY id) AS seen FROM runs GROUP BY id, tenant, def_name, def_version
+),
+run_keys AS (SELECT id, min(loaded_at) AS first_at, max(deleted_at) AS gone FROM runs GROUP BY id),
+wf_keys AS (SELECT tenant, name, version, min(loaded_at) AS first_at, max(deleted_at) AS gone FROM workflows GROUP BY 1, 2, 3),
+wf_names AS (SELECT DISTINCT tenant, name FROM workflows),
+orphans AS (
+  SELECT 'task_runs' AS ref_table, t.id AS ref_id, 'run_id' AS ref_field, t.seen,
+         CASE WHEN k.id IS NULL THEN 'missing' WHEN k.gone IS NOT NULL THEN 'deleted' WHEN k.first_at > t.seen THEN 'late' END AS orphan_kind
+  FROM task_refs t LEFT JOIN run_keys k ON t.run_id = k.id WHERE t.run_id IS NOT NULL
+  UNION ALL
+  SELECT 'runs', r.id, CASE WHEN n.name IS NULL THEN 'def_name' ELSE 'def_version' END, r.seen,
+         CASE WHEN k.name IS NULL THEN 'missing' WHEN k.gone IS NOT NULL THEN 'deleted' WHEN k.first_at > r.seen THEN 'late' END
+  FROM run_refs r
+  LEFT JOIN wf_keys k ON r.tenant = k.tenant AND r.def_name = k.name AND r.def_version = k.version
+  LEFT JOIN wf_names n ON r.tenant = n.tenant AND r.def_name = n.name
+  WHERE r.tenant IS NOT NULL AND r.def_name IS NOT NULL AND r.def_version IS NOT NULL
+)
+"""
+
+SQL = {
+    "p1_found": f"WITH {_MESSAGES} SELECT seq FROM ranked WHERE r > 1",
+    "p1_kept": f"WITH {_MESSAGES} SELECT e.seq, e.run_id, e.status FROM run_events e JOIN ranked USING (seq) WHERE r = 1",
+    "p3_found": f"""WITH {_FLAT}
+        SELECT DISTINCT parent_key, 'task' AS child, i::VARCHAR AS child_path FROM task
+        UNION ALL SELECT DISTINCT parent_key, 'task_dep', i || '/' || (unnest(range(len(names)))) FROM dep_names
+        UNION ALL SELECT DISTINCT parent_key, 'failure_hook', i::VARCHAR FROM hook
+        UNION ALL SELECT DISTINCT parent_key, 'hook_header', i || '/' || unnest(json_keys(body->'$.headers')) FROM hook WHERE json_type(body->'$.headers') = 'OBJECT'
+        UNION ALL SELECT DISTINCT parent_key, 'artifact', i::VARCHAR FROM artifact
+        UNION ALL SELECT DISTINCT parent_key, 'artifact_part', i || '/' || j FROM part""",
+    "p4_found": f"WITH RECURSIVE {_WALK} SELECT tenant, def_name, name, cycle_head FROM heads",
+    "p4_tree": f"""WITH RECURSIVE {_WALK}
+        SELECT l.tenant, l.def_name, l.name, l.parent,
+               CASE WHEN h.name IS NULL THEN coalesce(u.path || '/', '') || l.name END AS path,
+               CASE WHEN h.name IS NULL THEN coalesce(u.depth, 0) END AS depth,
+               CASE WHEN h.name IS NULL THEN coalesce(u.root, l.name) END AS root,
+               CASE WHEN h.name IS NULL THEN coalesce(d.n, 0) END AS n_descendants, h.cycle_head
+        FROM linked l
+        LEFT JOIN heads h ON h.tenant = l.tenant AND h.def_name = l.def_name AND h.name = l.name
+        LEFT JOIN (SELECT tenant, def_name, name, string_agg(anc, '/' ORDER BY i DESC) AS path, count(*)::INT AS depth, arg_max(anc, i) AS root
+                   FROM above GROUP BY 1, 2, 3) u ON u.tenant = l.tenant AND u.def_name = l.def_name AND u.name = l.name
+        LEFT JOIN (SELECT tenant, def_name, anc, count(*) AS n FROM above GROUP BY 1, 2, 3) d
+               ON d.tenant = l.tenant AND d.def_name = l.def_name AND d.anc = l.name""",
+    "p4_descendants": f"WITH RECURSIVE {_WALK} SELECT tenant, def_name, anc AS ancestor, name FROM above",
+    "p5_found": f"WITH {_ORPHANS} SELECT ref_table, ref_id, ref_field, orphan_kind FROM orphans WHERE orphan_kind IS NOT NULL",
+    "p5_report": f"""WITH {_ORPHANS} SELECT ref_table, ref_field, orphan_kind, strftime(seen, '%Y-%m') AS period, count(*) AS n_orphans
+        FROM orphans WHERE orphan_kind IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    "p6_found": """
+        WITH spans AS (
+          SELECT run_id, started_at_ms AS s, finished_at_ms AS e FROM task_runs WHERE run_id <> '' AND finished_at_ms > started_at_ms
+        ),
+        reached AS (SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
+        labelled AS (
+          SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
+          FROM reached
+        ),
+        periods AS (SELECT run_id, island, min(s) AS from_ms, max(e) AS to_ms FROM labelled GROUP BY 1, 2)
+        SELECT run_id, 'period' AS span_kind, from_ms, to_ms FROM periods
+        UNION ALL
+        SELECT run_id, 'gap', before_ms, from_ms
+        FROM (SELECT *, lag(to_ms) OVER (PARTITION BY run_id ORDER BY from_ms) AS before_ms FROM periods) WHERE before_ms IS NOT NULL""",
+    "p7_found": """
+        SELECT 'tenant' AS key_column, tenant AS key_value FROM runs WHERE tenant IS NOT NULL
+        GROUP BY tenant HAVING count(*) * 25 >= (SELECT count(*) FROM runs)
+        UNION ALL
+        SELECT 'def_name', def_name FROM runs WHERE def_name IS NOT NULL
+        GROUP BY def_name HAVING count(*) * 25 >= (SELECT count(*) FROM runs)""",
+    "p7_profile": _PROFILE,
+}
