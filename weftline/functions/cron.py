@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fields with their least and greatest value (fixed values).
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day_of_month", 1, 31), ("month", 1, 12), ("day_of_week", 0, 6))
@@ -97,7 +98,7 @@ def _schedule(text: str) -> Schedule | None:
         return None
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def next_tick(schedules: pd.Series, after_ms: pd.Series) -> pd.Series:
     """Next tick per row; null for a schedule that cannot be read, never fires, or a null time."""
 

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEEPEST = 32
 
@@ -206,7 +207,7 @@ def interpolate(value: Any, look) -> Any:
     return {k: interpolate(v, look) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-@F.pandas_udf("struct<result: string, error: string>")
+@F.pandas_udf(T.StructType([T.StructField("result", T.StringType()), T.StructField("error", T.StringType())]))
 def render_template(templates: pd.Series, run_inputs: pd.Series, tasks: pd.Series, metas: pd.Series) -> pd.DataFrame:
     """Templates (JSON texts) filled from run inputs, task outputs and metadata (JSON texts); errors are rows too."""
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_BACKOFF_MS = 86_400_000
 BASE32_DIGITS = "0123456789abcdefghijklmnopqrstuv"  # fixed value
@@ -73,7 +74,7 @@ def canary_version(key: Column, baseline: Column, canary: Column, weight: Column
     return F.when(weight <= 0, baseline).when(weight >= 100, canary).when(fnv1a_bucket(key) < weight, canary).otherwise(baseline)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32hex(texts: pd.Series) -> pd.Series:
     """Lower-case, unpadded base32hex of the UTF-8 bytes."""
     import base64
@@ -81,7 +82,7 @@ def base32hex(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else base64.b32hexencode(t.encode()).decode().rstrip("=").lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unbase32hex(texts: pd.Series) -> pd.Series:
     """The text such a code stands for; null if it is none."""
     import base64
@@ -131,7 +132,7 @@ def valid_webhook_url(value: Column) -> Column:
 
 
 def split_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_depth(value) -> int:
@@ -166,7 +167,7 @@ def json_size(value) -> int:
     return total
 
 
-@F.pandas_udf("struct<depth: int, size: bigint>")
+@F.pandas_udf(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("size", T.LongType())]))
 def json_measures(texts: pd.Series) -> pd.DataFrame:
     """Depth and approximate size of a JSON text; null if it cannot be read."""
 

@@ -478,10 +478,9 @@ def consistent_table(workflows: DataFrame) -> DataFrame:
     definition is JSON with sorted keys; the typed columns beside it are the fields every definition shares.
     """
     renames = scripts(workflows).where("change_kind = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n"))
-    # One row a distinct pair of field paths: its number follows the schema's size, not the data's.
-    listed = renames.groupBy(F.lit(0).alias("all")).agg(F.collect_list(F.struct("old_path", "new_path", "n")).alias("renames"))
+    # One row a distinct pair of field paths: their number follows the schema's size, not the data's.
+    classes = path_classes(pd.DataFrame([tuple(r) for r in renames.collect()], columns=["old_path", "new_path", "n"]))
     rows = workflows.select("tenant", "name", "version", "exporter", "file_no", "spec_version", "document")
-    joined = rows.withColumn("all", F.lit(0)).join(F.broadcast(listed), "all", "left").drop("all")
 
     def number(value):
         if isinstance(value, str):
@@ -492,12 +491,8 @@ def consistent_table(workflows: DataFrame) -> DataFrame:
         return int(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        project = None
+        project = compile_projection(classes)
         for batch in batches:
-            if project is None and len(batch):
-                pairs = batch["renames"].iloc[0]
-                frame = pd.DataFrame([] if pairs is None else [tuple(x.values()) for x in pairs], columns=["old_path", "new_path", "n"])
-                project = compile_projection(path_classes(frame))
             out = []
             for text in batch["document"]:
                 value = read_document(text)
@@ -520,7 +515,7 @@ def consistent_table(workflows: DataFrame) -> DataFrame:
             keys = batch[["tenant", "name", "version", "exporter", "file_no", "spec_version"]].reset_index(drop=True)
             yield pd.concat([keys, frame], axis=1)
 
-    return joined.mapInPandas(
+    return rows.mapInPandas(
         run,
         "tenant STRING, name STRING, version INT, exporter STRING, file_no INT, spec_version INT, readable BOOLEAN, "
         "definition STRING, description STRING, created_at_ms BIGINT, n_tasks INT",

@@ -27,9 +27,29 @@ _STATE = (
 )
 
 
+def merge(a: tuple, b: tuple) -> tuple:
+    """State of a key's rows from those of two neighbouring stretches: (n, first, last, max_gap, prefix, suffix, best)."""
+    gaps = [g for g in (a[3], b[3], b[1] - a[2] if a[2] is not None and b[1] is not None else None) if g is not None]
+    return (
+        a[0] + b[0],
+        b[1] if a[1] is None else a[1],
+        a[2] if b[2] is None else b[2],
+        max(gaps, default=None),
+        a[4] + b[4] if a[4] == a[0] else a[4],
+        a[5] + b[5] if b[5] == b[0] else b[5],
+        max(a[6], b[6], a[5] + b[4]),
+    )
+
+
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One state for each key of a batch and partition: batches of a key are stitched like partitions are."""
-    place = 0
+    """One state for each key of a partition, whose rows come sorted; the last key waits for the next batch."""
+    held: tuple | None = None  # (pid, column, value, state)
+    fields = ["n", "first_ms", "last_ms", "max_gap", "prefix", "suffix", "best"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(c, v, p, *s) for p, c, v, s in rows], columns=["key_column", "key_value", "pid", *fields])
+        return out.astype({"first_ms": "Int64", "last_ms": "Int64", "max_gap": "Int64"})
+
     for rows in batches:
         if not len(rows):
             continue
@@ -38,29 +58,35 @@ def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(change)
         sizes = np.diff(np.r_[at, len(rows)])
         group = np.repeat(np.arange(len(at)), sizes)
-        times = rows["at_ms"].to_numpy(dtype=float, na_value=np.nan)
-        known = ~np.isnan(times)
+        known = rows["at_ms"].notna().to_numpy()
         t, g = rows["at_ms"].to_numpy(dtype="int64", na_value=0)[known], group[known]
-        state = pd.DataFrame({"key_column": column[at], "key_value": value[at], "n": sizes})
+        keys = pd.RangeIndex(len(at))
         timed = pd.Series(t).groupby(g)
-        state["first_ms"], state["last_ms"] = timed.min().reindex(state.index), timed.max().reindex(state.index)
         inner = g[1:] == g[:-1]
-        state["max_gap"] = pd.Series(np.diff(t)[inner]).groupby(g[1:][inner]).max().reindex(state.index)
+        gaps = pd.Series(np.diff(t)[inner]).groupby(g[1:][inner]).max()
         marked = rows["marked"].to_numpy(dtype=bool)
-        # Streaks: islands of equal (group, marked).
-        new = change | np.r_[True, marked[1:] != marked[:-1]]
-        starts = np.flatnonzero(new)
+        # Streaks: islands of equal (key, marked).
+        starts = np.flatnonzero(change | np.r_[True, marked[1:] != marked[:-1]])
         lengths = np.diff(np.r_[starts, len(rows)]) * marked[starts]
         owner = group[starts]
-        state["best"] = np.maximum.reduceat(lengths, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
-        state["prefix"] = lengths[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])]
-        state["suffix"] = lengths[np.flatnonzero(np.r_[owner[1:] != owner[:-1], True])]
-        # The order of a key's states: the partition in the high bits, the batch in the low ones.
-        state["pid"] = rows["pid"].to_numpy()[at] * 100_000 + place
-        place += 1
-        yield state.astype({"first_ms": "Int64", "last_ms": "Int64", "max_gap": "Int64"})[
-            ["key_column", "key_value", "pid", "n", "first_ms", "last_ms", "max_gap", "prefix", "suffix", "best"]
-        ]
+        first_of = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        last_of = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True])
+        optional = [[None if pd.isna(x) else int(x) for x in s.reindex(keys)] for s in (timed.min(), timed.max(), gaps)]
+        parts = zip(
+            sizes.tolist(), *optional, lengths[first_of].tolist(), lengths[last_of].tolist(), np.maximum.reduceat(lengths, first_of).tolist()
+        )
+        pid = int(rows["pid"].iloc[0])
+        states = [(pid, column[i], value[i], s) for i, s in zip(at, parts)]
+        if held is not None:
+            if held[1:3] == states[0][1:3]:
+                states[0] = (*held[:3], merge(held[3], states[0][3]))
+            else:
+                states.insert(0, held)
+        held = states.pop()
+        if states:
+            yield frame(states)
+    if held is not None:
+        yield frame([held])
 
 
 def per_key_states(rows: DataFrame) -> DataFrame:
@@ -71,7 +97,7 @@ def per_key_states(rows: DataFrame) -> DataFrame:
         .sortWithinPartitions(*order)
         .select(F.spark_partition_id().alias("pid"), "key_column", "key_value", "at_ms", "marked")
     )
-    return ranged.mapInPandas(_states, _STATE.replace("pid INT", "pid BIGINT"))
+    return ranged.mapInPandas(_states, _STATE)
 
 
 def stitch(states: DataFrame) -> DataFrame:
