@@ -269,6 +269,8 @@ def file_schemas(workflows: DataFrame) -> DataFrame:
                 for path, types in schema_of(value).items():
                     found[exporter, number, path] |= types
             keys = list(found)
+            if not keys:
+                continue
             yield pd.DataFrame(
                 {
                     "exporter": [k[0] for k in keys],
@@ -313,6 +315,8 @@ def wanted_paths(pairs: DataFrame) -> DataFrame:
                     pair = None if pd.isna(number) else int(number)
                     out.append((exporter, None if pd.isna(previous) else int(previous), "old", pair, gone))
                     out.append((exporter, pair, "new", pair, come))
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=["exporter", "file_no", "side", "pair_no", "paths"])
             yield frame.astype({"file_no": "Int32", "pair_no": "Int32"})
 
@@ -344,6 +348,8 @@ def definition_values(workflows: DataFrame, wanted: DataFrame) -> DataFrame:
                         listed = json.dumps(values, sort_keys=True)[1:-1]
                         digest = hashlib.blake2b(listed.encode(), digest_size=16).hexdigest()
                         out.append((exporter, None if pd.isna(pair) else int(pair), side, tenant, name, version, path, digest))
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=["exporter", "pair_no", "side", "tenant", "name", "version", "path", "digest"])
             yield frame.astype({"pair_no": "Int32", "version": "Int32"})
 
@@ -413,6 +419,8 @@ def scripts(workflows: DataFrame) -> DataFrame:
                     out.append((exporter, number, kind, dotted(a), dotted(b), (kind, a, b) in top))
                 for a, b in editor.moves(script):
                     out.append((exporter, number, "moved", dotted(a), dotted(b), False))
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=["exporter", "file_no", "change_kind", "old_path", "new_path", "topmost"])
             yield frame.astype({"file_no": "Int32"})
 

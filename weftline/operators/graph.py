@@ -238,11 +238,11 @@ def definition_errors(documents: DataFrame, keys: list[str]) -> DataFrame:
 def run_states(runs_with_documents: DataFrame, task_runs: DataFrame) -> DataFrame:
     """(id, document, states): each run with its definition's document and the states of its tasks as JSON.
 
-    runs_with_documents has (id, document). States are gathered per run, of which there are as many as it has tasks.
+    runs_with_documents has (id, document). States are gathered per run, of which there are as many as it has tasks; of several states of a task the greatest
+    name holds.
     """
-    states = task_runs.groupBy("run_id").agg(
-        F.to_json(F.map_from_entries(F.collect_set(F.struct("task_name", "status")))).alias("states")
-    )
+    one = task_runs.groupBy("run_id", "task_name").agg(F.max("status").alias("status"))
+    states = one.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task_name", "status")))).alias("states"))
     return runs_with_documents.join(states, runs_with_documents["id"] == states["run_id"], "left").drop("run_id")
 
 

@@ -115,7 +115,7 @@ def trees(nodes: pd.DataFrame) -> pd.DataFrame:
             "depth": pd.array(depth, dtype="Int32"),
             "root": root,
             "n_descendants": pd.array([None if h is not None else int(s) for h, s in zip(head, size)], dtype="Int64"),
-            "descendants": [None if h is not None else sorted(names[i] for i in b) for h, b in zip(head, below)],
+            "descendants": [None if h is not None else sorted((names[i] for i in b), key=lambda x: (x is not None, x or "")) for h, b in zip(head, below)],
             "cycle_head": head,
         }
     )
@@ -167,10 +167,11 @@ def _chain_pairs(chained: DataFrame) -> DataFrame:
 
 
 def _from_chains(chained: DataFrame) -> DataFrame:
-    sizes = _chain_pairs(chained).groupBy("tenant", "def_name", "ancestor").agg(F.count("*").alias("n"))
+    pairs = _chain_pairs(chained)
+    sizes = pairs.groupBy(F.col("tenant").alias("t"), F.col("def_name").alias("g"), "ancestor").agg(F.count("*").alias("n"))
     same = (
-        chained["tenant"].eqNullSafe(sizes["tenant"])
-        & chained["def_name"].eqNullSafe(sizes["def_name"])
+        chained["tenant"].eqNullSafe(sizes["t"])
+        & chained["def_name"].eqNullSafe(sizes["g"])
         & chained["name"].eqNullSafe(sizes["ancestor"])
     )
     free = chained["chain"].isNotNull()
@@ -189,8 +190,8 @@ def _parts(rows: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame | None
     total, largest = by_group.agg(F.sum("n"), F.max("n")).first()
     small, chained = nodes, None
     if largest is not None and largest > max_group:
-        large = by_group.where(F.col("n") > max_group)
-        same = nodes["tenant"].eqNullSafe(large["tenant"]) & nodes["def_name"].eqNullSafe(large["def_name"])
+        large = by_group.where(F.col("n") > max_group).select(F.col("tenant").alias("t"), F.col("def_name").alias("g"))
+        same = nodes["tenant"].eqNullSafe(large["t"]) & nodes["def_name"].eqNullSafe(large["g"])
         small = nodes.join(large, same, "left_anti")
         chained = cut_lineage(_doubled(nodes.join(large, same, "left_semi"), int(largest)))
     bucket = F.pmod(F.xxhash64("tenant", "def_name"), F.lit(buckets_for(total or 0, NODES_PER_TASK)))

@@ -58,7 +58,8 @@ def _islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if before is not None and not pd.isna(before):
             islands.iloc[0, islands.columns.get_loc("before_ms")] = before
         held = islands.iloc[[-1]]
-        yield flagged(islands.iloc[:-1], last=False)
+        if len(islands) > 1:
+            yield flagged(islands.iloc[:-1], last=False)
     if held is not None:
         yield flagged(held, last=True)
 

@@ -67,9 +67,9 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad = references[~missing].assign(
             orphan_kind=np.where(deleted, "deleted", np.where(late, "late", "")), target_us=target["loaded_us"].to_numpy()
         )
-        yield pd.concat(
-            [references[missing].assign(orphan_kind="missing", target_us=pd.NA), bad[bad["orphan_kind"] != ""]]
-        )[["key", "orphan_kind", "target_us"]].astype({"target_us": "Int64"})
+        found = pd.concat([references[missing].assign(orphan_kind="missing", target_us=pd.NA), bad[bad["orphan_kind"] != ""]])
+        if len(found):
+            yield found[["key", "orphan_kind", "target_us"]].astype({"target_us": "Int64"})
         next_code, last_key = int(codes[-1]) + 1, keys[-1]
         last_parent = (int(parents[-1]), parent_rows.iloc[[-1]]) if len(parents) else None
 

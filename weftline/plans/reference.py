@@ -457,7 +457,7 @@ def _run_states(s, d):
 
 _STATES = """st AS (SELECT r.id, t.task, coalesce(k.status, 'pending') AS status, t.deps, t.tenant, t.name, t.version FROM cur_runs r
     JOIN def_task t ON t.tenant = r.tenant AND t.name = r.def_name AND t.version = r.def_version
-    LEFT JOIN (SELECT DISTINCT run_id, task_name, status FROM cur_tasks) k ON k.run_id = r.id AND k.task_name = t.task WHERE r.status = 'running')"""
+    LEFT JOIN (SELECT run_id, task_name, max(status) AS status FROM cur_tasks GROUP BY 1, 2) k ON k.run_id = r.id AND k.task_name = t.task WHERE r.status = 'running')"""
 
 
 @own.add(

@@ -130,11 +130,10 @@ _PROFILE = """
 SELECT key_column, key_value, count(*) AS n_rows, min(created_at_ms) AS first_ms, max(created_at_ms) AS last_ms,
        max(gap) AS max_gap_ms, coalesce(max(streak), 0) AS longest_failed
 FROM (
-  SELECT *, CASE WHEN marked THEN count(*) OVER (PARTITION BY key_column, key_value, island, marked) ELSE 0 END AS streak
+  SELECT *, CASE WHEN marked THEN count(*) FILTER (marked) OVER (PARTITION BY key_column, key_value, island) ELSE 0 END AS streak
   FROM (
     SELECT *, created_at_ms - lag(created_at_ms) OVER (PARTITION BY key_column, key_value ORDER BY created_at_ms, id, status) AS gap,
-           row_number() OVER (PARTITION BY key_column, key_value ORDER BY created_at_ms, id, status)
-           - row_number() OVER (PARTITION BY key_column, key_value, marked ORDER BY created_at_ms, id, status) AS island
+           sum(CASE WHEN marked THEN 0 ELSE 1 END) OVER (PARTITION BY key_column, key_value ORDER BY created_at_ms, id, status ROWS UNBOUNDED PRECEDING) AS island
     FROM (
       SELECT 'tenant' AS key_column, tenant AS key_value, created_at_ms, id, status, status = 'failed' AS marked FROM runs
       UNION ALL

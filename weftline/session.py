@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     """Number of buckets so that a bucket holds about per_bucket rows, whatever the input's size."""
     return max(least, math.ceil(rows / per_bucket))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run; once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_weftline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="weftline-package-")) / "weftline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._weftline_shipped = True

@@ -48,10 +48,13 @@ def artifact_descriptors(blobs: DataFrame, tenant: Column, name: Column, content
 
 
 def write_artifacts(blobs: DataFrame, path: str) -> None:
-    """Blobs (content BINARY) below two levels of shards by their id; equal bytes are written once."""
+    """Blobs (content BINARY) sharded by the first byte of their id and sorted by it; equal bytes are written once.
+
+    A file holds many blobs, so one level of 256 shards is enough; the rest of the id is found by the files' statistics.
+    """
     once = blobs.select(F.sha2("content", 256).alias("id"), "content").dropDuplicates(["id"])
-    sharded = once.withColumns({"a": F.substring("id", 1, 2), "b": F.substring("id", 3, 2)})
-    sharded.repartition("a").write.mode("append").partitionBy("a", "b").parquet(path)
+    sharded = once.withColumn("shard", F.substring("id", 1, 2))
+    sharded.repartition("shard").sortWithinPartitions("shard", "id").write.mode("append").partitionBy("shard").parquet(path)
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
