@@ -193,8 +193,10 @@ def _mark_ends(text: str, line_start: int, start: int, end: int) -> bool:
         return True
     if left in MAY_END or left.rpartition("-")[2] in MAY_END:
         return kind != "small"
+    if len(left) == 1 and text[start - 1].islower() and text[max(line_start, start - 3) : start - 1].strip()[-1:].isdigit():
+        return kind != "small"  # a unit or a year's mark behind a number
     if left in NEVER:
-        return left == "г" and kind in ("capital", "line") and text[max(line_start, start - 3) : start - 1].strip()[-1:].isdigit()
+        return False
     if left in BEFORE_NUMBER:
         return spaced and kind not in ("digit", "small")
     if len(left) == 1 and left.isalpha() and not _CASELESS.match(left):
@@ -333,6 +335,8 @@ def sentence_units(documents: DataFrame, id_column: str = "doc_id", text_column:
         for batch in batches:
             units = unit_ends(batch["text"].tolist())
             counts = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+            if not counts.sum():
+                continue
             yield pd.DataFrame(
                 {
                     "id": batch["id"].repeat(counts).reset_index(drop=True),
