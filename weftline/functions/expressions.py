@@ -55,7 +55,11 @@ def _value(kind: Column, text: Column, error: Column | None = None) -> Column:
     return F.struct(kind.cast("string").alias("kind"), text.cast("string").alias("text"), (no if error is None else error).alias("error"))
 
 
-def _of_variant(v: Column) -> Column:
+def _of_variant(variant: Column) -> Column:
+    return _bound(variant, _typed)
+
+
+def _typed(v: Column) -> Column:
     shape = F.schema_of_variant(v)
     kind = (
         F.when(v.isNull() | (shape == "VOID"), "null").when(shape == "BOOLEAN", "bool").when(shape == "STRING", "string")
@@ -110,32 +114,42 @@ def compile_expression(node: Any, context: Context, depth: int = 0) -> Column:
     if isinstance(node, Variable):
         return _resolve(node.path, context)
     args = [compile_expression(a, context, depth + 1) for a in node.args]
-    left, right = args[0], args[-1]
     truth = lambda c: _value(F.lit("bool"), c.cast("string"))
     wrong = lambda what: _value(F.lit("null"), F.lit(None), F.lit(f"type mismatch: {what}"))
-    first_error = F.when(left["error"].isNotNull(), left)
+
     if node.name == "not":
-        return first_error.when(left["kind"] == "bool", truth(left["text"] == "false")).otherwise(wrong("! requires boolean operand"))
+        what = wrong("! requires boolean operand")
+        return _bound(args[0], lambda x: F.when(x["error"].isNotNull(), x).when(x["kind"] == "bool", truth(x["text"] == "false")).otherwise(what))
     if node.name in ("and", "or"):
-        what = f"{'&&' if node.name == 'and' else '||'} requires boolean operands"
+        what = wrong(f"{'&&' if node.name == 'and' else '||'} requires boolean operands")
         settled = "false" if node.name == "and" else "true"
-        on = F.when(right["error"].isNotNull(), right).when(right["kind"] == "bool", right).otherwise(wrong(what))
-        return first_error.when(left["kind"] != "bool", wrong(what)).when(left["text"] == settled, left).otherwise(on)
-    both = first_error.when(right["error"].isNotNull(), right)
-    if node.name in ("eq", "ne"):
-        nan = (left["kind"] == "number") & (left["text"] == "NaN")
-        same = (left["kind"] == right["kind"]) & left["text"].eqNullSafe(right["text"]) & ~nan
-        return both.otherwise(truth(same if node.name == "eq" else ~same))
-    a, b = left["text"], right["text"]
-    numbers = (left["kind"] == "number") & (right["kind"] == "number")
-    strings = (left["kind"] == "string") & (right["kind"] == "string")
-    n, m = a.try_cast("double"), b.try_cast("double")
-    less = node.name == "lt"
-    return (
-        both.when(numbers, truth((n < m) if less else (n > m)))
-        .when(strings, truth((a < b) if less else (a > b)))
-        .otherwise(wrong(f"{'<' if less else '>'} requires comparable operands"))
-    )
+        right = _bound(args[1], lambda r: F.when(r["error"].isNotNull() | (r["kind"] == "bool"), r).otherwise(what))
+        return _bound(
+            args[0], lambda x: F.when(x["error"].isNotNull(), x).when(x["kind"] != "bool", what).when(x["text"] == settled, x).otherwise(right)
+        )
+
+    def compared(left: Column, right: Column) -> Column:
+        first = F.when(left["error"].isNotNull(), left).when(right["error"].isNotNull(), right)
+        if node.name in ("eq", "ne"):
+            nan = (left["kind"] == "number") & (left["text"] == "NaN")
+            same = (left["kind"] == right["kind"]) & left["text"].eqNullSafe(right["text"]) & ~nan
+            return first.otherwise(truth(same if node.name == "eq" else ~same))
+        less = node.name == "lt"
+        a, b = left["text"], right["text"]
+        n, m = a.try_cast("double"), b.try_cast("double")
+        kinds = lambda kind: (left["kind"] == kind) & (right["kind"] == kind)
+        return (
+            first.when(kinds("number"), truth((n < m) if less else (n > m)))
+            .when(kinds("string"), truth((a < b) if less else (a > b)))
+            .otherwise(wrong(f"{'<' if less else '>'} requires comparable operands"))
+        )
+
+    return _bound(args[0], lambda x: _bound(args[1], lambda y: compared(x, y)))
+
+
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once; without it, an expression would grow with every mention of an operand."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 # ------------------------------------------------------------------------------------------------------- templates

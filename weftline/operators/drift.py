@@ -326,7 +326,10 @@ def wanted_paths(pairs: DataFrame) -> DataFrame:
 
 
 def definition_values(workflows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(exporter, pair_no, side, tenant, name, path, digest): a digest of all values at each wanted path."""
+    """(exporter, pair_no, side, tenant, name, path, digest): a digest of all values at each wanted path.
+
+    On the new side the empty path marks every definition that can be read there.
+    """
     import hashlib
 
     rows = workflows.select("exporter", "file_no", "tenant", "name", "version", "document").where(F.col("document").isNotNull())
@@ -342,12 +345,15 @@ def definition_values(workflows: DataFrame, wanted: DataFrame) -> DataFrame:
                 value = read_document(text)
                 if value is None:
                     continue
+                pair_no = None if pd.isna(pair) else int(pair)
+                if side == "new":
+                    out.append((exporter, pair_no, side, tenant, name, version, "", ""))
                 for path in paths:
                     values = values_at(value, path)
                     if values:
                         listed = json.dumps(values, sort_keys=True)[1:-1]
                         digest = hashlib.blake2b(listed.encode(), digest_size=16).hexdigest()
-                        out.append((exporter, None if pd.isna(pair) else int(pair), side, tenant, name, version, path, digest))
+                        out.append((exporter, pair_no, side, tenant, name, version, path, digest))
             if not out:
                 continue
             frame = pd.DataFrame(out, columns=["exporter", "pair_no", "side", "tenant", "name", "version", "path", "digest"])
@@ -362,18 +368,18 @@ def definition_values(workflows: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def evidence(values: DataFrame, present: DataFrame) -> DataFrame:
+def evidence(values: DataFrame) -> DataFrame:
     """(exporter, pair_no, old_path, new_path, share) of pairs of paths under any parents with equal values in at least
     half of the definitions that are in both files and have the old path.
 
-    present: (exporter, pair_no, tenant, name) of the definitions in the new file. Equality is found by joining on the
-    values, so only pairs that agree somewhere are formed.
+    Equality is found by joining on the values, so only pairs that agree somewhere are formed.
     """
     key = ["exporter", "pair_no", "tenant", "name"]
     exporter_key = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(c) for c in key]
     old = values.where("side = 'old'").select(*exporter_key, F.col("path").alias("old_path"), "digest")
-    new = values.where("side = 'new'").select(*exporter_key, F.col("path").alias("new_path"), "digest")
-    both = old.join(present.select(*exporter_key).distinct(), key, "left_semi")
+    new = values.where("side = 'new' AND path <> ''").select(*exporter_key, F.col("path").alias("new_path"), "digest")
+    present = values.where("side = 'new' AND path = ''").select(*exporter_key)
+    both = old.join(present, key, "left_semi")
     total = both.groupBy("exporter", "pair_no", "old_path").agg(F.count("*").alias("total"))
     equal = both.join(new, [*key, "digest"]).groupBy("exporter", "pair_no", "old_path", "new_path").agg(F.count("*").alias("n"))
     return (
@@ -391,15 +397,9 @@ def scripts(workflows: DataFrame) -> DataFrame:
     """
     schemas = cut_lineage(file_schemas(workflows))
     pairs = file_pairs(schemas)
-    wanted = wanted_paths(pairs)
-    wanted = cut_lineage(wanted)
-    values = definition_values(workflows, wanted)
-    in_new = wanted.where("side = 'new'").select(F.col("exporter").alias("e"), F.col("pair_no").alias("p"))
-    here = workflows.where(F.col("document").isNotNull())
-    present = here.join(in_new, here["exporter"].eqNullSafe(in_new["e"]) & here["file_no"].eqNullSafe(in_new["p"])).select(
-        "exporter", F.col("file_no").alias("pair_no"), "tenant", "name"
-    )
-    shares = evidence(values, present).groupBy("exporter", "pair_no").agg(
+    wanted = cut_lineage(wanted_paths(pairs))
+    values = cut_lineage(definition_values(workflows, wanted))
+    shares = evidence(values).groupBy("exporter", "pair_no").agg(
         F.collect_list(F.struct("old_path", "new_path", "share")).alias("shares")
     )
     keyed = pairs.withColumn("e", F.coalesce("exporter", F.lit("\x00"))).withColumn("p", F.coalesce(F.col("file_no").cast("string"), F.lit("\x00")))

@@ -74,12 +74,11 @@ def status_bar(runs: DataFrame, width: int = 800) -> DataFrame:
 
 
 def gauges(runs: DataFrame, definitions: DataFrame, entries: DataFrame, boot_ms: int, now_ms: int) -> DataFrame:
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    # Three single-row sides.
-    return (
-        one(runs, "runs").join(one(definitions, "workflows")).join(one(entries, "queue_depth"))
-        .withColumn("uptime_seconds", F.lit(max(now_ms - boot_ms, 0) // 1000).cast("bigint"))
-    )
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in (("runs", runs), ("workflows", definitions), ("queue_depth", entries))]
+    every = counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return every.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in ("runs", "workflows", "queue_depth")]).withColumn(
+        "uptime_seconds", F.lit(max(now_ms - boot_ms, 0) // 1000).cast("bigint")
+    )
 
 
 def cumulative_histogram(values: DataFrame, value: Column, bounds: tuple[float, ...] = LATENCY_BOUNDS) -> DataFrame:
@@ -100,33 +99,38 @@ def cumulative_histogram(values: DataFrame, value: Column, bounds: tuple[float,
     )
 
 
-def run_numbers(runs: DataFrame) -> DataFrame:
-    """Consecutive numbers per definition name, across tenants, in order of creation.
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number within their key, by order, from 1.
 
-    A name may hold a third of the rows, so rows are numbered inside even ranges of (name, time, id), and each range
-    starts after the counts of the ranges before it; only counts, one a range and name, meet in a window.
+    A key may hold a third of the rows, so rows are numbered inside even ranges of (key, order), and each range starts
+    after the counts of the ranges before it; only counts, one a range and key, meet in a window.
     """
     from weftline.session import cut_lineage, shuffle_partitions
 
-    order = ["def_name", "created_at_ms", "id"]
+    by = [key, *order]
     ranged = cut_lineage(
-        runs.select(*order)
-        .repartitionByRange(shuffle_partitions(runs.sparkSession), *order)
-        .sortWithinPartitions(*order)
-        .withColumn("pid", F.spark_partition_id())
-        .withColumn("at", F.monotonically_increasing_id())
+        rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *by)
+        .sortWithinPartitions(*by)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id())
     )
-    parts = ranged.groupBy("def_name", "pid").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("def_name").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select("def_name", "pid", (before - F.col("first_at") + 1).alias("shift"))
-    return ranged.join(starts, ["def_name", "pid"]).select("id", "def_name", (F.col("at") + F.col("shift")).alias("number"))
+    parts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_in")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_in").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_key", "_in", (before - F.col("_first") + 1).alias("_shift"))
+    joined = ranged.join(starts, ranged[key].eqNullSafe(starts["_key"]) & (ranged["_part"] == starts["_in"]))
+    return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def run_numbers(runs: DataFrame) -> DataFrame:
+    """Consecutive numbers per definition name, across tenants, in order of creation."""
+    return numbered(runs.select("def_name", "created_at_ms", "id"), "def_name", ["created_at_ms", "id"], "number").drop("created_at_ms")
 
 
 def fair_share_order(items: DataFrame, tenant: str = "tenant", sequence: str = "seq") -> DataFrame:
     """Pop order of a preloaded fair-share queue: rounds over tenants, in order of each tenant's first item."""
-    w = W.partitionBy(tenant)
-    turn = F.row_number().over(w.orderBy(sequence))
-    return items.withColumn("turn", turn).withColumn("tenant_first", F.min(sequence).over(w))
+    first = items.groupBy(F.col(tenant).alias("_t")).agg(F.min(sequence).alias("tenant_first"))
+    turns = numbered(items, tenant, [sequence], "turn")
+    return turns.join(first, turns[tenant].eqNullSafe(first["_t"])).drop("_t")
 
 
 def event_documents(runs: DataFrame, now_ms: int) -> DataFrame:

@@ -208,7 +208,7 @@ def run_numbers(s, d):
 
 @own.add(
     "fair_share_order",
-    """SELECT run_id, tenant, row_number() OVER (PARTITION BY tenant ORDER BY seq)::INT AS turn, min(seq) OVER (PARTITION BY tenant) AS tenant_first
+    """SELECT run_id, tenant, row_number() OVER (PARTITION BY tenant ORDER BY seq) AS turn, min(seq) OVER (PARTITION BY tenant) AS tenant_first
        FROM (SELECT q.run_id, r.tenant, r.created_at_ms || q.run_id AS seq FROM queue_entries q JOIN cur_runs r ON q.run_id = r.id)""",
 )
 def fair_share_order(s, d):
