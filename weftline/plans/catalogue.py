@@ -26,7 +26,11 @@ class Catalogue:
             if sql is not None:
                 needed = self._needed(sql)
                 start = "WITH RECURSIVE " if recursive else "WITH "
-                self.sql[name] = (start + needed + "\n" if needed else "") + sql
+                if needed and sql.startswith("WITH "):
+                    sql_text = start + needed + ",\n" + sql.removeprefix("WITH ")
+                else:
+                    sql_text = (start + needed + "\n" if needed else "") + sql
+                self.sql[name] = sql_text
             return query
 
         return keep

@@ -443,7 +443,21 @@ def critical_path_length(s, d):
     return reports.select(*DEF_KEY, F.size(F.split("critical_path", ",")).alias("length")).distinct()
 
 
-@own.add("definition_errors")
+@own.add(
+    "definition_errors",
+    f"""SELECT * FROM (WITH RECURSIVE {_LEVELS}, seen AS (
+        SELECT q.*, (SELECT count(*) FROM def_task t WHERE t.tenant = q.tenant AND t.name = q.name AND t.version = q.version) AS names,
+          (SELECT count(*) FROM stages t WHERE t.tenant = q.tenant AND t.name = q.name AND t.version = q.version) AS placed,
+          EXISTS (SELECT 1 FROM def_edge e WHERE e.tenant = q.tenant AND e.name = q.name AND e.version = q.version AND NOT EXISTS (
+            SELECT 1 FROM def_task t WHERE t.tenant = e.tenant AND t.name = e.name AND t.version = e.version AND t.task = e.dep)) AS unknown
+        FROM (SELECT tenant, name, version, doc->>'$.name' AS own_name, coalesce(doc->>'$.description', '') AS about, coalesce(json_array_length(doc, '$.tasks'), 0) AS n,
+                coalesce(try_cast(doc->>'$.timeout_ms' AS BIGINT), 1) AS whole, list_min(list_transform(doc->>'$.tasks[*].timeout_ms', lambda x: try_cast(x AS BIGINT))) AS least
+              FROM (SELECT tenant, name, version, doc::JSON AS doc FROM defs_read WHERE json_valid(doc))) q)
+        SELECT DISTINCT tenant, name, version, CASE WHEN NOT regexp_full_match(own_name, '[a-z][a-z0-9-]{{0,63}}') THEN 'invalid_name' WHEN length(about) > 512 THEN 'description_too_long'
+          WHEN n = 0 THEN 'empty_tasks' WHEN n > 256 THEN 'too_many_tasks' WHEN names < n THEN 'duplicate_task_name' WHEN whole = 0 OR least = 0 THEN 'zero_timeout'
+          WHEN unknown THEN 'unknown' WHEN placed < names THEN 'cycle' END AS error FROM seen) WHERE error IS NOT NULL""",
+    recursive=True,
+)
 def definition_errors(s, d):
     return graph.definition_errors(table(s, d, "workflows"), DEF_KEY).distinct()
 
@@ -598,12 +612,36 @@ def _requests(s, d):
     return table(s, d, "runs").select("id", "tenant", F.col("created_at_ms").alias("at_ms"), F.lit(1.0).alias("cost")).distinct()
 
 
-@own.add("leaky_bucket")
+_BUCKET_FOLD = """fold AS (
+    SELECT key, rn, id, at_ms, true AS accepted, 0::BIGINT AS wait_ms, 1.0::DOUBLE AS level FROM req WHERE rn = 1
+    UNION ALL
+    SELECT key, rn, id, at_ms, leaked + 1.0 <= 5.0, CASE WHEN leaked + 1.0 <= 5.0 THEN 0 ELSE greatest(1, ceil((leaked + 1.0 - 5.0) / 0.001 * 1000.0)::BIGINT) END,
+           CASE WHEN leaked + 1.0 <= 5.0 THEN leaked + 1.0 ELSE leaked END
+    FROM (SELECT r.*, greatest(0.0::DOUBLE, f.level - greatest(r.at_ms - f.at_ms, 0)::DOUBLE / 1000.0::DOUBLE * 0.001::DOUBLE) AS leaked
+          FROM fold f JOIN req r ON r.key = f.key AND r.rn = f.rn + 1))"""
+
+
+@own.add(
+    "leaky_bucket",
+    f"""SELECT * FROM (WITH RECURSIVE req AS (SELECT id, tenant AS key, created_at_ms AS at_ms, row_number() OVER (PARTITION BY tenant ORDER BY created_at_ms, id) AS rn
+        FROM (SELECT DISTINCT id, tenant, created_at_ms FROM runs)), {_BUCKET_FOLD} SELECT id, key AS tenant, at_ms, accepted, wait_ms FROM fold)""",
+)
 def leaky_bucket(s, d):
     return lifecycle.leaky_bucket(_requests(s, d), "tenant", 5.0, 0.001)
 
 
-@own.add("concurrency_limit")
+@own.add(
+    "concurrency_limit",
+    """SELECT * FROM (WITH RECURSIVE req AS (SELECT seq AS id, run_id AS holder, tenant, CASE WHEN kind = 'run.started' THEN 'acquire' ELSE 'release' END AS action,
+          row_number() OVER (PARTITION BY tenant ORDER BY created_at_ms, seq) AS rn FROM run_events WHERE kind IN ('run.started', 'run.succeeded', 'run.failed')),
+        fold AS (
+          SELECT tenant, rn, id, action, action = 'acquire' AS granted, CASE WHEN action = 'acquire' THEN [holder] ELSE [] END AS held FROM req WHERE rn = 1
+          UNION ALL
+          SELECT r.tenant, r.rn, r.id, r.action, CASE WHEN r.action = 'acquire' THEN NOT list_contains(f.held, r.holder) AND len(f.held) < 8 ELSE list_contains(f.held, r.holder) END,
+            CASE WHEN r.action = 'release' THEN list_filter(f.held, lambda x: x <> r.holder) WHEN NOT list_contains(f.held, r.holder) AND len(f.held) < 8 THEN list_append(f.held, r.holder) ELSE f.held END
+          FROM fold f JOIN req r ON r.tenant = f.tenant AND r.rn = f.rn + 1)
+        SELECT id, tenant, action, granted, len(held)::INT AS active FROM fold)""",
+)
 def concurrency_limit(s, d):
     events = table(s, d, "run_events").where("kind IN ('run.started', 'run.succeeded', 'run.failed')")
     action = F.when(F.col("kind") == "run.started", "acquire").otherwise("release").alias("action")
@@ -700,11 +738,19 @@ def url_check(s, d):
     return rows.select("url", scalars.valid_webhook_url(F.col("url")).alias("ok"))
 
 
-@own.add("base32_ids")
+_PICK = " + ".join(f"substr(bits, 5 * j::BIGINT + {k + 1}, 1)::INT * {16 >> k}" for k in range(5))
+
+
+@own.add(
+    "base32_ids",
+    f"""SELECT id, 'tr_' || array_to_string(list_transform(range(0, strlen(bits) // 5), lambda j: substr('{scalars.BASE32_DIGITS}', 1 + {_PICK}, 1)), '') AS made
+        FROM (SELECT id, rpad(b, ((strlen(b) + 4) // 5 * 5)::INT, '0') AS bits FROM (
+          SELECT id, array_to_string(list_transform(range(1, strlen(t) + 1), lambda i: lpad(bin(ascii(substr(t, i::BIGINT, 1))), 8, '0')), '') AS b
+          FROM (SELECT id, run_id || '::' || task_name AS t FROM cur_tasks WHERE run_id IS NOT NULL)))""",
+)
 def base32_ids(s, d):
     rows = c.current_tasks(s, d, "run_id", "task_name").where("run_id IS NOT NULL")
-    coded = rows.select("id", scalars.task_run_id(F.col("run_id"), F.col("task_name")).alias("made"))
-    return coded.select("id", "made", scalars.unbase32hex(F.substring("id", 4, 96)).alias("decoded"))
+    return rows.select("id", scalars.task_run_id(F.col("run_id"), F.col("task_name")).alias("made"))
 
 
 @own.add("json_measures")
@@ -745,10 +791,18 @@ def cron_next(s, d):
     return table(s, d, "events").select("event_id", cron.next_tick(F.lit("*/15 * * * *"), after).alias("next_ms"))
 
 
-@own.add("triggers_due")
+@own.add(
+    "triggers_due",
+    """SELECT tenant, name, ['*/15 * * * *', '*/15 6-18 1,15 * 1-5', '30 8 15 * 1'][k + 1] AS cron_expr, last_ms, min(epoch_us(day) // 1000 + m * 60000)::BIGINT AS next_ms
+       FROM (SELECT b.*, unnest(generate_series(date_trunc('day', make_timestamp(last_ms * 1000)), date_trunc('day', make_timestamp(last_ms * 1000)) + [INTERVAL 2 DAY, INTERVAL 200 DAY, INTERVAL 1825 DAY][k + 1], INTERVAL 1 DAY)) AS day
+             FROM (SELECT tenant, name, max(updated_at_ms) AS last_ms, length(name) % 3 AS k FROM workflows GROUP BY 1, 2) b)
+       JOIN (SELECT 0 AS ks, unnest(range(0, 1440, 15)) AS m UNION ALL SELECT 1, unnest(range(360, 1140, 15)) UNION ALL SELECT 2, 510) ON ks = k
+       WHERE epoch_us(day) // 1000 + m * 60000 > last_ms AND (k = 0 OR (k = 1 AND day(day) IN (1, 15) AND dayofweek(day) BETWEEN 1 AND 5) OR (k = 2 AND day(day) = 15 AND dayofweek(day) = 1))
+       GROUP BY 1, 2, 3, 4""",
+)
 def triggers_due(s, d):
     """Every definition as a trigger on one of three schedules: when it fires next after its last version was stored."""
-    crons = F.element_at(F.array(*map(F.lit, ["*/15 * * * *", CRON, "30 8 15 * 1"])), (F.pmod(F.xxhash64("name"), F.lit(3)) + 1).cast("int"))
+    crons = F.element_at(F.array(*map(F.lit, ["*/15 * * * *", CRON, "30 8 15 * 1"])), (F.length("name") % 3 + 1).cast("int"))
     last = table(s, d, "workflows").groupBy("tenant", "name").agg(F.max("updated_at_ms").alias("last_ms"))
     return last.withColumn("cron_expr", crons).select("tenant", "name", "cron_expr", "last_ms", cron.next_tick(F.col("cron_expr"), F.col("last_ms")).alias("next_ms"))
 
@@ -770,7 +824,12 @@ def expr_eval(s, d):
     return rows.select("id", (value["text"] == "true").alias("result"))
 
 
-@own.add("expr_errors")
+@own.add(
+    "expr_errors",
+    """SELECT id, CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN ((doc->>'$.output.n')::DOUBLE < 5)::VARCHAR END AS result,
+       CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN NULL ELSE 'type mismatch: < requires comparable operands' END AS error
+       FROM (SELECT id, doc, json_type(doc, '$.output.n') AS t FROM (SELECT id, CASE WHEN json_valid(document) THEN document::JSON END AS doc FROM cur_runs WHERE document IS NOT NULL))""",
+)
 def expr_errors(s, d):
     rows = c.current_runs(s, d, "tenant", "document").where("document IS NOT NULL")
     tree = Op("lt", (Variable("tasks.self.output.n"), Literal(5)))
@@ -778,7 +837,11 @@ def expr_errors(s, d):
     return rows.select("id", value["text"].alias("result"), value["error"].alias("error"))
 
 
-@own.add("template_render")
+@own.add(
+    "template_render",
+    """SELECT id, '{"days": ' || (doc->>'$.input.window.days')::DOUBLE::VARCHAR || ', "list": [' || coalesce(doc->>'$.input.probe', 'null') || '], "text": "from ' || (doc->>'$.input.window.from') || ' by ' || tenant || '"}' AS result,
+       NULL::VARCHAR AS error FROM (SELECT id, tenant, document::JSON AS doc FROM cur_runs WHERE json_valid(document) AND json_type(document) = 'OBJECT')""",
+)
 def template_render(s, d):
     rows = c.current_runs(s, d, "tenant", "document").where(F.get_json_object("document", "$.input").isNotNull())
     template = F.lit('{"days": "${run.input.window.days}", "text": "from ${ run.input.window.from } by ${meta.tenant}", "list": ["${run.input.probe}"]}')
@@ -819,7 +882,13 @@ def artifact_roundtrip(s, d):
     return files.read_artifacts(s, path).select("id", F.octet_length("content").cast("bigint").alias("size_bytes"))
 
 
-@own.add("prometheus_text")
+@own.add(
+    "prometheus_text",
+    f"""WITH h AS (SELECT b::DOUBLE::VARCHAR AS le, (SELECT count(*) FROM cur_runs WHERE finished_at_ms >= started_at_ms AND (finished_at_ms - started_at_ms) / 1000.0::DOUBLE <= b) AS n
+        FROM (SELECT unnest({_BOUNDS}) AS b) UNION ALL SELECT '+Inf', count(*) FROM cur_runs WHERE finished_at_ms >= started_at_ms)
+        SELECT 'run_duration_seconds_bucket' AS name, le AS label, i AS line_no, CASE i WHEN 0 THEN '# HELP weftline_run_duration_seconds_bucket Run execution duration in seconds.'
+          WHEN 1 THEN '# TYPE weftline_run_duration_seconds_bucket histogram' ELSE 'weftline_run_duration_seconds_bucket{{le="' || le || '"}} ' || n END AS line FROM h, (SELECT unnest([0, 1, 2]) AS i)""",
+)
 def prometheus_text(s, d):
     runs = c.current_runs(s, d, "status", "started_at_ms", "finished_at_ms")
     histogram = relational.cumulative_histogram(runs, (F.col("finished_at_ms") - F.col("started_at_ms")) / 1000)
@@ -853,7 +922,11 @@ def batch_windows(s, d):
     return counted.select("kind", F.unix_millis("w.start").alias("hour_ms"), "n")
 
 
-@own.add("stream_leaky_bucket")
+@own.add(
+    "stream_leaky_bucket",
+    f"""SELECT * FROM (WITH RECURSIVE req AS (SELECT id, tenant AS key, created_at_ms AS at_ms, row_number() OVER (PARTITION BY tenant ORDER BY created_at_ms, id) AS rn FROM runs),
+        {_BUCKET_FOLD} SELECT id, key, at_ms, accepted FROM fold)""",
+)
 def stream_leaky_bucket(s, d):
     requests = pipelines.read_stream(s, f"{d}/runs.parquet").select("id", F.col("tenant").alias("key"), F.col("created_at_ms").alias("at_ms"), F.lit(1.0).alias("cost"))
     return pipelines.drain(pipelines.limited_stream(requests, 5.0, 0.001), "limited")
