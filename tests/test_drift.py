@@ -72,15 +72,41 @@ def test_assignment_is_least(size):
 
 
 def test_one_consistent_table(spark):
-    docs = [
-        ("t", "n", 1, "e", 1, {"description": "d1", "tasks": [{"needs": ["x"]}]}), ("t", "m", 1, "e", 1, {"description": "d2", "tasks": [{"needs": ["y"]}]}),
-        ("t", "n", 2, "e", 2, {"summary": "d1", "tasks": [{"depends_on": ["x"]}]}), ("t", "m", 2, "e", 2, {"summary": "d2", "tasks": [{"depends_on": ["y"]}]}),
-        ("t", "k", 1, "e", 2, "{nothing"),
-    ]
+    def doc(new, i):
+        if not new:
+            return {"description": f"d{i}", "timeout_ms": 1000 * i, "tasks": [{"needs": [f"x{i}"]}], "hooks": {"on_failure": [{"url": f"u{i}"}]}, "tags": {"a": "b"}, "version": i}
+        return {
+            "summary": f"d{i}", "timeout_ms": {"value": i, "unit": "s"}, "tasks": [{"depends_on": [f"x{i}"]}], "hooks": {"on_failure": {"url": f"u{i}"}},
+            "tags": [{"key": "a", "value": "b"}], "version": f"v{i}",
+        }
+
+    docs = [("t", f"n{i}", v, "e", v, doc(v == 3, i)) for v in (1, 2, 3) for i in (1, 2)] + [("t", "k", 1, "e", 3, "{nothing"), ("t", "k", 2, "f", 1, {"version": {"odd": 1}})]
     got = {(r.name, r.version): r for r in drift.consistent_table(table(spark, docs)).collect()}
-    assert got["k", 1].readable is False and got["n", 2].n_tasks == 1
-    assert {got["n", v].description for v in (1, 2)} == {"d1"}
-    assert got["n", 1].definition == got["n", 2].definition
+    assert got["k", 1].readable is False and got["n2", 3].n_tasks == 1
+    assert [got["n2", v].timeout_ms for v in (1, 2, 3)] == [2000] * 3
+    assert got["n1", 1].definition == got["n1", 3].definition and got["n1", 1].description == "d1"
+    assert json.loads(got["k", 2].leftovers) == {"version": {"odd": 1}}
+    assert drift.consistent_table(table(spark, [])).count() == 0
+
+
+def test_values_take_the_type_asked_for():
+    bit = {n: 1 << i for i, n in enumerate(drift.TYPES)}
+    cases = [
+        ("12", "number", (12, True)), (" 1.5", "number", (1.5, True)), ("v7", "number", (7, True)), ("1970-01-01T00:00:01Z", "number", (1000, True)), ("soon", "number", (None, False)),
+        ({"value": 2, "unit": "min"}, "number", (120_000, True)), ("TRUE", "boolean", (True, True)), ("no", "boolean", (None, False)), (3, "string", ("3", True)),
+        ("a, b,,", "array", (["a", "b"], True)), ({"x": 1}, "array", ([{"x": 1}], True)), ([{"key": "k", "value": 1}], "object", ({"k": 1}, True)), ([1], "object", (None, False)), (None, "object", (None, True)),
+    ]
+    for value, target, want in cases:
+        assert drift.fitted(value, bit[target]) == want
+
+
+def test_spelling_alone_is_no_other_field():
+    assert drift.spelled_alike(["a.x_y", "a.xY", "b.xY", "a.z"]) == [("a.xY", "a.x_y")]
+
+
+def test_names_are_followed_below_renamed_parents():
+    classes = drift.path_classes([("hooks", "notifications"), ("notifications.on_failure", "notifications.on_error"), ("hooks.on_failure", "hooks.failed")], {"hooks": 3, "notifications": 2, "hooks.on_failure": 2, "hooks.failed": 1})
+    assert drift.canonical("notifications.on_error.url", classes) == drift.canonical("hooks.failed.url", classes) == "hooks.on_failure.url"
 
 
 def test_values_at_follow_document_order():

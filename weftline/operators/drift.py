@@ -4,8 +4,9 @@ Each file's schema is a tree of field names. The change from a file to the next
 script of a tree edit distance: keep, retype, delete, add, rename under the same parent, and move to another parent.
 Children of two matched nodes are aligned by a least-cost assignment; matching two different names is only open to
 pairs that carry the same values in at least half of the definitions both files hold, and costs less the more do.
-Scripts are compiled into projections: renamed paths of all files form classes, each class takes the name that most
-files use, and every document is projected onto those names.
+Scripts are compiled into projections: renamed paths of all files form classes, together with paths that differ in
+spelling alone; each class takes the name that most files use, each path the type most files give it, and every
+document is projected onto those.
 
 Defined results: unreadable and null documents have no schema; a document encoded twice (or more) is read; a document
 that is no object has an empty schema. Files without a readable document are passed over, so a file is compared with
@@ -17,9 +18,11 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -389,13 +392,13 @@ def evidence(values: DataFrame) -> DataFrame:
     )
 
 
-def scripts(workflows: DataFrame) -> DataFrame:
+def scripts(workflows: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """(exporter, file_no, change_kind, old_path, new_path, topmost): the edit script of each file.
 
     Paths are dotted. change_kind is added, removed, retyped, renamed, or moved; a moved path also is removed and
     added. topmost is false for operations below another one's path and for moved.
     """
-    schemas = cut_lineage(file_schemas(workflows))
+    schemas = cut_lineage(file_schemas(workflows)) if schemas is None else schemas
     pairs = file_pairs(schemas)
     wanted = cut_lineage(wanted_paths(pairs))
     values = cut_lineage(definition_values(workflows, wanted))
@@ -437,94 +440,179 @@ def changes_found(workflows: DataFrame) -> DataFrame:
     return scripts(workflows).where("topmost").drop("topmost")
 
 
-def path_classes(renames: pd.DataFrame) -> dict[str, str]:
-    """Canonical path of each renamed path: of those joined by renames, the one in most files, then the smallest."""
-    up: dict[str, str] = {}
+def path_classes(renames: list[tuple[str, str]], files: dict[str, int]) -> dict[str, str]:
+    """Canonical path of each renamed path: of those joined by renames, the one in most files, then the smallest.
+
+    Parents come before their children, whose paths are written below the parents' canonical ones.
+    """
+    classes: dict[str, str] = {}
+    deep = lambda r: r[0].count(".")
+    for depth in sorted({deep(r) for r in renames}):
+        up: dict[str, str] = {}
+        uses: dict[str, int] = defaultdict(int)
+        here = [r for r in renames if deep(r) == depth]
+
+        def find(x: str) -> str:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        below = {p: join_dotted(canonical(p.rpartition(".")[0], classes), p.rpartition(".")[2]) for r in here for p in r}
+        for old, new in here:
+            up[find(below[old])] = find(below[new])
+        for path, at in below.items():
+            uses[at] += files.get(path, 0)
+        members = defaultdict(list)
+        for path in up:
+            members[find(path)].append(path)
+        classes |= {p: min(m, key=lambda x: (-uses[x], x)) for m in members.values() for p in m}
+    return classes
+
+
+def spelled_alike(paths: list[str]) -> list[tuple[str, str]]:
+    """Pairs of paths under one parent whose last keys differ in case and underscores alone, such as timeoutMs."""
+    first: dict[tuple[str, str], str] = {}
+    pairs = []
+    for path in sorted(paths):
+        above, _, key = path.rpartition(".")
+        other = first.setdefault((above, key.replace("_", "").lower()), path)
+        if other != path:
+            pairs.append((other, path))
+    return pairs
+
+
+def join_dotted(prefix: str, name: str) -> str:
+    return f"{prefix}.{name}" if prefix else name
+
+
+def canonical(path: str, classes: dict[str, str]) -> str:
+    """A dotted path under canonical names, from the root down."""
+    at = ""
+    for key in path.split(".") if path else []:
+        at = join_dotted(at, key)
+        at = classes.get(at, at)
+    return at
+
+
+def target_types(counts: list[tuple[str, int, int]], classes: dict[str, str]) -> dict[str, int]:
+    """The type bit of each canonical path that most files have, from (raw dotted path, type bits, number of files)."""
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for path, types, n in counts:
+        for bit in _BIT.values():
+            if types & bit:
+                votes[canonical(path, classes)][bit] += n
+    return {path: min(v, key=lambda b: (-v[b], b)) for path, v in votes.items()}
 
-    def find(x: str) -> str:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    uses: Counter = Counter()
-    for old, new, n in renames[["old_path", "new_path", "n"]].itertuples(index=False):
-        up[find(old)] = find(new)
-        uses[old] += n
-        uses[new] += n
-    classes = defaultdict(list)
-    for path in up:
-        classes[find(path)].append(path)
-    return {p: min(c, key=lambda x: (-uses[x], x)) for c in classes.values() for p in c}
+#: Milliseconds of the units in which a length of time may be given (fixed values).
+_UNITS = {"ms": 1, "s": 1000, "sec": 1000, "m": 60_000, "min": 60_000, "h": 3_600_000, "d": 86_400_000}
+_NUMBER = re.compile(r"v?(-?\d+(?:\.\d+)?)")
 
 
-def compile_projection(classes: dict[str, str]):
-    """A function that gives a document the canonical names; of two fields with one name the canonical one holds."""
+def fitted(value, target: int):
+    """value as the target type, and whether it could be: numbers and truth values in text, versions like v3, times in
+    text (as epoch ms), lengths of time with a unit (as ms), texts and lone objects for lists, key-value lists for
+    objects. A null fits every type."""
+    if value is None or type_bit(value) == target:
+        return value, True
+    if target == _BIT["number"]:
+        if isinstance(value, str):
+            if found := _NUMBER.fullmatch(value.strip()):
+                return (float(found[1]) if "." in found[1] else int(found[1])), True
+            try:
+                at = datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
+            except ValueError:
+                return None, False
+            return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000), True
+        if isinstance(value, dict) and value.get("unit") in _UNITS and type_bit(value.get("value")) == target:
+            return value["value"] * _UNITS[value["unit"]], True
+    if target == _BIT["boolean"] and isinstance(value, str) and value.strip().lower() in ("true", "false"):
+        return value.strip().lower() == "true", True
+    if target == _BIT["string"] and isinstance(value, (bool, int, float)):
+        return json.dumps(value), True
+    if target == _BIT["array"] and isinstance(value, str):
+        return [x.strip() for x in value.split(",") if x.strip()], True
+    if target == _BIT["array"] and isinstance(value, dict):
+        return [value], True
+    if target == _BIT["object"] and isinstance(value, list) and all(isinstance(x, dict) and "key" in x and "value" in x for x in value):
+        return {str(x["key"]): x["value"] for x in value}, True
+    return None, False
+
+
+def compile_projection(classes: dict[str, str], targets: dict[str, int]):
+    """A function that gives a document canonical names and types, and lists what fits no type as (path, value).
+
+    Of two fields that come to one name the one that has it already holds, unless it is null.
+    """
     last = {old: new.rpartition(".")[2] for old, new in classes.items()}
 
-    def project(value, path: str = ""):
+    def project(value, path: str, leftovers: list):
         if isinstance(value, list):
-            return [project(x, path) for x in value]
+            return [project(x, path, leftovers) for x in value]
         if not isinstance(value, dict):
             return value
         out: dict = {}
         for key, inner in value.items():
-            at = f"{path}.{key}" if path else key
-            name = last.get(at, key)
+            at = join_dotted(path, key)
+            name, at = last.get(at, key), classes.get(at, at)
+            fit, fits = fitted(inner, targets.get(at, type_bit(inner)))
+            if not fits:
+                leftovers.append((at, inner))
             if key not in DATA_FIELDS:
-                inner = project(inner, classes.get(at, at))
-            if name not in out or (name == key) or out[name] is None:
-                out[name] = inner
+                fit = project(fit, at, leftovers)
+            if name not in out or name == key or out[name] is None:
+                out[name] = fit
         return out
 
     return project
 
 
 def consistent_table(workflows: DataFrame) -> DataFrame:
-    """One row per stored row: its key, whether it could be read, and its definition under canonical names.
+    """One row per stored row: its key, whether it could be read, and its definition under canonical names and types.
 
-    definition is JSON with sorted keys; the typed columns beside it are the fields every definition shares.
+    definition is JSON with sorted keys, leftovers a JSON object of what fits no type; the typed columns beside them are
+    fields that every definition has. The driver gets one row for each renamed pair of field paths and one for each
+    field path and mixture of types, which follow the schema's size and not the data's.
     """
-    renames = scripts(workflows).where("change_kind = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n"))
-    # One row a distinct pair of field paths: their number follows the schema's size, not the data's.
-    classes = path_classes(pd.DataFrame([tuple(r) for r in renames.collect()], columns=["old_path", "new_path", "n"]))
+    schemas = cut_lineage(file_schemas(workflows))
+    renames = scripts(workflows, schemas).where("change_kind = 'renamed'").select("old_path", "new_path").distinct().collect()
+    types = schemas.where("path <> ''").groupBy("path", "types").agg(F.count("*").alias("n")).collect()
+    files: Counter = Counter()
+    for path, _, n in types:
+        files[dotted(path)] += n
+    classes = path_classes([*(tuple(r) for r in renames), *spelled_alike(list(files))], files)
+    targets = target_types([(dotted(p), t, n) for p, t, n in types], classes)
     rows = workflows.select("tenant", "name", "version", "exporter", "file_no", "spec_version", "document")
 
-    def number(value):
-        if isinstance(value, str):
-            try:
-                return int(value)
-            except ValueError:
-                return None
-        return int(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        project = compile_projection(classes)
+        project = compile_projection(classes, targets)
+        whole = lambda x: int(x) if type_bit(x) == _BIT["number"] else None
         for batch in batches:
             out = []
             for text in batch["document"]:
                 value = read_document(text)
                 if not isinstance(value, dict):
-                    out.append((False, None, None, None, None))
+                    out.append((False, None, None, None, None, None, None))
                     continue
-                value = project(value)
-                tasks = value.get("tasks")
+                left: list = []
+                value = project(value, "", left)
+                tasks, about = value.get("tasks"), value.get("description")
                 out.append(
                     (
-                        True,
-                        json.dumps(value, sort_keys=True, ensure_ascii=False),
-                        value.get("description") if isinstance(value.get("description"), str) else None,
-                        number(value.get("created_at_ms")),
+                        True, json.dumps(value, sort_keys=True, ensure_ascii=False),
+                        json.dumps(dict(left), sort_keys=True, ensure_ascii=False) if left else None,
+                        about if isinstance(about, str) else None, whole(value.get("timeout_ms")), whole(value.get("created_at_ms")),
                         len(tasks) if isinstance(tasks, list) else None,
                     )
-                )
-            frame = pd.DataFrame(out, columns=["readable", "definition", "description", "created_at_ms", "n_tasks"])
-            frame = frame.astype({"created_at_ms": "Int64", "n_tasks": "Int32"})
+                )
+            names = ["readable", "definition", "leftovers", "description", "timeout_ms", "created_at_ms", "n_tasks"]
+            frame = pd.DataFrame(out, columns=names).astype({"timeout_ms": "Int64", "created_at_ms": "Int64", "n_tasks": "Int32"})
             keys = batch[["tenant", "name", "version", "exporter", "file_no", "spec_version"]].reset_index(drop=True)
             yield pd.concat([keys, frame], axis=1)
 
     return rows.mapInPandas(
         run,
-        "tenant STRING, name STRING, version INT, exporter STRING, file_no INT, spec_version INT, readable BOOLEAN, "
-        "definition STRING, description STRING, created_at_ms BIGINT, n_tasks INT",
+        "tenant STRING, name STRING, version INT, exporter STRING, file_no INT, spec_version INT, readable BOOLEAN, definition STRING, "
+        "leftovers STRING, description STRING, timeout_ms BIGINT, created_at_ms BIGINT, n_tasks INT",
     )
