@@ -34,7 +34,10 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
 
 @pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
 def test_query_and_sql(spark, duck, name):
-    got = __spark_entry__.queries()[name](spark, str(FOLDER)).toPandas()
+    result = __spark_entry__.queries()[name](spark, str(FOLDER))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = result.toPandas()
     want = duck.sql(__spark_entry__.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
@@ -45,5 +48,11 @@ def test_query_without_sql_runs(spark, name):
     assert __spark_entry__.queries()[name](spark, str(FOLDER)).count() >= 0
 
 
+def test_filters_reach_the_scan(spark):
+    plan = __spark_entry__.queries()["run_filter_combined"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(tenant,harbor-grid)" in plan and "StringStartsWith(def_name,p)" in plan
+    assert "document" not in plan  # only the columns that are named are read
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
