@@ -57,6 +57,8 @@ def test_dirty_rows(spark):
     ]
     tree = {(r.tenant, r.name): r for r in hierarchies(table(spark, data)).collect()}
     assert tree["t", "d"].path == "a/d" and tree["t", "f"].path == "a/f" and tree["t", "e"].depth == 0 and tree["t", "A"].depth == 0
+    listed = {(r.tenant, r.name): r.descendants for r in hierarchies(table(spark, data), listed=True).collect()}
+    assert listed["t", "a"] == [None, "d", "f"] and listed["u", "a"] is None
     assert tree["t", "a"].n_descendants == 3 and tree[None, "b"].path == "a/b" and tree["t", None].root == "a"
     assert {(r.name, r.cycle_head) for r in cyclic_nodes(hierarchies(table(spark, data))).collect()} == {("a", "a"), ("x", "a")}
     assert hierarchies(table(spark, [])).count() == 0

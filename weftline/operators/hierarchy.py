@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from weftline.session import buckets_for, cut_lineage
 
-MAX_GROUP = 20_000
-NODES_PER_TASK = 40_000
+#: Nodes of a group, and of a task, that are peeled together. Paths and descendant lists grow with the square of a
+#: chain's length, so the bounds keep the worst case within a task's memory.
+MAX_GROUP = 2_000
+NODES_PER_TASK, NODES_PER_TASK_LISTED = 10_000, 4_000
 _TREE = (
     "tenant STRING, def_name STRING, name STRING, parent STRING, path STRING, depth INT, root STRING, "
     "n_descendants BIGINT, descendants ARRAY<STRING>, cycle_head STRING"
@@ -72,8 +74,8 @@ def cycle_heads(parent: np.ndarray, on_cycle: np.ndarray, names: list) -> dict[i
     return heads
 
 
-def trees(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Hierarchies of all groups in one frame (tenant, def_name, name, parent)."""
+def trees(nodes: pd.DataFrame, listed: bool = True) -> pd.DataFrame:
+    """Hierarchies of all groups in one frame (tenant, def_name, name, parent); listed: with descendant lists."""
     count = len(nodes)
     keys = list(zip(nodes["tenant"], nodes["def_name"], nodes["name"]))
     at = {key: i for i, key in enumerate(keys)}
@@ -90,8 +92,9 @@ def trees(nodes: pd.DataFrame) -> pd.DataFrame:
             up = parent[node]
             if up >= 0 and not on_cycle[up]:
                 size[up] += size[node] + 1
-                below[up].append(node)
-                below[up].extend(below[node])
+                if listed:
+                    below[up].append(node)
+                    below[up].extend(below[node])
     heads = cycle_heads(parent, on_cycle, names)
     path: list[str | None] = [None] * count
     depth, root = [None] * count, [None] * count
@@ -115,7 +118,7 @@ def trees(nodes: pd.DataFrame) -> pd.DataFrame:
             "depth": pd.array(depth, dtype="Int32"),
             "root": root,
             "n_descendants": pd.array([None if h is not None else int(s) for h, s in zip(head, size)], dtype="Int64"),
-            "descendants": [None if h is not None else sorted((names[i] for i in b), key=lambda x: (x is not None, x or "")) for h, b in zip(head, below)],
+            "descendants": [None if h is not None or not listed else sorted((names[i] for i in b), key=lambda x: (x is not None, x or "")) for h, b in zip(head, below)],
             "cycle_head": head,
         }
     )
@@ -183,8 +186,9 @@ def _from_chains(chained: DataFrame) -> DataFrame:
     )
 
 
-def _parts(rows: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame | None]:
+def _parts(rows: DataFrame, max_group: int, listed: bool) -> tuple[DataFrame, DataFrame | None]:
     """Peeled hierarchies of the groups up to max_group, and chains of the larger ones if there are any."""
+    per_task = NODES_PER_TASK_LISTED if listed else NODES_PER_TASK
     nodes = cut_lineage(current_nodes(rows))
     by_group = nodes.groupBy("tenant", "def_name").agg(F.count("*").alias("n"))
     total, largest = by_group.agg(F.sum("n"), F.max("n")).first()
@@ -194,20 +198,23 @@ def _parts(rows: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame | None
         same = nodes["tenant"].eqNullSafe(large["t"]) & nodes["def_name"].eqNullSafe(large["g"])
         small = nodes.join(large, same, "left_anti")
         chained = cut_lineage(_doubled(nodes.join(large, same, "left_semi"), int(largest)))
-    bucket = F.pmod(F.xxhash64("tenant", "def_name"), F.lit(buckets_for(total or 0, NODES_PER_TASK)))
-    return small.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda pdf: trees(pdf), _TREE), chained
+    bucket = F.pmod(F.xxhash64("tenant", "def_name"), F.lit(buckets_for(total or 0, per_task)))
+    return small.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda pdf: trees(pdf, listed), _TREE), chained
 
 
-def hierarchies(rows: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """One row a node: parent, path (names joined by '/'), depth, root, n_descendants, descendants, cycle_head."""
-    peeled, chained = _parts(rows, max_group)
+def hierarchies(rows: DataFrame, max_group: int = MAX_GROUP, listed: bool = False) -> DataFrame:
+    """One row a node: parent, path (names joined by '/'), depth, root, n_descendants, descendants, cycle_head.
+
+    descendants is null unless listed, and for groups of more than max_group nodes; descendant_pairs has them all.
+    """
+    peeled, chained = _parts(rows, max_group, listed)
     return peeled if chained is None else peeled.unionByName(_from_chains(chained))
 
 
 def descendant_pairs(rows: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(tenant, def_name, ancestor, name): each node of a tree with each of its ancestors, whatever the group's
     size."""
-    peeled, chained = _parts(rows, max_group)
+    peeled, chained = _parts(rows, max_group, True)
     pairs = peeled.select("tenant", "def_name", F.col("name").alias("ancestor"), F.explode("descendants").alias("name"))
     return pairs if chained is None else pairs.unionByName(_chain_pairs(chained))
 
