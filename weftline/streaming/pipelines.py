@@ -28,12 +28,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/weftline-{name}-{uuid.uuid4().hex}"
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over a table's Parquet files; the schema is the one they have now."""
+def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over a table's Parquet files; the schema is the one they have now.
+
+    files_per_trigger bounds a micro-batch, also when everything that is there is drained.
+    """
     schema = spark.read.parquet(path).schema
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if fs.getFileStatus(jvm_path).isFile():
         folder, _, name = path.rpartition("/")
         return reader.option("pathGlobFilter", name).parquet(folder)
@@ -83,7 +88,8 @@ def hourly_counts(events: DataFrame, delay: str = "3650 days") -> DataFrame:
 def limited_stream(requests: DataFrame, capacity: float, rate_per_s: float) -> DataFrame:
     """Leaky bucket per key over a stream of (id, key, at_ms, cost): (id, key, at_ms, accepted).
 
-    The state of a key is its level and last time; rows of a micro-batch are taken in order of time.
+    The state of a key is its level and last time. A key's rows of one micro-batch are sorted in memory, so the source has
+    to bound its micro-batches (files_per_trigger); over a whole table, lifecycle.leaky_bucket sorts on disk instead.
     """
     capacity, rate = max(capacity, 1.0), max(rate_per_s, 0.001)
 
