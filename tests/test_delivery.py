@@ -69,3 +69,24 @@ def test_many_batches_are_one_batch(spark, tmp_path, monkeypatch):
     assert len(state.manifest(spark)["parts"]) <= 2
     dictionary = [bytes(k) for r in state.read(spark).collect() for k in r.dictionary]
     assert len(dictionary) == len(set(dictionary)) == len({i for _, i, _, _ in rows})
+
+
+def test_rows_without_id_are_resolved_over_batches(spark, tmp_path):
+    for turn, per_pair in enumerate((1, 3)):
+        state, pick, kept, data = SeenState(str(tmp_path / f"seen{turn}"), 2), random.Random(turn), [], []
+        for batch in range(4):
+            pairs = [(f"r{pick.randrange(12)}", pick.choice("kl")) for _ in range(8)]
+            new = [(10 * batch + i, pick.choice([None, f"{r}{k}{pick.randrange(per_pair)}"]), r, k) for i, (r, k) in enumerate(pairs)]
+            data += new
+            kept += [r["seq"] for r in deduplicate_batch(events(spark, new), state).collect()]
+        want = sorted(r["seq"] for r in kept_rows(events(spark, data)).collect())
+        # With one id a pair the copies are the same; with several, a later id may be the smaller one, but each message has one copy.
+        assert sorted(kept) == want if per_pair == 1 else len(kept) == len(want)
+
+
+def test_id_that_comes_after_its_row_was_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "MOST_PARTS", 2)
+    state = SeenState(str(tmp_path / "seen"), 2)
+    turns = [[(1, None, "r", "k")], [(2, " ", "r", "K ")], [(3, "b", "r", "k"), (4, "c", "r", "k")], [(5, "B", "r", "k"), (6, None, "r", "k")], [(7, "a", "r", "k"), (8, None, "r", "k")]]
+    kept = [sorted(r["seq"] for r in deduplicate_batch(events(spark, new), state).collect()) for new in turns]
+    assert kept == [[1], [], [4], [], [7]]

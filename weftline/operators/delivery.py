@@ -10,6 +10,10 @@ null, empty or blank takes the id that rows with the same run_id and kind carry
 does, the rows of that run_id and kind without an id are one message. A null run_id or kind equals another null. An
 empty table gives no rows. Other columns are ignored. The smallest seq of a message is the copy that is kept; rows
 with a null seq are kept only if no row of the message has one, and cannot be reported.
+
+Over batches the same holds against all rows seen so far: rows without an id take the smallest id that this or an earlier
+batch has for their run_id and kind, and the first id that comes after a row without one was kept is that row's message.
+What was returned is not taken back: if two such rows of different run_id or kind turn out to carry one id, both stay.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ KEYS_PER_SHARD = 60_000
 MOST_PARTS = 32
 STATE_SCHEMA = "shard INT, dictionary ARRAY<BINARY>, seen BINARY"
 PART_SCHEMA = "shard INT, first_code BIGINT, added ARRAY<BINARY>"
+NAME_SCHEMA = "run_id STRING, kind STRING, key BINARY, at BIGINT"
 
 
 def _identifier(text: Column) -> Column:
@@ -42,31 +47,65 @@ def _identifier(text: Column) -> Column:
     return F.when(clean != "", packed)
 
 
-def message_keys(events: DataFrame) -> DataFrame:
-    """(key, seq) of each row's message, reduced to the first arrival of each (key) that the row itself carries."""
-    rows = events.select(
+def _rows(events: DataFrame) -> DataFrame:
+    """(seq, key, run_id, kind) with a null key where a row has no id."""
+    return events.select(
         "seq",
         _identifier(F.col("id")).alias("key"),
         F.coalesce("run_id", F.lit("\x00")).alias("run_id"),
         F.coalesce(F.lower(stripped(F.col("kind"))), F.lit("\x00")).alias("kind"),
     )
+
+
+def _own() -> Column:
+    """The key of rows without an id if no row of their run_id and kind has one."""
+    return F.concat(F.unhex(F.lit("02")), F.encode(F.concat_ws(":", F.length("run_id"), "run_id", "kind"), "UTF-8"))
+
+
+def message_keys(events: DataFrame) -> DataFrame:
+    """(key, seq) of each row's message, reduced to the first arrival of each (key) that the row itself carries."""
+    rows = _rows(events)
     named = rows.where(F.col("key").isNotNull())
     nameless = rows.where(F.col("key").isNull()).groupBy("run_id", "kind").agg(F.min("seq").alias("seq"))
     known = named.groupBy("run_id", "kind").agg(F.min("key").alias("key"))
-    own = F.concat(
-        F.unhex(F.lit("02")), F.encode(F.concat_ws(":", F.length("run_id"), "run_id", "kind"), "UTF-8")
-    )
-    resolved = nameless.join(known, ["run_id", "kind"], "left").select(F.coalesce("key", own).alias("key"), "seq")
+    resolved = nameless.join(known, ["run_id", "kind"], "left").select(F.coalesce("key", _own()).alias("key"), "seq")
     return named.select("key", "seq").unionByName(resolved)
 
 
+def named_pairs(events: DataFrame, names: DataFrame) -> DataFrame:
+    """(run_id, kind, before, named, key, nameless, seq) of each run_id and kind of a batch: its key in names (run_id, kind,
+    key), the batch's smallest id, the key from now on, whether rows have no id and the first of these."""
+    missing = F.col("key").isNull()
+    here = _rows(events).groupBy("run_id", "kind").agg(
+        F.min("key").alias("named"), F.max(missing).alias("nameless"), F.min(F.when(missing, F.col("seq"))).alias("seq")
+    )
+    known = F.when(~_waits(), F.col("before"))
+    key = F.coalesce(F.least(known, "named"), "before", _own())
+    return here.join(names.withColumnRenamed("key", "before"), ["run_id", "kind"], "left").withColumn("key", key)
+
+
+def _waits() -> Column:
+    """A row without an id was kept before, and no id has come for it yet."""
+    return F.coalesce(F.substring("before", 1, 1) == F.unhex(F.lit("02")), F.lit(False))
+
+
+def batch_keys(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As message_keys, by the keys of named_pairs. A null seq stands before all others where an id came for a row that was
+    kept without one: the message is seen."""
+    named = _rows(events).where(F.col("key").isNotNull()).select("key", "seq", F.lit(False).alias("kept"))
+    resolved = pairs.where("nameless").select("key", "seq", F.lit(False).alias("kept"))
+    came = pairs.where(_waits() & F.col("named").isNotNull())
+    return named.unionByName(resolved).unionByName(came.select("key", F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("kept")))
+
+
 @dataclass(frozen=True)
 class SeenState:
     """Dictionaries and seen-bitmaps below a path.
 
     A dictionary grows by appended parts, each with the identifiers a batch added; after MOST_PARTS of them one part with
-    all of them takes their place. Bitmaps, a bit an identifier, are written anew. A one-line manifest names the version and
-    its parts; its atomic rename is what commits a batch.
+    all of them takes their place. Bitmaps, a bit an identifier, are written anew. Names, the key of each run_id and kind,
+    grow by the same parts; of several the newest holds. A one-line manifest names the version and its parts; its atomic
+    rename is what commits a batch.
     """
 
     path: str
@@ -104,11 +143,28 @@ class SeenState:
         seen = spark.read.schema("shard INT, seen BINARY").parquet(f"{self.path}/seen/v{found['version']}")
         return self._dictionary(spark, found["parts"]).join(seen, "shard").select("shard", "dictionary", "seen")
 
-    def commit(self, spark: SparkSession, touched: DataFrame) -> int:
-        """Add what a batch brought, (shard, first_code, added, seen) of the shards it touched."""
+    def _names(self, spark: SparkSession, parts: list) -> DataFrame:
+        """(run_id, kind, key, at); parts that were written before there were names have none."""
+        jvm, fs = self._fs(spark)
+        folders = [f"{self.path}/names/v{v}" for v in parts]
+        folders = [f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f))]
+        if not folders:
+            return spark.createDataFrame([], NAME_SCHEMA)
+        newest = F.max(F.struct("at", "key")).alias("n")
+        return spark.read.schema(NAME_SCHEMA).parquet(*folders).groupBy("run_id", "kind").agg(newest).select("run_id", "kind", "n.key", "n.at")
+
+    def names(self, spark: SparkSession) -> DataFrame:
+        """(run_id, kind, key) of all rows so far."""
+        return self._names(spark, self.manifest(spark)["parts"]).drop("at")
+
+    def commit(self, spark: SparkSession, touched: DataFrame, names: DataFrame | None = None) -> int:
+        """Add what a batch brought, (shard, first_code, added, seen) of the shards it touched and (run_id, kind, key)."""
         found = self.manifest(spark)
         version = found["version"] + 1
         touched.where(F.size("added") > 0).select("shard", "first_code", "added").write.mode("overwrite").parquet(f"{self.path}/keys/v{version}")
+        if names is not None:
+            named = names.select("run_id", "kind", "key", F.lit(version).cast("bigint").alias("at"))
+            named.write.mode("overwrite").parquet(f"{self.path}/names/v{version}")
         seen = touched.select("shard", "seen")
         if found["version"]:
             before = spark.read.schema("shard INT, seen BINARY").parquet(f"{self.path}/seen/v{found['version']}")
@@ -118,6 +174,7 @@ class SeenState:
         if len(parts) > MOST_PARTS:
             whole = self._dictionary(spark, parts).select("shard", F.lit(0).cast("bigint").alias("first_code"), F.col("dictionary").alias("added"))
             whole.write.mode("overwrite").parquet(f"{self.path}/keys/v{version}-whole")
+            self._names(spark, parts).write.mode("overwrite").parquet(f"{self.path}/names/v{version}-whole")
             parts = [f"{version}-whole"]
         jvm, fs = self._fs(spark)
         path = jvm.org.apache.hadoop.fs.Path
@@ -164,8 +221,11 @@ def take_unseen(
 
 def _reduced(arrivals: DataFrame, shards: int) -> DataFrame:
     """First arrival of each key of arrivals (key BINARY, seq BIGINT), with its shard."""
-    first = arrivals.groupBy("key").agg(F.min("seq").alias("seq"))
-    return first.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return _sharded(arrivals.groupBy("key").agg(F.min("seq").alias("seq")), shards)
+
+
+def _sharded(arrivals: DataFrame, shards: int) -> DataFrame:
+    return arrivals.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
 def first_arrivals(arrivals: DataFrame, shards: int) -> DataFrame:
@@ -180,8 +240,9 @@ def first_arrivals(arrivals: DataFrame, shards: int) -> DataFrame:
 
 
 def unseen_arrivals(arrivals: DataFrame, shards: int, state: DataFrame) -> DataFrame:
-    """Rows (seq) of the copies to keep, and a row (shard, first_code, added, seen) for each shard with its new
-    identifiers, the code of the first of them, and the united bitmap."""
+    """Rows (seq) of the copies to keep of arrivals (key, seq, kept), and a row (shard, first_code, added, seen) for each
+    shard with its new identifiers, the code of the first of them, and the united bitmap. A kept arrival is first and has
+    been returned before."""
 
     def step(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         dictionary = [bytes(k) for k in old["dictionary"].iloc[0]] if len(old) else []
@@ -193,7 +254,9 @@ def unseen_arrivals(arrivals: DataFrame, shards: int, state: DataFrame) -> DataF
         out = pd.DataFrame(rows, columns=["seq", "shard", "first_code", "added", "seen"])
         return out.astype({"seq": "Int64", "shard": "Int32", "first_code": "Int64"})
 
-    grouped = _reduced(arrivals, shards).groupBy("shard").cogroup(state.groupBy("shard"))
+    kept = F.max("kept").alias("kept")
+    first = arrivals.groupBy("key").agg(F.min("seq").alias("seq"), kept).withColumn("seq", F.when(~F.col("kept"), F.col("seq")))
+    grouped = _sharded(first.select("key", "seq"), shards).groupBy("shard").cogroup(state.groupBy("shard"))
     return grouped.applyInPandas(step, "seq BIGINT, shard INT, first_code BIGINT, added ARRAY<BINARY>, seen BINARY")
 
 
@@ -217,8 +280,10 @@ def deduplicate_batch(events: DataFrame, state: SeenState) -> DataFrame:
     The rows are those of the written state, so a retry of the caller's action cannot see another selection.
     """
     spark = events.sparkSession
-    result = cut_lineage(unseen_arrivals(message_keys(events), state.shards, state.read(spark)))
-    state.commit(spark, result.where(F.col("shard").isNotNull()).drop("seq"))
+    pairs = cut_lineage(named_pairs(events, state.names(spark)))
+    result = cut_lineage(unseen_arrivals(batch_keys(events, pairs), state.shards, state.read(spark)))
+    changed = pairs.where(~F.col("key").eqNullSafe(F.col("before")))
+    state.commit(spark, result.where(F.col("shard").isNotNull()).drop("seq"), changed)
     return events.join(result.where(F.col("seq").isNotNull()).select("seq"), "seq", "left_semi")
 
 
