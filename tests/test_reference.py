@@ -186,6 +186,17 @@ def test_attempts(spark):
     assert got == {"1": ("queued", "b", "release"), "2": ("failed", "b", "ack"), "3": ("succeeded", "", "ack"), "4": ("timedout", "", "ack"), "5": ("definition_lost", "", "ack")}
 
 
+def test_attempts_of_tasks(spark):
+    # b may be tried 5 times in all, of its own; c has the definition's 3.
+    doc = json.dumps({"tasks": [{"name": "b", "handler": "x.bad", "retry": {"tries": 5}}, {"name": "c", "handler": "x.ok"}], "retry": {"max_attempts": 3}})
+    once = json.dumps({"tasks": [{"name": "b", "handler": "x.bad", "retry": {"max_attempts": 1}}], "retry": {"max_attempts": 3}})
+    runs = spark.createDataFrame([("1", doc, 0), ("2", doc, 0), ("3", doc, 0), ("4", once, 0), ("5", doc, 2)], "id STRING, document STRING, attempts INT").withColumn("overdue", F.lit(False))
+    tasks = spark.createDataFrame([("1", "b", "failed", 3), ("2", "b", "failed", 4), ("3", "c", "failed", 3), ("5", "c", "failed", 2), ("5", "b", "succeeded", 1)], "run_id STRING, task_name STRING, status STRING, attempts INT")
+    got = {r.id: tuple(r)[1:] for r in lifecycle.simulate_attempts(graph.run_states(runs, tasks), lambda h: h.endswith("bad")).collect()}
+    # 2 uses up b's last one, c of 3 is not run again, 4 has one try by its own retry, and c of 5 runs once more and succeeds.
+    assert got == {"1": ("queued", "b", "release"), "2": ("failed", "b", "ack"), "3": ("failed", "b,c", "ack"), "4": ("failed", "b", "ack"), "5": ("succeeded", "", "ack")}
+
+
 # ----------------------------------------------------------------------------------------------------- files and streams
 
 

@@ -236,13 +236,17 @@ def definition_errors(documents: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_states(runs_with_documents: DataFrame, task_runs: DataFrame) -> DataFrame:
-    """(id, document, states): each run with its definition's document and the states of its tasks as JSON.
+    """(id, document, states, task_attempts): each run with its definition's document and the states and attempts of its tasks
+    as JSON.
 
     runs_with_documents has (id, document). States are gathered per run, of which there are as many as it has tasks; of several states of a task the greatest
-    name holds.
+    name holds, and the greatest attempts. Without attempts in task_runs there are no task_attempts.
     """
-    one = task_runs.groupBy("run_id", "task_name").agg(F.max("status").alias("status"))
-    states = one.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task_name", "status")))).alias("states"))
+    values = [c for c in ("status", "attempts") if c in task_runs.columns]
+    one = task_runs.groupBy("run_id", "task_name").agg(*[F.max(c).alias(c) for c in values])
+    gathered = lambda c: F.to_json(F.map_from_entries(F.collect_list(F.struct("task_name", c))))
+    names = {"status": "states", "attempts": "task_attempts"}
+    states = one.groupBy("run_id").agg(*[gathered(c).alias(names[c]) for c in values])
     return runs_with_documents.join(states, runs_with_documents["id"] == states["run_id"], "left").drop("run_id")
 
 

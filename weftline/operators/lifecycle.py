@@ -207,17 +207,23 @@ def concurrency_limit(events: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def simulate_attempts(runs: DataFrame, handler_fails: Callable[[str], bool]) -> DataFrame:
-    """(id, outcome, failed_tasks, action) of one attempt of each run (id, document, states, attempts, overdue).
+    """(id, outcome, failed_tasks, action) of one attempt of each run (id, document, states, task_attempts, attempts, overdue).
 
     One pass over the ready tasks until none is left, then what can no longer run is skipped. A task skipped before
-    stays skipped. Failed tasks with attempts of their own and of the run left put the run back into the queue.
+    stays skipped, and a failed one without attempts left is not run again. The run goes back into the queue if it and each
+    failed task have attempts left, a task by its own retry or else the definition's. Without task_attempts (JSON), tasks
+    have had none.
     """
     import json
 
     from weftline.operators.drift import read_document
     from weftline.operators.graph import graph_error, ready_tasks, skip_closure, tasks_of
 
-    def one(document, states, attempts, overdue):
+    def budget(holder):
+        retry = holder.get("retry") if isinstance(holder.get("retry"), dict) else {}
+        return next((retry[k] for k in ("max_attempts", "maxAttempts", "tries") if isinstance(retry.get(k), int)), None)
+
+    def one(document, states, tried, attempts, overdue):
         value = read_document(document)
         if not isinstance(value, dict):
             return "definition_lost", "", "ack"
@@ -228,24 +234,34 @@ def simulate_attempts(runs: DataFrame, handler_fails: Callable[[str], bool]) ->
             return "invalid_definition", "", "ack"
         now = {t: "pending" for t in graph} | (json.loads(states) if states else {})
         handlers = {str(t.get("name")): str(t.get("handler") or t.get("handler_id") or t.get("uses")) for t in records}
+        had = json.loads(tried) if tried else {}
+        most = budget(value)
+        most = 1 if most is None else most
+        own = {}
+        for t in records:
+            own.setdefault(str(t.get("name")), budget(t))
+
+        def left(t):
+            return (had.get(t) or 0) < (most if own.get(t) is None else own[t])
+
         ran: set[str] = set()
-        while ready := [t for t in ready_tasks(graph, now) if t not in ran]:
+        while ready := [t for t in ready_tasks(graph, now) if t not in ran and (now[t] != "failed" or left(t))]:
             for t in ready:
                 ran.add(t)
+                had[t] = (had.get(t) or 0) + 1
                 now[t] = "failed" if handler_fails(handlers[t]) else "succeeded"
         now = skip_closure(graph, now)
         failed = sorted(t for t, s in now.items() if s == "failed")
         if not failed:
             return "succeeded", "", "ack"
-        retry = value.get("retry") if isinstance(value.get("retry"), dict) else {}
-        budget = next((retry[k] for k in ("max_attempts", "maxAttempts", "tries") if isinstance(retry.get(k), int)), 1)
-        again = attempts + 1 < budget
+        again = attempts + 1 < most and all(map(left, failed))
         return ("queued" if again else "failed"), ",".join(failed), ("release" if again else "ack")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *one(d, s, a, o)) for i, d, s, a, o in zip(b["id"], b["document"], b["states"], b["attempts"], b["overdue"])]
+            rows = [(i, *one(*r)) for i, *r in zip(b["id"], b["document"], b["states"], b["task_attempts"], b["attempts"], b["overdue"])]
             yield pd.DataFrame(rows, columns=["id", "outcome", "failed_tasks", "action"])
 
-    chosen = runs.select("id", "document", "states", "attempts", "overdue")
+    tried = F.col("task_attempts") if "task_attempts" in runs.columns else F.lit(None).cast("string").alias("task_attempts")
+    chosen = runs.select("id", "document", "states", tried, "attempts", "overdue")
     return chosen.mapInPandas(run, "id STRING, outcome STRING, failed_tasks STRING, action STRING")

@@ -462,11 +462,11 @@ def definition_errors(s, d):
     return graph.definition_errors(table(s, d, "workflows"), DEF_KEY).distinct()
 
 
-def _run_states(s, d):
+def _run_states(s, d, *also):
     runs = c.current_runs(s, d, "tenant", "def_name", "def_version", "attempts", "status", "deadline_at_ms").where("status = 'running'")
     docs = table(s, d, "workflows").groupBy("tenant", F.col("name").alias("def_name"), F.col("version").alias("def_version")).agg(F.max("document").alias("document"))
     with_doc = runs.join(docs, ["tenant", "def_name", "def_version"])
-    return graph.run_states(with_doc, c.current_tasks(s, d, "run_id", "task_name", "status"))
+    return graph.run_states(with_doc, c.current_tasks(s, d, "run_id", "task_name", "status", *also))
 
 
 _STATES = """st AS (SELECT r.id, t.task, coalesce(k.status, 'pending') AS status, t.deps, t.tenant, t.name, t.version FROM cur_runs r
@@ -493,7 +493,7 @@ def skip_closure(s, d):
 
 @own.add("attempt_outcomes")
 def attempt_outcomes(s, d):
-    states = _run_states(s, d).withColumn("overdue", F.coalesce(F.col("deadline_at_ms") < NOW_MS, F.lit(False)))
+    states = _run_states(s, d, "attempts").withColumn("overdue", F.coalesce(F.col("deadline_at_ms") < NOW_MS, F.lit(False)))
     return lifecycle.simulate_attempts(states, lambda handler: handler.endswith((".fail", ".fit")))
 
 
