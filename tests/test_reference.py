@@ -179,6 +179,13 @@ def test_leaky_bucket_and_permits(spark):
     assert [r.granted for r in lifecycle.concurrency_limit(events, "key", 1).orderBy("id").collect()] == [True, False, False, True, True]
 
 
+def test_every_end_of_a_run_releases_its_permit(spark):
+    kinds = ["run.started", "run.timed_out", "RUN.STARTED", "run.cancelled", "Run.Started", "RUN.FAILED", "run.started", "run.paused", None]
+    events = spark.createDataFrame([(i, f"r{i // 2}", "t", i, k) for i, k in enumerate(kinds)], "seq BIGINT, run_id STRING, tenant STRING, created_at_ms BIGINT, kind STRING")
+    got = lifecycle.concurrency_limit(lifecycle.permit_events(events), "tenant", 1).orderBy("id").collect()
+    assert [(r.action, r.granted) for r in got] == [("acquire", True), ("release", True)] * 3 + [("acquire", True)]
+
+
 def test_attempts(spark):
     doc = json.dumps({"tasks": [{"name": "a", "handler": "x.ok"}, {"name": "b", "handler": "x.bad", "depends_on": ["a"]}, {"name": "c", "handler": "x.ok", "depends_on": ["b"]}], "retry": {"max_attempts": 2}})
     df = spark.createDataFrame([("1", doc, None, 0, False), ("2", doc, None, 1, False), ("3", doc, '{"b": "succeeded"}', 0, False), ("4", doc, None, 0, True), ("5", None, None, 0, False)], "id STRING, document STRING, states STRING, attempts INT, overdue BOOLEAN")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.operators.filters import TERMINAL_RUN
+from weftline.operators.relational import EVENT_KINDS
 from weftline.session import shuffle_partitions
 
 NO_TOKEN = ""
@@ -206,6 +207,14 @@ def concurrency_limit(events: DataFrame, key: str, limit: int) -> DataFrame:
     )
 
 
+def permit_events(events: DataFrame) -> DataFrame:
+    """(id, holder, tenant, at_ms, action) of events in any letter case: a start acquires, every end of a run releases."""
+    kind = F.lower("kind")
+    action = F.when(kind == "run.started", "acquire").when(kind.isin(*EVENT_KINDS.values()), "release")
+    chosen = events.select(F.col("seq").alias("id"), F.col("run_id").alias("holder"), "tenant", F.col("created_at_ms").alias("at_ms"), action.alias("action"))
+    return chosen.where(F.col("action").isNotNull())
+
+
 def simulate_attempts(runs: DataFrame, handler_fails: Callable[[str], bool]) -> DataFrame:
     """(id, outcome, failed_tasks, action) of one attempt of each run (id, document, states, task_attempts, attempts, overdue).
 

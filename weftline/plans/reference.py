@@ -648,6 +648,25 @@ def concurrency_limit(s, d):
     return lifecycle.concurrency_limit(events.select(F.col("seq").alias("id"), F.col("run_id").alias("holder"), "tenant", F.col("created_at_ms").alias("at_ms"), action), "tenant", 8)
 
 
+_ENDS = "('run.succeeded', 'run.failed', 'run.timed_out', 'run.cancelled')"
+
+
+@own.add(
+    "concurrency_limit_all_ends",
+    f"""SELECT * FROM (WITH RECURSIVE req AS (SELECT seq AS id, run_id AS holder, tenant, CASE WHEN lower(kind) = 'run.started' THEN 'acquire' ELSE 'release' END AS action,
+          row_number() OVER (PARTITION BY tenant ORDER BY created_at_ms, seq) AS rn FROM run_events WHERE lower(kind) = 'run.started' OR lower(kind) IN {_ENDS}),
+        fold AS (
+          SELECT tenant, rn, id, action, action = 'acquire' AS granted, CASE WHEN action = 'acquire' THEN [holder] ELSE [] END AS held FROM req WHERE rn = 1
+          UNION ALL
+          SELECT r.tenant, r.rn, r.id, r.action, CASE WHEN r.action = 'acquire' THEN NOT list_contains(f.held, r.holder) AND len(f.held) < 8 ELSE list_contains(f.held, r.holder) END,
+            CASE WHEN r.action = 'release' THEN list_filter(f.held, lambda x: x <> r.holder) WHEN NOT list_contains(f.held, r.holder) AND len(f.held) < 8 THEN list_append(f.held, r.holder) ELSE f.held END
+          FROM fold f JOIN req r ON r.tenant = f.tenant AND r.rn = f.rn + 1)
+        SELECT id, tenant, action, granted, len(held)::INT AS active FROM fold)""",
+)
+def concurrency_limit_all_ends(s, d):
+    return lifecycle.concurrency_limit(lifecycle.permit_events(table(s, d, "run_events")), "tenant", 8)
+
+
 # ---------------------------------------------------------------------------------------------------- scalar functions
 
 
