@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graph, lifecycle, relational
 from weftline.operators.filters import AuditFilter, RunFilter, outbox_ready, queue_ready
+from weftline.plans import reference
 from weftline.sources import files
 from weftline.streaming import pipelines
 
@@ -82,6 +83,20 @@ def test_hooks(spark):
     assert got == ["filtered", "matched", "matched", "no_url"]
 
 
+def test_hooks_of_all_lists(spark, rows):
+    lists = {"on_start": [{"url": "s"}], "onSuccess": {"webhook_url": "o", "event_filter": "succeeded"}, "on_failure": [{"url": "t", "event_filter": "timed_out"}, {"url": "f"}], "on_cancel": [{"url": "c", "event_filter": "run.failed"}, {}]}
+    docs = spark.createDataFrame([("t", "w", 1, json.dumps({"tasks": [], "hooks": lists}))], "tenant STRING, name STRING, version INT, document STRING")
+    hooks = reference._all_hooks(docs)
+    assert rows(relational.hooks_by_kind(hooks).select("kind", "i", "outcome")) == [
+        ("run.cancelled", 0, "filtered"), ("run.cancelled", 1, "no_url"), ("run.failed", 0, "filtered"), ("run.failed", 1, "matched"), ("run.started", 0, "matched"),
+        ("run.succeeded", 0, "matched"), ("run.timed_out", 0, "matched"), ("run.timed_out", 1, "matched"),
+    ]
+    states = ["running", "succeeded", "failed", "timedout", "cancelled", "queued"]
+    runs = spark.createDataFrame([(s, "t", "w", 1, s) for s in states], "id STRING, tenant STRING, name STRING, version INT, status STRING")
+    got = relational.run_deliveries(runs, hooks, ["tenant", "name", "version"])
+    assert rows(got.select("run_id", "url")) == [("failed", "f"), ("running", "s"), ("succeeded", "o"), ("timedout", "f"), ("timedout", "t")]
+
+
 def test_compatibility(spark):
     schema = "name STRING, task STRING, handler STRING, deps ARRAY<STRING>"
     old = spark.createDataFrame([("w", "step1", "h1", []), ("w", "step2", "h", [])], schema)

@@ -161,6 +161,23 @@ def matched_hooks(hooks: DataFrame, kind: Column) -> DataFrame:
     return hooks.where(F.col("list_name") == F.element_at(lists, code)).withColumn("outcome", outcome)
 
 
+def hooks_by_kind(hooks: DataFrame) -> DataFrame:
+    """Hooks (list_name, event_filter, webhook_url) of all lists with their outcome for each kind of event their list serves."""
+    kinds = {n: [k for k, name in HOOK_LISTS.items() if name == n] for n in HOOK_LISTS.values()}
+    served = F.create_map(*[x for n, ks in kinds.items() for x in (F.lit(n), F.array(*map(F.lit, ks)))])
+    return matched_hooks(hooks.withColumn("kind", F.explode(served[F.col("list_name")])), F.col("kind"))
+
+
+def run_deliveries(runs: DataFrame, hooks: DataFrame, key: list[str]) -> DataFrame:
+    """(run_id, kind, url, n): the matching hooks of each run (id, key..., status) by the kind of event of its status; a
+    running one has started, and a queued one has none."""
+    statuses = {"running": "run.started", **EVENT_KINDS}
+    kind = F.create_map(*[F.lit(x) for pair in statuses.items() for x in pair])[F.col("status")]
+    matched = hooks_by_kind(hooks).where("outcome = 'matched'")
+    joined = runs.where(F.col("status").isin(*statuses)).withColumn("kind", kind).join(matched, [*key, "kind"])
+    return joined.groupBy(F.col("id").alias("run_id"), "kind", F.col("webhook_url").alias("url")).agg(F.count("*").alias("n"))
+
+
 def run_snapshots(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
     """Runs with the number of their tasks, of the attempted ones, and of those in each end state."""
     by_run = task_runs.groupBy("run_id").agg(

@@ -240,16 +240,31 @@ def terminal_kinds(s, d):
     return runs.groupBy(kinds[F.col("status")].alias("kind")).agg(F.count("*").alias("n"))
 
 
-def _failure_hooks(s, d):
-    """(tenant, name, version, i, event_filter, webhook_url) of the on_failure hooks of each definition."""
+#: The lists of hooks and their names in documents, in the order in which all hooks are listed.
+_HOOK_NAMES = {
+    "on_start": ("on_start", "onStart"),
+    "on_success": ("on_success", "onSuccess"),
+    "on_failure": ("on_failure", "onFailure", "on_error"),
+    "on_cancel": ("on_cancel", "onCancel"),
+}
+
+
+def _all_hooks(documents):
+    """(tenant, name, version, list_name, i, event_filter, webhook_url) of the hooks in all lists of each definition."""
 
     def rows(_, __, value):
         holder = value.get("hooks") or value.get("notifications") or {}
-        listed = next((holder[k] for k in ("on_failure", "onFailure", "on_error") if holder.get(k)), [])
-        for i, h in enumerate([listed] if isinstance(listed, dict) else listed):
-            yield i, h.get("event_filter"), h.get("webhook_url") or h.get("url") or h.get("endpoint")
+        for list_name, names in _HOOK_NAMES.items():
+            listed = next((holder[k] for k in names if holder.get(k)), [])
+            for i, h in enumerate([listed] if isinstance(listed, dict) else listed):
+                yield list_name, i, h.get("event_filter"), h.get("webhook_url") or h.get("url") or h.get("endpoint")
 
-    return graph.per_definition(table(s, d, "workflows"), DEF_KEY, rows, "i INT, event_filter STRING, webhook_url STRING").distinct()
+    return graph.per_definition(documents, DEF_KEY, rows, "list_name STRING, i INT, event_filter STRING, webhook_url STRING").distinct()
+
+
+def _failure_hooks(s, d):
+    """(tenant, name, version, i, event_filter, webhook_url) of the on_failure hooks of each definition."""
+    return _all_hooks(table(s, d, "workflows")).where("list_name = 'on_failure'").drop("list_name")
 
 
 _HOOKS = """SELECT tenant, name, version, key::INT AS i, value->>'$.event_filter' AS event_filter, coalesce(value->>'$.webhook_url', value->>'$.url', value->>'$.endpoint') AS webhook_url
@@ -257,6 +272,13 @@ _HOOKS = """SELECT tenant, name, version, key::INT AS i, value->>'$.event_filter
     SELECT tenant, name, version, coalesce(nullif(h->'$.on_failure', 'null'), nullif(h->'$.onFailure', 'null'), nullif(h->'$.on_error', 'null')) AS f
     FROM (SELECT *, coalesce(nullif(doc::JSON->'$.hooks', 'null'), doc::JSON->'$.notifications') AS h FROM defs_read WHERE json_valid(doc))) WHERE json_type(f) IN ('OBJECT', 'ARRAY')), json_each(f)"""
 
+_FAILURE_NAMES = "nullif(h->'$.on_failure', 'null'), nullif(h->'$.onFailure', 'null'), nullif(h->'$.on_error', 'null')"
+#: As _HOOKS, of every list.
+_ALL_HOOKS = " UNION ALL ".join(
+    f"SELECT '{n}' AS list_name, * FROM ({_HOOKS.replace(_FAILURE_NAMES, ', '.join(f"nullif(h->'$.{k}', 'null')" for k in names))})" for n, names in _HOOK_NAMES.items()
+)
+_LIST_KINDS = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for k, n in relational.HOOK_LISTS.items()) + ") AS k(list_name, kind)"
+
 
 @own.add(
     "hook_matches",
@@ -281,6 +303,27 @@ def deliveries(s, d):
     return runs.join(matched, DEF_KEY).groupBy(F.col("id").alias("run_id"), F.col("webhook_url").alias("url")).agg(F.count("*").alias("n"))
 
 
+@own.add(
+    "hook_matches_all",
+    f"""SELECT DISTINCT tenant, name, version, list_name, kind, i, CASE WHEN event_filter IS NOT NULL AND event_filter NOT IN (kind, substr(kind, 5)) THEN 'filtered'
+        WHEN webhook_url IS NULL THEN 'no_url' ELSE 'matched' END AS outcome FROM ({_ALL_HOOKS}) JOIN ({_LIST_KINDS}) USING (list_name)""",
+)
+def hook_matches_all(s, d):
+    return relational.hooks_by_kind(_all_hooks(table(s, d, "workflows"))).select(*DEF_KEY, "list_name", "kind", "i", "outcome")
+
+
+@own.add(
+    "deliveries_all",
+    f"""SELECT r.id AS run_id, r.kind, h.webhook_url AS url, count(*) AS n FROM (SELECT *, CASE status WHEN 'running' THEN 'run.started' ELSE {_KIND} END AS kind FROM cur_runs) r
+        JOIN (SELECT DISTINCT * FROM ({_ALL_HOOKS}) JOIN ({_LIST_KINDS}) USING (list_name)) h
+        ON r.tenant = h.tenant AND r.def_name = h.name AND r.def_version = h.version AND r.kind = h.kind
+        WHERE h.webhook_url IS NOT NULL AND (h.event_filter IS NULL OR h.event_filter IN (r.kind, substr(r.kind, 5))) GROUP BY 1, 2, 3""",
+)
+def deliveries_all(s, d):
+    runs = c.current_runs(s, d, "tenant", "def_name", "def_version", "status").withColumnsRenamed({"def_name": "name", "def_version": "version"})
+    return relational.run_deliveries(runs, _all_hooks(table(s, d, "workflows")), DEF_KEY)
+
+
 @own.add(
     "snapshots",
     """SELECT r.id, r.status, count(t.id) AS tasks, count(*) FILTER (t.attempts > 0) AS attempted, count(*) FILTER (t.status = 'succeeded') AS succeeded,
