@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftline.functions import scalars
 from weftline.operators import graph, lifecycle, relational
 from weftline.operators.filters import AuditFilter, RunFilter, outbox_ready, queue_ready
 from weftline.plans import reference
@@ -105,6 +106,24 @@ def test_compatibility(spark):
     assert got == {("step2", "breaking", None), ("step1", "breaking", "h1 -> h2"), ("step1", "warning", "a,x")}
 
 
+def test_shorter_timeout_is_a_warning(spark):
+    doc = lambda x: json.dumps({"tasks": [{"name": "a", "handler": "h"}], "timeout_ms": x})
+    schema = "name STRING, document STRING"
+    old = spark.createDataFrame([("w", doc(90_000)), ("x", doc({"value": 2, "unit": "m"})), ("y", doc(10)), ("z", doc("5"))], schema)
+    new = spark.createDataFrame([("w", doc(None)), ("x", doc("30000")), ("y", doc(10)), ("z", doc(6))], schema)
+    got = relational.timeout_warnings(*[graph.definition_timeouts(df, ["name"]) for df in (old, new)], ["name"])
+    assert sorted(tuple(r) for r in got.collect()) == [("w", None, "warning", "timeout", "90000 -> 60000"), ("x", None, "warning", "timeout", "120000 -> 30000")]
+
+
+def test_limits_of_run_inputs(spark):
+    deep = lambda n: json.loads("[" * n + "]" * n)
+    inputs = [deep(64), deep(65), "x" * ((1 << 20) - 2), "x" * ((1 << 20) - 1), None]
+    texts = [*[json.dumps({"input": x}) for x in inputs], json.dumps(json.dumps({"input": deep(65)})), "{", None, "[" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, document STRING").coalesce(1)
+    got = [r.e for r in df.select("id", scalars.input_errors("document").alias("e")).orderBy("id").collect()]
+    assert got == [None, "too_deep", None, "too_large", None, "too_deep", None, None, "too_deep"]
+
+
 def test_consistency(spark, rows):
     r = spark.createDataFrame([(x, s) for x, s in zip("abcdef", ["failed", "succeeded", "running", "running", "failed", "succeeded"])], "id STRING, status STRING")
     t = spark.createDataFrame([("a", "t", "running"), ("b", "t", "pending"), ("d", "t", "succeeded"), ("e", "t", "skipped"), ("f", "t", "skipped")], "run_id STRING, task_name STRING, status STRING")

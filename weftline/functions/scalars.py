@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_BACKOFF_MS = 86_400_000
+#: Limits of a run's input (fixed values).
+MAX_INPUT_BYTES = 1 << 20
+MAX_INPUT_DEPTH = 64
 BASE32_DIGITS = "0123456789abcdefghijklmnopqrstuv"  # fixed value
 
 
@@ -182,6 +185,32 @@ def json_measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"depth": both.str[0].astype("Int32"), "size": both.str[1].astype("Int64")})
 
 
+def input_error_of(value) -> str | None:
+    """The limit that a run's input breaks, size before depth."""
+    if json_size(value) > MAX_INPUT_BYTES:
+        return "too_large"
+    return "too_deep" if json_depth(value) > MAX_INPUT_DEPTH else None
+
+
+@F.pandas_udf(T.StringType())
+def input_errors(documents: pd.Series) -> pd.Series:
+    """input_error_of the input of each run's document, whose outer encodings are removed; unreadable documents and
+    missing inputs break none, and a document too deep for the parser is too deep."""
+
+    def error(text: str | None) -> str | None:
+        value = text
+        try:
+            while isinstance(value, str):
+                value = json.loads(value)
+        except ValueError:
+            return None
+        except RecursionError:
+            return "too_deep"
+        return input_error_of(value.get("input")) if isinstance(value, dict) else None
+
+    return documents.map(error)
+
+
 def log_line(kind: Column, task: Column, message: Column, attempts: Column) -> Column:
     code = F.when(kind == "transient_failure", "transient").otherwise(kind)
     prefix = F.concat(F.lit("["), code, F.lit("] "))

@@ -180,6 +180,24 @@ def definition_tasks(documents: DataFrame, keys: list[str]) -> DataFrame:
     return per_definition(documents, keys, rows, "task STRING, handler STRING, deps ARRAY<STRING>").distinct()
 
 
+def timeout_ms(value) -> int:
+    """The timeout of a definition or task: a number or text of milliseconds, or an object of value and unit; 60,000 by default."""
+    units = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
+    if isinstance(value, dict):
+        unit, value = units.get(value.get("unit"), 1), value.get("value")
+    else:
+        unit = 1
+    if isinstance(value, str) and re.fullmatch("[0-9]+", value.strip()):
+        value = int(value)
+    return int(value * unit) if isinstance(value, (int, float)) and not isinstance(value, bool) else 60_000
+
+
+def definition_timeouts(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., timeout_ms): the timeout of each definition with tasks; of several documents the greatest."""
+    rows = per_definition(documents, keys, lambda r, g, v: [(timeout_ms(v.get("timeout_ms")),)] if g else [], "timeout_ms BIGINT")
+    return rows.groupBy(*keys).agg(F.max("timeout_ms").alias("timeout_ms"))
+
+
 def task_waves(documents: DataFrame, keys: list[str]) -> DataFrame:
     return per_definition(documents, keys, lambda r, g, v: waves(g).items() if not graph_error(g) else [], "task STRING, stage INT")
 

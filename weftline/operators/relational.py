@@ -238,6 +238,13 @@ def compatibility_report(old: DataFrame, new: DataFrame, key: list[str]) -> Data
     return removed.union(changed).union(added)
 
 
+def timeout_warnings(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of compatibility_report, without a task, for definitions (key..., timeout_ms) whose timeout decreased."""
+    both = old.select(*key, F.col("timeout_ms").alias("t0")).join(new, key).where(F.col("timeout_ms") < F.col("t0"))
+    detail = F.concat(F.col("t0").cast("string"), F.lit(" -> "), F.col("timeout_ms").cast("string"))
+    return both.select(*key, F.lit(None).cast("string").alias("task"), F.lit("warning").alias("severity"), F.lit("timeout").alias("issue"), detail.alias("detail"))
+
+
 def artifact_sweep(descriptors: DataFrame, active: DataFrame, retention_ms: int, now_ms: int) -> DataFrame:
     """Descriptors (id, size_bytes, created_at_ms), one an id, with whether they are reclaimed: not active and old."""
     once = descriptors.groupBy("id").agg(F.max("size_bytes").alias("size_bytes"), F.min("created_at_ms").alias("created_at_ms"))

@@ -418,6 +418,30 @@ def compat_report(s, d):
     return relational.compatibility_report(old, new, ["tenant", "name"])
 
 
+def _timeouts_of_versions(s, d):
+    """Timeouts of the versions of _tasks_of_versions: (tenant, name, timeout_ms) old and new."""
+    rank = F.row_number().over(W.partitionBy("tenant", "name").orderBy(F.desc("version")))
+    ranked = graph.definition_timeouts(table(s, d, "workflows"), DEF_KEY).withColumn("r", rank)
+    old, new = (ranked.where(f"r = {r}").drop("r", "version") for r in (2, 1))
+    return old, new
+
+
+@own.add(
+    "compat_report_all",
+    f"""SELECT * FROM (WITH {_VERSIONS},
+        waits AS (SELECT tenant, name, version, r, max(CASE json_type(t) WHEN 'OBJECT' THEN (t->>'$.value')::BIGINT * CASE t->>'$.unit' WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 ELSE 1 END
+          ELSE coalesce(try_cast(t->>'$' AS BIGINT), 60000) END) AS timeout_ms FROM (SELECT *, doc::JSON->'$.timeout_ms' AS t FROM defs_read WHERE json_valid(doc)) JOIN ver USING (tenant, name, version) GROUP BY 1, 2, 3, 4)
+        SELECT o.tenant, o.name, o.task, 'breaking' AS severity, 'removed' AS issue, NULL::VARCHAR AS detail FROM old_t o ANTI JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task
+        UNION ALL SELECT o.tenant, o.name, o.task, 'breaking', 'handler', o.handler || ' -> ' || n.handler FROM old_t o JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task WHERE o.handler <> n.handler
+        UNION ALL SELECT tenant, name, task, 'warning', 'dependencies', array_to_string(list_sort(fresh), ',') FROM (
+          SELECT o.tenant, o.name, o.task, list_filter(n.deps, lambda x: NOT list_contains(o.deps, x)) AS fresh FROM old_t o JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task) WHERE len(fresh) > 0
+        UNION ALL SELECT o.tenant, o.name, NULL, 'warning', 'timeout', o.timeout_ms || ' -> ' || n.timeout_ms FROM waits o JOIN waits n ON o.tenant = n.tenant AND o.name = n.name AND o.r = 2 AND n.r = 1 WHERE n.timeout_ms < o.timeout_ms)""",
+)
+def compat_report_all(s, d):
+    old, new = _tasks_of_versions(s, d)
+    return relational.compatibility_report(old, new, ["tenant", "name"]).union(relational.timeout_warnings(*_timeouts_of_versions(s, d), ["tenant", "name"]))
+
+
 @own.add(
     "compat_summary",
     f"""SELECT * FROM (WITH {_VERSIONS}
@@ -815,6 +839,11 @@ def base32_ids(s, d):
     return rows.select("id", scalars.task_run_id(F.col("run_id"), F.col("task_name")).alias("made"))
 
 
+@own.add("run_input_errors")
+def run_input_errors(s, d):
+    return c.current_runs(s, d, "document").select("id", scalars.input_errors(F.col("document")).alias("error"))
+
+
 @own.add("json_measures")
 def json_measures(s, d):
     return c.current_runs(s, d, "document").select("id", scalars.json_measures(F.col("document")).alias("m")).select("id", "m.depth", "m.size")
