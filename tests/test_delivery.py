@@ -90,3 +90,17 @@ def test_id_that_comes_after_its_row_was_kept(spark, tmp_path, monkeypatch):
     turns = [[(1, None, "r", "k")], [(2, " ", "r", "K ")], [(3, "b", "r", "k"), (4, "c", "r", "k")], [(5, "B", "r", "k"), (6, None, "r", "k")], [(7, "a", "r", "k"), (8, None, "r", "k")]]
     kept = [sorted(r["seq"] for r in deduplicate_batch(events(spark, new), state).collect()) for new in turns]
     assert kept == [[1], [], [4], [], [7]]
+
+
+def test_the_bitmap_chooses_among_arrivals_of_several_tasks(spark):
+    arrivals = spark.range(0, 4000, 1, 4).selectExpr("CAST(CAST(id % 10 AS STRING) AS BINARY) AS key", "id AS seq")
+    # One row a key and task reaches the shards: no aggregate over the whole table decides before them.
+    assert delivery._reduced(arrivals, 3).count() == 40
+    assert sorted(r.seq for r in delivery.first_arrivals(arrivals, 3).collect()) == list(range(10))
+    assert sorted(r.seq for r in delivery.unseen_arrivals(arrivals, 3, spark.createDataFrame([], delivery.STATE_SCHEMA)).where("seq IS NOT NULL").collect()) == list(range(10))
+
+
+def test_large_seq_stay_exact_beside_returned_ones(spark, tmp_path):
+    state, big = SeenState(str(tmp_path / "seen"), 1), (1 << 60) + 1
+    assert [r.seq for r in deduplicate_batch(events(spark, [(1, None, "r", "k")]), state).collect()] == [1]
+    assert [r.seq for r in deduplicate_batch(events(spark, [(big, "a", "r", "k"), (big + 1, "b", "s", "k")]), state).collect()] == [big + 1]

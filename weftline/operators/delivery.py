@@ -1,9 +1,9 @@
 """Messages delivered more than once: keep exactly one copy of each.
 
 Identifiers are encoded exactly into dense integers by a dictionary, sharded by a hash of the identifier. Every shard
-has a compressed bitmap of the integers already seen. A batch is reduced to its first arrival per identifier before
-anything is shuffled, so an identifier that holds a third of all rows costs one row per task. An arrival is taken if
-its bit is unset; the new bits are united with the old ones and become visible by one rename.
+has a compressed bitmap of the integers already seen. A batch is reduced to its first arrival per identifier in chunks
+of each task before anything is shuffled, so an identifier that holds a third of all rows costs one row a chunk. An arrival
+is taken if its bit is unset; the new bits are united with the old ones and become visible by one rename.
 
 Defined results: letter case and surrounding white space (Unicode) of id and kind do not count. A row whose id is
 null, empty or blank takes the id that rows with the same run_id and kind carry (of several the smallest); if none
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ from weftline.functions.columns import stripped
 from weftline.session import buckets_for, cut_lineage
 
 KEYS_PER_SHARD = 60_000
+CHUNK_ROWS = 200_000
 MOST_PARTS = 32
+#: Stands for the seq of a copy that was returned before; it comes before all others.
+RETURNED = -(1 << 63)
 STATE_SCHEMA = "shard INT, dictionary ARRAY<BINARY>, seen BINARY"
 PART_SCHEMA = "shard INT, first_code BIGINT, added ARRAY<BINARY>"
 NAME_SCHEMA = "run_id STRING, kind STRING, key BINARY, at BIGINT"
@@ -90,12 +94,10 @@ def _waits() -> Column:
 
 
 def batch_keys(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As message_keys, by the keys of named_pairs. A null seq stands before all others where an id came for a row that was
-    kept without one: the message is seen."""
-    named = _rows(events).where(F.col("key").isNotNull()).select("key", "seq", F.lit(False).alias("kept"))
-    resolved = pairs.where("nameless").select("key", "seq", F.lit(False).alias("kept"))
-    came = pairs.where(_waits() & F.col("named").isNotNull())
-    return named.unionByName(resolved).unionByName(came.select("key", F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("kept")))
+    """As message_keys, by the keys of named_pairs, and RETURNED where an id came for a row that was kept without one."""
+    named = _rows(events).where(F.col("key").isNotNull()).select("key", "seq")
+    came = pairs.where(_waits() & F.col("named").isNotNull()).select("key", F.lit(RETURNED).cast("bigint").alias("seq"))
+    return named.unionByName(pairs.where("nameless").select("key", "seq")).unionByName(came)
 
 
 @dataclass(frozen=True)
@@ -220,12 +222,24 @@ def take_unseen(
 
 
 def _reduced(arrivals: DataFrame, shards: int) -> DataFrame:
-    """First arrival of each key of arrivals (key BINARY, seq BIGINT), with its shard."""
-    return _sharded(arrivals.groupBy("key").agg(F.min("seq").alias("seq")), shards)
+    """Arrivals (key BINARY, seq BIGINT) reduced to the first of each key in each chunk of a task, with their shards."""
 
+    def first(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        one = pa.Table.from_batches(rows).group_by("key").aggregate([("seq", "min")])
+        return one.select(["key", "seq_min"]).rename_columns(["key", "seq"]).to_batches()
 
-def _sharded(arrivals: DataFrame, shards: int) -> DataFrame:
-    return arrivals.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+                yield from first(held)
+                held = []
+        if held:
+            yield from first(held)
+
+    once = arrivals.select("key", "seq").mapInArrow(run, "key BINARY, seq BIGINT")
+    return once.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
 def first_arrivals(arrivals: DataFrame, shards: int) -> DataFrame:
@@ -240,23 +254,20 @@ def first_arrivals(arrivals: DataFrame, shards: int) -> DataFrame:
 
 
 def unseen_arrivals(arrivals: DataFrame, shards: int, state: DataFrame) -> DataFrame:
-    """Rows (seq) of the copies to keep of arrivals (key, seq, kept), and a row (shard, first_code, added, seen) for each
-    shard with its new identifiers, the code of the first of them, and the united bitmap. A kept arrival is first and has
-    been returned before."""
+    """Rows (seq) of the copies to keep of arrivals (key, seq), and a row (shard, first_code, added, seen) for each
+    shard with its new identifiers, the code of the first of them, and the united bitmap."""
 
     def step(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         dictionary = [bytes(k) for k in old["dictionary"].iloc[0]] if len(old) else []
         packed = old["seen"].iloc[0] if len(old) else None
         new = new.sort_values("seq")
         take, grown, united = take_unseen([bytes(k) for k in new["key"]], dictionary, packed)
-        rows = [(int(s), None, None, None, None) for s in new["seq"][take].dropna()]
+        rows = [(int(s), None, None, None, None) for s in new["seq"][take].dropna() if s != RETURNED]
         rows.append((None, key[0], len(dictionary), grown[len(dictionary) :], united))
-        out = pd.DataFrame(rows, columns=["seq", "shard", "first_code", "added", "seen"])
+        out = pd.DataFrame(rows, columns=["seq", "shard", "first_code", "added", "seen"], dtype=object)
         return out.astype({"seq": "Int64", "shard": "Int32", "first_code": "Int64"})
 
-    kept = F.max("kept").alias("kept")
-    first = arrivals.groupBy("key").agg(F.min("seq").alias("seq"), kept).withColumn("seq", F.when(~F.col("kept"), F.col("seq")))
-    grouped = _sharded(first.select("key", "seq"), shards).groupBy("shard").cogroup(state.groupBy("shard"))
+    grouped = _reduced(arrivals, shards).groupBy("shard").cogroup(state.groupBy("shard"))
     return grouped.applyInPandas(step, "seq BIGINT, shard INT, first_code BIGINT, added ARRAY<BINARY>, seen BINARY")
 
 
