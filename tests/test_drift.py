@@ -89,6 +89,23 @@ def test_one_consistent_table(spark):
     assert drift.consistent_table(table(spark, [])).count() == 0
 
 
+def test_nothing_is_lost_that_fits_no_type_or_loses_its_name():
+    project = drift.compile_projection({"timeoutMs": "timeout_ms"}, {"tasks.n": drift._BIT["number"]})
+    left: list = []
+    value = project({"tasks": [{"n": "odd"}, {"n": 2}, {"n": ["x"]}], "a": {"b.c": 1}}, "", left)
+    assert value["tasks"] == [{"n": None}, {"n": 2}, {"n": None}] and left == [("tasks[0].n", "odd"), ("tasks[2].n", ["x"])]
+    for text, want, lost in [
+        ({"timeoutMs": 5, "timeout_ms": 6}, 6, [("timeoutMs", 5)]), ({"timeout_ms": 6, "timeoutMs": 5}, 6, [("timeoutMs", 5)]),
+        ({"timeoutMs": 5, "timeout_ms": None}, 5, []), ({"timeout_ms": None, "timeoutMs": 5}, 5, []),
+    ]:
+        left = []
+        assert project(text, "", left) == {"timeout_ms": want} and left == lost
+    project = drift.compile_projection({}, {"a.b": drift._BIT["number"]})
+    left = []
+    project({"a": {"b": "odd"}, "a.b": "odder"}, "", left)
+    assert dict(left) == {"a.b": "odd", '"a.b"': "odder"}
+
+
 def test_values_take_the_type_asked_for():
     bit = {n: 1 << i for i, n in enumerate(drift.TYPES)}
     cases = [

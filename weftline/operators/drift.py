@@ -541,28 +541,37 @@ def fitted(value, target: int):
 
 
 def compile_projection(classes: dict[str, str], targets: dict[str, int]):
-    """A function that gives a document canonical names and types, and lists what fits no type as (path, value).
+    """A function that gives a document canonical names and types, and lists what has no place in it as (place, value):
+    what fits no type, and the losing one of two fields that come to one name. A place is the path as it is written in the
+    document, with positions in lists; a key with dots, brackets or quotes is quoted, so no two places are alike.
 
     Of two fields that come to one name the one that has it already holds, unless it is null.
     """
     last = {old: new.rpartition(".")[2] for old, new in classes.items()}
 
-    def project(value, path: str, leftovers: list):
+    def project(value, path: str, leftovers: list, place: str = ""):
         if isinstance(value, list):
-            return [project(x, path, leftovers) for x in value]
+            return [project(x, path, leftovers, f"{place}[{i}]") for i, x in enumerate(value)]
         if not isinstance(value, dict):
             return value
         out: dict = {}
+        source: dict = {}
         for key, inner in value.items():
             at = join_dotted(path, key)
+            here = join_dotted(place, key if key and not set(key) & set('.[]"') else json.dumps(key, ensure_ascii=False))
             name, at = last.get(at, key), classes.get(at, at)
             fit, fits = fitted(inner, targets.get(at, type_bit(inner)))
             if not fits:
-                leftovers.append((at, inner))
+                leftovers.append((here, inner))
             if key not in DATA_FIELDS:
-                fit = project(fit, at, leftovers)
-            if name not in out or name == key or out[name] is None:
-                out[name] = fit
+                fit = project(fit, at, leftovers, here)
+            if out.get(name) is None or (name == key and fit is not None):
+                lost = source.get(name) if out.get(name) is not None else None
+                out[name], source[name] = fit, (here, inner)
+            else:
+                lost = (here, inner) if fit is not None else None
+            if lost:
+                leftovers.append(lost)
         return out
 
     return project
@@ -571,7 +580,8 @@ def compile_projection(classes: dict[str, str], targets: dict[str, int]):
 def consistent_table(workflows: DataFrame) -> DataFrame:
     """One row per stored row: its key, whether it could be read, and its definition under canonical names and types.
 
-    definition is JSON with sorted keys, leftovers a JSON object of what fits no type; the typed columns beside them are
+    definition is JSON with sorted keys, leftovers a JSON object of what fits no type or lost
+    its name to another field, by place (tasks[0].input); the typed columns beside them are
     fields that every definition has. The driver gets one row for each renamed pair of field paths and one for each
     field path and mixture of types, which follow the schema's size and not the data's.
     """
