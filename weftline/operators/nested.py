@@ -1,6 +1,6 @@
 """Deeply nested semi-structured records: related flat tables with parent-child links.
 
-Documents are read by the vectorised structural index; a table is a path of field names from the root, each step with
+Documents are read and checked by the vectorised structural index alone, whatever their depth; a table is a path of field names from the root, each step with
 the names that files give the field, and its rows are value spans with the keys of their row and their parent row. No
 row is shuffled before equal rows are counted once.
 
@@ -40,27 +40,13 @@ _OBJECT, _LIST, _TEXT = ord("{"), ord("["), ord('"')
 
 
 def readable(text: str | None) -> bytes | None:
-    """The document's bytes with outer encodings removed, or None."""
-    for _ in range(8):
-        if text is None or not text.strip():
-            return None
-        lead = text.lstrip()[0]
-        if lead != '"':
-            return text.encode() if lead in "{[" else None
+    """The document's bytes with outer encodings removed, however many, or None."""
+    while text is not None and (lead := text.lstrip()[:1]) == '"':
         try:
             text = json.loads(text)
         except ValueError:
             return None
-    return None
-
-
-def _valid(text: bytes) -> bool:
-    """Exact check of what the structural index does not look at: scalars, and commas and colons in their places."""
-    try:
-        json.loads(text)
-        return True
-    except (ValueError, RecursionError):
-        return False
+    return text.encode("utf-8", "surrogatepass") if text is not None and lead in ("{", "[") else None
 
 
 class Emitter:
@@ -165,12 +151,7 @@ def flatten(documents: DataFrame, extract: Callable[[Emitter], None], with_value
         for batch in batches:
             pairs = [(k, t) for k, d in zip(batch["parent_key"], batch["document"]) if (t := readable(d)) is not None]
             for keys, texts in _chunks([k for k, _ in pairs], [t for _, t in pairs]):
-                ix = index(texts)
-                sound = [ok and _valid(t) for ok, t in zip(ix.good.tolist(), texts)]
-                if not all(s or not ok for s, ok in zip(sound, ix.good.tolist())):
-                    keys, texts = [k for k, s in zip(keys, sound) if s], [t for t, s in zip(texts, sound) if s]
-                    ix = index(texts)
-                emitter = Emitter(ix, keys, with_values)
+                emitter = Emitter(index(texts), keys, with_values)
                 extract(emitter)
                 yield pd.DataFrame(emitter.rows, columns=["parent_key", "child", "child_path", "parent_path", "value"]).drop_duplicates()
 

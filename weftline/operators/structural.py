@@ -9,6 +9,7 @@ their container, key and position. No document is walked byte by byte.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,11 +72,12 @@ class Index:
 
     def text(self, row: int) -> str:
         """The value's JSON text."""
-        return self.data[self.start[row] : self.end[row]].decode()
+        return self.data[self.start[row] : self.end[row]].decode("utf-8", "replace")
 
     def key(self, row: int) -> str:
         raw = self.data[self.key_from[row] : self.key_to[row]]
-        return json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode()
+        text = json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode("utf-8", "replace")
+        return text.encode("utf-8", "replace").decode()
 
     def children(self, boxes: np.ndarray) -> np.ndarray:
         """The values directly inside the given containers."""
@@ -92,8 +94,57 @@ class Index:
         return np.cumsum(edge)[self.start] > 0
 
 
+_SCALAR = re.compile(rb"true|false|null|NaN|-?Infinity|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_ESCAPED = np.zeros(256, dtype=bool)
+_ESCAPED[list(b'"\\/bfnrtu')] = True
+_HEX = np.zeros(256, dtype=bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+
+
+def _whole_strings(quotes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span, given by its first and last byte, is one string from quote to quote."""
+    if not len(quotes):
+        return np.zeros(len(start), dtype=bool)
+    at = np.minimum(np.searchsorted(quotes, start), len(quotes) - 1)
+    return (quotes[at] == start) & (at + 1 < len(quotes)) & (quotes[np.minimum(at + 1, len(quotes) - 1)] == end)
+
+
+def _no_scalars(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places of the spans that are no JSON scalar. All spans are copied into one buffer of lines, of which each kind is
+    looked at once."""
+    if not len(start):
+        return np.zeros(0, dtype=np.int64)
+    sizes = end - start + 1
+    stops = np.cumsum(sizes)
+    buffer = raw[np.minimum(np.repeat(start - np.r_[0, stops[:-1]], sizes) + np.arange(stops[-1]), len(raw) - 1)].copy()
+    buffer[stops - 1] = 10
+    lines = buffer.tobytes().split(b"\n")
+    # A line feed inside a span is no part of a scalar; with it, lines and spans would not go together.
+    if len(lines) != len(start) + 1:
+        return np.flatnonzero([not _SCALAR.fullmatch(raw[s:e].tobytes()) for s, e in zip(start, end)])
+    wrong = {line for line in set(lines[:-1]) if not _SCALAR.fullmatch(line)}
+    return np.flatnonzero([line in wrong for line in lines[:-1]]) if wrong else np.zeros(0, dtype=np.int64)
+
+
+def _wrong_escapes(raw: np.ndarray, slash: np.ndarray, fresh: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Positions of backslashes that begin no escape. Backslashes pair up from the start of their run."""
+    last = len(raw) - 1
+    odd = runs % 2 == 1
+    lead = slash[fresh][odd] + runs[odd] - 1
+    after = raw[np.minimum(lead + 1, last)]
+    wrong = ~_ESCAPED[after]
+    coded = after == ord("u")
+    for k in range(2, 6):
+        wrong |= coded & ~_HEX[raw[np.minimum(lead + k, last)]]
+    return lead[wrong]
+
+
 def index(texts: list[bytes]) -> Index:
-    """Structural index of documents, each an object or a list. Unsound ones are marked and give no values."""
+    """Structural index of documents, each an object or a list. Those that are no JSON are marked and give no values.
+
+    The check is whole: brackets, commas and colons in their places, keys, strings, escapes, scalars; NaN and the
+    infinities count as numbers. Neither the depth nor the length of a document matters.
+    """
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data, dtype=np.uint8)
     count = len(texts)
@@ -147,26 +198,33 @@ def index(texts: list[bytes]) -> Index:
     keep = good[token_doc] if len(at) else np.zeros(0, dtype=bool)
     at, sign, token_doc, step, depth = at[keep], sign[keep], token_doc[keep], step[keep], depth[keep]
 
-    # The opening bracket of each token's container, found level by level.
+    # In order of (depth, position) a container's bracket, its delimiters and its closing bracket stand together, so the
+    # opening bracket of each token is the last one before it there. One sort, whatever the depth.
     opener = np.full(len(at), -1, dtype=np.int64)
-    outer = np.full(len(at), -1, dtype=np.int64)
     closer = np.full(len(at), -1, dtype=np.int64)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        opens = np.flatnonzero((depth == d) & (step > 0))
-        rest = np.flatnonzero((depth == d) & (step <= 0))
-        opener[rest] = opens[np.searchsorted(opens, rest) - 1]
-        closes = rest[step[rest] < 0]
-        closer[opens] = closes
-        below = np.flatnonzero((depth == d + 1) & (step > 0))
-        outer[below] = opens[np.searchsorted(opens, below) - 1] if len(opens) else -1
+    by_depth = np.argsort(depth, kind="stable")
+    last_open = np.maximum.accumulate(np.where(step[by_depth] > 0, np.arange(len(at)), 0)) if len(at) else by_depth
+    opener[by_depth] = by_depth[last_open]
+    closes = np.flatnonzero(step < 0)
+    closer[opener[closes]] = closes
     # Brackets must match in kind: '{' and '}' differ by two, as do '[' and ']'.
     opens = np.flatnonzero(step > 0)
     wrong = sign[closer[opens]] != sign[opens] + 2
     good[np.unique(token_doc[opens[wrong]])] = False
 
-    # A value begins behind a colon, behind a list's '[' or a comma in a list, and at each root.
+    # Of two neighbouring tokens of a container: colons stand in objects only, behind '{' or a comma, and a comma or '}' of
+    # an object has a colon before it.
     is_list = sign == ord("[")
-    box_token = np.where(step > 0, np.arange(len(at)), opener)
+    one, two = by_depth[:-1], by_depth[1:]
+    together = opener[one] == opener[two]
+    colon_next, in_object = sign[two] == _COLON, ~is_list[opener[two]]
+    from_colon, from_open = sign[one] == _COLON, step[one] > 0
+    broken = colon_next & (~in_object | from_colon)
+    broken |= ~colon_next & in_object & ~from_colon & ~(from_open & (step[two] < 0))
+    good[np.unique(token_doc[two[together & broken]])] = False
+
+    # A value begins behind a colon, behind a list's '[' or a comma in a list, and at each root.
+    box_token = opener
     in_list = is_list[np.maximum(box_token, 0)]
     starts_value = (sign == _COLON) | (in_list & ((sign == _COMMA) | is_list))
     lead = np.flatnonzero(starts_value)
@@ -189,6 +247,29 @@ def index(texts: list[bytes]) -> Index:
     # Trailing blanks do not belong to the value.
     end = filled_at[np.searchsorted(filled_at, stop) - 1] + 1 if len(lead) else stop
     good[np.unique(token_doc[lead[end <= start]])] = False
+    # An object's bracket has a key or its end behind it, and a colon the whole of one string before it.
+    bare = np.flatnonzero((sign == ord("{")) & (sign[np.minimum(np.arange(len(at)) + 1, max(len(at) - 1, 0))] == ord("}")))
+    good[np.unique(token_doc[bare[next_filled(at[bare] + 1) != at[np.minimum(bare + 1, max(len(at) - 1, 0))]]])] = False
+    colons = np.flatnonzero(sign == _COLON)
+    key_end = filled_at[np.searchsorted(filled_at, at[colons]) - 1]
+    before = np.empty(len(at), dtype=np.int64)
+    before[two] = one
+    key_start = next_filled(at[before[colons]] + 1)
+    good[np.unique(token_doc[colons[~_whole_strings(quotes, key_start, key_end)]])] = False
+    # Values: a string ends at its own closing quote, a container at its own bracket, and anything else is a scalar.
+    first = raw[start] if len(start) else raw[:0]
+    texts_ = first == _QUOTE
+    good[np.unique(token_doc[lead[texts_][~_whole_strings(quotes, start[texts_], end[texts_] - 1)]])] = False
+    boxes = _OPEN[first] > 0
+    own = np.searchsorted(at, start[boxes])
+    good[np.unique(token_doc[lead[boxes][at[closer[own]] + 1 != end[boxes]]])] = False
+    plain = ~texts_ & ~boxes & (end > start)
+    good[np.unique(token_doc[lead[plain]][_no_scalars(raw, start[plain], end[plain])])] = False
+    # Inside strings there are no control characters and only escapes that exist.
+    inside = np.flatnonzero((raw < 0x20) & ~outside)
+    good[np.searchsorted(begins, inside, side="right") - 1] = False
+    if len(slash):
+        good[np.searchsorted(begins, _wrong_escapes(raw, slash, fresh, runs), side="right") - 1] = False
 
     # The key before a colon: the last string that ends before it.
     colon = sign[lead] == _COLON
