@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from weftline import session
 from weftline.operators.relational import latest_per_key, numbered
-from weftline.streaming.pipelines import shared_folder
+from weftline.session import shared_folder
 
 
 class Elsewhere:

@@ -12,7 +12,7 @@ from weftline.operators import filters, graph, lifecycle, relational
 from weftline.operators.filters import AuditFilter, RunFilter
 from weftline.plans import catalogue as c
 from weftline.plans.catalogue import NOW_MS, Catalogue
-from weftline.session import table
+from weftline.session import shared_folder, table
 from weftline.sources import files
 from weftline.streaming import pipelines
 
@@ -961,14 +961,14 @@ def http_classify(s, d):
 
 @own.add("jsonl_roundtrip", "SELECT seq, timestamp_ms, tenant, action_name FROM audit_log")
 def jsonl_roundtrip(s, d):
-    path = pipelines.shared_folder(s, "audit")
+    path = shared_folder(s, "audit")
     files.append_audit_log(c.audit_log(s, d).withColumn("id", F.concat(F.lit("au_"), F.col("seq").cast("string"))), path)
     return files.read_audit_log(s, path).select("seq", "timestamp_ms", "tenant", "action_name")
 
 
 @own.add("artifact_roundtrip", "SELECT DISTINCT id, size_bytes FROM doc_blobs")
 def artifact_roundtrip(s, d):
-    path = pipelines.shared_folder(s, "artifacts")
+    path = shared_folder(s, "artifacts")
     files.write_artifacts(table(s, d, "documents").where("text IS NOT NULL").select(F.encode("text", "UTF-8").alias("content")), path)
     return files.read_artifacts(s, path).select("id", F.octet_length("content").cast("bigint").alias("size_bytes"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -18,21 +21,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
+def _shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a plain local session, where it is unset, gets a temporary one, which goes
+    with the process."""
+    global _temporary
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if _temporary is None:
+            _temporary = tempfile.mkdtemp(prefix="weftline-shared-")
+            atexit.register(shutil.rmtree, _temporary, ignore_errors=True)
+        folder = _temporary
+    return folder
+
+
+_temporary: str | None = None
+
 
-    The folder is the one of spark.checkpoint.dir. Only a plain local session, where it is unset, gets a temporary one.
-    """
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{_shared_base(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            master = context.master
-            if master != "local" and not master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="weftline-checkpoint-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = _shared_base(spark)
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
