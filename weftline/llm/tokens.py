@@ -8,18 +8,20 @@ dictionary of the worker.
 
 Defined results: null and empty texts have an empty list. Texts that look like special tokens are plain text; no
 special tokens are added. Repeated rows give repeated rows. The vocabulary is a file of base64 tokens and ranks, whose
-path is a parameter and which every worker reads by itself.
+path is a parameter; the driver's file is sent along with the job, so workers need none of their own.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's pre-token pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_KEPT = 300_000
+MOST_PAIRS = 1_000_000
 LONGEST_KEPT = 64
 
 
@@ -85,6 +88,8 @@ class Encoder:
         """Rank, and id, of the token that two neighbours merge into; -1 if there is none."""
         rank = self.pairs.get((left, right))
         if rank is None:
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
             rank = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
 
@@ -147,12 +152,26 @@ def encoder(vocabulary: str, pattern: str = PATTERN) -> Encoder:
     return Encoder(vocabulary, pattern)
 
 
+def _sent(documents: DataFrame, vocabulary: str) -> str:
+    """Send the vocabulary's file to the workers, once a session; gives the name under which they find it."""
+    context = documents.sparkSession.sparkContext
+    sent = context.__dict__.setdefault("_weftline_sent", {})
+    if vocabulary not in sent:
+        context.addFile(vocabulary)
+        sent[vocabulary] = os.path.basename(vocabulary)
+    return sent[vocabulary]
+
+
+def _own(name: str) -> Encoder:
+    return encoder(SparkFiles.get(name))
+
+
 def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, ids): the token ids of each text."""
-    kind = documents.schema[id_column].dataType.simpleString()
+    kind, file = documents.schema[id_column].dataType.simpleString(), _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = _own(file)
         for batch in batches:
             lists = [own.encode(text) for text in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
@@ -165,11 +184,12 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def token_counts(documents: DataFrame, text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """documents without the text, with n_tokens."""
+    file = _sent(documents, vocabulary)
     others = [c for c in documents.columns if c != text_column]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = _own(file)
         for batch in batches:
             sizes = pa.array([len(own.encode(text)) for text in batch.column(text_column).to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], sizes], [*others, "n_tokens"])
