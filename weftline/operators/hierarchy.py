@@ -3,8 +3,9 @@
 Bottom-up leaf peeling: nodes without unpeeled children send their descendant lists and subtree sizes to their parents
 and leave; what never leaves lies on a cycle. The reverse order of peeling hands paths and depths down from the roots.
 Whole groups of up to max_group nodes are packed by a hash of the group into tasks of even size, and each task peels
-all its groups at once. A larger group is not gathered: there, pointers are doubled over joins, which takes
-log2(nodes) rounds however deep the tree is, and descendants come as pairs only.
+all its groups at once. A larger group is not gathered. There the peel goes over rows, in strides that double: in round
+k every node sends what it has gathered from the 2^k levels below it to its ancestor 2^k levels up and gets that one's
+path, so log2(depth) rounds do, and descendants come as pairs only.
 
 Defined results: of several rows of a node the one with the largest time holds, of equal times the one with the
 largest parent. No list, an empty list, and null or empty names in it are no parent; of several names the first holds.
@@ -15,8 +16,6 @@ cycle's smallest name, and no descendants. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -124,44 +123,63 @@ def trees(nodes: pd.DataFrame, listed: bool = True) -> pd.DataFrame:
     )
 
 
-def _double(state: DataFrame, rounds: int, carried: dict) -> DataFrame:
-    """Pointer doubling: far becomes the ancestor 2^k steps up. carried: how a column joins with that of far."""
-    for _ in range(rounds):
-        up = state.select("tenant", "def_name", F.col("name").alias("far"), F.col("far").alias("far2"), *[F.col(c).alias(f"{c}2") for c in carried])
-        moved = state.where(F.col("far").isNotNull()).join(up, ["tenant", "def_name", "far"]).select(
-            "tenant", "def_name", "name", "parent", F.col("far2").alias("far"), *[f(F.col(f"{c}2"), F.col(c)).alias(c) for c, f in carried.items()]
+_GROUP = ["tenant", "def_name"]
+
+
+def _told(linked: DataFrame) -> DataFrame:
+    """(group..., name, parent, far, low): far is null for the nodes of trees; for others, far lies on the node's cycle and
+    low is the smallest name on the way to it, and round the cycle for nodes on one.
+
+    Steps up double: far is the ancestor 2^k steps up. A tree with nodes of some depth has nodes of every smaller depth, so
+    once a round leaves as many nodes with a far one as the round before, these never end, and they go on until their steps
+    reach round any cycle they can form.
+    """
+    state = cut_lineage(linked.select(*_GROUP, "name", "parent", F.col("parent").alias("far"), F.col("name").alias("low")))
+    left, steps, settled = state.where("far IS NOT NULL").count(), 1, False
+    while left and not (settled and steps > left):
+        up = state.select(*_GROUP, F.col("name").alias("far"), F.col("far").alias("far2"), F.col("low").alias("low2"))
+        moved = state.where("far IS NOT NULL").join(up, [*_GROUP, "far"]).select(
+            *_GROUP, "name", "parent", F.col("far2").alias("far"), F.least("low2", "low").alias("low")
         )
-        state = cut_lineage(state.where(F.col("far").isNull()).unionByName(moved))
+        state = cut_lineage(state.where("far IS NULL").unionByName(moved))
+        before, left, steps = left, state.where("far IS NOT NULL").count(), 2 * steps
+        settled = settled or left == before
     return state
 
 
-def _doubled(nodes: DataFrame, largest: int) -> DataFrame:
-    """Hierarchies of large groups, with chain: the names from the root to the node.
+def _gathered(forest: DataFrame) -> DataFrame:
+    """(group..., name, parent, chain, size): the names from the root to each node, and the nodes of its subtree.
 
-    Doubling least names first tells cycles apart; chains are then doubled over the forest that is left, so that
-    none grows beyond its node's depth.
+    Strides double: in round k a node hands what it has gathered from the 2^k levels below it to its ancestor 2^k levels
+    up, and takes that one's chain. Sizes are sums, of one row a node; pairs of nodes are never formed.
     """
-    nodes = nodes.select(*[F.coalesce(c, F.lit("\x00")).alias(c) for c in ("tenant", "def_name", "name")], "parent")
-    group = ["tenant", "def_name"]
-    exists = nodes.select(*group, F.col("name").alias("parent"), F.lit(True).alias("known"))
-    linked = nodes.join(exists, [*group, "parent"], "left").select(
-        *group, "name", F.when(F.col("known"), F.col("parent")).alias("parent")
-    )
-    rounds = max(1, math.ceil(math.log2(largest + 1)))
-    start = cut_lineage(linked.select(*group, "name", "parent", F.col("parent").alias("far"), F.col("name").alias("low")))
-    told = _double(start, rounds, {"low": F.least})
-    cyclic = told.where(F.col("far").isNotNull())
-    # far lies on the cycle now, and its low covers at least one full turn.
-    low_of = cyclic.select(*group, F.col("name").alias("far"), F.col("low").alias("cycle_head"))
-    heads = cyclic.join(low_of, [*group, "far"]).select(*group, "name", "parent", "cycle_head")
-    forest = told.where(F.col("far").isNull()).select(
-        *group, "name", "parent", F.col("parent").alias("far"), F.array("name").alias("chain")
-    )
-    chains = _double(cut_lineage(forest), rounds, {"chain": F.concat})
-    out = chains.select(*group, "name", "parent", "chain", F.lit(None).cast("string").alias("cycle_head")).unionByName(
-        heads.select(*group, "name", "parent", F.lit(None).cast("array<string>").alias("chain"), "cycle_head")
-    )
-    return out.select(*[F.when(F.col(c) != "\x00", F.col(c)).alias(c) for c in (*group, "name")], "parent", "chain", "cycle_head")
+    state = forest.select(*_GROUP, "name", "parent", F.col("parent").alias("far"), F.array("name").alias("chain"), F.lit(1).cast("bigint").alias("size"))
+    while True:
+        state = cut_lineage(state)
+        open_ = state.where("far IS NOT NULL")
+        if open_.isEmpty():
+            return state.drop("far")
+        up = state.select(*_GROUP, F.col("name").alias("far"), F.col("far").alias("far2"), F.col("chain").alias("chain2"))
+        sent = open_.groupBy(*_GROUP, F.col("far").alias("name")).agg(F.sum("size").alias("sent"))
+        state = state.join(up, [*_GROUP, "far"], "left").join(sent, [*_GROUP, "name"], "left").select(
+            *_GROUP, "name", "parent", F.col("far2").alias("far"),
+            F.when(F.col("chain2").isNull(), F.col("chain")).otherwise(F.concat("chain2", "chain")).alias("chain"),
+            (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"),
+        )
+
+
+def _strided(nodes: DataFrame) -> DataFrame:
+    """Hierarchies of large groups, with chain: the names from the root to the node."""
+    nodes = nodes.select(*[F.coalesce(c, F.lit("\x00")).alias(c) for c in (*_GROUP, "name")], "parent")
+    exists = nodes.select(*_GROUP, F.col("name").alias("parent"), F.lit(True).alias("known"))
+    linked = nodes.join(exists, [*_GROUP, "parent"], "left").select(*_GROUP, "name", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    told = _told(linked)
+    cyclic = told.where("far IS NOT NULL")
+    low_of = cyclic.select(*_GROUP, F.col("name").alias("far"), F.col("low").alias("cycle_head"))
+    heads = cyclic.join(low_of, [*_GROUP, "far"]).select(*_GROUP, "name", "parent", "cycle_head")
+    trees_ = _gathered(told.where("far IS NULL").select(*_GROUP, "name", "parent"))
+    out = trees_.withColumn("cycle_head", F.lit(None).cast("string")).unionByName(heads, allowMissingColumns=True)
+    return out.select(*[F.when(F.col(c) != "\x00", F.col(c)).alias(c) for c in (*_GROUP, "name")], "parent", "chain", "size", "cycle_head")
 
 
 def _chain_pairs(chained: DataFrame) -> DataFrame:
@@ -170,18 +188,10 @@ def _chain_pairs(chained: DataFrame) -> DataFrame:
 
 
 def _from_chains(chained: DataFrame) -> DataFrame:
-    pairs = _chain_pairs(chained)
-    sizes = pairs.groupBy(F.col("tenant").alias("t"), F.col("def_name").alias("g"), "ancestor").agg(F.count("*").alias("n"))
-    same = (
-        chained["tenant"].eqNullSafe(sizes["t"])
-        & chained["def_name"].eqNullSafe(sizes["g"])
-        & chained["name"].eqNullSafe(sizes["ancestor"])
-    )
-    free = chained["chain"].isNotNull()
-    return chained.join(sizes, same, "left").select(
-        chained["tenant"], chained["def_name"], chained["name"], "parent",
-        F.when(free, F.array_join("chain", "/")).alias("path"), F.when(free, F.size("chain") - 1).alias("depth"),
-        F.when(free, F.get("chain", F.lit(0))).alias("root"), F.when(free, F.coalesce("n", F.lit(0).cast("bigint"))).alias("n_descendants"),
+    free = F.col("chain").isNotNull()
+    return chained.select(
+        *_GROUP, "name", "parent", F.when(free, F.array_join("chain", "/")).alias("path"), F.when(free, F.size("chain") - 1).alias("depth"),
+        F.when(free, F.get("chain", F.lit(0))).alias("root"), F.when(free, F.col("size") - 1).alias("n_descendants"),
         F.lit(None).cast("array<string>").alias("descendants"), "cycle_head",
     )
 
@@ -197,7 +207,7 @@ def _parts(rows: DataFrame, max_group: int, listed: bool) -> tuple[DataFrame, Da
         large = by_group.where(F.col("n") > max_group).select(F.col("tenant").alias("t"), F.col("def_name").alias("g"))
         same = nodes["tenant"].eqNullSafe(large["t"]) & nodes["def_name"].eqNullSafe(large["g"])
         small = nodes.join(large, same, "left_anti")
-        chained = cut_lineage(_doubled(nodes.join(large, same, "left_semi"), int(largest)))
+        chained = cut_lineage(_strided(nodes.join(large, same, "left_semi")))
     bucket = F.pmod(F.xxhash64("tenant", "def_name"), F.lit(buckets_for(total or 0, per_task)))
     return small.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda pdf: trees(pdf, listed), _TREE), chained
 
