@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import buckets_for, cut_lineage
+from weftline.session import buckets_for, cut_lineage, written
 
 #: Nodes of a group, and of a task, that are peeled together. Paths and descendant lists grow with the square of a
 #: chain's length, so the bounds keep the worst case within a task's memory.
@@ -134,14 +134,14 @@ def _told(linked: DataFrame) -> DataFrame:
     once a round leaves as many nodes with a far one as the round before, these never end, and they go on until their steps
     reach round any cycle they can form.
     """
-    state = cut_lineage(linked.select(*_GROUP, "name", "parent", F.col("parent").alias("far"), F.col("name").alias("low")))
+    state = written(linked.select(*_GROUP, "name", "parent", F.col("parent").alias("far"), F.col("name").alias("low")), "told")
     left, steps, settled = state.where("far IS NOT NULL").count(), 1, False
     while left and not (settled and steps > left):
         up = state.select(*_GROUP, F.col("name").alias("far"), F.col("far").alias("far2"), F.col("low").alias("low2"))
         moved = state.where("far IS NOT NULL").join(up, [*_GROUP, "far"]).select(
             *_GROUP, "name", "parent", F.col("far2").alias("far"), F.least("low2", "low").alias("low")
         )
-        state = cut_lineage(state.where("far IS NULL").unionByName(moved))
+        state = written(state.where("far IS NULL").unionByName(moved), "told", instead_of=state)
         before, left, steps = left, state.where("far IS NOT NULL").count(), 2 * steps
         settled = settled or left == before
     return state
@@ -153,19 +153,17 @@ def _gathered(forest: DataFrame) -> DataFrame:
     Strides double: in round k a node hands what it has gathered from the 2^k levels below it to its ancestor 2^k levels
     up, and takes that one's chain. Sizes are sums, of one row a node; pairs of nodes are never formed.
     """
-    state = forest.select(*_GROUP, "name", "parent", F.col("parent").alias("far"), F.array("name").alias("chain"), F.lit(1).cast("bigint").alias("size"))
-    while True:
-        state = cut_lineage(state)
-        open_ = state.where("far IS NOT NULL")
-        if open_.isEmpty():
-            return state.drop("far")
+    state = written(forest.select(*_GROUP, "name", "parent", F.col("parent").alias("far"), F.array("name").alias("chain"), F.lit(1).cast("bigint").alias("size")), "strides")
+    while not (open_ := state.where("far IS NOT NULL")).isEmpty():
         up = state.select(*_GROUP, F.col("name").alias("far"), F.col("far").alias("far2"), F.col("chain").alias("chain2"))
         sent = open_.groupBy(*_GROUP, F.col("far").alias("name")).agg(F.sum("size").alias("sent"))
-        state = state.join(up, [*_GROUP, "far"], "left").join(sent, [*_GROUP, "name"], "left").select(
+        after = state.join(up, [*_GROUP, "far"], "left").join(sent, [*_GROUP, "name"], "left").select(
             *_GROUP, "name", "parent", F.col("far2").alias("far"),
             F.when(F.col("chain2").isNull(), F.col("chain")).otherwise(F.concat("chain2", "chain")).alias("chain"),
             (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"),
         )
+        state = written(after, "strides", instead_of=state)
+    return state.drop("far")
 
 
 def _strided(nodes: DataFrame) -> DataFrame:
@@ -207,7 +205,7 @@ def _parts(rows: DataFrame, max_group: int, listed: bool) -> tuple[DataFrame, Da
         large = by_group.where(F.col("n") > max_group).select(F.col("tenant").alias("t"), F.col("def_name").alias("g"))
         same = nodes["tenant"].eqNullSafe(large["t"]) & nodes["def_name"].eqNullSafe(large["g"])
         small = nodes.join(large, same, "left_anti")
-        chained = cut_lineage(_strided(nodes.join(large, same, "left_semi")))
+        chained = _strided(written(nodes.join(large, same, "left_semi"), "large"))
     bucket = F.pmod(F.xxhash64("tenant", "def_name"), F.lit(buckets_for(total or 0, per_task)))
     return small.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda pdf: trees(pdf, listed), _TREE), chained
 

@@ -54,6 +54,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df written as a table into the shared folder, which takes the place of another such table.
+
+    For rounds of a loop: a checkpoint carries its plan's estimated size, which joins multiply from round to round, while
+    a written table has the size of its files.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._weftline_folder = folder
+    if instead_of is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of._weftline_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     """Number of buckets so that a bucket holds about per_bucket rows, whatever the input's size."""
     return max(least, math.ceil(rows / per_bucket))
