@@ -4,7 +4,7 @@ All keys, of parents and of references, are put into one sorted order by range p
 that parent keys become sorted integers; neighbouring parents form contiguous runs (start, end). A reference is
 matched as of the run that starts at or before it and is missing if its number lies beyond that run's end. Before
 that, references are reduced to one row a key (with its earliest loading), hence a key that a third of all rows refer
-to is one row a task. Only keys with a problem return to the rows that carry them.
+to is one row a task. Only keys with a problem return to the rows that carry them, the few heavy ones by broadcast.
 
 Defined results: a null in any part of the key is no reference (and, in a parent, no parent); an empty text is a key
 like any other. Rows of the same referring id count once for each key they carry. A parent is deleted if any of its
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from weftline.functions.columns import packed_key
-from weftline.session import shuffle_partitions, table
+from weftline.session import cut_lineage, shuffle_partitions, table
 
 
 def parent_runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,33 +69,46 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
         found = pd.concat([references[missing].assign(orphan_kind="missing", target_us=pd.NA), bad[bad["orphan_kind"] != ""]])
         if len(found):
-            yield found[["key", "orphan_kind", "target_us"]].astype({"target_us": "Int64"})
+            yield found[["key", "orphan_kind", "target_us", "n"]].astype({"target_us": "Int64", "n": "int64"})
         next_code, last_key = int(codes[-1]) + 1, keys[-1]
         last_parent = (int(parents[-1]), parent_rows.iloc[[-1]]) if len(parents) else None
 
 
 def problem_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
-    """(key, orphan_kind, target_us) of each referenced key that is missing, deleted, or late for some reference.
+    """(key, orphan_kind, target_us, n) of each referenced key that is missing, deleted, or late for some reference.
 
-    references has (key, loaded_us), parents (key, loaded_us, deleted), one row a key each.
+    references has (key, loaded_us, n), parents (key, loaded_us, deleted), one row a key each.
     """
-    both = references.select("key", "loaded_us", F.lit(False).alias("deleted"), F.lit(False).alias("is_parent")).unionByName(
-        parents.select("key", "loaded_us", "deleted", F.lit(True).alias("is_parent"))
+    both = references.select("key", "loaded_us", "n", F.lit(False).alias("deleted"), F.lit(False).alias("is_parent")).unionByName(
+        parents.select("key", "loaded_us", F.lit(0).cast("bigint").alias("n"), "deleted", F.lit(True).alias("is_parent"))
     )
     ranged = both.repartitionByRange(shuffle_partitions(both.sparkSession), "key").sortWithinPartitions(
         "key", F.desc("is_parent")
     )
-    return ranged.mapInPandas(_match, "key STRING, orphan_kind STRING, target_us BIGINT")
+    return ranged.mapInPandas(_match, "key STRING, orphan_kind STRING, target_us BIGINT, n BIGINT")
 
 
-def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
+#: A key with at least this part of all references is a hot one; so there are no more of them than this.
+HOT_PARTS = 1_000
+
+
+def find_orphans(references: DataFrame, parents: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
     """(ref_id, key, orphan_kind, loaded_us): references (ref_id, key, loaded_us) whose key has a problem.
 
-    A key that is late for its earliest reference need not be late for others: each is compared again.
+    A key that is late for its earliest reference need not be late for others: each is compared again. Problem keys with
+    at least 1/hot_parts of all references, at most hot_parts of them, are broadcast; the others meet their references
+    in a shuffle in which no key is heavier than that.
     """
-    by_key = references.groupBy("key").agg(F.min("loaded_us").alias("loaded_us"))
-    problems = problem_keys(by_key, parents)
-    hit = references.join(problems, "key")
+    by_key = cut_lineage(references.groupBy("key").agg(F.min("loaded_us").alias("loaded_us"), F.count("*").alias("n")))
+    total = by_key.agg(F.sum("n")).first()[0] or 0
+    problems = cut_lineage(problem_keys(by_key, parents))
+    is_hot = F.col("n") * hot_parts >= total
+    hot, cold = problems.where(is_hot).drop("n"), problems.where(~is_hot).drop("n")
+    keys = [r["key"] for r in hot.select("key").collect()]
+    if keys:
+        hit = references.join(F.broadcast(hot), "key").unionByName(references.where(~F.col("key").isin(keys)).join(cold, "key"))
+    else:
+        hit = references.join(cold, "key")
     return hit.where((F.col("orphan_kind") != "late") | (F.col("target_us") > F.col("loaded_us"))).drop("target_us")
 
 
@@ -141,7 +154,7 @@ def orphans_found(spark, sf_dir: str) -> DataFrame:
     name_key = F.substring(F.col("key"), F.lit(1), F.length("key") - end)
     hit = hit.withColumn("name_key", name_key)
     names = workflows.select(packed_key(F.col("tenant"), F.col("name")).alias("key")).where("key is not null").distinct()
-    wanted = hit.where("orphan_kind = 'missing'").groupBy(F.col("name_key").alias("key")).agg(F.lit(0).cast("long").alias("loaded_us"))
+    wanted = hit.where("orphan_kind = 'missing'").groupBy(F.col("name_key").alias("key")).agg(F.lit(0).cast("long").alias("loaded_us"), F.count("*").alias("n"))
     nameless = problem_keys(wanted, names.select("key", F.lit(None).cast("long").alias("loaded_us"), F.lit(False).alias("deleted")))
     nameless = nameless.where("orphan_kind = 'missing'").select(F.col("key").alias("name_key"), F.lit(True).alias("no_name"))
     of_runs = hit.join(nameless, "name_key", "left").select(
