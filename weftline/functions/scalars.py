@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.structural import loaded, read_document
+
 MOST_BACKOFF_MS = 86_400_000
 #: Limits of a run's input (fixed values).
 MAX_INPUT_BYTES = 1 << 20
@@ -176,8 +178,8 @@ def json_measures(texts: pd.Series) -> pd.DataFrame:
 
     def measure(text: str | None) -> tuple:
         try:
-            value = json.loads(text)
-        except (TypeError, ValueError, RecursionError):
+            value = loaded(text)
+        except (TypeError, ValueError):
             return None, None
         return json_depth(value), json_size(value)
 
@@ -195,17 +197,10 @@ def input_error_of(value) -> str | None:
 @F.pandas_udf(T.StringType())
 def input_errors(documents: pd.Series) -> pd.Series:
     """input_error_of the input of each run's document, whose outer encodings are removed; unreadable documents and
-    missing inputs break none, and a document too deep for the parser is too deep."""
+    missing inputs break none."""
 
     def error(text: str | None) -> str | None:
-        value = text
-        try:
-            while isinstance(value, str):
-                value = json.loads(value)
-        except ValueError:
-            return None
-        except RecursionError:
-            return "too_deep"
+        value = read_document(text)
         return input_error_of(value.get("input")) if isinstance(value, dict) else None
 
     return documents.map(error)

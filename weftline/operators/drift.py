@@ -5,11 +5,11 @@ script of a tree edit distance: keep, retype, delete, add, rename under the same
 Children of two matched nodes are aligned by a least-cost assignment; matching two different names is only open to
 pairs that carry the same values in at least half of the definitions both files hold, and costs less the more do.
 Scripts are compiled into projections: renamed paths of all files form classes, together with paths that differ in
-spelling alone; each class takes the name that most files use, each path the type most files give it, and every
-document is projected onto those.
+spelling alone; each class takes the name that most files use, each path the type most files give it, a moved path
+belongs where most files have it, and every document is projected onto those. What has no place there is kept beside it.
 
 Defined results: unreadable and null documents have no schema; a document encoded twice (or more) is read; a document
-that is no object has an empty schema. Files without a readable document are passed over, so a file is compared with
+that is no object has an empty schema; below 256 keys everything is data. Files without a readable document are passed over, so a file is compared with
 the nearest one before it that has one. Rows loaded twice count once; several versions of a definition in a file are
 read in order of version. A null exporter or file_no is a file like any other, and precedes others. Empty tables give
 no rows; other columns are ignored.
@@ -30,28 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from weftline.operators.structural import read_document, written
 from weftline.session import cut_lineage
 
 #: Fields whose inside is data (fixed values).
 DATA_FIELDS = frozenset({"input", "meta", "annotations", "tags", "labels", "headers"})
 TYPES = ["boolean", "number", "string", "object", "array"]
 _BIT = {name: 1 << i for i, name in enumerate(TYPES)}
+#: Wants of files that are broadcast at once.
+BLOCK_BYTES = 16 << 20
 SEPARATOR = "\x1f"  # between the keys of a path while it is worked on; a key may hold a dot
 
 
-def read_document(text: str | None):
-    """The JSON value with outer encodings removed; None if null or unreadable."""
-    for _ in range(8):
-        if text is None:
-            return None
-        try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
-            return None
-        if not isinstance(value, str):
-            return value
-        text = value
-    return None
+#: Objects that deep are data: their fields are no paths of their own.
+DEEPEST = 256
 
 
 def type_bit(value) -> int:
@@ -78,7 +70,7 @@ def schema_of(value) -> dict[str, int]:
             for key, inner in at.items():
                 path = f"{prefix}{SEPARATOR}{key}" if prefix else key
                 found[path] = found.get(path, 0) | type_bit(inner)
-                if key not in DATA_FIELDS and isinstance(inner, (dict, list)):
+                if key not in DATA_FIELDS and isinstance(inner, (dict, list)) and path.count(SEPARATOR) + 1 < DEEPEST:
                     stack.append((path, inner))
     return found
 
@@ -210,18 +202,22 @@ class EditScript:
         return cost, script
 
     def moves(self, script: list) -> list[tuple[str, str]]:
-        """Pairs of a removed and an added path under different parents that carry the same values."""
+        """Pairs of a removed and an added path under different parents that carry the same values: a least-cost
+        assignment, in which a move costs less than taking a field away and adding it, the less the more values agree."""
         gone = [o for k, o, _ in script if k == "removed"]
         come = [n for k, _, n in script if k == "added"]
-        taken, found = set(), []
-        for o in gone:
-            options = [(self.same(o, n), n) for n in come if n not in taken and parent(o) != parent(n)]
-            options = [x for x in options if x[0] >= 0.5]
-            if options:
-                best = max(options, key=lambda x: (x[0], x[1].split(SEPARATOR)[-1] == o.split(SEPARATOR)[-1]))
-                taken.add(best[1])
-                found.append((o, best[1]))
-        return found
+        n, m = len(gone), len(come)
+        if not n or not m:
+            return []
+        costs = np.zeros((n + m, n + m))
+        costs[:n, m:] = costs[n:, :m] = 1e9
+        costs[np.arange(n), m + np.arange(n)] = costs[n + np.arange(m), np.arange(m)] = EDIT_COST
+        for i, o in enumerate(gone):
+            for j, c in enumerate(come):
+                share = self.same(o, c) if parent(o) != parent(c) else 0.0
+                renamed = o.split(SEPARATOR)[-1] != c.split(SEPARATOR)[-1]
+                costs[i, j] = RENAME_COST * (1.5 - share + 0.01 * renamed) if share >= 0.5 else 1e9
+        return [(gone[i], come[j]) for i, j in sorted(assign(costs)) if i < n and j < m]
 
 
 def join(prefix: str, name: str) -> str:
@@ -307,7 +303,7 @@ def _clean(schema) -> dict[str, int]:
 
 
 def wanted_paths(pairs: DataFrame) -> DataFrame:
-    """(exporter, file_no, side, pair_no, paths): the paths whose values each file must show for its pairs."""
+    """(exporter, file_no, wants): the paths whose values each file must show for its pairs, as (side, pair_no, paths)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -323,9 +319,25 @@ def wanted_paths(pairs: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["exporter", "file_no", "side", "pair_no", "paths"])
             yield frame.astype({"file_no": "Int32", "pair_no": "Int32"})
 
-    return pairs.select("exporter", "file_no", "previous_no", "old", "new").mapInPandas(
+    one = pairs.select("exporter", "file_no", "previous_no", "old", "new").mapInPandas(
         run, "exporter STRING, file_no INT, side STRING, pair_no INT, paths ARRAY<STRING>"
     )
+    return one.groupBy("exporter", "file_no").agg(F.collect_list(F.struct("side", "pair_no", "paths")).alias("wants"))
+
+
+def _beside(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows with the wants of their file. Wants follow the number of files and fields; while all of them are small they are
+    broadcast, so that documents stay where they are, and otherwise in blocks of files, one pass over the rows each."""
+    size = wanted.agg(F.sum(F.length(F.to_json("wants")) + 64)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("exporter", "file_no"), F.lit(blocks))
+    same = rows["exporter"].eqNullSafe(F.col("w_exporter")) & rows["file_no"].eqNullSafe(F.col("w_file_no"))
+    out = None
+    for i in range(blocks):
+        some = wanted.where(block == i).withColumnsRenamed({"exporter": "w_exporter", "file_no": "w_file_no"})
+        part = rows.join(F.broadcast(some), same).drop("w_exporter", "w_file_no")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def definition_values(workflows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -336,27 +348,26 @@ def definition_values(workflows: DataFrame, wanted: DataFrame) -> DataFrame:
     import hashlib
 
     rows = workflows.select("exporter", "file_no", "tenant", "name", "version", "document").where(F.col("document").isNotNull())
-    same = rows["exporter"].eqNullSafe(wanted["exporter"]) & rows["file_no"].eqNullSafe(wanted["file_no"])
-    joined = rows.join(wanted, same).select(
-        rows["exporter"], "pair_no", "side", "tenant", "name", "version", "document", "paths"
-    )
+    joined = _beside(rows, wanted).select("exporter", "tenant", "name", "version", "document", "wants")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for exporter, pair, side, tenant, name, version, text, paths in batch.itertuples(index=False):
+            for exporter, tenant, name, version, text, wants in batch.itertuples(index=False):
                 value = read_document(text)
                 if value is None:
                     continue
-                pair_no = None if pd.isna(pair) else int(pair)
-                if side == "new":
-                    out.append((exporter, pair_no, side, tenant, name, version, "", ""))
-                for path in paths:
-                    values = values_at(value, path)
-                    if values:
-                        listed = json.dumps(values, sort_keys=True)[1:-1]
-                        digest = hashlib.blake2b(listed.encode(), digest_size=16).hexdigest()
-                        out.append((exporter, pair_no, side, tenant, name, version, path, digest))
+                shown: dict[str, str | None] = {}
+                for side, pair, paths in ((w["side"], w["pair_no"], w["paths"]) for w in wants):
+                    key = (exporter, None if pd.isna(pair) else int(pair), side, tenant, name, version)
+                    if side == "new":
+                        out.append((*key, "", ""))
+                    for path in paths:
+                        if path not in shown:
+                            values = values_at(value, path)
+                            shown[path] = hashlib.blake2b(written(values).encode(), digest_size=16).hexdigest() if values else None
+                        if shown[path] is not None:
+                            out.append((*key, path, shown[path]))
             if not out:
                 continue
             frame = pd.DataFrame(out, columns=["exporter", "pair_no", "side", "tenant", "name", "version", "path", "digest"])
@@ -395,7 +406,7 @@ def evidence(values: DataFrame) -> DataFrame:
 def scripts(workflows: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """(exporter, file_no, change_kind, old_path, new_path, topmost): the edit script of each file.
 
-    Paths are dotted. change_kind is added, removed, retyped, renamed, or moved; a moved path also is removed and
+    The keys of a path stand between SEPARATORs. change_kind is added, removed, retyped, renamed, or moved; a moved path also is removed and
     added. topmost is false for operations below another one's path and for moved.
     """
     schemas = cut_lineage(file_schemas(workflows)) if schemas is None else schemas
@@ -419,9 +430,9 @@ def scripts(workflows: DataFrame, schemas: DataFrame | None = None) -> DataFrame
                 top = set(topmost(script))
                 number = None if pd.isna(number) else int(number)
                 for kind, a, b in script:
-                    out.append((exporter, number, kind, dotted(a), dotted(b), (kind, a, b) in top))
+                    out.append((exporter, number, kind, a, b, (kind, a, b) in top))
                 for a, b in editor.moves(script):
-                    out.append((exporter, number, "moved", dotted(a), dotted(b), False))
+                    out.append((exporter, number, "moved", a, b, False))
             if not out:
                 continue
             frame = pd.DataFrame(out, columns=["exporter", "file_no", "change_kind", "old_path", "new_path", "topmost"])
@@ -432,12 +443,10 @@ def scripts(workflows: DataFrame, schemas: DataFrame | None = None) -> DataFrame
     )
 
 
-def dotted(path: str) -> str:
-    return path.replace(SEPARATOR, ".")
-
-
 def changes_found(workflows: DataFrame) -> DataFrame:
-    return scripts(workflows).where("topmost").drop("topmost")
+    """(exporter, file_no, change_kind, old_path, new_path) with dotted paths."""
+    dotted = [F.translate(c, SEPARATOR, ".").alias(c) for c in ("old_path", "new_path")]
+    return scripts(workflows).where("topmost").select("exporter", "file_no", "change_kind", *dotted)
 
 
 def path_classes(renames: list[tuple[str, str]], files: dict[str, int]) -> dict[str, str]:
@@ -446,7 +455,7 @@ def path_classes(renames: list[tuple[str, str]], files: dict[str, int]) -> dict[
     Parents come before their children, whose paths are written below the parents' canonical ones.
     """
     classes: dict[str, str] = {}
-    deep = lambda r: r[0].count(".")
+    deep = lambda r: r[0].count(SEPARATOR)
     for depth in sorted({deep(r) for r in renames}):
         up: dict[str, str] = {}
         uses: dict[str, int] = defaultdict(int)
@@ -458,7 +467,7 @@ def path_classes(renames: list[tuple[str, str]], files: dict[str, int]) -> dict[
                 x = up[x]
             return x
 
-        below = {p: join_dotted(canonical(p.rpartition(".")[0], classes), p.rpartition(".")[2]) for r in here for p in r}
+        below = {p: join(canonical(parent(p), classes), p.rpartition(SEPARATOR)[2]) for r in here for p in r}
         for old, new in here:
             up[find(below[old])] = find(below[new])
         for path, at in below.items():
@@ -475,28 +484,37 @@ def spelled_alike(paths: list[str]) -> list[tuple[str, str]]:
     first: dict[tuple[str, str], str] = {}
     pairs = []
     for path in sorted(paths):
-        above, _, key = path.rpartition(".")
+        above, _, key = path.rpartition(SEPARATOR)
         other = first.setdefault((above, key.replace("_", "").lower()), path)
         if other != path:
             pairs.append((other, path))
     return pairs
 
 
-def join_dotted(prefix: str, name: str) -> str:
-    return f"{prefix}.{name}" if prefix else name
-
-
 def canonical(path: str, classes: dict[str, str]) -> str:
-    """A dotted path under canonical names, from the root down."""
+    """A path under canonical names, from the root down."""
     at = ""
-    for key in path.split(".") if path else []:
-        at = join_dotted(at, key)
+    for key in path.split(SEPARATOR) if path else []:
+        at = join(at, key)
         at = classes.get(at, at)
     return at
 
 
+def move_targets(moves: list[tuple[str, str]], classes: dict[str, str], files: dict[str, int]) -> dict[str, str]:
+    """Where each moved path, under canonical names, belongs: of the two places the one that more files have, else the newer."""
+    found: dict[str, str] = {}
+    for old, new in sorted(moves):
+        a, b = (old, new) if files.get(new, 0) >= files.get(old, 0) else (new, old)
+        a, b = canonical(a, classes), canonical(b, classes)
+        while b in found:
+            b = found[b]
+        if a != b and a not in found:
+            found[a] = b
+    return found
+
+
 def target_types(counts: list[tuple[str, int, int]], classes: dict[str, str]) -> dict[str, int]:
-    """The type bit of each canonical path that most files have, from (raw dotted path, type bits, number of files)."""
+    """The type bit of each canonical path that most files have, from (path, type bits, number of files)."""
     votes: dict[str, Counter] = defaultdict(Counter)
     for path, types, n in counts:
         for bit in _BIT.values():
@@ -540,38 +558,63 @@ def fitted(value, target: int):
     return None, False
 
 
-def compile_projection(classes: dict[str, str], targets: dict[str, int]):
-    """A function that gives a document canonical names and types, and lists what has no place in it as (place, value):
-    what fits no type, and the losing one of two fields that come to one name. A place is the path as it is written in the
-    document, with positions in lists; a key with dots, brackets or quotes is quoted, so no two places are alike.
+def compile_projection(classes: dict[str, str], targets: dict[str, int], moves: dict[str, str] | None = None):
+    """A function that gives a document canonical names, places and types, and lists what has no place in it as (place,
+    value): what fits no type, the losing one of two fields that come to one name, and what moves to where something is.
+    A place is the path as it is written in the document, with positions in lists; a key with dots, brackets or quotes is
+    quoted, so no two places are alike.
 
-    Of two fields that come to one name the one that has it already holds, unless it is null.
+    Of two fields that come to one name the one that has it already holds, unless it is null. A field that moves goes to
+    the object that its old and its new place share, in a list to that of its own element.
     """
-    last = {old: new.rpartition(".")[2] for old, new in classes.items()}
+    last = {old: new.rpartition(SEPARATOR)[2] for old, new in classes.items()}
+    moves = moves or {}
+
+    def named(place: str, key: str) -> str:
+        key = key if key and not set(key) & set('.[]"') else json.dumps(key, ensure_ascii=False)
+        return f"{place}.{key}" if place else key
 
-    def project(value, path: str, leftovers: list, place: str = ""):
+    def inside(value, path: str, leftovers: list, place: str, above: tuple, moved: list):
         if isinstance(value, list):
-            return [project(x, path, leftovers, f"{place}[{i}]") for i, x in enumerate(value)]
+            return [inside(x, path, leftovers, f"{place}[{i}]", above, moved) for i, x in enumerate(value)]
         if not isinstance(value, dict):
             return value
         out: dict = {}
+        above = (*above, (path, out))
         source: dict = {}
         for key, inner in value.items():
-            at = join_dotted(path, key)
-            here = join_dotted(place, key if key and not set(key) & set('.[]"') else json.dumps(key, ensure_ascii=False))
+            at, here = join(path, key), named(place, key)
             name, at = last.get(at, key), classes.get(at, at)
-            fit, fits = fitted(inner, targets.get(at, type_bit(inner)))
+            fit, fits = fitted(inner, targets.get(moves.get(at, at), type_bit(inner)))
             if not fits:
                 leftovers.append((here, inner))
-            if key not in DATA_FIELDS:
-                fit = project(fit, at, leftovers, here)
-            if out.get(name) is None or (name == key and fit is not None):
+            if key not in DATA_FIELDS and at.count(SEPARATOR) + 1 < DEEPEST:
+                fit = inside(fit, at, leftovers, here, above, moved)
+            if at in moves and fit is not None:
+                moved.append((here, inner, fit, moves[at], above))
+            elif out.get(name) is None or (name == key and fit is not None):
                 lost = source.get(name) if out.get(name) is not None else None
                 out[name], source[name] = fit, (here, inner)
+                if lost:
+                    leftovers.append(lost)
+            elif fit is not None:
+                leftovers.append((here, inner))
+        return out
+
+    def project(value, path: str, leftovers: list):
+        moved: list = []
+        out = inside(value, path, leftovers, "", (), moved)
+        for here, inner, fit, target, above in moved:
+            shared, holder = next((p, o) for p, o in reversed(above) if not p or target.startswith(p + SEPARATOR))
+            *way, name = target[len(shared) + 1 if shared else 0 :].split(SEPARATOR)
+            for key in way:
+                if isinstance(holder, dict) and holder.get(key) is None:
+                    holder[key] = {}
+                holder = holder.get(key) if isinstance(holder, dict) else None
+            if isinstance(holder, dict) and holder.get(name) is None:
+                holder[name] = fit
             else:
-                lost = (here, inner) if fit is not None else None
-            if lost:
-                leftovers.append(lost)
+                leftovers.append((here, inner))
         return out
 
     return project
@@ -586,17 +629,18 @@ def consistent_table(workflows: DataFrame) -> DataFrame:
     field path and mixture of types, which follow the schema's size and not the data's.
     """
     schemas = cut_lineage(file_schemas(workflows))
-    renames = scripts(workflows, schemas).where("change_kind = 'renamed'").select("old_path", "new_path").distinct().collect()
+    script = scripts(workflows, schemas).where("change_kind IN ('renamed', 'moved')").select("change_kind", "old_path", "new_path").distinct().collect()
+    renames, moved = ([(o, n) for k, o, n in script if k == kind] for kind in ("renamed", "moved"))
     types = schemas.where("path <> ''").groupBy("path", "types").agg(F.count("*").alias("n")).collect()
     files: Counter = Counter()
     for path, _, n in types:
-        files[dotted(path)] += n
-    classes = path_classes([*(tuple(r) for r in renames), *spelled_alike(list(files))], files)
-    targets = target_types([(dotted(p), t, n) for p, t, n in types], classes)
+        files[path] += n
+    classes = path_classes([*renames, *spelled_alike(list(files))], files)
+    moves, targets = move_targets(moved, classes, files), target_types(types, classes)
     rows = workflows.select("tenant", "name", "version", "exporter", "file_no", "spec_version", "document")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        project = compile_projection(classes, targets)
+        project = compile_projection(classes, targets, moves)
         whole = lambda x: int(x) if type_bit(x) == _BIT["number"] else None
         for batch in batches:
             out = []
@@ -610,8 +654,7 @@ def consistent_table(workflows: DataFrame) -> DataFrame:
                 tasks, about = value.get("tasks"), value.get("description")
                 out.append(
                     (
-                        True, json.dumps(value, sort_keys=True, ensure_ascii=False),
-                        json.dumps(dict(left), sort_keys=True, ensure_ascii=False) if left else None,
+                        True, written(value), written(dict(left)) if left else None,
                         about if isinstance(about, str) else None, whole(value.get("timeout_ms")), whole(value.get("created_at_ms")),
                         len(tasks) if isinstance(tasks, list) else None,
                     )

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.drift import read_document
+from weftline.operators.structural import read_document
 from weftline.operators.nested import DEPENDENCIES, TASKS
 
 Tasks = dict[str, list[str]]

@@ -225,7 +225,7 @@ def simulate_attempts(runs: DataFrame, handler_fails: Callable[[str], bool]) ->
     """
     import json
 
-    from weftline.operators.drift import read_document
+    from weftline.operators.structural import read_document
     from weftline.operators.graph import graph_error, ready_tasks, skip_closure, tasks_of
 
     def budget(holder):

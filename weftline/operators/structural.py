@@ -308,3 +308,72 @@ def index(texts: list[bytes]) -> Index:
         data, raw, good, doc[pick], new_box[pick], key_from[pick], key_to[pick], nth[pick], start[pick], end[pick],
         raw[start[pick]] if len(pick) else np.zeros(0, dtype=np.uint8),
     )
+
+
+def parsed(text: str):
+    """The value of a JSON object or list of any depth, built from its index; ValueError if it is no JSON."""
+    ix = index([text.encode("utf-8", "surrogatepass")])
+    if not ix.good[0]:
+        raise ValueError("no JSON")
+    built: list = [None] * len(ix.doc)
+    # A container comes before what it holds, so going backwards every value is there when its container asks for it.
+    inner: dict[int, list[int]] = {}
+    for row in range(len(built) - 1, -1, -1):
+        held = inner.pop(row, [])[::-1]
+        if ix.kind[row] == ord("{"):
+            built[row] = {ix.key(i): built[i] for i in held}
+        elif ix.kind[row] == ord("["):
+            built[row] = [built[i] for i in held]
+        else:
+            built[row] = json.loads(ix.text(row))
+        inner.setdefault(int(ix.box[row]), []).append(row)
+    return built[0]
+
+
+def loaded(text: str):
+    """The JSON value of a text, however deep it is; ValueError if it is no JSON."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return parsed(text)
+
+
+def read_document(text: str | None):
+    """The JSON value with outer encodings removed, however many; None if null or unreadable."""
+    value = text
+    try:
+        while isinstance(value, str):
+            value = loaded(value)
+    except ValueError:
+        return None
+    return value
+
+
+def written(value) -> str:
+    """JSON with sorted keys of a value of any depth."""
+    try:
+        return json.dumps(value, sort_keys=True, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out, stack = [], [value]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, Raw):
+            out.append(at)
+        elif isinstance(at, dict):
+            parts: list = [Raw("{")]
+            for i, key in enumerate(sorted(at)):
+                parts += [Raw((", " if i else "") + json.dumps(key, ensure_ascii=False) + ": "), at[key]]
+            stack += [*parts, Raw("}")][::-1]
+        elif isinstance(at, list):
+            parts = [Raw("[")]
+            for i, x in enumerate(at):
+                parts += [Raw(", "), x] if i else [x]
+            stack += [*parts, Raw("]")][::-1]
+        else:
+            out.append(json.dumps(at, ensure_ascii=False))
+    return "".join(out)
+
+
+class Raw(str):
+    """Text that is written as it is."""
