@@ -22,11 +22,11 @@ def _overlap(spark, d, part):
 
 
 def _met(report):
-    """Whether each source has the tokens asked of it but for its longest document at a stretch's end of each pattern, and
+    """Whether each source has the tokens asked of it but for its longest document, half at either end of a stretch, and
     was asked its weight's share of what all were asked."""
     every = W.partitionBy()  # as many rows as there are targets
     whole, weights = F.sum("asked").over(every), F.sum(F.when(F.col("asked") > 0, F.col("weight"))).over(every)
-    near = F.abs(F.col("tokens") - F.col("asked")) <= 2 * F.col("longest")
+    near = F.abs(F.col("tokens") - F.col("asked")) <= F.col("longest")
     fair = F.abs(F.col("asked") - whole * F.col("weight") / weights) <= 8
     return report.select("source", "weight", F.coalesce((F.col("asked") > 0) & near & fair, F.lit(False)).alias("met"))
 
