@@ -99,6 +99,7 @@ def find_orphans(references: DataFrame, parents: DataFrame, hot_parts: int = HOT
     at least 1/hot_parts of all references, at most hot_parts of them, are broadcast; the others meet their references
     in a shuffle in which no key is heavier than that.
     """
+    references = cut_lineage(references)
     by_key = cut_lineage(references.groupBy("key").agg(F.min("loaded_us").alias("loaded_us"), F.count("*").alias("n")))
     total = by_key.agg(F.sum("n")).first()[0] or 0
     problems = cut_lineage(problem_keys(by_key, parents))
