@@ -1,6 +1,7 @@
 import base64
 import json
 import math
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -145,3 +146,21 @@ def test_handlers(spark):
     got = [tuple(r.o) for r in df.select(registry.column(F.col("h"), F.col("i"), F.lit("t"), F.lit(1)).alias("o")).collect()]
     assert got == [('{"ok":true}', None, None), ('{"echo": {"a": 1}, "task": "t"}', None, None), (None, "rejected", "always fails"), (None, "permanent", "unknown handler nope for t")]
     assert one(spark, F.struct(http_outcome(F.lit(503)), http_outcome(F.lit(404)), http_outcome(F.lit(302)), process_outcome(F.lit(1))))[:] == ("transient_failure", "permanent", "ok", "rejected")
+
+
+def test_keys_with_quotes(spark):
+    doc = json.dumps({"a'b": 1, "ab": 2, 'c"d': 3, "e'f\"g": {"h": 4}})
+    df = spark.createDataFrame([(doc,)], "d STRING")
+    context = Context(F.col("d"), F.create_map(F.lit("x"), F.lit("null")), F.create_map(F.lit("x"), F.lit("y")))
+    for path, want in (("a'b", "1.0"), ("ab", "2.0"), ('c"d', "3.0"), ("e'f\"g.h", "4.0"), ("a''b", None)):
+        assert df.select(compile_expression(Variable(f"run.input.{path}"), context)["text"].alias("t")).first().t == want
+
+
+def test_next_ticks_of_a_column_are_those_of_each_row(spark):
+    crons = ["*/15 * * * *", "30 8 15 * 1", "0 0 29 2 1", "0 0 31 2 *", "no", None]
+    pick = random.Random(2)
+    data = [(pick.choice(crons), pick.choice([None, pick.randrange(1_700_000_000_000, 2_400_000_000_000)])) for _ in range(400)]
+    got = spark.createDataFrame(data, "c STRING, t BIGINT").select("c", "t", cron.next_tick(F.col("c"), F.col("t")).alias("n")).collect()
+    for r in got:
+        own = cron._schedule(r.c) if r.c else None
+        assert r.n == (None if own is None or r.t is None else own.next_tick_ms(r.t))

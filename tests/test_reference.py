@@ -93,8 +93,12 @@ def test_hooks_of_all_lists(spark, rows):
         ("run.succeeded", 0, "matched"), ("run.timed_out", 0, "matched"), ("run.timed_out", 1, "matched"),
     ]
     states = ["running", "succeeded", "failed", "timedout", "cancelled", "queued"]
-    runs = spark.createDataFrame([(s, "t", "w", 1, s) for s in states], "id STRING, tenant STRING, name STRING, version INT, status STRING")
+    schema = "id STRING, tenant STRING, name STRING, version INT, status STRING, def_name STRING, def_version INT, started_at_ms BIGINT, finished_at_ms BIGINT, attempts INT, error STRUCT<message: STRING>"
+    runs = spark.createDataFrame([(s, "t", "w", 1, s, "w", 1, 5, None, 2, None) for s in states], schema)
     got = relational.run_deliveries(runs, hooks, ["tenant", "name", "version"])
+    assert json.loads(got.where("run_id = 'failed'").first().body) == {
+        "kind": "run.failed", "run_id": "failed", "tenant": "t", "def_name": "w", "def_version": 1, "status": "failed", "started_at_ms": 5, "finished_at_ms": None, "attempts": 2, "error": None,
+    }
     assert rows(got.select("run_id", "url")) == [("failed", "f"), ("running", "s"), ("succeeded", "o"), ("timedout", "f"), ("timedout", "t")]
 
 
@@ -118,9 +122,9 @@ def test_shorter_timeout_is_a_warning(spark):
 def test_limits_of_run_inputs(spark):
     deep = lambda n: json.loads("[" * n + "]" * n)
     inputs = [deep(64), deep(65), "x" * ((1 << 20) - 2), "x" * ((1 << 20) - 1), None]
-    texts = [*[json.dumps({"input": x}) for x in inputs], json.dumps(json.dumps({"input": deep(65)})), "{", None, "[" * 100_000]
+    texts = [*[json.dumps({"input": x}) for x in inputs], json.dumps(json.dumps({"input": deep(65)})), "{", None, '{"input":' + "[" * 100_000 + "]" * 100_000 + "}"]
     df = spark.createDataFrame(list(enumerate(texts)), "id INT, document STRING").coalesce(1)
-    got = [r.e for r in df.select("id", scalars.input_errors("document").alias("e")).orderBy("id").collect()]
+    got = [r.e for r in df.select("id", scalars.input_errors()("document").alias("e")).orderBy("id").collect()]
     assert got == [None, "too_deep", None, "too_large", None, "too_deep", None, None, "too_deep"]
 
 
@@ -271,3 +275,52 @@ def test_streams(spark, tmp_path, rows):
     sent = []
     pipelines.deliver(pipelines.read_stream(spark, path), lambda df: (sent.extend(ids(df)), df)[1], str(tmp_path / "sent")).awaitTermination()
     assert sorted(sent) == list("abcd")
+
+
+def test_first_error_of_a_definition():
+    """In the order of the checks: a broken rule hides those that are looked at behind it."""
+    first = lambda **more: graph.definition_error({"name": "ok", "tasks": [{"name": "a"}], **more})
+    cycle = [{"name": "a", "depends_on": ["b"]}, {"name": "b", "depends_on": ["a"]}]
+    bad_hook = {"on_cancel": [{"webhook_url": "ftp://a.example"}]}
+    assert first() is None and first(name="Bad") == "invalid_name" and first(tasks=[]) == "empty_tasks"
+    assert first(tasks=cycle, timeout_ms=0) == "cycle"
+    assert first(timeout_ms=0, hooks=bad_hook) == "zero_timeout" and first(hooks=bad_hook) == "invalid_hook_url"
+    assert first(tasks=[{"name": "a" * 65, "retry": {"max_attempts": 0}}]) == "task_name_too_long"
+    assert first(tasks=[{"name": "a", "retry": {"max_attempts": 101}}, {"name": "b", "timeout_ms": 0}]) == "invalid_policy"
+    assert first(tasks=[{"name": "a", "timeout_ms": 0, "depends_on": ["no"]}]) == "zero_timeout"
+    assert first(tasks=[{"name": "a", "retry": {"max_delay_ms": 86_400_001}}]) == "invalid_policy"
+    assert first(hooks={"on_start": [{"webhook_url": "https://u@a.example:1/x"}, {}]}) is None
+
+
+def test_a_command_is_matched_by_its_token(spark):
+    entries = spark.createDataFrame([("r", "m", 1, 99, "x"), ("free", "", 1, None, None), ("other", "k", 1, 99, "x")], "run_id STRING, token STRING, due_at_ms BIGINT, lease_until_ms BIGINT, claimed_by STRING")
+    commands = spark.createDataFrame([("r", "a"), ("r", "m"), ("free", "c"), ("free", "b"), ("other", "a"), ("other", None)], "run_id STRING, command_token STRING")
+    of = lambda df: {r.run_id: (r.outcome, r.token) for r in df.collect()}
+    assert of(lifecycle.release(entries, commands, 50)) == {"r": ("done", ""), "free": ("lost", ""), "other": ("lost", "k")}
+    assert of(lifecycle.claim(entries, commands, 5, 10)) == {"r": ("claimed", "m"), "free": ("claimed", "b"), "other": ("lost", "k")}
+
+
+def test_polls_of_the_watcher(spark):
+    rows_ = [("a", "running", 10, None, "w"), ("b", "failed", 5, 20, "w"), ("c", "succeeded", 15, 20, "gone"), ("d", "running", 30, None, "w"), ("e", "queued", None, None, "w")]
+    runs_ = spark.createDataFrame([(*r, "t") for r in rows_], "id STRING, status STRING, started_at_ms BIGINT, finished_at_ms BIGINT, def_name STRING, tenant STRING")
+    defs = spark.createDataFrame([("t", "w", 1), ("t", "w", 2)], "tenant STRING, name STRING, version INT")
+    polled = relational.watch_poll(runs_, defs, 9, 0)
+    assert [(r.run_id, r.dispatched) for r in polled.orderBy("turn").collect()] == [("a", True), ("d", True), ("b", True), ("c", False)]
+    now = relational.watch_cursors(polled, 9, 0).first()
+    assert tuple(now) == (30, 20, 2, 2, 3, 1)
+    # The next poll begins where this one ended, and one without changes leaves the cursors.
+    again = relational.watch_poll(runs_, defs, now.started_ms, now.finished_ms)
+    assert again.count() == 0 and tuple(relational.watch_cursors(again, 30, 20).first())[:2] == (30, 20)
+
+
+def test_enqueue_keeps_what_is_there(spark, rows):
+    items = spark.createDataFrame([("a", "dead_letter")], "id STRING, status STRING")
+    new = spark.createDataFrame([("a", 1), ("b", 5), ("b", 3), (None, 4)], "id STRING, seq BIGINT")
+    assert rows(lifecycle.outbox_enqueue(items, new, 0, 7)) == [("b", 3, 0, 1, 7, "pending")]
+
+
+def test_late_events(spark):
+    at = lambda h: f"2027-01-01 {h:02}:00:00"
+    data = [(i, at(h), "K") for i, h in enumerate([1, 5, 2, 6, 5, 9, 1, 9])]
+    df = spark.createDataFrame(data, "seq BIGINT, t STRING, kind STRING").selectExpr("seq", "kind", "CAST(t AS TIMESTAMP_NTZ) AS received_at")
+    assert pipelines.too_late(df, 2 * 3600).first().n == 2 and pipelines.too_late(df.limit(0), 1).first().n == 0

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 #: Fields with their least and greatest value (fixed values).
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day_of_month", 1, 31), ("month", 1, 12), ("day_of_week", 0, 6))
 HORIZON = timedelta(minutes=2_628_000)
+_HORIZON_MS = 2_628_000 * 60_000
+#: In so many horizons days of the week and dates, leap days too, come round in all ways.
+_HORIZONS = 81
 
 
 def parse_field(text: str, name: str, low: int, high: int) -> tuple[int, ...]:
@@ -102,8 +106,21 @@ def _schedule(text: str) -> Schedule | None:
 def next_tick(schedules: pd.Series, after_ms: pd.Series) -> pd.Series:
     """Next tick per row; null for a schedule that cannot be read, never fires, or a null time."""
 
-    def one(text, after):
-        own = _schedule(text) if text is not None else None
-        return None if own is None or pd.isna(after) else own.next_tick_ms(int(after))
-
-    return pd.Series([one(s, a) for s, a in zip(schedules, after_ms)], dtype="Int64")
+    minutes = np.floor_divide(after_ms.to_numpy(dtype="float64", na_value=np.nan), 60_000)
+    ticks = pd.Series([pd.NA] * len(minutes), dtype="Int64")
+    for text, rows in schedules.groupby(schedules).indices.items():
+        own = _schedule(text)
+        if own is None:
+            continue
+        rows = rows[~np.isnan(minutes[rows])]
+        distinct, place = np.unique(minutes[rows], return_inverse=True)
+        # A tick holds for all minutes before it, so of ascending minutes only those at or behind the last one are looked up;
+        # it counts for a minute if it lies within that one's horizon.
+        found, tick = [], 0
+        for minute in distinct.astype("int64").tolist():
+            if tick is not None and minute * 60_000 >= tick:
+                looks = (own.next_tick_ms(minute * 60_000 + k * _HORIZON_MS) for k in range(_HORIZONS))
+                tick = next((t for t in looks if t is not None), None)
+            found.append(tick if tick is not None and tick < (minute + 1) * 60_000 + _HORIZON_MS else None)
+        ticks.iloc[rows] = pd.array(found, dtype="Int64")[place]
+    return ticks

@@ -18,7 +18,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The deepest expression, and the texts of errors, which are part of results (fixed values).
 DEEPEST = 32
+TOO_DEEP = "maximum expression nesting depth exceeded"
+UNDEFINED = "undefined variable '{}'"
+MISMATCH = "type mismatch: {}"
+NOT_BOOLEAN = {"not": "! requires boolean operand", "and": "&& requires boolean operands", "or": "|| requires boolean operands"}
+NOT_COMPARABLE = {"lt": "< requires comparable operands", "gt": "> requires comparable operands"}
 
 
 @dataclass(frozen=True)
@@ -70,18 +76,21 @@ def _typed(v: Column) -> Column:
     return _value(kind, F.when(kind == "null", F.lit(None)).otherwise(text))
 
 
-def _steps(keys: list[str]) -> str:
-    return "$" + "".join("['" + k.replace("'", "") + "']" for k in keys)
-
-
 def _below(document: Column, keys: list[str]) -> Column:
     v = F.try_parse_json(document)
-    return _of_variant(F.try_variant_get(v, _steps(keys), "variant") if keys else v)
+    for key in keys:
+        if "'" not in key:
+            v = F.try_variant_get(v, f"$['{key}']", "variant")
+        elif '"' not in key:
+            v = F.try_variant_get(v, f'$["{key}"]', "variant")
+        else:
+            v = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
+    return _of_variant(v)
 
 
 def _resolve(path: str, context: Context) -> Column:
     parts = path.split(".")
-    undefined = _value(F.lit("null"), F.lit(None), F.lit(f"undefined variable '{path}'"))
+    undefined = _value(F.lit("null"), F.lit(None), F.lit(UNDEFINED.format(path)))
     if parts[:2] == ["run", "input"]:
         return _below(context.run_input, parts[2:])
     if parts[0] == "tasks" and len(parts) >= 2:
@@ -108,20 +117,20 @@ def _literal(value: Any) -> Column:
 
 def compile_expression(node: Any, context: Context, depth: int = 0) -> Column:
     if depth > DEEPEST:
-        raise ValueError("maximum expression nesting depth exceeded")
+        raise ValueError(TOO_DEEP)
     if isinstance(node, Literal):
         return _literal(node.value)
     if isinstance(node, Variable):
         return _resolve(node.path, context)
     args = [compile_expression(a, context, depth + 1) for a in node.args]
     truth = lambda c: _value(F.lit("bool"), c.cast("string"))
-    wrong = lambda what: _value(F.lit("null"), F.lit(None), F.lit(f"type mismatch: {what}"))
+    wrong = lambda what: _value(F.lit("null"), F.lit(None), F.lit(MISMATCH.format(what)))
 
     if node.name == "not":
-        what = wrong("! requires boolean operand")
+        what = wrong(NOT_BOOLEAN["not"])
         return _bound(args[0], lambda x: F.when(x["error"].isNotNull(), x).when(x["kind"] == "bool", truth(x["text"] == "false")).otherwise(what))
     if node.name in ("and", "or"):
-        what = wrong(f"{'&&' if node.name == 'and' else '||'} requires boolean operands")
+        what = wrong(NOT_BOOLEAN[node.name])
         settled = "false" if node.name == "and" else "true"
         right = _bound(args[1], lambda r: F.when(r["error"].isNotNull() | (r["kind"] == "bool"), r).otherwise(what))
         return _bound(
@@ -141,7 +150,7 @@ def compile_expression(node: Any, context: Context, depth: int = 0) -> Column:
         return (
             first.when(kinds("number"), truth((n < m) if less else (n > m)))
             .when(kinds("string"), truth((a < b) if less else (a > b)))
-            .otherwise(wrong(f"{'<' if less else '>'} requires comparable operands"))
+            .otherwise(wrong(NOT_COMPARABLE[node.name]))
         )
 
     return _bound(args[0], lambda x: _bound(args[1], lambda y: compared(x, y)))
@@ -231,7 +240,7 @@ def render_template(templates: pd.Series, run_inputs: pd.Series, tasks: pd.Serie
             look = lambda path: resolve_path(path, own[1], own[2] or {}, own[3] or {})
             return json.dumps(interpolate(own[0], look), sort_keys=True), None
         except KeyError as e:
-            return None, f"undefined variable {e}"
+            return None, UNDEFINED.format(e.args[0])
         except ValueError as e:
             return None, str(e)
 

@@ -187,23 +187,26 @@ def json_measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"depth": both.str[0].astype("Int32"), "size": both.str[1].astype("Int64")})
 
 
-def input_error_of(value) -> str | None:
+def input_error_of(value, most_bytes: int = MAX_INPUT_BYTES, most_depth: int = MAX_INPUT_DEPTH) -> str | None:
     """The limit that a run's input breaks, size before depth."""
-    if json_size(value) > MAX_INPUT_BYTES:
+    if json_size(value) > most_bytes:
         return "too_large"
-    return "too_deep" if json_depth(value) > MAX_INPUT_DEPTH else None
+    return "too_deep" if json_depth(value) > most_depth else None
 
 
-@F.pandas_udf(T.StringType())
-def input_errors(documents: pd.Series) -> pd.Series:
-    """input_error_of the input of each run's document, whose outer encodings are removed; unreadable documents and
-    missing inputs break none."""
+def input_errors(most_bytes: int = MAX_INPUT_BYTES, most_depth: int = MAX_INPUT_DEPTH):
+    """A function of columns: input_error_of the input of each run's document, whose outer encodings are removed; unreadable
+    documents and missing inputs break no limit."""
+
+    @F.pandas_udf(T.StringType())
+    def errors(documents: pd.Series) -> pd.Series:
+        def error(text: str | None) -> str | None:
+            value = read_document(text)
+            return input_error_of(value.get("input"), most_bytes, most_depth) if isinstance(value, dict) else None
 
-    def error(text: str | None) -> str | None:
-        value = read_document(text)
-        return input_error_of(value.get("input")) if isinstance(value, dict) else None
+        return documents.map(error)
 
-    return documents.map(error)
+    return errors
 
 
 def log_line(kind: Column, task: Column, message: Column, attempts: Column) -> Column:

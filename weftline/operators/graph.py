@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.structural import read_document
+from weftline.functions.scalars import MOST_BACKOFF_MS
 from weftline.operators.nested import DEPENDENCIES, TASKS
+from weftline.operators.structural import read_document
 
 Tasks = dict[str, list[str]]
 _PLACEHOLDER = re.compile(r"\$\{([^}]*)\}")
@@ -180,6 +181,12 @@ def definition_tasks(documents: DataFrame, keys: list[str]) -> DataFrame:
     return per_definition(documents, keys, rows, "task STRING, handler STRING, deps ARRAY<STRING>").distinct()
 
 
+def dangling(tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., task, dep): dependencies of tasks (keys..., task, deps) on tasks that are not there."""
+    edges = tasks.select(*keys, "task", F.explode("deps").alias("dep"))
+    return edges.join(tasks.select(*keys, F.col("task").alias("dep")), [*keys, "dep"], "left_anti").select(*keys, "task", "dep")
+
+
 def timeout_ms(value) -> int:
     """The timeout of a definition or task: a number or text of milliseconds, or an object of value and unit; 60,000 by default."""
     units = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
@@ -230,27 +237,81 @@ def transitive_dependencies(documents: DataFrame, keys: list[str]) -> DataFrame:
     return per_definition(documents, keys, rows, "task STRING, above STRING")
 
 
+#: Limits of a definition and what a retry policy has where it says nothing (fixed values).
+MAX_TASKS, MAX_TASK_NAME, MAX_DESCRIPTION = 256, 64, 512
+RETRY_DEFAULTS = {"max_attempts": 3, "base_delay_ms": 1_000, "max_delay_ms": 60_000, "multiplier": 2.0}
+#: The lists of hooks and their names in documents, in the order in which all hooks are listed (fixed values).
+HOOK_NAMES = {
+    "on_start": ("on_start", "onStart"),
+    "on_success": ("on_success", "onSuccess"),
+    "on_failure": ("on_failure", "onFailure", "on_error"),
+    "on_cancel": ("on_cancel", "onCancel"),
+}
+
+
+def hooks_of(value) -> list[tuple[str, int, dict]]:
+    """(list name, position, hook) of all four lists of a definition, in their order."""
+    holder = next((h for k in ("hooks", "notifications") if isinstance(h := value.get(k), dict) and h), {})
+    found = []
+    for list_name, names in HOOK_NAMES.items():
+        listed = next((holder[k] for k in names if holder.get(k)), [])
+        listed = [listed] if isinstance(listed, dict) else listed if isinstance(listed, list) else []
+        found += [(list_name, i, h) for i, h in enumerate(listed) if isinstance(h, dict)]
+    return found
+
+
+def hook_url(hook: dict) -> str | None:
+    return hook.get("webhook_url") or hook.get("url") or hook.get("endpoint")
+
+
+def policy_breaks(retry) -> bool:
+    """Whether a retry policy breaks a rule; fields that are missing or no numbers have their defaults."""
+    known = retry if isinstance(retry, dict) else {}
+    of = lambda k: x if isinstance(x := known.get(k), (int, float)) and not isinstance(x, bool) else RETRY_DEFAULTS[k]
+    attempts, base, most, multiplier = map(of, RETRY_DEFAULTS)
+    growing = multiplier == multiplier and 1 <= multiplier < float("inf")
+    return not (1 <= attempts <= 100 and base >= 1 and base <= most <= MOST_BACKOFF_MS and growing)
+
+
+def url_breaks(url) -> bool:
+    parts = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*).*", url, re.S) if isinstance(url, str) else None
+    return not (parts and parts[1].lower() in ("http", "https") and re.sub(r"^.*@|:[0-9]*$", "", parts[2]))
+
+
+def definition_error(value) -> str | None:
+    """The first broken rule: name, description, number and names of tasks; then of each task its timeout, the length of
+    its name and its retry policy; then the graph, the definition's own timeout, and the URLs of its hooks."""
+    records, graph = tasks_of(value)
+    name = value.get("name")
+    if not (isinstance(name, str) and re.fullmatch(r"[a-z][a-z0-9-]{0,63}", name)):
+        return "invalid_name"
+    if len(str(value.get("description") or "")) > MAX_DESCRIPTION:
+        return "description_too_long"
+    if not records:
+        return "empty_tasks"
+    if len(records) > MAX_TASKS:
+        return "too_many_tasks"
+    if len(graph) < len(records):
+        return "duplicate_task_name"
+    for t in records:
+        if t.get("timeout_ms") == 0:
+            return "zero_timeout"
+        if len(str(t.get("name")).encode()) > MAX_TASK_NAME:
+            return "task_name_too_long"
+        if t.get("retry") is not None and policy_breaks(t["retry"]):
+            return "invalid_policy"
+    if error := graph_error(graph):
+        return error.partition(":")[0]
+    if value.get("timeout_ms") == 0:
+        return "zero_timeout"
+    if any(url_breaks(url) for _, _, h in hooks_of(value) if (url := hook_url(h)) is not None):
+        return "invalid_hook_url"
+    return None
+
+
 def definition_errors(documents: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., error): the first broken rule of each definition, in the order of the checks."""
-
-    def rows(records, graph, value):
-        name = value.get("name")
-        if not (isinstance(name, str) and re.fullmatch(r"[a-z][a-z0-9-]{0,63}", name)):
-            yield ("invalid_name",)
-        elif len(str(value.get("description") or "")) > 512:
-            yield ("description_too_long",)
-        elif not records:
-            yield ("empty_tasks",)
-        elif len(records) > 256:
-            yield ("too_many_tasks",)
-        elif len(graph) < len(records):
-            yield ("duplicate_task_name",)
-        elif any(t.get("timeout_ms") == 0 for t in records) or value.get("timeout_ms") == 0:
-            yield ("zero_timeout",)
-        elif error := graph_error(graph):
-            yield (error.partition(":")[0],)
-
-    return per_definition(documents, keys, rows, "error STRING")
+    """(keys..., error): the first broken rule of each definition that breaks one."""
+    return per_definition(documents, keys, lambda r, g, value: [(e,)] if (e := definition_error(value)) else [], "error STRING")
 
 
 def run_states(runs_with_documents: DataFrame, task_runs: DataFrame) -> DataFrame:

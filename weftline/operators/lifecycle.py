@@ -37,9 +37,13 @@ def enqueue(entries: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _with_commands(entries: DataFrame, commands: DataFrame) -> DataFrame:
-    """Entries beside the one command of their run: of several the smallest token's."""
-    once = commands.groupBy("run_id").agg(F.min("command_token").alias("command_token"))
-    return entries.join(once, "run_id", "left")
+    """Entries beside one command of their run: the one with the entry's own token if there is one, else that with the
+    smallest token. Commands with a null token are none."""
+    known = commands.where(F.col("command_token").isNotNull())
+    least = known.groupBy("run_id").agg(F.min("command_token").alias("least"))
+    own = known.select("run_id", F.col("command_token").alias("token"), F.lit(True).alias("own")).distinct()
+    both = entries.join(least, "run_id", "left").join(own, ["run_id", "token"], "left")
+    return both.withColumn("command_token", F.when(F.col("own"), F.col("token")).otherwise(F.col("least"))).drop("least", "own")
 
 
 def claim(entries: DataFrame, commands: DataFrame, now_ms: int, lease_ms: int, steal_expired: bool = False) -> DataFrame:
@@ -108,6 +112,21 @@ def cancel_runs(runs: DataFrame, wanted: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
+def entries_after_cancel(entries: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Queue entries without those of the runs that cancel_runs changed."""
+    gone = cancelled.where("changed").select(F.col("id").alias("run_id"))
+    return entries.join(gone, "run_id", "left_anti")
+
+
+def outbox_enqueue(items: DataFrame, deliveries: DataFrame, max_attempts: int, now_ms: int) -> DataFrame:
+    """New items of deliveries (id, seq): an id that is there already, in whatever state, keeps its item, and of several
+    deliveries of an id the first one is taken."""
+    first = deliveries.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("seq").alias("seq"))
+    return first.join(items.select("id"), "id", "left_anti").select(
+        "id", "seq", F.lit(0).alias("attempts"), F.lit(max(max_attempts, 1)).alias("max_attempts"), F.lit(now_ms).alias("next_attempt_at_ms"), F.lit("pending").alias("status")
+    )
+
+
 def compare_and_set(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Version after updates (keys..., expected): raised by one where the expectation holds; of several the smallest."""
     once = updates.groupBy(*keys).agg(F.min("expected").alias("expected"))

@@ -121,6 +121,23 @@ def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFram
     return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
+def ranges_before(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """rows with before: the greatest value of all rows before in order (null for the first).
+
+    Rows are looked at inside even ranges of the order; one row a range with its greatest value meets in a window.
+    """
+    from weftline.session import cut_lineage, shuffle_partitions
+
+    ranged = cut_lineage(
+        rows.repartitionByRange(shuffle_partitions(rows.sparkSession), order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    )
+    parts = ranged.groupBy("_part").agg(F.max(value).alias("_most"))
+    earlier = F.max("_most").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # one row a range
+    inner = F.max(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    starts = parts.select("_part", earlier.alias("_earlier"))
+    return ranged.withColumn("_inner", inner).join(starts, "_part").withColumn("before", F.greatest("_inner", "_earlier")).drop("_part", "_inner", "_earlier")
+
+
 def run_numbers(runs: DataFrame) -> DataFrame:
     """Consecutive numbers per definition name, across tenants, in order of creation."""
     return numbered(runs.select("def_name", "created_at_ms", "id"), "def_name", ["created_at_ms", "id"], "number").drop("created_at_ms")
@@ -169,13 +186,52 @@ def hooks_by_kind(hooks: DataFrame) -> DataFrame:
 
 
 def run_deliveries(runs: DataFrame, hooks: DataFrame, key: list[str]) -> DataFrame:
-    """(run_id, kind, url, n): the matching hooks of each run (id, key..., status) by the kind of event of its status; a
-    running one has started, and a queued one has none."""
+    """(run_id, kind, id, url, headers, body): a delivery for each matching hook of each run (id, key..., status, def_name and
+    what an event tells) by the kind of event of its status; a running one has started, and a queued one has none.
+
+    A delivery's id does not hold its URL, so the deliveries of one event share it.
+    """
     statuses = {"running": "run.started", **EVENT_KINDS}
     kind = F.create_map(*[F.lit(x) for pair in statuses.items() for x in pair])[F.col("status")]
     matched = hooks_by_kind(hooks).where("outcome = 'matched'")
-    joined = runs.where(F.col("status").isin(*statuses)).withColumn("kind", kind).join(matched, [*key, "kind"])
-    return joined.groupBy(F.col("id").alias("run_id"), "kind", F.col("webhook_url").alias("url")).agg(F.count("*").alias("n"))
+    started = runs.where(F.col("status").isin(*statuses)).withColumn("kind", kind)
+    told = F.struct("kind", F.col("id").alias("run_id"), "tenant", "def_name", "def_version", "status", "started_at_ms", "finished_at_ms", "attempts", F.col("error.message").alias("error"))
+    joined = started.withColumn("body", F.to_json(told, {"ignoreNullFields": "false"})).join(matched, [*key, "kind"])
+    own = delivery_id(F.col("tenant"), F.col("def_name"), F.col("id"), F.col("kind")).alias("id")
+    return joined.select(F.col("id").alias("run_id"), "kind", own, F.col("webhook_url").alias("url"), "headers", "body")
+
+
+def watch_poll(runs: DataFrame, definitions: DataFrame, started_ms: int, finished_ms: int) -> DataFrame:
+    """(turn, phase, at_ms, run_id, kind, dispatched) of one poll of the change watcher: running runs that started and runs
+    that finished after the cursors, starts before ends, each by time and id. Runs whose definition (tenant, name) is gone
+    are not dispatched; they are rows too, so they can be counted."""
+    kinds = F.create_map(*[F.lit(x) for pair in EVENT_KINDS.items() for x in pair])
+    started = (F.col("status") == "running") & (F.col("started_at_ms") > started_ms)
+    ended = F.col("status").isin(*EVENT_KINDS) & (F.col("finished_at_ms") > finished_ms)
+    changed = runs.where(started | ended).select(
+        F.when(started, 0).otherwise(1).alias("phase"), F.when(started, F.col("started_at_ms")).otherwise(F.col("finished_at_ms")).alias("at_ms"),
+        F.col("id").alias("run_id"), F.when(started, "run.started").otherwise(kinds[F.col("status")]).alias("kind"), "tenant", F.col("def_name").alias("name"),
+    )
+    known = definitions.select("tenant", "name").distinct().withColumn("dispatched", F.lit(True))
+    found = changed.join(known, ["tenant", "name"], "left").withColumn("dispatched", F.coalesce("dispatched", F.lit(False)))
+    return numbered(found.withColumn("poll", F.lit(1)), "poll", ["phase", "at_ms", "run_id"], "turn").drop("poll", "tenant", "name")
+
+
+def watch_cursors(polled: DataFrame, started_ms: int, finished_ms: int) -> DataFrame:
+    """One row: the cursors after a poll, and how many runs started, finished, were dispatched and dropped in it."""
+    of = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("at_ms")))
+    return polled.agg(
+        F.coalesce(of(0), F.lit(started_ms)).alias("started_ms"), F.coalesce(of(1), F.lit(finished_ms)).alias("finished_ms"),
+        F.count_if(F.col("phase") == 0).alias("started"), F.count_if(F.col("phase") == 1).alias("finished"),
+        F.count_if("dispatched").alias("dispatched"), F.count_if(~F.col("dispatched")).alias("dropped"),
+    )
+
+
+def snapshot_tasks(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
+    """Runs (id, status) with their tasks in order of name: name, status, attempts and last error of each."""
+    one = F.struct("task_name", F.col("id").alias("task_id"), F.col("status").alias("task_status"), "attempts", "last_error")
+    by_run = task_runs.groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("tasks"))
+    return runs.join(by_run, runs["id"] == by_run["run_id"], "left").select("id", "status", "tasks")
 
 
 def run_snapshots(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
@@ -245,14 +301,22 @@ def timeout_warnings(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
     return both.select(*key, F.lit(None).cast("string").alias("task"), F.lit("warning").alias("severity"), F.lit("timeout").alias("issue"), detail.alias("detail"))
 
 
-def artifact_sweep(descriptors: DataFrame, active: DataFrame, retention_ms: int, now_ms: int) -> DataFrame:
-    """Descriptors (id, size_bytes, created_at_ms), one an id, with whether they are reclaimed: not active and old."""
+def artifact_sweep(descriptors: DataFrame, active: DataFrame, retention_ms: int, now_ms: int, tenants: list[str] | None = None) -> DataFrame:
+    """Descriptors (id, tenant, size_bytes, created_at_ms) of the tenants, one an id, with whether they are reclaimed: not
+    active and old. That is the dry run; artifacts_after deletes."""
+    if tenants is not None:
+        descriptors = descriptors.where(F.col("tenant").isin(*tenants))
     once = descriptors.groupBy("id").agg(F.max("size_bytes").alias("size_bytes"), F.min("created_at_ms").alias("created_at_ms"))
     held = active.select("id").distinct().withColumn("held", F.lit(True))
     age = F.greatest(F.lit(now_ms) - F.col("created_at_ms"), F.lit(0))
     return once.join(held, "id", "left").withColumn("reclaimed", F.col("held").isNull() & (age >= retention_ms)).drop("held")
 
 
+def artifacts_after(descriptors: DataFrame, swept: DataFrame) -> DataFrame:
+    """Descriptors that are left when what a sweep reclaims is deleted."""
+    return descriptors.join(swept.where("reclaimed").select("id"), "id", "left_anti")
+
+
 def illegal_edges(states: list[str], legal: list[tuple[str, str]], spark) -> DataFrame:
     """All pairs of states that are no edge; the tables are as long as the list of states."""
     pairs = [(a, b) for a in states for b in states if (a, b) not in set(legal)]

@@ -63,7 +63,7 @@ VIEWS = {
         CASE WHEN status = 'running' THEN 'dispatcher' END AS claimed_by FROM cur_runs WHERE status IN ('queued', 'running')""",
     "claims": """SELECT run_id, 'ct_' || substr(run_id, 4, 6) AS command_token FROM queue_entries WHERE ascii(substr(run_id, 5, 1)) % 2 = 0""",
     "outbox": """SELECT id, attempts, 3 AS max_attempts, created_at_ms + CAST(500 * pow(2, least(attempts, 10)) AS BIGINT) AS next_attempt_at_ms,
-        CASE WHEN attempts >= 3 THEN 'dead_letter' WHEN kind = 'run.started' THEN 'delivered' ELSE 'pending' END AS status
+        CASE WHEN attempts >= 3 THEN 'dead_letter' WHEN lower(kind) = 'run.started' THEN 'delivered' ELSE 'pending' END AS status
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM run_events WHERE id <> '') WHERE rn = 1""",
     "doc_blobs": """SELECT sha256(text) AS id, source AS tenant, doc_id::VARCHAR AS name, octet_length(encode(text)) AS size_bytes,
         epoch_us(posted_at) // 1000 AS created_at_ms FROM documents WHERE text IS NOT NULL""",
@@ -132,7 +132,7 @@ def outbox(spark: SparkSession, d: str) -> DataFrame:
     return first.select(
         "id", "e.attempts", F.lit(3).alias("max_attempts"),
         (F.col("e.created_at_ms") + outbox_backoff(500, F.col("e.attempts"))).alias("next_attempt_at_ms"),
-        F.when(F.col("e.attempts") >= 3, "dead_letter").when(F.col("e.kind") == "run.started", "delivered").otherwise("pending").alias("status"),
+        F.when(F.col("e.attempts") >= 3, "dead_letter").when(F.lower("e.kind") == "run.started", "delivered").otherwise("pending").alias("status"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from weftline.functions import cron, scalars
 from weftline.functions.expressions import Context, Literal, Op, Variable, compile_expression, render_template
 from weftline.functions.handlers import http_outcome, with_builtins
-from weftline.operators import filters, graph, lifecycle, relational
+from weftline.operators import filters, graph, lifecycle, relational, structural
 from weftline.operators.filters import AuditFilter, RunFilter
 from weftline.plans import catalogue as c
 from weftline.plans.catalogue import NOW_MS, Catalogue
@@ -34,8 +34,8 @@ _FILTERS = {
     "finished_range": (RunFilter(finished_from_ms=1_806_000_000_000, finished_to_ms=1_808_000_000_000), "finished_at_ms BETWEEN 1806000000000 AND 1808000000000"),
     "min_duration": (RunFilter(min_duration_ms=60_000), "finished_at_ms - started_at_ms >= 60000"),
     "combined": (
-        RunFilter(tenant="harbor-grid", status_in=("failed", "succeeded"), name_prefix="p", from_ms=1_805_000_000_000, min_duration_ms=1000),
-        "tenant = 'harbor-grid' AND status IN ('failed', 'succeeded') AND starts_with(def_name, 'p') AND created_at_ms >= 1805000000000 AND finished_at_ms - started_at_ms >= 1000",
+        RunFilter(tenant="harbor-grid", status_in=("failed", "succeeded"), name_prefix="ledger", from_ms=1_805_000_000_000, min_duration_ms=1000),
+        "tenant = 'harbor-grid' AND status IN ('failed', 'succeeded') AND starts_with(def_name, 'ledger') AND created_at_ms >= 1805000000000 AND finished_at_ms - started_at_ms >= 1000",
     ),
 }
 for _name, (_filter, _where) in _FILTERS.items():
@@ -60,9 +60,22 @@ def run_lookup(s, d):
     return c.current_runs(s, d, "tenant", "status").join(F.broadcast(least), "id")  # one row
 
 
-@own.add("workflows_list", "SELECT tenant, name, version FROM cur_defs")
+@own.add("workflows_list", "SELECT tenant, name, version FROM cur_defs ORDER BY tenant, name")
 def workflows_list(s, d):
-    return c.current_definitions(s, d)
+    return c.current_definitions(s, d).orderBy("tenant", "name")
+
+
+@own.add("workflow_lookup", "SELECT tenant, name, version FROM cur_defs WHERE tenant = 'harbor-grid' AND name = (SELECT min(name) FROM cur_defs WHERE tenant = 'harbor-grid')")
+def workflow_lookup(s, d):
+    own_ = c.current_definitions(s, d).where(F.col("tenant") == "harbor-grid")
+    return own_.join(F.broadcast(own_.agg(F.min("name").alias("name"))), "name").select("tenant", "name", "version")  # one row
+
+
+@own.add("task_runs_of_run", "SELECT task_name, status, attempts FROM cur_tasks WHERE run_id = (SELECT min(run_id) FROM task_runs WHERE starts_with(run_id, 'rn_')) ORDER BY task_name")
+def task_runs_of_run(s, d):
+    run = table(s, d, "task_runs").where("startswith(run_id, 'rn_')").agg(F.min("run_id").alias("run_id"))
+    rows = c.current_tasks(s, d, "run_id", "task_name", "status", "attempts").join(F.broadcast(run), "run_id")  # one row
+    return rows.orderBy("task_name").select("task_name", "status", "attempts")
 
 
 @own.add("workflows_by_tenant", "SELECT tenant, name, version FROM cur_defs WHERE tenant = 'harbor-grid'")
@@ -240,88 +253,113 @@ def terminal_kinds(s, d):
     return runs.groupBy(kinds[F.col("status")].alias("kind")).agg(F.count("*").alias("n"))
 
 
-#: The lists of hooks and their names in documents, in the order in which all hooks are listed.
-_HOOK_NAMES = {
-    "on_start": ("on_start", "onStart"),
-    "on_success": ("on_success", "onSuccess"),
-    "on_failure": ("on_failure", "onFailure", "on_error"),
-    "on_cancel": ("on_cancel", "onCancel"),
-}
-
-
 def _all_hooks(documents):
-    """(tenant, name, version, list_name, i, event_filter, webhook_url) of the hooks in all lists of each definition."""
+    """(tenant, name, version, list_name, i, event_filter, webhook_url, headers) of the hooks of each definition, all four
+    lists one behind the other; headers are the names of its headers."""
 
     def rows(_, __, value):
-        holder = value.get("hooks") or value.get("notifications") or {}
-        for list_name, names in _HOOK_NAMES.items():
-            listed = next((holder[k] for k in names if holder.get(k)), [])
-            for i, h in enumerate([listed] if isinstance(listed, dict) else listed):
-                yield list_name, i, h.get("event_filter"), h.get("webhook_url") or h.get("url") or h.get("endpoint")
+        for list_name, i, h in graph.hooks_of(value):
+            headers = h.get("headers")
+            yield list_name, i, h.get("event_filter"), graph.hook_url(h), ",".join(sorted(headers)) if isinstance(headers, dict) else ""
 
-    return graph.per_definition(documents, DEF_KEY, rows, "list_name STRING, i INT, event_filter STRING, webhook_url STRING").distinct()
+    return graph.per_definition(documents, DEF_KEY, rows, "list_name STRING, i INT, event_filter STRING, webhook_url STRING, headers STRING").distinct()
 
 
-def _failure_hooks(s, d):
-    """(tenant, name, version, i, event_filter, webhook_url) of the on_failure hooks of each definition."""
-    return _all_hooks(table(s, d, "workflows")).where("list_name = 'on_failure'").drop("list_name")
-
-
-_HOOKS = """SELECT tenant, name, version, key::INT AS i, value->>'$.event_filter' AS event_filter, coalesce(value->>'$.webhook_url', value->>'$.url', value->>'$.endpoint') AS webhook_url
+def _hook_list(name: str) -> str:
+    names = ", ".join(f"nullif(h->'$.{k}', 'null')" for k in graph.HOOK_NAMES[name])
+    return f"""SELECT '{name}' AS list_name, tenant, name, version, key::INT AS i, value->>'$.event_filter' AS event_filter,
+  coalesce(value->>'$.webhook_url', value->>'$.url', value->>'$.endpoint') AS webhook_url,
+  coalesce(array_to_string(list_sort(json_keys(CASE json_type(value->'$.headers') WHEN 'OBJECT' THEN value->'$.headers' END)), ','), '') AS headers
   FROM (SELECT tenant, name, version, CASE json_type(f) WHEN 'OBJECT' THEN json_array(f) ELSE f END AS f FROM (
-    SELECT tenant, name, version, coalesce(nullif(h->'$.on_failure', 'null'), nullif(h->'$.onFailure', 'null'), nullif(h->'$.on_error', 'null')) AS f
+    SELECT tenant, name, version, coalesce({names}) AS f
     FROM (SELECT *, coalesce(nullif(doc::JSON->'$.hooks', 'null'), doc::JSON->'$.notifications') AS h FROM defs_read WHERE json_valid(doc))) WHERE json_type(f) IN ('OBJECT', 'ARRAY')), json_each(f)"""
 
-_FAILURE_NAMES = "nullif(h->'$.on_failure', 'null'), nullif(h->'$.onFailure', 'null'), nullif(h->'$.on_error', 'null')"
-#: As _HOOKS, of every list.
-_ALL_HOOKS = " UNION ALL ".join(
-    f"SELECT '{n}' AS list_name, * FROM ({_HOOKS.replace(_FAILURE_NAMES, ', '.join(f"nullif(h->'$.{k}', 'null')" for k in names))})" for n, names in _HOOK_NAMES.items()
-)
+
+_HOOKS = " UNION ALL ".join(_hook_list(n) for n in graph.HOOK_NAMES)
 _LIST_KINDS = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for k, n in relational.HOOK_LISTS.items()) + ") AS k(list_name, kind)"
+_STARTED = f"CASE status WHEN 'running' THEN 'run.started' ELSE {_KIND} END"
 
 
 @own.add(
     "hook_matches",
-    f"""SELECT DISTINCT tenant, name, version, i, CASE WHEN event_filter IS NOT NULL AND event_filter NOT IN ('run.failed', 'failed') THEN 'filtered'
-        WHEN webhook_url IS NULL THEN 'no_url' ELSE 'matched' END AS outcome FROM ({_HOOKS})""",
+    f"""SELECT DISTINCT tenant, name, version, list_name, kind, i, CASE WHEN event_filter IS NOT NULL AND event_filter NOT IN (kind, substr(kind, 5)) THEN 'filtered'
+        WHEN webhook_url IS NULL THEN 'no_url' ELSE 'matched' END AS outcome FROM ({_HOOKS}) JOIN ({_LIST_KINDS}) USING (list_name)""",
 )
 def hook_matches(s, d):
-    hooks = _failure_hooks(s, d).withColumn("list_name", F.lit("on_failure"))
-    return relational.matched_hooks(hooks, F.lit("run.failed")).select(*DEF_KEY, "i", "outcome")
+    """Every hook of all four lists for every kind of event its list serves."""
+    return relational.hooks_by_kind(_all_hooks(table(s, d, "workflows"))).select(*DEF_KEY, "list_name", "kind", "i", "outcome")
+
+
+@own.add("hook_list", f"SELECT DISTINCT tenant, name, version, list_name, i, webhook_url FROM ({_HOOKS})")
+def hook_list(s, d):
+    """All hooks of each definition, whatever starts them."""
+    return _all_hooks(table(s, d, "workflows")).select(*DEF_KEY, "list_name", "i", "webhook_url").distinct()
+
+
+@own.add(
+    "match_counters",
+    f"""SELECT kind, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'filtered')::BIGINT AS filtered, count_if(outcome = 'no_url')::BIGINT AS no_url FROM (
+        SELECT kind, CASE WHEN event_filter IS NOT NULL AND event_filter NOT IN (kind, substr(kind, 5)) THEN 'filtered' WHEN webhook_url IS NULL THEN 'no_url' ELSE 'matched' END AS outcome
+        FROM (SELECT DISTINCT * FROM ({_HOOKS})) JOIN ({_LIST_KINDS}) USING (list_name)) GROUP BY 1""",
+)
+def match_counters(s, d):
+    matched = relational.hooks_by_kind(_all_hooks(table(s, d, "workflows")))
+    return matched.groupBy("kind").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("matched", "filtered", "no_url")])
+
+
+_TOLD = "tenant def_name def_version status started_at_ms finished_at_ms attempts error".split()
 
 
 @own.add(
     "deliveries",
-    f"""SELECT r.id AS run_id, h.webhook_url AS url, count(*) AS n FROM cur_runs r JOIN (SELECT DISTINCT * FROM ({_HOOKS})) h
-        ON r.tenant = h.tenant AND r.def_name = h.name AND r.def_version = h.version
-        WHERE r.status = 'failed' AND h.webhook_url IS NOT NULL AND (h.event_filter IS NULL OR h.event_filter IN ('run.failed', 'failed')) GROUP BY 1, 2""",
+    f"""SELECT r.id AS run_id, r.kind, sha256(r.tenant || '/' || r.def_name || '/' || r.id || '/' || r.kind) AS id, h.webhook_url AS url, h.headers,
+          to_json({{'kind': r.kind, 'run_id': r.id, 'tenant': r.tenant, 'def_name': r.def_name, 'def_version': r.def_version, 'status': r.status,
+            'started_at_ms': r.started_at_ms, 'finished_at_ms': r.finished_at_ms, 'attempts': r.attempts, 'error': r.error.message}})::VARCHAR AS body
+        FROM (SELECT *, {_STARTED} AS kind FROM cur_runs) r JOIN (SELECT DISTINCT * FROM ({_HOOKS}) JOIN ({_LIST_KINDS}) USING (list_name)) h
+        ON r.tenant = h.tenant AND r.def_name = h.name AND r.def_version = h.version AND r.kind = h.kind
+        WHERE h.webhook_url IS NOT NULL AND (h.event_filter IS NULL OR h.event_filter IN (r.kind, substr(r.kind, 5)))""",
 )
 def deliveries(s, d):
-    matched = relational.matched_hooks(_failure_hooks(s, d).withColumn("list_name", F.lit("on_failure")), F.lit("run.failed")).where("outcome = 'matched'")
-    runs = c.current_runs(s, d, "tenant", "def_name", "def_version", "status").where("status = 'failed'")
-    runs = runs.withColumnsRenamed({"def_name": "name", "def_version": "version"})
-    return runs.join(matched, DEF_KEY).groupBy(F.col("id").alias("run_id"), F.col("webhook_url").alias("url")).agg(F.count("*").alias("n"))
+    runs = c.current_runs(s, d, *_TOLD).withColumns({"name": F.col("def_name"), "version": F.col("def_version")})
+    return relational.run_deliveries(runs, _all_hooks(table(s, d, "workflows")), DEF_KEY)
 
 
 @own.add(
-    "hook_matches_all",
-    f"""SELECT DISTINCT tenant, name, version, list_name, kind, i, CASE WHEN event_filter IS NOT NULL AND event_filter NOT IN (kind, substr(kind, 5)) THEN 'filtered'
-        WHEN webhook_url IS NULL THEN 'no_url' ELSE 'matched' END AS outcome FROM ({_ALL_HOOKS}) JOIN ({_LIST_KINDS}) USING (list_name)""",
+    "watch_poll",
+    f"""SELECT row_number() OVER (ORDER BY phase, at_ms, run_id) AS turn, * FROM (
+        SELECT CASE WHEN r.status = 'running' THEN 0 ELSE 1 END AS phase, CASE WHEN r.status = 'running' THEN started_at_ms ELSE finished_at_ms END AS at_ms, r.id AS run_id,
+          {_STARTED.replace("status", "r.status")} AS kind, w.name IS NOT NULL AS dispatched
+        FROM cur_runs r LEFT JOIN cur_defs w ON w.tenant = r.tenant AND w.name = r.def_name
+        WHERE (r.status = 'running' AND started_at_ms > 1808000000000) OR (r.status IN ('succeeded', 'failed', 'timedout', 'cancelled') AND finished_at_ms > 1809000000000))""",
 )
-def hook_matches_all(s, d):
-    return relational.hooks_by_kind(_all_hooks(table(s, d, "workflows"))).select(*DEF_KEY, "list_name", "kind", "i", "outcome")
+def watch_poll(s, d):
+    """One poll: starts before ends, each in order; runs whose definition is gone are dropped, with a count (watch_cursors)."""
+    runs = c.current_runs(s, d, "tenant", "def_name", "status", "started_at_ms", "finished_at_ms")
+    return relational.watch_poll(runs, c.current_definitions(s, d), 1_808_000_000_000, 1_809_000_000_000)
 
 
 @own.add(
-    "deliveries_all",
-    f"""SELECT r.id AS run_id, r.kind, h.webhook_url AS url, count(*) AS n FROM (SELECT *, CASE status WHEN 'running' THEN 'run.started' ELSE {_KIND} END AS kind FROM cur_runs) r
-        JOIN (SELECT DISTINCT * FROM ({_ALL_HOOKS}) JOIN ({_LIST_KINDS}) USING (list_name)) h
-        ON r.tenant = h.tenant AND r.def_name = h.name AND r.def_version = h.version AND r.kind = h.kind
-        WHERE h.webhook_url IS NOT NULL AND (h.event_filter IS NULL OR h.event_filter IN (r.kind, substr(r.kind, 5))) GROUP BY 1, 2, 3""",
+    "watch_cursors",
+    """SELECT max(CASE WHEN phase = 0 THEN at_ms END) AS started_ms, max(CASE WHEN phase = 1 THEN at_ms END) AS finished_ms, count_if(phase = 0)::BIGINT AS started, count_if(phase = 1)::BIGINT AS finished,
+         count_if(hit)::BIGINT AS dispatched, count_if(NOT hit)::BIGINT AS dropped FROM (
+        SELECT CASE WHEN r.status = 'running' THEN 0 ELSE 1 END AS phase, CASE WHEN r.status = 'running' THEN started_at_ms ELSE finished_at_ms END AS at_ms, w.name IS NOT NULL AS hit
+        FROM cur_runs r LEFT JOIN cur_defs w ON w.tenant = r.tenant AND w.name = r.def_name
+        WHERE (r.status = 'running' AND started_at_ms > 1808000000000) OR (r.status IN ('succeeded', 'failed', 'timedout', 'cancelled') AND finished_at_ms > 1809000000000))""",
 )
-def deliveries_all(s, d):
-    runs = c.current_runs(s, d, "tenant", "def_name", "def_version", "status").withColumnsRenamed({"def_name": "name", "def_version": "version"})
-    return relational.run_deliveries(runs, _all_hooks(table(s, d, "workflows")), DEF_KEY)
+def watch_cursors(s, d):
+    return relational.watch_cursors(watch_poll(s, d), 1_808_000_000_000, 1_809_000_000_000)
+
+
+@own.add(
+    "snapshot_tasks",
+    """SELECT r.id, r.status, string_agg(t.task_name || ':' || t.status || ':' || t.attempts || ':' || coalesce(t.last_error, ''), ',' ORDER BY t.task_name, t.id) AS tasks
+       FROM cur_runs r LEFT JOIN cur_tasks t ON t.run_id = r.id GROUP BY 1, 2""",
+)
+def snapshot_tasks(s, d):
+    """Runs with the list of their tasks, written in one text."""
+    taken = relational.snapshot_tasks(c.current_runs(s, d, "status"), c.current_tasks(s, d, "run_id", "task_name", "status", "attempts", "last_error"))
+    line = lambda t: F.concat_ws(":", t["task_name"], t["task_status"], t["attempts"].cast("string"), F.coalesce(t["last_error"], F.lit("")))
+    return taken.select("id", "status", F.array_join(F.transform("tasks", line), ",").alias("tasks"))
 
 
 @own.add(
@@ -389,78 +427,89 @@ def artifact_gc(s, d):
     )
 
 
-def _tasks_of_versions(s, d):
-    """Tasks of each definition's newest two readable versions: (tenant, name, task, handler, deps) old and new."""
-    tasks = graph.definition_tasks(table(s, d, "workflows"), DEF_KEY)
-    versions = tasks.select(*DEF_KEY).distinct()
-    rank = F.row_number().over(W.partitionBy("tenant", "name").orderBy(F.desc("version")))
-    ranked = tasks.join(versions.withColumn("r", rank).where("r <= 2"), DEF_KEY)
-    old, new = (ranked.where(f"r = {r}").drop("r", "version") for r in (2, 1))
-    both = old.select("tenant", "name").distinct()
-    return old, new.join(both, ["tenant", "name"], "left_semi")
+_SWEPT = """SELECT b.id, a.id IS NULL AND greatest(1815000000000 - b.created_at_ms, 0) >= 1000000000 AS gone
+  FROM (SELECT id, max(size_bytes) AS size_bytes, max(created_at_ms) AS created_at_ms FROM (
+    SELECT * FROM (SELECT id, arg_max(coalesce(tenant, ''), (created_at_ms, name)) AS tenant, arg_max(size_bytes, (created_at_ms, name)) AS size_bytes, max(created_at_ms) AS created_at_ms FROM doc_blobs GROUP BY id)
+    WHERE tenant IN ('dag-clinic', 'cron-corner')) GROUP BY id) b LEFT JOIN (SELECT DISTINCT id FROM doc_blobs WHERE tenant = 'queue-room') a ON a.id = b.id"""
 
 
-_VERSIONS = """ver AS (SELECT tenant, name, version, row_number() OVER (PARTITION BY tenant, name ORDER BY version DESC) AS r FROM (SELECT DISTINCT tenant, name, version FROM def_task)),
-  old_t AS (SELECT t.tenant, t.name, t.task, t.handler, list_distinct(t.deps) AS deps FROM def_task t JOIN ver v USING (tenant, name, version) WHERE r = 2),
-  new_t AS (SELECT t.tenant, t.name, t.task, t.handler, list_distinct(t.deps) AS deps FROM def_task t JOIN ver v USING (tenant, name, version) WHERE r = 1)"""
+def _swept(s, d):
+    active = table(s, d, "documents").where("source = 'queue-room' AND text IS NOT NULL").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("id"))
+    return relational.artifact_sweep(c.document_blobs(s, d), active, 1_000_000_000, NOW_MS, ["dag-clinic", "cron-corner"])
 
 
-@own.add(
-    "compat_report",
-    f"""SELECT * FROM (WITH {_VERSIONS}
-        SELECT o.tenant, o.name, o.task, 'breaking' AS severity, 'removed' AS issue, NULL::VARCHAR AS detail FROM old_t o ANTI JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task
-        UNION ALL SELECT o.tenant, o.name, o.task, 'breaking', 'handler', o.handler || ' -> ' || n.handler FROM old_t o JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task WHERE o.handler <> n.handler
-        UNION ALL SELECT tenant, name, task, 'warning', 'dependencies', array_to_string(list_sort(fresh), ',') FROM (
-          SELECT o.tenant, o.name, o.task, list_filter(n.deps, lambda x: NOT list_contains(o.deps, x)) AS fresh FROM old_t o JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task) WHERE len(fresh) > 0)""",
-)
-def compat_report(s, d):
-    old, new = _tasks_of_versions(s, d)
-    return relational.compatibility_report(old, new, ["tenant", "name"])
+@own.add("artifact_purged", f"SELECT id FROM ({_SWEPT}) WHERE gone")
+def artifact_purged(s, d):
+    """Ids a sweep over two tenants would purge; nothing is deleted."""
+    return _swept(s, d).where("reclaimed").select("id")
 
 
-def _timeouts_of_versions(s, d):
-    """Timeouts of the versions of _tasks_of_versions: (tenant, name, timeout_ms) old and new."""
-    rank = F.row_number().over(W.partitionBy("tenant", "name").orderBy(F.desc("version")))
-    ranked = graph.definition_timeouts(table(s, d, "workflows"), DEF_KEY).withColumn("r", rank)
-    old, new = (ranked.where(f"r = {r}").drop("r", "version") for r in (2, 1))
-    return old, new
+@own.add("artifacts_left", f"SELECT DISTINCT id FROM doc_blobs WHERE id NOT IN (SELECT id FROM ({_SWEPT}) WHERE gone)")
+def artifacts_left(s, d):
+    """Ids that are left behind the sweep's deletion."""
+    return relational.artifacts_after(c.document_blobs(s, d), _swept(s, d)).select("id")
 
 
-@own.add(
-    "compat_report_all",
-    f"""SELECT * FROM (WITH {_VERSIONS},
-        waits AS (SELECT tenant, name, version, r, max(CASE json_type(t) WHEN 'OBJECT' THEN (t->>'$.value')::BIGINT * CASE t->>'$.unit' WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 ELSE 1 END
-          ELSE coalesce(try_cast(t->>'$' AS BIGINT), 60000) END) AS timeout_ms FROM (SELECT *, doc::JSON->'$.timeout_ms' AS t FROM defs_read WHERE json_valid(doc)) JOIN ver USING (tenant, name, version) GROUP BY 1, 2, 3, 4)
-        SELECT o.tenant, o.name, o.task, 'breaking' AS severity, 'removed' AS issue, NULL::VARCHAR AS detail FROM old_t o ANTI JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task
-        UNION ALL SELECT o.tenant, o.name, o.task, 'breaking', 'handler', o.handler || ' -> ' || n.handler FROM old_t o JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task WHERE o.handler <> n.handler
-        UNION ALL SELECT tenant, name, task, 'warning', 'dependencies', array_to_string(list_sort(fresh), ',') FROM (
-          SELECT o.tenant, o.name, o.task, list_filter(n.deps, lambda x: NOT list_contains(o.deps, x)) AS fresh FROM old_t o JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task) WHERE len(fresh) > 0
-        UNION ALL SELECT o.tenant, o.name, NULL, 'warning', 'timeout', o.timeout_ms || ' -> ' || n.timeout_ms FROM waits o JOIN waits n ON o.tenant = n.tenant AND o.name = n.name AND o.r = 2 AND n.r = 1 WHERE n.timeout_ms < o.timeout_ms)""",
-)
-def compat_report_all(s, d):
-    old, new = _tasks_of_versions(s, d)
-    return relational.compatibility_report(old, new, ["tenant", "name"]).union(relational.timeout_warnings(*_timeouts_of_versions(s, d), ["tenant", "name"]))
+def _planned(s, d):
+    """Tasks and timeouts of each definition's newest readable version, and those of a planned change: tasks whose names have
+    a length of 0 by 7 go, those with 1 get another handler, those with 2 one more dependency; every third definition by
+    the length of its name waits a second less."""
+    documents = table(s, d, "workflows")
+    newest = lambda rows: rows.join(rows.groupBy("tenant", "name").agg(F.max("version").alias("version")), DEF_KEY).drop("version")
+    old, waits = newest(graph.definition_tasks(documents, DEF_KEY)), newest(graph.definition_timeouts(documents, DEF_KEY))
+    turn = F.length("task") % 7
+    new = old.where(turn != 0).select(
+        "tenant", "name", "task", F.when(turn == 1, F.concat("handler", F.lit(".v2"))).otherwise(F.col("handler")).alias("handler"),
+        F.when(turn == 2, F.array_append("deps", F.lit("extra"))).otherwise(F.col("deps")).alias("deps"),
+    )
+    shorter = waits.withColumn("timeout_ms", F.col("timeout_ms") - F.when(F.length("name") % 3 == 0, 1000).otherwise(0))
+    return old, new, waits, shorter
+
+
+_COMPAT = """ver AS (SELECT tenant, name, max(version) AS version FROM def_task GROUP BY 1, 2),
+  old_t AS (SELECT tenant, name, task, handler, list_distinct(deps) AS deps FROM def_task JOIN ver USING (tenant, name, version)),
+  waits AS (SELECT tenant, name, max(CASE json_type(t) WHEN 'OBJECT' THEN (t->>'$.value')::BIGINT * CASE t->>'$.unit' WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 ELSE 1 END
+    ELSE coalesce(try_cast(t->>'$' AS BIGINT), 60000) END) AS timeout_ms FROM (SELECT *, doc::JSON->'$.timeout_ms' AS t FROM defs_read WHERE json_valid(doc)) JOIN ver USING (tenant, name, version) GROUP BY 1, 2),
+  issues AS (
+    SELECT tenant, name, task, 'breaking' AS severity, 'removed' AS issue, NULL::VARCHAR AS detail FROM old_t WHERE length(task) % 7 = 0
+    UNION ALL SELECT tenant, name, task, 'breaking', 'handler', handler || ' -> ' || handler || '.v2' FROM old_t WHERE length(task) % 7 = 1 AND handler IS NOT NULL
+    UNION ALL SELECT tenant, name, task, 'warning', 'dependencies', 'extra' FROM old_t WHERE length(task) % 7 = 2 AND NOT list_contains(deps, 'extra')
+    UNION ALL SELECT tenant, name, NULL, 'warning', 'timeout', timeout_ms || ' -> ' || (timeout_ms - 1000) FROM waits WHERE length(name) % 3 = 0)"""
+
+
+@own.add("compat_report", f"SELECT * FROM (WITH {_COMPAT} SELECT * FROM issues)")
+def compat_report(s, d):
+    old, new, waits, shorter = _planned(s, d)
+    key = ["tenant", "name"]
+    return relational.compatibility_report(old, new, key).union(relational.timeout_warnings(waits, shorter, key))
 
 
 @own.add(
     "compat_summary",
-    f"""SELECT * FROM (WITH {_VERSIONS}
-        SELECT o.tenant, o.name, count(*) AS breaking FROM old_t o LEFT JOIN new_t n ON o.tenant = n.tenant AND o.name = n.name AND o.task = n.task
-        WHERE (n.task IS NULL AND EXISTS (SELECT 1 FROM new_t x WHERE x.tenant = o.tenant AND x.name = o.name)) OR o.handler <> n.handler GROUP BY 1, 2)""",
+    f"""SELECT * FROM (WITH {_COMPAT} SELECT v.tenant, v.name, count_if(severity = 'breaking')::BIGINT AS breaking, count_if(severity = 'warning')::BIGINT AS warnings, count_if(severity = 'breaking') = 0 AS compatible
+        FROM ver v LEFT JOIN issues i ON i.tenant = v.tenant AND i.name = v.name GROUP BY 1, 2)""",
 )
 def compat_summary(s, d):
-    old, new = _tasks_of_versions(s, d)
-    return relational.compatibility_report(old, new, ["tenant", "name"]).where("severity = 'breaking'").groupBy("tenant", "name").agg(F.count("*").alias("breaking"))
+    """Of each definition the numbers of issues and whether the change is compatible: nothing breaks."""
+    old = _planned(s, d)[0].select("tenant", "name").distinct()
+    counted = compat_report(s, d).groupBy("tenant", "name").agg(*[F.count_if(F.col("severity") == x).alias(n) for x, n in (("breaking", "breaking"), ("warning", "warnings"))])
+    both = old.join(counted, ["tenant", "name"], "left").select("tenant", "name", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("breaking", "warnings")])
+    return both.withColumn("compatible", F.col("breaking") == 0)
 
 
 # ------------------------------------------------------------------------------------------------------------ graphs
 
 
-@own.add("dangling_deps", "SELECT e.tenant, e.name, e.version, e.task, e.dep FROM def_edge e ANTI JOIN def_task t ON e.tenant = t.tenant AND e.name = t.name AND e.version = t.version AND e.dep = t.task")
+@own.add(
+    "dangling_deps",
+    """SELECT e.tenant, e.name, e.version, e.task, e.dep FROM (SELECT * FROM def_edge UNION SELECT tenant, name, version, task, 'ghost-' || task FROM def_task WHERE length(task) % 5 = 0) e
+       ANTI JOIN def_task t ON e.tenant = t.tenant AND e.name = t.name AND e.version = t.version AND e.dep = t.task""",
+)
 def dangling_deps(s, d):
+    """Dependencies on tasks that do not exist; the tables have none, so a fifth of the tasks get one."""
     tasks = graph.definition_tasks(table(s, d, "workflows"), DEF_KEY)
-    edges = tasks.select(*DEF_KEY, "task", F.explode("deps").alias("dep"))
-    return edges.join(tasks.select(*DEF_KEY, F.col("task").alias("dep")), [*DEF_KEY, "dep"], "left_anti").select(*DEF_KEY, "task", "dep")
+    ghost = F.when(F.length("task") % 5 == 0, F.array_append("deps", F.concat(F.lit("ghost-"), "task"))).otherwise(F.col("deps"))
+    return graph.dangling(tasks.withColumn("deps", ghost), DEF_KEY).distinct()
 
 
 _LEVELS = """lev AS (
@@ -510,29 +559,49 @@ def critical_path_length(s, d):
     return reports.select(*DEF_KEY, F.size(F.split("critical_path", ",")).alias("length")).distinct()
 
 
+def _tasks(*records: str) -> str:
+    return ', "tasks": [' + ", ".join(records) + "]}"
+
+
+#: Ends of documents that break a rule, or two of them, with the error that comes first (from the reference's order of checks).
+_BROKEN = [
+    ("}", None),
+    (', "name": "Bad Name", "tasks": []}', "invalid_name"),
+    (f', "description": "{"x" * 513}", "tasks": []}}', "description_too_long"),
+    (', "timeout_ms": 0, "tasks": []}', "empty_tasks"),
+    (_tasks(*['{"name": "a"}'] * 257), "too_many_tasks"),
+    (_tasks('{"name": "a", "timeout_ms": 0}', '{"name": "a"}'), "duplicate_task_name"),
+    (_tasks('{"name": "a", "timeout_ms": 0, "retry": {"max_attempts": 0}}', '{"name": "b", "depends_on": ["no"]}'), "zero_timeout"),
+    (_tasks(f'{{"name": "{"t" * 65}", "retry": {{"max_attempts": 0}}}}', '{"name": "b", "timeout_ms": 0}'), "task_name_too_long"),
+    (_tasks('{"name": "a", "retry": {"max_attempts": 0}}', '{"name": "b", "timeout_ms": 0}'), "invalid_policy"),
+    (_tasks('{"name": "a", "retry": {"base_delay_ms": 9000, "max_delay_ms": 8000}}'), "invalid_policy"),
+    (_tasks('{"name": "a", "retry": {"multiplier": 0.5}}'), "invalid_policy"),
+    (', "timeout_ms": 0' + _tasks('{"name": "a", "depends_on": ["b", "no"]}', '{"name": "b", "depends_on": ["a"]}'), "unknown"),
+    (', "timeout_ms": 0' + _tasks('{"name": "a", "depends_on": ["b"]}', '{"name": "b", "depends_on": ["a"]}'), "cycle"),
+    (', "timeout_ms": 0, "hooks": {"on_start": [{"webhook_url": "nowhere"}]}' + _tasks('{"name": "a"}'), "zero_timeout"),
+    (', "timeout_ms": 5, "hooks": {"on_cancel": [{"webhook_url": "https://a.example/x"}, {"webhook_url": "ftp://a.example"}]}' + _tasks('{"name": "a"}'), "invalid_hook_url"),
+    (', "timeout_ms": 5, "hooks": {"on_start": [{"webhook_url": "http:///x"}]}' + _tasks('{"name": "a"}'), "invalid_hook_url"),
+    (', "timeout_ms": 5, "hooks": {"on_start": [{"webhook_url": "HTTPS://u@a.example:8080"}, {"event_filter": "failed"}]}' + _tasks('{"name": "a"}'), None),
+]
+
+
 @own.add(
     "definition_errors",
-    f"""SELECT * FROM (WITH RECURSIVE {_LEVELS}, seen AS (
-        SELECT q.*, (SELECT count(*) FROM def_task t WHERE t.tenant = q.tenant AND t.name = q.name AND t.version = q.version) AS names,
-          (SELECT count(*) FROM stages t WHERE t.tenant = q.tenant AND t.name = q.name AND t.version = q.version) AS placed,
-          EXISTS (SELECT 1 FROM def_edge e WHERE e.tenant = q.tenant AND e.name = q.name AND e.version = q.version AND NOT EXISTS (
-            SELECT 1 FROM def_task t WHERE t.tenant = e.tenant AND t.name = e.name AND t.version = e.version AND t.task = e.dep)) AS unknown
-        FROM (SELECT tenant, name, version, doc->>'$.name' AS own_name, coalesce(doc->>'$.description', '') AS about, coalesce(json_array_length(doc, '$.tasks'), 0) AS n,
-                coalesce(try_cast(doc->>'$.timeout_ms' AS BIGINT), 1) AS whole, list_min(list_transform(doc->>'$.tasks[*].timeout_ms', lambda x: try_cast(x AS BIGINT))) AS least
-              FROM (SELECT tenant, name, version, doc::JSON AS doc FROM defs_read WHERE json_valid(doc))) q)
-        SELECT DISTINCT tenant, name, version, CASE WHEN NOT regexp_full_match(own_name, '[a-z][a-z0-9-]{{0,63}}') THEN 'invalid_name' WHEN length(about) > 512 THEN 'description_too_long'
-          WHEN n = 0 THEN 'empty_tasks' WHEN n > 256 THEN 'too_many_tasks' WHEN names < n THEN 'duplicate_task_name' WHEN whole = 0 OR least = 0 THEN 'zero_timeout'
-          WHEN unknown THEN 'unknown' WHEN placed < names THEN 'cycle' END AS error FROM seen) WHERE error IS NOT NULL""",
-    recursive=True,
+    f"""SELECT * FROM (SELECT DISTINCT tenant, name, version, ([{", ".join(f"'{e}'" if e else "NULL" for _, e in _BROKEN)}])[(length(name) + version) % {len(_BROKEN)} + 1] AS error
+        FROM defs_read WHERE json_valid(doc) AND json_type(doc::JSON) = 'OBJECT') WHERE error IS NOT NULL""",
 )
 def definition_errors(s, d):
-    return graph.definition_errors(table(s, d, "workflows"), DEF_KEY).distinct()
+    """The first error of each definition. Those of the tables are sound, so each is given an end that breaks rules."""
+    ends = F.element_at(F.array(*[F.lit(end) for end, _ in _BROKEN]), ((F.length("name") + F.col("version")) % len(_BROKEN) + 1).cast("int"))
+    read = graph.per_definition(table(s, d, "workflows"), DEF_KEY, lambda r, g, value: [(structural.written(value),)], "document STRING")
+    changed = read.withColumn("document", F.concat(F.regexp_replace("document", r"\}$", ""), ends))
+    return graph.definition_errors(changed, DEF_KEY).distinct()
 
 
 def _run_states(s, d, *also):
     runs = c.current_runs(s, d, "tenant", "def_name", "def_version", "attempts", "status", "deadline_at_ms").where("status = 'running'")
-    docs = table(s, d, "workflows").groupBy("tenant", F.col("name").alias("def_name"), F.col("version").alias("def_version")).agg(F.max("document").alias("document"))
-    with_doc = runs.join(docs, ["tenant", "def_name", "def_version"])
+    docs = table(s, d, "workflows").groupBy("tenant", F.col("name").alias("def_name"), F.col("version").alias("def_version")).agg(F.max(F.struct("loaded_at", "document")).alias("d"))
+    with_doc = runs.join(docs.withColumn("document", F.col("d.document")).drop("d"), ["tenant", "def_name", "def_version"])
     return graph.run_states(with_doc, c.current_tasks(s, d, "run_id", "task_name", "status", *also))
 
 
@@ -650,6 +719,23 @@ def cancel_runs(s, d):
     return lifecycle.cancel_runs(runs, runs.where("tenant = 'lumen-works'"), NOW_MS)
 
 
+@own.add("cancel_dequeue", "SELECT q.run_id FROM queue_entries q JOIN cur_runs r ON r.id = q.run_id WHERE NOT (r.tenant = 'lumen-works' AND r.status IN ('queued', 'running'))")
+def cancel_dequeue(s, d):
+    """Queue entries that are left when a tenant's runs are cancelled."""
+    return lifecycle.entries_after_cancel(c.queue_entries(s, d), cancel_runs(s, d)).select("run_id")
+
+
+@own.add(
+    "outbox_enqueue",
+    f"""SELECT id, min(seq) AS seq, 0 AS attempts, 5 AS max_attempts, {NOW_MS}::BIGINT AS next_attempt_at_ms, 'pending' AS status FROM run_events
+        WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM outbox WHERE ascii(substr(id, 1, 1)) % 2 = 0) GROUP BY 1""",
+)
+def outbox_enqueue(s, d):
+    """All deliveries enqueued into an outbox that has about half of their items."""
+    there = c.outbox(s, d).where(F.ascii(F.substring("id", 1, 1)) % 2 == 0)
+    return lifecycle.outbox_enqueue(there, table(s, d, "run_events").select("id", "seq"), 5, NOW_MS)
+
+
 @own.add("version_cas", "SELECT tenant, name, CASE WHEN version % 2 = 0 THEN version + 1 ELSE version END AS version, CASE WHEN version % 2 = 0 THEN 'updated' ELSE 'conflict' END AS outcome FROM cur_defs")
 def version_cas(s, d):
     current = c.current_definitions(s, d)
@@ -697,29 +783,11 @@ def leaky_bucket(s, d):
     return lifecycle.leaky_bucket(_requests(s, d), "tenant", 5.0, 0.001)
 
 
-@own.add(
-    "concurrency_limit",
-    """SELECT * FROM (WITH RECURSIVE req AS (SELECT seq AS id, run_id AS holder, tenant, CASE WHEN kind = 'run.started' THEN 'acquire' ELSE 'release' END AS action,
-          row_number() OVER (PARTITION BY tenant ORDER BY created_at_ms, seq) AS rn FROM run_events WHERE kind IN ('run.started', 'run.succeeded', 'run.failed')),
-        fold AS (
-          SELECT tenant, rn, id, action, action = 'acquire' AS granted, CASE WHEN action = 'acquire' THEN [holder] ELSE [] END AS held FROM req WHERE rn = 1
-          UNION ALL
-          SELECT r.tenant, r.rn, r.id, r.action, CASE WHEN r.action = 'acquire' THEN NOT list_contains(f.held, r.holder) AND len(f.held) < 8 ELSE list_contains(f.held, r.holder) END,
-            CASE WHEN r.action = 'release' THEN list_filter(f.held, lambda x: x <> r.holder) WHEN NOT list_contains(f.held, r.holder) AND len(f.held) < 8 THEN list_append(f.held, r.holder) ELSE f.held END
-          FROM fold f JOIN req r ON r.tenant = f.tenant AND r.rn = f.rn + 1)
-        SELECT id, tenant, action, granted, len(held)::INT AS active FROM fold)""",
-)
-def concurrency_limit(s, d):
-    events = table(s, d, "run_events").where("kind IN ('run.started', 'run.succeeded', 'run.failed')")
-    action = F.when(F.col("kind") == "run.started", "acquire").otherwise("release").alias("action")
-    return lifecycle.concurrency_limit(events.select(F.col("seq").alias("id"), F.col("run_id").alias("holder"), "tenant", F.col("created_at_ms").alias("at_ms"), action), "tenant", 8)
-
-
 _ENDS = "('run.succeeded', 'run.failed', 'run.timed_out', 'run.cancelled')"
 
 
 @own.add(
-    "concurrency_limit_all_ends",
+    "concurrency_limit",
     f"""SELECT * FROM (WITH RECURSIVE req AS (SELECT seq AS id, run_id AS holder, tenant, CASE WHEN lower(kind) = 'run.started' THEN 'acquire' ELSE 'release' END AS action,
           row_number() OVER (PARTITION BY tenant ORDER BY created_at_ms, seq) AS rn FROM run_events WHERE lower(kind) = 'run.started' OR lower(kind) IN {_ENDS}),
         fold AS (
@@ -730,7 +798,7 @@ _ENDS = "('run.succeeded', 'run.failed', 'run.timed_out', 'run.cancelled')"
           FROM fold f JOIN req r ON r.tenant = f.tenant AND r.rn = f.rn + 1)
         SELECT id, tenant, action, granted, len(held)::INT AS active FROM fold)""",
 )
-def concurrency_limit_all_ends(s, d):
+def concurrency_limit(s, d):
     return lifecycle.concurrency_limit(lifecycle.permit_events(table(s, d, "run_events")), "tenant", 8)
 
 
@@ -801,6 +869,25 @@ def canary_bucket(s, d):
     return c.current_runs(s, d).select("id", scalars.fnv1a_bucket(F.col("id")).alias("bucket"))
 
 
+@own.add(
+    "canary_version",
+    """SELECT id, CASE WHEN w <= 0 THEN 1 WHEN w >= 100 THEN 2 WHEN bucket < w THEN 2 ELSE 1 END AS version FROM (SELECT id, length(tenant) % 3 * 50 AS w,
+       (list_reduce(list_transform(range(1, strlen(id) + 1), lambda i: ascii(substr(id, i::BIGINT, 1))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) % 100)::INT AS bucket FROM cur_runs)""",
+)
+def canary_version(s, d):
+    """Which of two versions each run gets, at weights of 0, 50 and 100 for the second."""
+    weight = F.length("tenant") % 3 * 50
+    return c.current_runs(s, d, "tenant").select("id", scalars.canary_version(F.col("id"), F.lit(1), F.lit(2), weight).alias("version"))
+
+
+@own.add("base32_decode", "SELECT id, run_id || '::' || task_name AS text FROM cur_tasks WHERE run_id IS NOT NULL")
+def base32_decode(s, d):
+    """Ids made of run and task, read again."""
+    rows = c.current_tasks(s, d, "run_id", "task_name").where("run_id IS NOT NULL")
+    made = scalars.task_run_id(F.col("run_id"), F.col("task_name"))
+    return rows.select("id", scalars.unbase32hex(F.substring(made, 4, 1 << 30)).alias("text"))
+
+
 @own.add("id_validation", r"SELECT DISTINCT run_id, coalesce(starts_with(run_id, 'rn_') AND length(run_id) <= 96 AND regexp_full_match(substr(run_id, 4), '[0-9a-v]+') AND floor(length(substr(run_id, 4)) * 5 / 8.0) <= 24, false) AS valid FROM task_runs WHERE run_id IS NOT NULL")
 def id_validation(s, d):
     rows = table(s, d, "task_runs").where("run_id IS NOT NULL").select("run_id").distinct()
@@ -839,12 +926,43 @@ def base32_ids(s, d):
     return rows.select("id", scalars.task_run_id(F.col("run_id"), F.col("task_name")).alias("made"))
 
 
-@own.add("run_input_errors")
+def _measures(root: str, where: str) -> str:
+    """SQL of depth and size of the JSON at root in each run's document."""
+    return f"""WITH RECURSIVE node AS (
+        SELECT r.id AS run_id, t.id AS n, t.parent, t.key, t.type, t.atom FROM (SELECT id, document::JSON AS doc FROM cur_runs WHERE {where}) r, json_tree(r.doc, '{root}') t),
+      deep AS (SELECT run_id, n, 0 AS level FROM node WHERE n = (SELECT min(m.n) FROM node m WHERE m.run_id = node.run_id)
+        UNION ALL SELECT k.run_id, k.n, d.level + 1 FROM deep d JOIN node k ON k.run_id = d.run_id AND k.parent = d.n)
+      SELECT run_id, max(level + CASE WHEN type IN ('OBJECT', 'ARRAY') THEN 1 ELSE 0 END)::INT AS depth,
+        sum(CASE WHEN level > 0 AND key IS NOT NULL AND parent_type = 'OBJECT' THEN strlen(key) ELSE 0 END + CASE type WHEN 'NULL' THEN 4 WHEN 'BOOLEAN' THEN 4 WHEN 'VARCHAR' THEN strlen(atom->>'$') + 2
+          WHEN 'OBJECT' THEN 0 WHEN 'ARRAY' THEN 0 ELSE strlen(atom::VARCHAR) END)::BIGINT AS size
+      FROM (SELECT d.run_id, d.level, k.type, k.atom, k.key, p.type AS parent_type FROM deep d JOIN node k ON k.run_id = d.run_id AND k.n = d.n LEFT JOIN node p ON p.run_id = k.run_id AND p.n = k.parent) GROUP BY 1"""
+
+
+def _input_errors_sql(bytes_: int, depth: int) -> str:
+    return f"""SELECT r.id, CASE WHEN m.size > {bytes_} THEN 'too_large' WHEN m.depth > {depth} THEN 'too_deep' END AS error
+        FROM (SELECT * FROM cur_runs WHERE document IS NULL OR NOT json_valid(document) OR json_type(document) <> 'VARCHAR') r
+        LEFT JOIN ({_measures("$.input", "json_valid(document) AND json_type(document) = 'OBJECT' AND json_exists(document, '$.input')")}) m ON m.run_id = r.id"""
+
+
+def _not_twice(s, d):
+    """Runs but those whose document is encoded twice, which their SQL cannot look into."""
+    twice = F.coalesce(F.startswith(F.ltrim("document"), F.lit('"')) & F.try_parse_json("document").isNotNull(), F.lit(False))
+    return c.current_runs(s, d, "document").where(~twice)
+
+
+@own.add("run_input_errors", _input_errors_sql(60, 1))
 def run_input_errors(s, d):
-    return c.current_runs(s, d, "document").select("id", scalars.input_errors(F.col("document")).alias("error"))
+    """Inputs that break limits so small that those of the tables do."""
+    return _not_twice(s, d).select("id", scalars.input_errors(60, 1)(F.col("document")).alias("error"))
+
+
+@own.add("run_submission", f"SELECT id, coalesce(error, 'accepted') AS outcome FROM ({_input_errors_sql(1 << 20, 64)})")
+def run_submission(s, d):
+    """Every run submitted again: its input is tested by the limits of submissions before it is accepted."""
+    return _not_twice(s, d).select("id", F.coalesce(scalars.input_errors()(F.col("document")), F.lit("accepted")).alias("outcome"))
 
 
-@own.add("json_measures")
+@own.add("json_measures", f"SELECT r.id, m.depth, m.size FROM cur_runs r LEFT JOIN ({_measures('$', 'json_valid(document)')}) m ON m.run_id = r.id")
 def json_measures(s, d):
     return c.current_runs(s, d, "document").select("id", scalars.json_measures(F.col("document")).alias("m")).select("id", "m.depth", "m.size")
 
@@ -928,6 +1046,17 @@ def expr_errors(s, d):
     return rows.select("id", value["text"].alias("result"), value["error"].alias("error"))
 
 
+@own.add(
+    "expr_not",
+    """SELECT id, CASE WHEN t = 'BOOLEAN' THEN (NOT (doc->>'$.input.probe')::BOOLEAN)::VARCHAR END AS result, CASE WHEN t = 'BOOLEAN' THEN NULL ELSE 'type mismatch: ! requires boolean operand' END AS error
+       FROM (SELECT id, doc, json_type(doc, '$.input.probe') AS t FROM (SELECT id, document::JSON AS doc FROM cur_runs WHERE json_valid(document) AND json_type(document) = 'OBJECT'))""",
+)
+def expr_not(s, d):
+    rows = c.current_runs(s, d, "tenant", "document").where(F.get_json_object("document", "$.id").isNotNull())
+    value = compile_expression(Op("not", (Variable("run.input.probe"),)), _context())
+    return rows.select("id", value["text"].alias("result"), value["error"].alias("error"))
+
+
 @own.add(
     "template_render",
     """SELECT id, '{"days": ' || (doc->>'$.input.window.days')::DOUBLE::VARCHAR || ', "list": [' || coalesce(doc->>'$.input.probe', 'null') || '], "text": "from ' || (doc->>'$.input.window.from') || ' by ' || tenant || '"}' AS result,
@@ -977,19 +1106,69 @@ def artifact_roundtrip(s, d):
     "prometheus_text",
     f"""WITH h AS (SELECT b::DOUBLE::VARCHAR AS le, (SELECT count(*) FROM cur_runs WHERE finished_at_ms >= started_at_ms AND (finished_at_ms - started_at_ms) / 1000.0::DOUBLE <= b) AS n
         FROM (SELECT unnest({_BOUNDS}) AS b) UNION ALL SELECT '+Inf', count(*) FROM cur_runs WHERE finished_at_ms >= started_at_ms)
-        SELECT 'run_duration_seconds_bucket' AS name, le AS label, i AS line_no, CASE i WHEN 0 THEN '# HELP weftline_run_duration_seconds_bucket Run execution duration in seconds.'
+        SELECT 'run_duration_seconds_bucket' AS name, le AS label, i AS line_no, CASE i WHEN 0 THEN '# HELP weftline_run_duration_seconds_bucket How long runs took, in seconds'
           WHEN 1 THEN '# TYPE weftline_run_duration_seconds_bucket histogram' ELSE 'weftline_run_duration_seconds_bucket{{le="' || le || '"}} ' || n END AS line FROM h, (SELECT unnest([0, 1, 2]) AS i)""",
 )
 def prometheus_text(s, d):
     runs = c.current_runs(s, d, "status", "started_at_ms", "finished_at_ms")
     histogram = relational.cumulative_histogram(runs, (F.col("finished_at_ms") - F.col("started_at_ms")) / 1000)
     metrics = histogram.select(
-        F.lit("run_duration_seconds_bucket").alias("name"), F.lit("histogram").alias("kind"), F.lit("Run execution duration in seconds.").alias("help"),
+        F.lit("run_duration_seconds_bucket").alias("name"), F.lit("histogram").alias("kind"), F.lit("How long runs took, in seconds").alias("help"),
         F.col("le").alias("label"), F.col("n").cast("string").alias("value"),
     )
     return files.metrics_text(metrics, "weftline")
 
 
+#: Counters and gauges: name, kind, help, and its number in SQL.
+_METRICS = [
+    ("workflow_creations_total", "counter", "Definitions that were stored", "(SELECT count(*) FROM (SELECT DISTINCT tenant, name, version FROM workflows))"),
+    ("run_submissions_total", "counter", "Runs that were accepted", "(SELECT count(DISTINCT id) FROM runs)"),
+    ("run_cancellations_total", "counter", "Runs that were cancelled", "(SELECT count(*) FROM cur_runs WHERE status = 'cancelled')"),
+    ("dispatches_total", "counter", "Attempts that were dispatched", "(SELECT coalesce(sum(attempts), 0)::BIGINT FROM cur_runs)"),
+    ("watch_terminals_total", "counter", "Ends of runs the watcher saw", "(SELECT count(*) FROM cur_runs WHERE status IN ('succeeded', 'failed', 'timedout', 'cancelled') AND finished_at_ms IS NOT NULL)"),
+    ("event_deliveries_total", "counter", "Deliveries that were tried", "(SELECT coalesce(sum(attempts), 0)::BIGINT FROM outbox)"),
+    ("event_deliveries_ok_total", "counter", "Deliveries that went through", "(SELECT count(*) FROM outbox WHERE status = 'delivered')"),
+    ("reaped_runs_total", "counter", "Old runs that were deleted", "(SELECT count(DISTINCT id) FROM runs WHERE deleted_at IS NOT NULL)"),
+    ("lease_renewals_total", "counter", "Leases that are live", f"(SELECT count(*) FROM queue_entries WHERE lease_until_ms > {NOW_MS})"),
+    ("queue_depth", "gauge", "Entries in the queue", "(SELECT count(*) FROM queue_entries)"),
+    ("workflows", "gauge", "Definitions that stand", "(SELECT count(*) FROM cur_defs)"),
+    ("runs", "gauge", "Runs that are stored", "(SELECT count(*) FROM cur_runs)"),
+    ("uptime_seconds", "gauge", "Seconds since the start", "86400::BIGINT"),
+]
+
+
+@own.add(
+    "prometheus_counters",
+    "SELECT name, i AS line_no, CASE i WHEN 0 THEN '# HELP weftline_' || name || ' ' || help WHEN 1 THEN '# TYPE weftline_' || name || ' ' || kind ELSE 'weftline_' || name || ' ' || n END AS line FROM ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, '{kind}' AS kind, '{about}' AS help, {sql} AS n" for name, kind, about, sql in _METRICS)
+    + "), (SELECT unnest([0, 1, 2]) AS i)",
+)
+def prometheus_counters(s, d):
+    """All counters and gauges as text; each comes from one aggregate of its table."""
+    runs, stored = c.current_runs(s, d, "status", "attempts", "finished_at_ms"), table(s, d, "runs")
+    status = F.col("status")
+    per_table = [
+        table(s, d, "workflows").select(*DEF_KEY).distinct().agg(F.count("*").alias("workflow_creations_total")),
+        stored.agg(F.count_distinct("id").alias("run_submissions_total"), F.count_distinct(F.when(F.col("deleted_at").isNotNull(), F.col("id"))).alias("reaped_runs_total")),
+        runs.agg(
+            F.count_if(status == "cancelled").alias("run_cancellations_total"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("dispatches_total"),
+            F.count_if(status.isin(*filters.TERMINAL_RUN) & F.col("finished_at_ms").isNotNull()).alias("watch_terminals_total"), F.count("*").alias("runs"),
+        ),
+        c.outbox(s, d).agg(F.coalesce(F.sum("attempts"), F.lit(0)).alias("event_deliveries_total"), F.count_if(status == "delivered").alias("event_deliveries_ok_total")),
+        c.queue_entries(s, d).agg(F.count("*").alias("queue_depth"), F.count_if(F.col("lease_until_ms") > NOW_MS).alias("lease_renewals_total")),
+        c.current_definitions(s, d).agg(F.count("*").alias("workflows")),
+        s.range(1).select(F.lit(86_400).cast("bigint").alias("uptime_seconds")),
+    ]
+    kinds = F.create_map(*[F.lit(x) for name, kind, _, _ in _METRICS for x in (name, kind)])
+    helps = F.create_map(*[F.lit(x) for name, _, about, _ in _METRICS for x in (name, about)])
+    rows = None
+    for one in per_table:
+        long = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").cast("string").alias("value")) for n in one.columns])).alias("m")).select("m.name", "m.value")
+        rows = long if rows is None else rows.unionByName(long)
+    metrics = rows.select("name", kinds[F.col("name")].alias("kind"), helps[F.col("name")].alias("help"), F.lit(None).cast("string").alias("label"), "value")
+    return files.metrics_text(metrics, "weftline").select("name", "line_no", "line")
+
+
 @own.add(
     "watcher_events",
     f"""SELECT DISTINCT CASE WHEN status = 'running' THEN 0 ELSE 1 END AS phase, CASE WHEN status = 'running' THEN started_at_ms ELSE finished_at_ms END AS at_ms, id AS run_id,
@@ -1001,13 +1180,22 @@ def watcher_events(s, d):
     return pipelines.drain(changed, "watcher").select("phase", "at_ms", "run_id", "kind").distinct()
 
 
-@own.add("stream_dedup", "SELECT DISTINCT run_id, kind FROM run_events")
+@own.add("stream_dedup", "SELECT DISTINCT run_id, lower(kind) AS kind FROM run_events")
 def stream_dedup(s, d):
     first = pipelines.first_deliveries(pipelines.read_stream(s, f"{d}/run_events.parquet"))
     return pipelines.drain(first.select("run_id", "kind", "event_time"), "dedup").select("run_id", "kind")
 
 
-@own.add("batch_windows", "SELECT kind, (epoch_us(date_trunc('hour', received_at)) // 1000)::BIGINT AS hour_ms, count(*) AS n FROM run_events GROUP BY 1, 2")
+@own.add(
+    "late_events",
+    "SELECT count(*) AS n FROM (SELECT received_at, max(received_at) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM run_events) WHERE epoch_us(received_at) < epoch_us(before) - 86400000000",
+)
+def late_events(s, d):
+    """How many events a watermark of a day may drop."""
+    return pipelines.too_late(table(s, d, "run_events"), 86_400)
+
+
+@own.add("batch_windows", "SELECT lower(kind) AS kind, (epoch_us(date_trunc('hour', received_at)) // 1000)::BIGINT AS hour_ms, count(*) AS n FROM run_events GROUP BY 1, 2")
 def batch_windows(s, d):
     counted = pipelines.hourly_counts(table(s, d, "run_events"))
     return counted.select("kind", F.unix_millis("w.start").alias("hour_ms"), "n")

@@ -46,10 +46,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def first_deliveries(events: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """One event for each (run_id, kind) within the watermark's delay of the first."""
-    timed = events.withColumn("event_time", F.col("received_at").cast("timestamp"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["run_id", "kind"])
+def timed(events: DataFrame) -> DataFrame:
+    """Received messages with event_time, and kind in small letters."""
+    return events.withColumns({"event_time": F.col("received_at").cast("timestamp"), "kind": F.lower("kind")})
+
+
+def first_deliveries(events: DataFrame, delay: str = "30 days") -> DataFrame:
+    """One event for each (run_id, kind, in any letter case) within delay of the first. State is kept for delay only, and
+    events that come later than that behind the newest are dropped by the watermark; too_late counts them beside it."""
+    return timed(events).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["run_id", "kind"])
 
 
 def change_events(runs: DataFrame, started_after_ms: int, finished_after_ms: int) -> DataFrame:
@@ -67,11 +72,19 @@ def change_events(runs: DataFrame, started_after_ms: int, finished_after_ms: int
     )
 
 
-def hourly_counts(events: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """Tumbling counts per kind; late rows beyond the delay are dropped by the watermark."""
-    timed = events.withColumn("event_time", F.col("received_at").cast("timestamp"))
+def hourly_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Tumbling counts per kind; a window of a stream comes out once it lies delay behind the newest event."""
     window = F.window("event_time", "1 hour").alias("w")
-    return timed.withWatermark("event_time", delay).groupBy(window, "kind").agg(F.count("*").alias("n"))
+    return timed(events).withWatermark("event_time", delay).groupBy(window, "kind").agg(F.count("*").alias("n"))
+
+
+def too_late(events: DataFrame, delay_s: int) -> DataFrame:
+    """(n) events of a table that, in order of seq, come more than a delay behind the newest one before them: what a
+    watermark of that delay may drop. Ranges of seq are looked at on their own, each after the newest event of those before."""
+    from weftline.operators.relational import ranges_before
+
+    rows = timed(events).select("seq", F.unix_micros("event_time").alias("at"))
+    return ranges_before(rows, "seq", "at").agg(F.count_if(F.col("at") < F.col("before") - delay_s * 1_000_000).alias("n"))
 
 
 def limited_stream(requests: DataFrame, capacity: float, rate_per_s: float) -> DataFrame:
