@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import shuffle_partitions
+from weftline.session import cut_lineage, shuffle_partitions
 
 _STATE = (
     "key_column STRING, key_value STRING, pid INT, n BIGINT, first_ms BIGINT, last_ms BIGINT, max_gap BIGINT, "
@@ -144,6 +144,8 @@ def per_key_profile(runs: DataFrame, key_columns: list[str]) -> DataFrame:
 
 def heavy_keys(profile: DataFrame, share: int = 25) -> DataFrame:
     """(key_column, key_value) of the values with at least 1/share of all rows; null is no value."""
+    # The profile, a row a key, is used twice; the rows behind it are folded once.
+    profile = cut_lineage(profile)
     totals = profile.groupBy("key_column").agg(F.sum("n_rows").alias("total"))
     # One row per key column, of which there are as many as the caller named.
     return (
