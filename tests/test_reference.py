@@ -227,7 +227,7 @@ def test_every_end_of_a_run_releases_its_permit(spark):
 def test_attempts(spark):
     doc = json.dumps({"tasks": [{"name": "a", "handler": "x.ok"}, {"name": "b", "handler": "x.bad", "depends_on": ["a"]}, {"name": "c", "handler": "x.ok", "depends_on": ["b"]}], "retry": {"max_attempts": 2}})
     df = spark.createDataFrame([("1", doc, None, 0, False), ("2", doc, None, 1, False), ("3", doc, '{"b": "succeeded"}', 0, False), ("4", doc, None, 0, True), ("5", None, None, 0, False)], "id STRING, document STRING, states STRING, attempts INT, overdue BOOLEAN")
-    got = {r.id: tuple(r)[1:] for r in lifecycle.simulate_attempts(df, lambda h: h.endswith("bad")).collect()}
+    got = {r.id: tuple(r)[1:4] for r in lifecycle.simulate_attempts(df, lambda h: h.endswith("bad")).collect()}
     assert got == {"1": ("queued", "b", "release"), "2": ("failed", "b", "ack"), "3": ("succeeded", "", "ack"), "4": ("timedout", "", "ack"), "5": ("definition_lost", "", "ack")}
 
 
@@ -237,7 +237,12 @@ def test_attempts_of_tasks(spark):
     once = json.dumps({"tasks": [{"name": "b", "handler": "x.bad", "retry": {"max_attempts": 1}}], "retry": {"max_attempts": 3}})
     runs = spark.createDataFrame([("1", doc, 0), ("2", doc, 0), ("3", doc, 0), ("4", once, 0), ("5", doc, 2)], "id STRING, document STRING, attempts INT").withColumn("overdue", F.lit(False))
     tasks = spark.createDataFrame([("1", "b", "failed", 3), ("2", "b", "failed", 4), ("3", "c", "failed", 3), ("5", "c", "failed", 2), ("5", "b", "succeeded", 1)], "run_id STRING, task_name STRING, status STRING, attempts INT")
-    got = {r.id: tuple(r)[1:] for r in lifecycle.simulate_attempts(graph.run_states(runs, tasks), lambda h: h.endswith("bad")).collect()}
+    done = lifecycle.simulate_attempts(graph.run_states(runs, tasks.withColumn("last_error", F.concat(F.lit("no "), "task_name"))), lambda h: h.endswith("bad")).collect()
+    got = {r.id: tuple(r)[1:4] for r in done}
+    # 2 and 4 failed now, c of 3 before; 1 waits for the first delay of the default policy.
+    assert {r.id: tuple(r)[4:] for r in done} == {
+        "1": (1000, None, None), "2": (None, "b", "x.bad failed"), "3": (None, "b", "x.bad failed"), "4": (None, "b", "x.bad failed"), "5": (None, None, None)
+    }
     # 2 uses up b's last one, c of 3 is not run again, 4 has one try by its own retry, and c of 5 runs once more and succeeds.
     assert got == {"1": ("queued", "b", "release"), "2": ("failed", "b", "ack"), "3": ("failed", "b,c", "ack"), "4": ("failed", "b", "ack"), "5": ("succeeded", "", "ack")}
 

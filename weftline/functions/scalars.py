@@ -172,6 +172,25 @@ def json_size(value) -> int:
     return total
 
 
+@F.pandas_udf(T.StringType())
+def _innermost(texts: pd.Series) -> pd.Series:
+    def inner(text: str | None) -> str | None:
+        while text is not None and text.lstrip()[:1] == '"':
+            try:
+                text = json.loads(text)
+            except ValueError:
+                return None
+        return text
+
+    return texts.map(inner)
+
+
+def unwrapped(document: Column) -> Column:
+    """The text of a JSON document that may be encoded twice or more; only such texts go through Python."""
+    quoted = F.startswith(F.ltrim(document), F.lit('"'))
+    return F.when(quoted, _innermost(F.when(quoted, document))).otherwise(document)
+
+
 @F.pandas_udf(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("size", T.LongType())]))
 def json_measures(texts: pd.Series) -> pd.DataFrame:
     """Depth and approximate size of a JSON text; null if it cannot be read."""

@@ -230,6 +230,12 @@ def dry_runs(documents: DataFrame, keys: list[str]) -> DataFrame:
     return per_definition(documents, keys, rows, schema)
 
 
+def definition_warnings(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., task, reference, kind) of references to outputs that a task cannot have."""
+    rows = lambda records, graph, _: [] if graph_error(graph) else reference_warnings(records, graph)
+    return per_definition(documents, keys, rows, "task STRING, reference STRING, kind STRING")
+
+
 def transitive_dependencies(documents: DataFrame, keys: list[str]) -> DataFrame:
     def rows(records, graph, _):
         return [] if graph_error(graph) else [(t, a) for t, above in ancestors(graph).items() for a in above]
@@ -319,12 +325,12 @@ def run_states(runs_with_documents: DataFrame, task_runs: DataFrame) -> DataFram
     as JSON.
 
     runs_with_documents has (id, document). States are gathered per run, of which there are as many as it has tasks; of several states of a task the greatest
-    name holds, and the greatest attempts. Without attempts in task_runs there are no task_attempts.
+    name holds, and the greatest attempts and error. What task_runs does not have is not there: task_attempts, task_errors.
     """
-    values = [c for c in ("status", "attempts") if c in task_runs.columns]
+    values = [c for c in ("status", "attempts", "last_error") if c in task_runs.columns]
     one = task_runs.groupBy("run_id", "task_name").agg(*[F.max(c).alias(c) for c in values])
     gathered = lambda c: F.to_json(F.map_from_entries(F.collect_list(F.struct("task_name", c))))
-    names = {"status": "states", "attempts": "task_attempts"}
+    names = {"status": "states", "attempts": "task_attempts", "last_error": "task_errors"}
     states = one.groupBy("run_id").agg(*[gathered(c).alias(names[c]) for c in values])
     return runs_with_documents.join(states, runs_with_documents["id"] == states["run_id"], "left").drop("run_id")
 

@@ -235,36 +235,51 @@ def permit_events(events: DataFrame) -> DataFrame:
 
 
 def simulate_attempts(runs: DataFrame, handler_fails: Callable[[str], bool]) -> DataFrame:
-    """(id, outcome, failed_tasks, action) of one attempt of each run (id, document, states, task_attempts, attempts, overdue).
+    """(id, outcome, failed_tasks, action, release_after_ms, error_task, error_message) of one attempt of each run (id, document,
+    states, task_attempts, attempts, overdue).
 
     One pass over the ready tasks until none is left, then what can no longer run is skipped. A task skipped before
     stays skipped, and a failed one without attempts left is not run again. The run goes back into the queue if it and each
-    failed task have attempts left, a task by its own retry or else the definition's. Without task_attempts (JSON), tasks
-    have had none.
+    failed task have attempts left, a task by its own retry or else the definition's or the default. It is released after the
+    delay of the definition's policy before jitter; a run that fails for good has the message of its first failing task,
+    from task_errors (JSON) if it was not run again. Without task_attempts (JSON), tasks have had none.
     """
     import json
 
+    from weftline.functions.scalars import MOST_BACKOFF_MS
     from weftline.operators.structural import read_document
-    from weftline.operators.graph import graph_error, ready_tasks, skip_closure, tasks_of
+    from weftline.operators.graph import RETRY_DEFAULTS, graph_error, ready_tasks, skip_closure, tasks_of, timeout_ms
 
     def budget(holder):
         retry = holder.get("retry") if isinstance(holder.get("retry"), dict) else {}
         return next((retry[k] for k in ("max_attempts", "maxAttempts", "tries") if isinstance(retry.get(k), int)), None)
 
-    def one(document, states, tried, attempts, overdue):
+    def delay(retry, index):
+        retry = retry if isinstance(retry, dict) else {}
+        first = lambda *names: next((retry[k] for k in names if retry.get(k) is not None), None)
+        span = lambda default, *names: default if (x := first(*names)) is None else timeout_ms(x)
+        base = span(RETRY_DEFAULTS["base_delay_ms"], "base_delay_ms", "initial_delay_ms", "baseDelayMs")
+        most = min(span(RETRY_DEFAULTS["max_delay_ms"], "max_delay_ms", "maxDelayMs"), MOST_BACKOFF_MS)
+        grows = first("multiplier")
+        grows = grows if isinstance(grows, (int, float)) else RETRY_DEFAULTS["multiplier"]
+        kind = first("backoff") or "exponential"
+        grown = base + base * (grows - 1) * index // 1 if kind == "linear" and grows > 1 else base * grows**index if kind == "exponential" and grows > 1 else base
+        return max(int(min(grown, most)), base)
+
+    def one(document, states, tried, attempts, overdue, errors):
         value = read_document(document)
         if not isinstance(value, dict):
-            return "definition_lost", "", "ack"
+            return "definition_lost", "", "ack", None, None, None
         if overdue:
-            return "timedout", "", "ack"
+            return "timedout", "", "ack", None, None, None
         records, graph = tasks_of(value)
         if graph_error(graph):
-            return "invalid_definition", "", "ack"
+            return "invalid_definition", "", "ack", None, None, None
         now = {t: "pending" for t in graph} | (json.loads(states) if states else {})
         handlers = {str(t.get("name")): str(t.get("handler") or t.get("handler_id") or t.get("uses")) for t in records}
         had = json.loads(tried) if tried else {}
         most = budget(value)
-        most = 1 if most is None else most
+        most = RETRY_DEFAULTS["max_attempts"] if most is None else most
         own = {}
         for t in records:
             own.setdefault(str(t.get("name")), budget(t))
@@ -281,15 +296,18 @@ def simulate_attempts(runs: DataFrame, handler_fails: Callable[[str], bool]) ->
         now = skip_closure(graph, now)
         failed = sorted(t for t, s in now.items() if s == "failed")
         if not failed:
-            return "succeeded", "", "ack"
-        again = attempts + 1 < most and all(map(left, failed))
-        return ("queued" if again else "failed"), ",".join(failed), ("release" if again else "ack")
+            return "succeeded", "", "ack", None, None, None
+        if attempts + 1 < most and all(map(left, failed)):
+            return "queued", ",".join(failed), "release", delay(value.get("retry"), int(attempts)), None, None
+        message = f"{handlers[failed[0]]} failed" if failed[0] in ran else (json.loads(errors) if errors else {}).get(failed[0])
+        return "failed", ",".join(failed), "ack", None, failed[0], message or "task failed"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *one(*r)) for i, *r in zip(b["id"], b["document"], b["states"], b["task_attempts"], b["attempts"], b["overdue"])]
-            yield pd.DataFrame(rows, columns=["id", "outcome", "failed_tasks", "action"])
+            rows = [(i, *one(*r)) for i, *r in zip(*(b[c] for c in ("id", "document", "states", "task_attempts", "attempts", "overdue", "task_errors")))]
+            names = ["id", "outcome", "failed_tasks", "action", "release_after_ms", "error_task", "error_message"]
+            yield pd.DataFrame(rows, columns=names).astype({"release_after_ms": "Int64"})
 
-    tried = F.col("task_attempts") if "task_attempts" in runs.columns else F.lit(None).cast("string").alias("task_attempts")
-    chosen = runs.select("id", "document", "states", tried, "attempts", "overdue")
-    return chosen.mapInPandas(run, "id STRING, outcome STRING, failed_tasks STRING, action STRING")
+    given = lambda c: F.col(c) if c in runs.columns else F.lit(None).cast("string").alias(c)
+    chosen = runs.select("id", "document", "states", given("task_attempts"), "attempts", "overdue", given("task_errors"))
+    return chosen.mapInPandas(run, "id STRING, outcome STRING, failed_tasks STRING, action STRING, release_after_ms BIGINT, error_task STRING, error_message STRING")

@@ -57,6 +57,7 @@ VIEWS = {
         CASE user_id % 4 WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'token' ELSE 'anonymous' END AS actor_kind,
         event_type AS action_name, CASE WHEN event_id % 10 = 0 THEN 'failure' WHEN event_id % 10 = 1 THEN 'denied' ELSE 'success' END AS status,
         CASE WHEN value > 10 THEN 'run' ELSE 'workflow' END AS resource_type, user_id::VARCHAR AS resource_id FROM events""",
+    "run_docs": """SELECT *, CASE WHEN json_valid(document) AND json_type(document) = 'VARCHAR' THEN json_extract_string(document, '$') ELSE document END AS doc_text FROM cur_runs""",
     "queue_entries": """SELECT id AS run_id, CASE WHEN status = 'running' THEN 'ct_' || substr(id, 4, 6) ELSE '' END AS token,
         coalesce(next_attempt_at_ms, created_at_ms) AS due_at_ms,
         CASE WHEN status = 'running' THEN started_at_ms + 2000000000 END AS lease_until_ms,
@@ -86,6 +87,13 @@ def current_runs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest_per_key(table(spark, d, "runs"), ["id"], ["loaded_at"], ["id", "deleted_at", *columns]).where("deleted_at IS NULL").drop("deleted_at")
 
 
+def run_documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Runs as they stand with their document, its outer encodings removed."""
+    from weftline.functions.scalars import unwrapped
+
+    return current_runs(spark, d, "document", *columns).withColumn("document", unwrapped(F.col("document")))
+
+
 def current_tasks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest_per_key(table(spark, d, "task_runs"), ["id"], ["loaded_at"], ["id", *columns])
 

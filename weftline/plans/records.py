@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.handlers import with_builtins
+from weftline.functions.scalars import unwrapped
 from weftline.operators import filters, graph, lifecycle
+from weftline.operators.relational import status_bucket
 from weftline.plans import catalogue as c
 from weftline.plans.catalogue import NOW_MS, Catalogue
 from weftline.plans.reference import DEF_KEY, RUN_EDGES
@@ -25,20 +27,51 @@ DEFAULT_TIMEOUT_MS = 60_000
     "spec_defaults",
     """SELECT DISTINCT tenant, name, version, coalesce(doc->>'$.description', doc->>'$.summary', doc->>'$.desc', '') AS description,
        coalesce(try_cast(coalesce(doc->>'$.timeout_ms', doc->>'$.timeoutMs', doc->>'$.deadline_ms') AS BIGINT), 60000) AS timeout_ms,
-       coalesce(doc->>'$.default_priority', doc->>'$.defaultPriority', doc->>'$.priority', 'normal') AS priority
-       FROM (SELECT tenant, name, version, document::JSON AS doc FROM workflows WHERE json_valid(document) AND json_type(document) = 'OBJECT')""",
+       coalesce(doc->>'$.default_priority', doc->>'$.defaultPriority', doc->>'$.priority', 'normal') AS priority, coalesce(try_cast(doc->>'$.version' AS INT), 1) AS own_version,
+       CASE json_type(doc, '$.meta') WHEN 'OBJECT' THEN len(json_keys(doc, '$.meta')) ELSE 0 END::INT AS n_meta,
+       coalesce(len(list_filter(json_extract(doc, '$.tasks[*]'), lambda t: coalesce(json_type(t, '$.input'), 'NULL') = 'NULL')), 0)::INT AS default_inputs
+       FROM (SELECT tenant, name, version, doc::JSON AS doc FROM defs_read WHERE json_valid(doc) AND json_type(doc) = 'OBJECT')""",
 )
 def spec_defaults(s, d):
-    """Definitions with their defaults, whatever a file calls the fields; documents encoded twice are not looked into."""
-    field = lambda *names: F.coalesce(*[F.get_json_object("document", f"$.{n}") for n in names])
-    rows = table(s, d, "workflows").where(F.try_parse_json("document").isNotNull() & F.get_json_object("document", "$.id").isNotNull())
+    """Definitions with their defaults, whatever a file calls the fields: text, timeout, priority, version, an empty map of
+    metadata, and an empty input for each task without one (default_inputs counts them)."""
+    text = F.col("document")
+    field = lambda *names: F.coalesce(*[F.get_json_object(text, f"$.{n}") for n in names])
+    rows = table(s, d, "workflows").withColumn("document", unwrapped(text)).where(F.try_parse_json(text).isNotNull() & F.startswith(F.ltrim(text), F.lit("{")))
+    tasks = F.from_json(F.get_json_object(text, "$.tasks"), "array<struct<input: string>>")
     return rows.select(
         *DEF_KEY, F.coalesce(field("description", "summary", "desc"), F.lit("")).alias("description"),
         F.coalesce(field("timeout_ms", "timeoutMs", "deadline_ms").try_cast("bigint"), F.lit(DEFAULT_TIMEOUT_MS)).alias("timeout_ms"),
         F.coalesce(field("default_priority", "defaultPriority", "priority"), F.lit("normal")).alias("priority"),
+        F.coalesce(field("version").try_cast("int"), F.lit(1)).alias("own_version"),
+        F.coalesce(F.size(F.json_object_keys(F.get_json_object(text, "$.meta"))), F.lit(0)).alias("n_meta"),
+        F.coalesce(F.size(F.filter(tasks, lambda t: t["input"].isNull())), F.lit(0)).alias("default_inputs"),
     ).distinct()
 
 
+@own.add(
+    "effective_retries",
+    f"""SELECT DISTINCT tenant, name, version, value->>'$.name' AS task,
+          coalesce({", ".join(f"try_cast(value->>'$.retry.{k}' AS INT)" for k in ("max_attempts", "maxAttempts", "tries"))}, {", ".join(f"try_cast(doc->>'$.retry.{k}' AS INT)" for k in ("max_attempts", "maxAttempts", "tries"))}, 3) AS max_attempts
+        FROM (SELECT tenant, name, version, doc::JSON AS doc FROM defs_read WHERE json_valid(doc)), json_each(doc, '$.tasks') WHERE type = 'OBJECT'""",
+)
+def effective_retries(s, d):
+    """Of each task the attempts its own retry policy allows, else its definition's, else the default."""
+
+    def attempts(holder):
+        retry = holder.get("retry") if isinstance(holder.get("retry"), dict) else {}
+        found = (retry.get(k) for k in ("max_attempts", "maxAttempts", "tries"))
+        return next((int(x) for x in found if isinstance(x, (int, str)) and str(x).isdigit()), None)
+
+    def rows(records, _, value):
+        whole = attempts(value)
+        for t in records:
+            mine = attempts(t)
+            yield str(t.get("name")), mine if mine is not None else whole if whole is not None else graph.RETRY_DEFAULTS["max_attempts"]
+
+    return graph.per_definition(table(s, d, "workflows"), DEF_KEY, rows, "task STRING, max_attempts INT").distinct()
+
+
 _WHOLE = "coalesce(" + ", ".join(f"try_cast(doc->>'$.{k}' AS BIGINT)" for k in ("timeout_ms", "timeoutMs", "deadline_ms")) + f", {DEFAULT_TIMEOUT_MS})"
 
 
@@ -70,6 +103,13 @@ def envelopes(s, d):
     return c.current_runs(s, d, "status").select("id", body.alias("body"))
 
 
+@own.add("envelope_pretty", """SELECT id, '{\n  "specVersion" : 1,\n  "data" : {\n    "id" : "' || id || '",\n    "status" : "' || status || '"\n  }\n}' AS body FROM cur_runs""")
+def envelope_pretty(s, d):
+    """Envelopes as they are shown to people."""
+    body = F.to_json(F.struct(F.lit(1).alias("specVersion"), F.struct("id", "status").alias("data")), {"pretty": "true"})
+    return c.current_runs(s, d, "status").select("id", body.alias("body"))
+
+
 @own.add("health_view", f"SELECT 'ok' AS status, {NOW_MS - 86_400_000}::BIGINT AS booted_at_ms, {NOW_MS}::BIGINT AS now_ms, count(*) AS queue_depth, 1 AS spec_version FROM queue_entries")
 def health_view(s, d):
     return c.queue_entries(s, d).agg(F.count("*").alias("queue_depth")).select(
@@ -99,10 +139,10 @@ def status_labels(s, d):
     return counted.select("status", F.when(status == "timedout", "timed out").otherwise(status).alias("label"), status.isin(*filters.TERMINAL_RUN).alias("terminal"), "n")
 
 
-@own.add("recent_runs", "SELECT id, coalesce(finished_at_ms, created_at_ms) AS finished_ms FROM cur_runs ORDER BY created_at_ms DESC, id LIMIT 20")
+@own.add("recent_runs", "SELECT id, coalesce(finished_at_ms, created_at_ms) AS finished_ms, CASE WHEN status IN ('succeeded', 'running', 'queued') THEN status ELSE 'failed' END AS badge FROM cur_runs ORDER BY created_at_ms DESC, id LIMIT 20")
 def recent_runs(s, d):
-    rows = filters.RunFilter(limit=20).page(c.current_runs(s, d, "created_at_ms", "finished_at_ms"))
-    return rows.select("id", F.coalesce("finished_at_ms", "created_at_ms").alias("finished_ms"))
+    rows = filters.RunFilter(limit=20).page(c.current_runs(s, d, "created_at_ms", "finished_at_ms", "status"))
+    return rows.select("id", F.coalesce("finished_at_ms", "created_at_ms").alias("finished_ms"), status_bucket(F.col("status")).alias("badge"))
 
 
 @own.add("definitions_lost", "SELECT r.id FROM cur_runs r ANTI JOIN cur_defs w ON r.tenant = w.tenant AND r.def_name = w.name")
@@ -175,6 +215,25 @@ def event_transitions(s, d):
     return counted.join(F.broadcast(edges), "status", "left").select("status", F.coalesce("legal", F.lit(False)).alias("legal"), "n")  # the edge table
 
 
+_REACHED = ", ".join(f"('{a}', '{b}')" for a, b in RUN_EDGES)
+
+
+@own.add(
+    "transition_apply",
+    f"""SELECT id, from_state, to_state, CASE WHEN from_state = to_state THEN 'same' WHEN (from_state, to_state) IN ({_REACHED}) THEN 'applied' ELSE 'rejected' END AS outcome,
+          CASE WHEN (from_state, to_state) IN ({_REACHED}) THEN to_state ELSE from_state END AS state
+        FROM (SELECT r.id, r.status AS from_state, e.status AS to_state FROM cur_runs r JOIN (SELECT run_id, arg_max(status, seq) AS status FROM run_events GROUP BY 1) e ON e.run_id = r.id)""",
+)
+def transition_apply(s, d):
+    """The state of each run after the state its last event reports was applied to it: illegal steps leave it as it is."""
+    last = table(s, d, "run_events").groupBy("run_id").agg(F.max_by("status", "seq").alias("to_state"))
+    runs = c.current_runs(s, d, "status").withColumnsRenamed({"id": "run_id", "status": "from_state"}).join(last, "run_id")
+    edges = s.createDataFrame([(a, b, True) for a, b in RUN_EDGES], "from_state STRING, to_state STRING, legal BOOLEAN")
+    both = runs.join(F.broadcast(edges), ["from_state", "to_state"], "left")  # the edge table
+    outcome = F.when(F.col("from_state") == F.col("to_state"), "same").when(F.col("legal"), "applied").otherwise("rejected")
+    return both.select(F.col("run_id").alias("id"), "from_state", "to_state", outcome.alias("outcome"), F.when(F.col("legal"), F.col("to_state")).otherwise(F.col("from_state")).alias("state"))
+
+
 @own.add(
     "placeholders",
     r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all('${run.input.' || p_brand || '} ${ meta.' || p_type || ' } ${} ${open', '\$\{([^}]*)\}', 1), lambda x: trim(x)), lambda x: x <> ''))), ',') AS refs FROM part",
@@ -185,10 +244,10 @@ def placeholders(s, d):
     return table(s, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("refs"))
 
 
-@own.add("run_document_codec", "SELECT id, doc->>'$.status' AS status, (doc->>'$.attempts')::INT AS attempts, (doc->>'$.created_at_ms')::BIGINT AS created_at_ms FROM (SELECT id, document::JSON AS doc FROM cur_runs WHERE json_valid(document) AND json_type(document) = 'OBJECT')")
+@own.add("run_document_codec", "SELECT id, doc->>'$.status' AS status, (doc->>'$.attempts')::INT AS attempts, (doc->>'$.created_at_ms')::BIGINT AS created_at_ms FROM (SELECT id, doc_text::JSON AS doc FROM run_docs WHERE json_valid(doc_text) AND json_type(doc_text) = 'OBJECT')")
 def run_document_codec(s, d):
-    """Run documents decoded into typed columns; what cannot be read, or is encoded twice, gives no row."""
-    rows = c.current_runs(s, d, "document").where(F.try_parse_json("document").isNotNull())
+    """Run documents decoded into typed columns; what cannot be read gives no row."""
+    rows = c.run_documents(s, d).where(F.try_parse_json("document").isNotNull())
     parsed = rows.select("id", F.from_json("document", "id STRING, status STRING, attempts INT, created_at_ms BIGINT").alias("r"))
     return parsed.where("r.id IS NOT NULL").select("id", "r.status", "r.attempts", "r.created_at_ms")
 

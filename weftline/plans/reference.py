@@ -233,10 +233,14 @@ def fair_share_order(s, d):
 _KIND = "CASE status WHEN 'succeeded' THEN 'run.succeeded' WHEN 'failed' THEN 'run.failed' WHEN 'timedout' THEN 'run.timed_out' WHEN 'cancelled' THEN 'run.cancelled' END"
 
 
-@own.add("event_docs", f"SELECT {_KIND} AS kind, id AS run_id, tenant, attempts, error.message AS error, {NOW_MS}::BIGINT AS created_at_ms FROM cur_runs WHERE status IN ('succeeded', 'failed', 'timedout', 'cancelled')")
+@own.add("event_docs", f"""SELECT {_KIND} AS kind, id AS run_id, tenant, def_name, def_version, run_number, status, started_at_ms, finished_at_ms, attempts, error.message AS error,
+       CASE WHEN status = 'succeeded' AND json_valid(doc_text) THEN json_exists(doc_text::JSON, '$.output') AND json_type(doc_text::JSON, '$.output') <> 'NULL' ELSE false END AS has_output, {NOW_MS}::BIGINT AS created_at_ms
+       FROM run_docs WHERE status IN ('succeeded', 'failed', 'timedout', 'cancelled')""")
 def event_docs(s, d):
-    columns = "tenant def_name def_version run_number status started_at_ms finished_at_ms attempts error document".split()
-    return relational.event_documents(c.current_runs(s, d, *columns), NOW_MS).select("kind", "run_id", "tenant", "attempts", "error", "created_at_ms")
+    """Events of all runs that are over; whether they have an output stands for it, as its text is written in many ways."""
+    columns = "tenant def_name def_version run_number status started_at_ms finished_at_ms attempts error".split()
+    docs = relational.event_documents(c.run_documents(s, d, *columns), NOW_MS)
+    return docs.withColumn("has_output", F.col("output").isNotNull()).drop("output")
 
 
 @own.add("delivery_ids", f"SELECT id, sha256(tenant || '/' || def_name || '/' || id || '/' || {_KIND}) AS delivery_id FROM cur_runs WHERE status IN ('succeeded', 'failed', 'timedout', 'cancelled')")
@@ -438,6 +442,12 @@ def _swept(s, d):
     return relational.artifact_sweep(c.document_blobs(s, d), active, 1_000_000_000, NOW_MS, ["dag-clinic", "cron-corner"])
 
 
+@own.add("artifact_describe", "SELECT id, arg_max(size_bytes, (created_at_ms, name)) AS size_bytes, max(created_at_ms) AS created_at_ms FROM doc_blobs WHERE id = (SELECT min(id) FROM doc_blobs) GROUP BY 1")
+def artifact_describe(s, d):
+    blobs = c.document_blobs(s, d)
+    return blobs.join(F.broadcast(blobs.agg(F.min("id").alias("id"))), "id").select("id", "size_bytes", "created_at_ms")  # one row
+
+
 @own.add("artifact_purged", f"SELECT id FROM ({_SWEPT}) WHERE gone")
 def artifact_purged(s, d):
     """Ids a sweep over two tenants would purge; nothing is deleted."""
@@ -544,9 +554,59 @@ def transitive_deps(s, d):
     return graph.transitive_dependencies(table(s, d, "workflows"), DEF_KEY).distinct()
 
 
-@own.add("dry_run_report")
+def _with_references(s, d):
+    """Definitions whose tasks refer, in their inputs, to the output of their smallest dependency, of themselves, and of a task
+    that does not exist; the tables have no references."""
+
+    def rows(records, tasks, value):
+        named = [{"name": t, "depends_on": deps, "input": {"a": [f"${{tasks.{x}.output}}" for x in (sorted(deps)[:1] + [t, "ghost"])]}} for t, deps in tasks.items()]
+        yield (structural.written({"name": "x", "tasks": named}),)
+
+    return graph.per_definition(table(s, d, "workflows"), DEF_KEY, rows, "document STRING").distinct()
+
+
+@own.add(
+    "reference_warnings",
+    """SELECT tenant, name, version, task, 'tasks.' || task || '.output' AS reference, 'self' AS kind FROM def_task
+       UNION ALL SELECT tenant, name, version, task, 'tasks.ghost.output', 'unreachable' FROM def_task""",
+)
+def reference_warnings(s, d):
+    """References that a task cannot follow: its own output, and that of a task it does not depend on."""
+    return graph.definition_warnings(_with_references(s, d), DEF_KEY).distinct()
+
+
+@own.add(
+    "variable_references",
+    """SELECT tenant, name, version, array_to_string(list_sort(list_distinct(flatten(list([ 'tasks.' || task || '.output', 'tasks.ghost.output' ] ||
+       CASE WHEN len(deps) > 0 THEN ['tasks.' || list_min(deps) || '.output'] ELSE [] END)))), ',') AS refs FROM def_task GROUP BY 1, 2, 3""",
+)
+def variable_references(s, d):
+    reports = graph.dry_runs(_with_references(s, d), DEF_KEY).where("total_tasks > 0")
+    return reports.select(*DEF_KEY, F.col("variable_references").alias("refs")).distinct()
+
+
+_ORDERS = """whole AS (SELECT tenant, name, version, count(*) AS n FROM def_task GROUP BY 1, 2, 3), placed AS (
+    SELECT tenant, name, version, []::VARCHAR[] AS done FROM whole
+    UNION ALL SELECT p.tenant, p.name, p.version, list_append(any_value(p.done), min(t.task)) FROM placed p JOIN def_task t ON t.tenant = p.tenant AND t.name = p.name AND t.version = p.version
+    WHERE NOT list_contains(p.done, t.task) AND list_has_all(p.done, t.deps) GROUP BY 1, 2, 3)"""
+
+
+@own.add(
+    "dry_run_report",
+    f"""SELECT * FROM (WITH RECURSIVE {_LEVELS}, {_ORDERS},
+        widths AS (SELECT tenant, name, version, count(*)::INT AS n_stages, max(n)::INT AS widest FROM (SELECT tenant, name, version, stage, count(*) AS n FROM stages GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+        back AS (SELECT s.tenant, s.name, s.version, s.stage, min(s.task) AS task FROM stages s JOIN widths w USING (tenant, name, version) WHERE s.stage = w.n_stages - 1 GROUP BY 1, 2, 3, 4
+          UNION ALL SELECT b.tenant, b.name, b.version, b.stage - 1, min(e.dep) FROM back b JOIN def_edge e ON e.tenant = b.tenant AND e.name = b.name AND e.version = b.version AND e.task = b.task
+          JOIN stages s ON s.tenant = e.tenant AND s.name = e.name AND s.version = e.version AND s.task = e.dep AND s.stage = b.stage - 1 GROUP BY 1, 2, 3, 4),
+        paths AS (SELECT tenant, name, version, string_agg(task, ',' ORDER BY stage) AS critical_path FROM back GROUP BY 1, 2, 3)
+        SELECT w.tenant, w.name, w.version, w.n::INT AS total_tasks, NULL::VARCHAR AS error, array_to_string(p.done, ',') AS topo_order, d.n_stages, d.widest AS max_parallelism, c.critical_path,
+          '' AS variable_references, '' AS warnings
+        FROM whole w JOIN placed p ON p.tenant = w.tenant AND p.name = w.name AND p.version = w.version AND len(p.done) = w.n
+        JOIN widths d ON d.tenant = w.tenant AND d.name = w.name AND d.version = w.version JOIN paths c ON c.tenant = w.tenant AND c.name = w.name AND c.version = w.version)""",
+    recursive=True,
+)
 def dry_run_report(s, d):
-    return graph.dry_runs(table(s, d, "workflows"), DEF_KEY)
+    return graph.dry_runs(table(s, d, "workflows"), DEF_KEY).where("total_tasks > 0").distinct()
 
 
 @own.add(
@@ -627,10 +687,41 @@ def skip_closure(s, d):
     return graph.next_states(_run_states(s, d)).select("id", "task", "after")
 
 
-@own.add("attempt_outcomes")
+_TRIES = ", ".join(f"try_cast({{0}}->>'$.retry.{k}' AS INT)" for k in ("max_attempts", "maxAttempts", "tries"))
+_FAILS = "(ends_with(handler, '.fail') OR ends_with(handler, '.fit'))"
+
+
+@own.add(
+    "attempt_outcomes",
+    f"""SELECT * FROM (WITH RECURSIVE {_LEVELS},
+        budget AS (SELECT tenant, name, version, value->>'$.name' AS task, max(coalesce({_TRIES.format("value")}, {_TRIES.format("doc")}, 3)) AS most_task, max(coalesce({_TRIES.format("doc")}, 3)) AS most
+          FROM (SELECT tenant, name, version, doc::JSON AS doc FROM defs_read WHERE json_valid(doc)), json_each(doc, '$.tasks') WHERE type = 'OBJECT' GROUP BY 1, 2, 3, 4),
+        base AS (SELECT r.id, r.attempts AS tried, coalesce(r.deadline_at_ms < {NOW_MS}, false) AS overdue, t.task, t.handler, t.deps, g.stage, coalesce(k.status, 'pending') AS status,
+            coalesce(k.attempts, 0) < b.most_task AS has_left, coalesce(k.attempts, 0) + 1 < b.most_task AS keeps_left, b.most
+          FROM cur_runs r JOIN def_task t ON t.tenant = r.tenant AND t.name = r.def_name AND t.version = r.def_version
+          JOIN stages g ON g.tenant = t.tenant AND g.name = t.name AND g.version = t.version AND g.task = t.task
+          JOIN budget b ON b.tenant = t.tenant AND b.name = t.name AND b.version = t.version AND b.task = t.task
+          LEFT JOIN (SELECT run_id, task_name, max(status) AS status, max(attempts) AS attempts FROM cur_tasks GROUP BY 1, 2) k ON k.run_id = r.id AND k.task_name = t.task WHERE r.status = 'running'),
+        walk AS (SELECT DISTINCT id, 0 AS stage, []::VARCHAR[] AS ok FROM base
+          UNION ALL SELECT w.id, w.stage + 1, any_value(w.ok) || coalesce(list(b.task) FILTER (b.status = 'succeeded' OR (NOT {_FAILS} AND ((b.status = 'failed' AND b.has_left) OR (b.status = 'pending' AND list_has_all(w.ok, b.deps))))), [])
+          FROM walk w JOIN base b ON b.id = w.id AND b.stage = w.stage GROUP BY w.id, w.stage),
+        done AS (SELECT id, arg_max(ok, stage) AS ok FROM walk GROUP BY 1),
+        ended AS (SELECT b.*, CASE WHEN status = 'failed' AND NOT has_left THEN 'stays' WHEN {_FAILS} AND (status = 'failed' OR (status = 'pending' AND list_has_all(d.ok, b.deps))) THEN 'fails' END AS how
+          FROM base b JOIN done d USING (id))
+        SELECT id, CASE WHEN overdue THEN 'timedout' WHEN failed IS NULL THEN 'succeeded' WHEN again THEN 'queued' ELSE 'failed' END AS outcome, CASE WHEN overdue THEN '' ELSE coalesce(failed, '') END AS failed_tasks,
+          CASE WHEN again AND NOT overdue AND failed IS NOT NULL THEN 'release' ELSE 'ack' END AS action,
+          CASE WHEN NOT again AND NOT overdue THEN split_part(failed, ',', 1) END AS error_task
+        FROM (SELECT id, any_value(overdue) AS overdue, string_agg(task, ',' ORDER BY task) FILTER (how IS NOT NULL) AS failed,
+            any_value(tried) + 1 < any_value(most) AND coalesce(bool_and(how = 'fails' AND keeps_left) FILTER (how IS NOT NULL), true) AS again FROM ended GROUP BY 1)
+        UNION ALL SELECT id, 'definition_lost', '', 'ack', NULL FROM cur_runs r WHERE status = 'running' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = r.id)
+          AND EXISTS (SELECT 1 FROM workflows w WHERE w.tenant = r.tenant AND w.name = r.def_name AND w.version = r.def_version))""",
+    recursive=True,
+)
 def attempt_outcomes(s, d):
+    """One attempt of every running run, where handlers of certain names fail."""
     states = _run_states(s, d, "attempts").withColumn("overdue", F.coalesce(F.col("deadline_at_ms") < NOW_MS, F.lit(False)))
-    return lifecycle.simulate_attempts(states, lambda handler: handler.endswith((".fail", ".fit")))
+    done = lifecycle.simulate_attempts(states, lambda handler: handler.endswith((".fail", ".fit")))
+    return done.select("id", "outcome", "failed_tasks", "action", "error_task")
 
 
 #: Legal transitions (fixed values).
@@ -736,11 +827,18 @@ def outbox_enqueue(s, d):
     return lifecycle.outbox_enqueue(there, table(s, d, "run_events").select("id", "seq"), 5, NOW_MS)
 
 
-@own.add("version_cas", "SELECT tenant, name, CASE WHEN version % 2 = 0 THEN version + 1 ELSE version END AS version, CASE WHEN version % 2 = 0 THEN 'updated' ELSE 'conflict' END AS outcome FROM cur_defs")
+@own.add(
+    "version_cas",
+    """SELECT tenant, name, CASE WHEN length(name) % 3 > 0 AND version % 2 = 0 THEN version + 1 ELSE version END AS version,
+         CASE WHEN length(name) % 3 = 0 THEN 'untouched' WHEN version % 2 = 0 THEN 'updated' ELSE 'conflict' END AS outcome FROM cur_defs
+       UNION ALL SELECT tenant, 'no-' || name, NULL, 'missing' FROM cur_defs WHERE length(name) % 3 > 0""",
+)
 def version_cas(s, d):
+    """Versions raised where they are even; a third of the definitions is left alone, and as many updates have no target."""
     current = c.current_definitions(s, d)
-    updates = current.select("tenant", "name", (F.floor(F.col("version") / 2) * 2).cast("int").alias("expected"))
-    return lifecycle.compare_and_set(current, updates, ["tenant", "name"])
+    updates = current.where(F.length("name") % 3 > 0).select("tenant", "name", (F.floor(F.col("version") / 2) * 2).cast("int").alias("expected"))
+    lost = updates.withColumn("name", F.concat(F.lit("no-"), "name"))
+    return lifecycle.compare_and_set(current, updates.unionByName(lost), ["tenant", "name"])
 
 
 @own.add("latest_upsert", "SELECT id, status, run_id, task_name FROM cur_tasks")
@@ -926,10 +1024,10 @@ def base32_ids(s, d):
     return rows.select("id", scalars.task_run_id(F.col("run_id"), F.col("task_name")).alias("made"))
 
 
-def _measures(root: str, where: str) -> str:
+def _measures(root: str, where: str, text: str) -> str:
     """SQL of depth and size of the JSON at root in each run's document."""
     return f"""WITH RECURSIVE node AS (
-        SELECT r.id AS run_id, t.id AS n, t.parent, t.key, t.type, t.atom FROM (SELECT id, document::JSON AS doc FROM cur_runs WHERE {where}) r, json_tree(r.doc, '{root}') t),
+        SELECT r.id AS run_id, t.id AS n, t.parent, t.key, t.type, t.atom FROM (SELECT id, {text}::JSON AS doc FROM run_docs WHERE {where}) r, json_tree(r.doc, '{root}') t),
       deep AS (SELECT run_id, n, 0 AS level FROM node WHERE n = (SELECT min(m.n) FROM node m WHERE m.run_id = node.run_id)
         UNION ALL SELECT k.run_id, k.n, d.level + 1 FROM deep d JOIN node k ON k.run_id = d.run_id AND k.parent = d.n)
       SELECT run_id, max(level + CASE WHEN type IN ('OBJECT', 'ARRAY') THEN 1 ELSE 0 END)::INT AS depth,
@@ -940,29 +1038,22 @@ def _measures(root: str, where: str) -> str:
 
 def _input_errors_sql(bytes_: int, depth: int) -> str:
     return f"""SELECT r.id, CASE WHEN m.size > {bytes_} THEN 'too_large' WHEN m.depth > {depth} THEN 'too_deep' END AS error
-        FROM (SELECT * FROM cur_runs WHERE document IS NULL OR NOT json_valid(document) OR json_type(document) <> 'VARCHAR') r
-        LEFT JOIN ({_measures("$.input", "json_valid(document) AND json_type(document) = 'OBJECT' AND json_exists(document, '$.input')")}) m ON m.run_id = r.id"""
-
-
-def _not_twice(s, d):
-    """Runs but those whose document is encoded twice, which their SQL cannot look into."""
-    twice = F.coalesce(F.startswith(F.ltrim("document"), F.lit('"')) & F.try_parse_json("document").isNotNull(), F.lit(False))
-    return c.current_runs(s, d, "document").where(~twice)
+        FROM cur_runs r LEFT JOIN ({_measures("$.input", "json_valid(doc_text) AND json_type(doc_text) = 'OBJECT' AND json_exists(doc_text, '$.input')", "doc_text")}) m ON m.run_id = r.id"""
 
 
 @own.add("run_input_errors", _input_errors_sql(60, 1))
 def run_input_errors(s, d):
     """Inputs that break limits so small that those of the tables do."""
-    return _not_twice(s, d).select("id", scalars.input_errors(60, 1)(F.col("document")).alias("error"))
+    return c.current_runs(s, d, "document").select("id", scalars.input_errors(60, 1)(F.col("document")).alias("error"))
 
 
 @own.add("run_submission", f"SELECT id, coalesce(error, 'accepted') AS outcome FROM ({_input_errors_sql(1 << 20, 64)})")
 def run_submission(s, d):
     """Every run submitted again: its input is tested by the limits of submissions before it is accepted."""
-    return _not_twice(s, d).select("id", F.coalesce(scalars.input_errors()(F.col("document")), F.lit("accepted")).alias("outcome"))
+    return c.current_runs(s, d, "document").select("id", F.coalesce(scalars.input_errors()(F.col("document")), F.lit("accepted")).alias("outcome"))
 
 
-@own.add("json_measures", f"SELECT r.id, m.depth, m.size FROM cur_runs r LEFT JOIN ({_measures('$', 'json_valid(document)')}) m ON m.run_id = r.id")
+@own.add("json_measures", f"SELECT r.id, m.depth, m.size FROM cur_runs r LEFT JOIN ({_measures('$', 'json_valid(document)', 'document')}) m ON m.run_id = r.id")
 def json_measures(s, d):
     return c.current_runs(s, d, "document").select("id", scalars.json_measures(F.col("document")).alias("m")).select("id", "m.depth", "m.size")
 
@@ -1024,10 +1115,10 @@ def _context():
 @own.add(
     "expr_eval",
     """SELECT id, coalesce((doc->'$.input.probe')::VARCHAR = 'true', false) AND (doc->>'$.input.window.days')::DOUBLE > 4 AND tenant <> 'harbor-grid' AS result FROM (
-       SELECT id, tenant, document::JSON AS doc FROM cur_runs WHERE json_valid(document) AND json_type(document) = 'OBJECT')""",
+       SELECT id, tenant, doc_text::JSON AS doc FROM run_docs WHERE json_valid(doc_text) AND json_type(doc_text) = 'OBJECT')""",
 )
 def expr_eval(s, d):
-    rows = c.current_runs(s, d, "tenant", "document").where(F.get_json_object("document", "$.input.window.days").isNotNull())
+    rows = c.run_documents(s, d, "tenant").where(F.get_json_object("document", "$.input.window.days").isNotNull())
     tree = Op("and", (Op("eq", (Variable("run.input.probe"), Literal(True))), Op("and", (Op("gt", (Variable("run.input.window.days"), Literal(4))), Op("ne", (Variable("meta.tenant"), Literal("harbor-grid")))))))
     value = compile_expression(tree, _context())
     return rows.select("id", (value["text"] == "true").alias("result"))
@@ -1037,10 +1128,10 @@ def expr_eval(s, d):
     "expr_errors",
     """SELECT id, CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN ((doc->>'$.output.n')::DOUBLE < 5)::VARCHAR END AS result,
        CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN NULL ELSE 'type mismatch: < requires comparable operands' END AS error
-       FROM (SELECT id, doc, json_type(doc, '$.output.n') AS t FROM (SELECT id, CASE WHEN json_valid(document) THEN document::JSON END AS doc FROM cur_runs WHERE document IS NOT NULL))""",
+       FROM (SELECT id, doc, json_type(doc, '$.output.n') AS t FROM (SELECT id, CASE WHEN json_valid(doc_text) THEN doc_text::JSON END AS doc FROM run_docs WHERE document IS NOT NULL))""",
 )
 def expr_errors(s, d):
-    rows = c.current_runs(s, d, "tenant", "document").where("document IS NOT NULL")
+    rows = c.run_documents(s, d, "tenant").where("document IS NOT NULL")
     tree = Op("lt", (Variable("tasks.self.output.n"), Literal(5)))
     value = compile_expression(tree, _context())
     return rows.select("id", value["text"].alias("result"), value["error"].alias("error"))
@@ -1049,10 +1140,10 @@ def expr_errors(s, d):
 @own.add(
     "expr_not",
     """SELECT id, CASE WHEN t = 'BOOLEAN' THEN (NOT (doc->>'$.input.probe')::BOOLEAN)::VARCHAR END AS result, CASE WHEN t = 'BOOLEAN' THEN NULL ELSE 'type mismatch: ! requires boolean operand' END AS error
-       FROM (SELECT id, doc, json_type(doc, '$.input.probe') AS t FROM (SELECT id, document::JSON AS doc FROM cur_runs WHERE json_valid(document) AND json_type(document) = 'OBJECT'))""",
+       FROM (SELECT id, doc, json_type(doc, '$.input.probe') AS t FROM (SELECT id, doc_text::JSON AS doc FROM run_docs WHERE json_valid(doc_text) AND json_type(doc_text) = 'OBJECT'))""",
 )
 def expr_not(s, d):
-    rows = c.current_runs(s, d, "tenant", "document").where(F.get_json_object("document", "$.id").isNotNull())
+    rows = c.run_documents(s, d, "tenant").where(F.get_json_object("document", "$.id").isNotNull())
     value = compile_expression(Op("not", (Variable("run.input.probe"),)), _context())
     return rows.select("id", value["text"].alias("result"), value["error"].alias("error"))
 
@@ -1060,10 +1151,10 @@ def expr_not(s, d):
 @own.add(
     "template_render",
     """SELECT id, '{"days": ' || (doc->>'$.input.window.days')::DOUBLE::VARCHAR || ', "list": [' || coalesce(doc->>'$.input.probe', 'null') || '], "text": "from ' || (doc->>'$.input.window.from') || ' by ' || tenant || '"}' AS result,
-       NULL::VARCHAR AS error FROM (SELECT id, tenant, document::JSON AS doc FROM cur_runs WHERE json_valid(document) AND json_type(document) = 'OBJECT')""",
+       NULL::VARCHAR AS error FROM (SELECT id, tenant, doc_text::JSON AS doc FROM run_docs WHERE json_valid(doc_text) AND json_type(doc_text) = 'OBJECT')""",
 )
 def template_render(s, d):
-    rows = c.current_runs(s, d, "tenant", "document").where(F.get_json_object("document", "$.input").isNotNull())
+    rows = c.run_documents(s, d, "tenant").where(F.get_json_object("document", "$.input").isNotNull())
     template = F.lit('{"days": "${run.input.window.days}", "text": "from ${ run.input.window.from } by ${meta.tenant}", "list": ["${run.input.probe}"]}')
     filled = render_template(template, F.get_json_object("document", "$.input"), F.lit("{}"), F.to_json(F.create_map(F.lit("tenant"), F.col("tenant"))))
     return rows.select("id", filled.alias("r")).select("id", "r.result", "r.error")
@@ -1080,6 +1171,18 @@ def handler_outcomes(s, d):
     return rows.select("tenant", "def_name", "name", outcome.alias("o")).select("tenant", "def_name", "name", "o.output", "o.kind")
 
 
+@own.add(
+    "handler_calls",
+    """SELECT tenant, def_name, name, ['noop', 'echo', 'fail', 'delay', 'nobody'][length(name) % 5 + 1] AS handler,
+         [NULL, NULL, 'rejected', NULL, 'permanent'][length(name) % 5 + 1] AS kind FROM ml_training""",
+)
+def handler_calls(s, d):
+    """Every built-in handler, and one that nobody registered."""
+    rows = table(s, d, "ml_training").withColumn("handler", F.element_at(F.array(*map(F.lit, ["noop", "echo", "fail", "delay", "nobody"])), F.length("name") % 5 + 1))
+    outcome = with_builtins().column(F.col("handler"), F.lit('{"a": 1}'), F.col("name"), F.lit(1))
+    return rows.select("tenant", "def_name", "name", "handler", outcome.alias("o")).select("tenant", "def_name", "name", "handler", "o.kind")
+
+
 @own.add("http_classify", "SELECT o_orderkey, CASE WHEN o_orderkey % 600 >= 500 THEN 'transient_failure' WHEN o_orderkey % 600 >= 400 THEN 'permanent' ELSE 'ok' END AS outcome FROM orders")
 def http_classify(s, d):
     return table(s, d, "orders").select("o_orderkey", http_outcome(F.col("o_orderkey") % 600).alias("outcome"))
