@@ -45,13 +45,13 @@ from weftline.session import cut_lineage, shared_folder
 CHUNK_ROWS = 200_000
 MOST_PARTS = 32
 #: The batches in which a whole table is taken, in order of arrival.
-BATCHES = 3
+BATCHES = 2
 CONTAINER_BITS = 16
 CONTAINER = 1 << CONTAINER_BITS
 #: Stands for the seq of a copy that was returned before; it comes before all others.
 RETURNED = -(1 << 63)
 KEY_SCHEMA = "key BINARY, part INT, place BIGINT"
-NAME_SCHEMA = "run_id STRING, kind STRING, key BINARY, at BIGINT"
+NAME_SCHEMA = "run_id STRING, kind STRING, key BINARY, at BIGINT, changed BOOLEAN"
 TAKEN_SCHEMA = "seq BIGINT, part INT, container BIGINT, bits BINARY"
 
 
@@ -178,12 +178,13 @@ class SeenState:
     def _newest(self, spark: SparkSession, parts: list) -> DataFrame:
         if not parts:
             return spark.createDataFrame([], NAME_SCHEMA)
-        rows = spark.read.schema(NAME_SCHEMA).parquet(*[f"{self.path}/{p}" for p in parts])
-        return rows.groupBy("run_id", "kind").agg(F.max(F.struct("at", "key")).alias("n")).select("run_id", "kind", "n.key", "n.at")
+        rows = spark.read.schema(NAME_SCHEMA).parquet(*[f"{self.path}/{p}" for p in parts]).where("changed")
+        newest = rows.groupBy("run_id", "kind").agg(F.max(F.struct("at", "key")).alias("n"))
+        return newest.select("run_id", "kind", "n.key", "n.at", F.lit(True).alias("changed"))
 
     def names(self, spark: SparkSession, found: dict) -> DataFrame:
         """(run_id, kind, key) of all rows so far."""
-        return self._newest(spark, found["names"]).drop("at")
+        return self._newest(spark, found["names"]).drop("at", "changed")
 
     def seen(self, spark: SparkSession, found: dict) -> DataFrame:
         """(part, container, bits): pieces of bitmaps, of which a container may have several to be united."""
@@ -214,23 +215,28 @@ class SeenState:
             parts = [whole]
         return self.commit(spark, found, keys=parts)
 
-    def unite(self, spark: SparkSession, found: dict, batch: str, taken: DataFrame, names: DataFrame) -> DataFrame:
-        """Commit what a batch took, (seq, part, container, bits), and the keys it gave names (run_id, kind, key)."""
-        folders = {kind: f"{kind}/{uuid.uuid4().hex}" for kind in ("seen", "names")}
-        taken.write.parquet(f"{self.path}/{folders['seen']}")
-        named = names.select("run_id", "kind", "key", F.lit(found["version"]).cast("bigint").alias("at"))
-        named.write.parquet(f"{self.path}/{folders['names']}")
-        parts = {kind: [*found[kind], folder] for kind, folder in folders.items()}
+    def name(self, spark: SparkSession, found: dict, pairs: DataFrame) -> tuple[str, DataFrame]:
+        """Write named_pairs of a batch, which is its part of the names too, and give the part and what it holds."""
+        folder = f"names/{uuid.uuid4().hex}"
+        at, changed = F.lit(found["version"]).cast("bigint").alias("at"), (~F.col("key").eqNullSafe(F.col("before"))).alias("changed")
+        pairs = pairs.select("*", at, changed)
+        pairs.write.parquet(f"{self.path}/{folder}")
+        return folder, spark.read.schema(pairs.schema).parquet(f"{self.path}/{folder}")
+
+    def unite(self, spark: SparkSession, found: dict, batch: str, taken: DataFrame, names: str) -> DataFrame:
+        """Commit what a batch took, (seq, part, container, bits), and its part of the names."""
+        folder = f"seen/{uuid.uuid4().hex}"
+        taken.write.parquet(f"{self.path}/{folder}")
+        parts = {"seen": [*found["seen"], folder], "names": [*found["names"], names]}
         if len(parts["seen"]) > MOST_PARTS:
-            parts = {kind: [f"{kind}/{uuid.uuid4().hex}"] for kind in parts}
-            every = {kind: [*found[kind], folder] for kind, folder in folders.items()}
-            united = self.seen(spark, {"seen": every["seen"]}).groupBy("part", "container").applyInPandas(_united, TAKEN_SCHEMA)
+            every, parts = parts, {kind: [f"{kind}/{uuid.uuid4().hex}"] for kind in parts}
+            united = self.seen(spark, every).groupBy("part", "container").applyInPandas(_united, TAKEN_SCHEMA)
             united.write.parquet(f"{self.path}/{parts['seen'][0]}")
             self._newest(spark, every["names"]).write.parquet(f"{self.path}/{parts['names'][0]}")
         # Where to look for the batch; it counts only if the manifest of that version is the batch's.
         self._write_json(spark, f"{self.path}/batch/{batch}.json", {"version": found["version"] + 1})
-        self.commit(spark, found, **parts, batch=batch, taken=folders["seen"])
-        return self._taken(spark, folders["seen"])
+        self.commit(spark, found, **parts, batch=batch, taken=folder)
+        return self._taken(spark, folder)
 
 
 def packed(seen: np.ndarray) -> bytes:
@@ -312,13 +318,12 @@ def select_batch(events: DataFrame, state: SeenState, batch_id: str | None = Non
     events = events.where(F.col("seq").isNotNull())
     while (taken := state.taken(spark, batch)) is None:
         found = state.manifest(spark)
-        pairs = cut_lineage(named_pairs(events, state.names(spark, found)))
+        names, pairs = state.name(spark, found, named_pairs(events, state.names(spark, found)))
         arrivals = cut_lineage(first_of_chunks(batch_keys(events, pairs), ["key"]))
         try:
             found = state.encode(spark, found, arrivals)
             result = unseen_arrivals(arrivals, state.keys(spark, found), state.seen(spark, found))
-            changed = pairs.where(~F.col("key").eqNullSafe(F.col("before")))
-            return state.unite(spark, found, batch, result, changed)
+            return state.unite(spark, found, batch, result, names)
         except Behind:
             continue
     return taken
