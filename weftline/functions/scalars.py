@@ -140,6 +140,16 @@ def split_list(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def parse_tags(value: Column) -> tuple[Column, Column]:
+    """Tags of a text such as a=1,b=2, and the error that keeps them from being read: a part without '=' or a key that comes
+    twice. Blanks around parts, keys and values do not count; an error leaves no tags."""
+    parts = F.transform(split_list(value), lambda x: F.split(x, "=", 2))
+    keys = F.transform(parts, lambda p: F.trim(F.get(p, F.lit(0))))
+    error = F.when(F.exists(parts, lambda p: F.size(p) < 2), "no_value").when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate_key")
+    values = F.transform(parts, lambda p: F.trim(F.get(p, F.lit(1))))
+    return F.when(error.isNull(), F.map_from_arrays(F.when(error.isNull(), keys), F.when(error.isNull(), values))), error
+
+
 def json_depth(value) -> int:
     deepest, stack = 0, [(value, 0)]
     while stack:

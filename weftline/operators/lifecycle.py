@@ -6,6 +6,7 @@ plans; within one batch of commands each run has one winner.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -155,22 +156,21 @@ def outbox_after(items: DataFrame, results: DataFrame, now_ms: int, base_backoff
 
 
 def ordered_fold(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str, output: list[str]) -> DataFrame:
-    """Fold each key's rows in order and emit a row for each: state = start(key); out, state = step(state, row).
+    """Fold each key's rows (tuples) in order and emit a row for each: state = start(key); out, state = step(state, row).
 
     The rows of a key stream through one task in sorted order with a constant state; they are never gathered. A fold
     whose next state hangs on every row before cannot be split.
     """
-    names = rows.columns
+    at_key = rows.columns.index(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state, begun = None, None, False
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
-                record = dict(zip(names, row))
-                if not begun or record[key] != at:
-                    at, state, begun = record[key], start(record[key]), True
-                result, state = step(state, record)
+            for row in zip(*(batch[c].tolist() for c in batch.columns)):
+                if not begun or row[at_key] != at:
+                    at, state, begun = row[at_key], start(row[at_key]), True
+                result, state = step(state, row)
                 out.append(result)
             yield pd.DataFrame(out, columns=output)
 
@@ -183,16 +183,13 @@ def leaky_bucket(requests: DataFrame, key: str, capacity: float, rate_per_s: flo
     capacity, rate = max(capacity, 1.0), max(rate_per_s, 0.001)
 
     def step(state, r):
-        import math
-
-        level, last = state
-        now, cost = int(r["at_ms"]), float(r["cost"])
+        (level, last), (id_, at, now, cost) = state, r
         if last is not None:
             level = max(0.0, level - max(now - last, 0) / 1000.0 * rate)
         if level + cost <= capacity:
-            return (r["id"], r[key], now, True, 0), (level + cost, now)
+            return (id_, at, now, True, 0), (level + cost, now)
         wait = max(1, math.ceil((level + cost - capacity) / rate * 1000.0))
-        return (r["id"], r[key], now, False, wait), (level, now)
+        return (id_, at, now, False, wait), (level, now)
 
     rows = requests.select("id", key, "at_ms", "cost")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -210,13 +207,14 @@ def concurrency_limit(events: DataFrame, key: str, limit: int) -> DataFrame:
     limit = max(limit, 1)
 
     def step(held, r):
+        id_, holder, at, _, action = r
         granted = False
-        if r["action"] == "acquire":
-            if r["holder"] not in held and len(held) < limit:
-                held, granted = held | {r["holder"]}, True
-        elif r["holder"] in held:
-            held, granted = held - {r["holder"]}, True
-        return (r["id"], r[key], r["action"], granted, len(held)), held
+        if action == "acquire":
+            if holder not in held and len(held) < limit:
+                held, granted = held | {holder}, True
+        elif holder in held:
+            held, granted = held - {holder}, True
+        return (id_, at, action, granted, len(held)), held
 
     rows = events.select("id", "holder", key, "at_ms", "action")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

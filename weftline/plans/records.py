@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.handlers import with_builtins
-from weftline.functions.scalars import unwrapped
+from weftline.functions.scalars import parse_tags, unwrapped
 from weftline.operators import filters, graph, lifecycle
 from weftline.operators.relational import status_bucket
 from weftline.plans import catalogue as c
@@ -204,6 +204,28 @@ def tag_text(s, d):
     return rows.select("id", F.size("t").cast("bigint").alias("n"), F.try_element_at("t", F.lit("team")).alias("team"))
 
 
+@own.add(
+    "tag_errors",
+    """SELECT id, CASE WHEN length(id) % 3 = 0 THEN 'no_value' WHEN length(tenant) % 2 = 0 AND map_contains(tags, 'team') THEN 'duplicate_key' END AS error,
+         CASE WHEN length(id) % 3 = 0 OR (length(tenant) % 2 = 0 AND map_contains(tags, 'team')) THEN NULL ELSE cardinality(tags) + CASE WHEN length(tenant) % 2 = 0 THEN 1 ELSE 0 END END::BIGINT AS n
+       FROM cur_runs WHERE cardinality(tags) > 0""",
+)
+def tag_errors(s, d):
+    """Tags written as text and read again, some of them with a key that comes twice or a part that is no tag."""
+    text = F.array_join(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit(" = "), e["value"])), ", ")
+    text = F.concat(text, F.when(F.length("tenant") % 2 == 0, ",team=more").otherwise(""), F.when(F.length("id") % 3 == 0, ",plain").otherwise(""))
+    rows = c.current_runs(s, d, "tenant", "tags").where(F.size("tags") > 0)
+    tags, error = parse_tags(text)
+    return rows.select("id", error.alias("error"), F.size(tags).cast("bigint").alias("n")).select("id", "error", F.when(F.col("n") >= 0, F.col("n")).alias("n"))
+
+
+@own.add("runs_view", "SELECT tenant, status, count(*) AS n FROM cur_runs GROUP BY 1, 2 HAVING count(*) > 1")
+def runs_view(s, d):
+    """Runs as a view in memory that is asked in SQL."""
+    c.current_runs(s, d, "tenant", "status").createOrReplaceTempView("weftline_runs")
+    return s.sql("SELECT tenant, status, count(*) AS n FROM weftline_runs GROUP BY tenant, status HAVING count(*) > 1")
+
+
 @own.add(
     "event_transitions",
     "SELECT status, status IN ('succeeded', 'failed', 'cancelled', 'timedout') AS legal, count(*) AS n FROM run_events WHERE lower(kind) <> 'run.started' GROUP BY 1",

@@ -1310,5 +1310,5 @@ def batch_windows(s, d):
         {_BUCKET_FOLD} SELECT id, key, at_ms, accepted FROM fold)""",
 )
 def stream_leaky_bucket(s, d):
-    requests = pipelines.read_stream(s, f"{d}/runs.parquet", files_per_trigger=64).select("id", F.col("tenant").alias("key"), F.col("created_at_ms").alias("at_ms"), F.lit(1.0).alias("cost"))
+    requests = pipelines.read_stream(s, f"{d}/runs.parquet", bytes_per_trigger=256 << 20).select("id", F.col("tenant").alias("key"), F.col("created_at_ms").alias("at_ms"), F.lit(1.0).alias("cost"))
     return pipelines.drain(pipelines.limited_stream(requests, 5.0, 0.001), "limited")

@@ -17,10 +17,11 @@ from weftline.operators.relational import EVENT_KINDS
 from weftline.session import shared_folder
 
 
-def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
     """A stream over a table's Parquet files; the schema is the one they have now.
 
-    files_per_trigger bounds a micro-batch, also when everything that is there is drained.
+    files_per_trigger or bytes_per_trigger bounds a micro-batch, also when everything that is there is drained; a file is
+    never parted.
     """
     schema = spark.read.parquet(path).schema
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,6 +29,8 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    elif bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if fs.getFileStatus(jvm_path).isFile():
         folder, _, name = path.rpartition("/")
         return reader.option("pathGlobFilter", name).parquet(folder)
