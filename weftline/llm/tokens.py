@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,22 @@ class RankQueue:
         return rank, bucket
 
 
+class Kept(dict):
+    """Encodings of pre-tokens; one that is not there is made by encode, and kept unless it is long."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= MOST_KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, vocabulary: str, pattern: str = PATTERN):
         with open(vocabulary, "rb") as lines:
@@ -82,7 +99,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.tokens) + 1)
         self.pairs: dict[tuple[int, int], int] = {}
-        self.kept: dict[str, list[int]] = {}
+        self.kept = Kept(self.piece)
 
     def _rank(self, left: int, right: int) -> int:
         """Rank, and id, of the token that two neighbours merge into; -1 if there is none."""
@@ -132,18 +149,11 @@ class Encoder:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        kept, out = self.kept, []
-        for match in self.pattern.finditer(text):
-            piece = match[0]
-            ids = kept.get(piece)
-            if ids is None:
-                ids = self.piece(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= LONGEST_KEPT:
-                    if len(kept) >= MOST_KEPT:
-                        kept.clear()
-                    kept[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.kept.__getitem__, self.pattern.findall(text))))
+
+    def count(self, text: str | None) -> int:
+        """The number of encode's ids, without listing them."""
+        return sum(map(len, map(self.kept.__getitem__, self.pattern.findall(text)))) if text else 0
 
 
 @lru_cache(maxsize=4)
@@ -175,7 +185,7 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
         for batch in batches:
             lists = [own.encode(text) for text in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            values = pa.array(np.fromiter((i for ids in lists for i in ids), dtype=np.int32, count=int(offsets[-1])))
+            values = pa.array(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "ids"])
 
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -191,7 +201,7 @@ def token_counts(documents: DataFrame, text_column: str = "text", vocabulary: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _own(file)
         for batch in batches:
-            sizes = pa.array([len(own.encode(text)) for text in batch.column(text_column).to_pylist()], type=pa.int64())
+            sizes = pa.array([own.count(text) for text in batch.column(text_column).to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], sizes], [*others, "n_tokens"])
 
     return documents.select(*others, text_column).mapInArrow(run, f"{schema}, n_tokens BIGINT")
