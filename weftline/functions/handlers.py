@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.scalars import valid_webhook_url
+
 Result = tuple[str | None, str | None, str | None]
 OUTCOME = "struct<output: string, kind: string, message: string>"
 
@@ -55,3 +57,8 @@ def http_outcome(status: Column) -> Column:
 
 def process_outcome(exit_code: Column) -> Column:
     return F.when(exit_code == 0, "ok").otherwise("rejected")
+
+
+def webhook_outcome(url: Column, status: Column) -> Column:
+    """What came of a delivery: sent with a status from 200 to 399, refused otherwise; a URL that is none is not tried."""
+    return F.when(~valid_webhook_url(url), "invalid_url").when((status >= 200) & (status < 400), "sent").otherwise("refused")

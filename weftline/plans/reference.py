@@ -7,12 +7,12 @@ from pyspark.sql.window import Window as W
 
 from weftline.functions import cron, scalars
 from weftline.functions.expressions import Context, Literal, Op, Variable, compile_expression, render_template
-from weftline.functions.handlers import http_outcome, with_builtins
+from weftline.functions.handlers import http_outcome, webhook_outcome, with_builtins
 from weftline.operators import filters, graph, lifecycle, relational, structural
 from weftline.operators.filters import AuditFilter, RunFilter
 from weftline.plans import catalogue as c
 from weftline.plans.catalogue import NOW_MS, Catalogue
-from weftline.session import shared_folder, table
+from weftline.session import shared_folder, stored, table
 from weftline.sources import files
 from weftline.streaming import pipelines
 
@@ -1272,6 +1272,37 @@ def prometheus_counters(s, d):
     return files.metrics_text(metrics, "weftline").select("name", "line_no", "line")
 
 
+@own.add(
+    "webhook_deliveries",
+    r"""SELECT seq, CASE WHEN url IS NULL OR NOT regexp_matches(url, '^(?i:https?)://[^/?#]+') THEN 'invalid_url' WHEN seq % 4 < 2 THEN 'sent' ELSE 'refused' END AS outcome FROM run_events""",
+)
+def webhook_deliveries(s, d):
+    """All messages delivered from a stream to a sink that answers 200, 302, 404 and 503 in turn, and what was recorded."""
+    status = F.element_at(F.array(*map(F.lit, [200, 302, 404, 503])), (F.col("seq") % 4 + 1).cast("int"))
+    send = lambda batch: batch.select("seq", webhook_outcome(F.col("url"), status).alias("outcome"))
+    return pipelines.recorded(pipelines.read_stream(s, f"{d}/run_events.parquet"), send, "deliveries").select("seq", "outcome")
+
+
+@own.add(
+    "spec_files",
+    """SELECT doc->>'$.name' AS name, coalesce(try_cast(doc->>'$.version' AS INT), 1) AS version, coalesce(doc->>'$.description', '') AS description,
+         coalesce(try_cast(coalesce(doc->>'$.timeout_ms', doc->>'$.timeoutMs') AS BIGINT), 60000) AS timeout_ms, coalesce(doc->>'$.default_priority', doc->>'$.defaultPriority', 'normal') AS default_priority
+       FROM (SELECT DISTINCT tenant, name, version, doc::JSON AS doc FROM defs_read WHERE json_valid(doc) AND json_type(doc) = 'OBJECT')""",
+)
+def spec_files(s, d):
+    """Definitions written as files of specifications, a line each, and read from them."""
+    path = shared_folder(s, "specs")
+    read = graph.per_definition(table(s, d, "workflows"), DEF_KEY, lambda r, g, value: [(structural.written(value),)], "document STRING")
+    read.distinct().select("document").write.text(path)
+    return files.read_workflow_specs(s, path, lines=True).select("name", "version", "description", "timeout_ms", "default_priority")
+
+
+@own.add("stored_runs", "SELECT tenant, count(*) AS n FROM cur_runs GROUP BY 1")
+def stored_runs(s, d):
+    """Runs stored as a table of the catalogue and read from it."""
+    return stored(c.current_runs(s, d, "tenant"), "weftline_stored_runs").groupBy("tenant").agg(F.count("*").alias("n"))
+
+
 @own.add(
     "watcher_events",
     f"""SELECT DISTINCT CASE WHEN status = 'running' THEN 0 ELSE 1 END AS phase, CASE WHEN status = 'running' THEN started_at_ms ELSE finished_at_ms END AS at_ms, id AS run_id,

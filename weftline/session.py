@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the catalogue, its files in the shared folder; a table of that name is replaced."""
+    df.write.mode("overwrite").option("path", shared_folder(df.sparkSession, name)).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,14 +24,15 @@ def _either(*names: str) -> Column:
     return F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
 
 
-def read_workflow_specs(spark: SparkSession, path: str) -> DataFrame:
-    """Specifications, one JSON document a file, with fields in snake or camel case and their defaults filled in."""
-    text = spark.read.text(path, wholetext=True)
+def read_workflow_specs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Specifications, one JSON document a file or, with lines, a line, with fields in snake or camel case and their defaults
+    filled in."""
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(
         _either("tenant").alias("tenant"), _either("name").alias("name"),
-        F.coalesce(_either("version").cast("int"), F.lit(1)).alias("version"),
+        F.coalesce(_either("version").try_cast("int"), F.lit(1)).alias("version"),
         F.coalesce(_either("description"), F.lit("")).alias("description"),
-        F.coalesce(_either("timeout_ms", "timeoutMs").cast("bigint"), F.lit(60_000)).alias("timeout_ms"),
+        F.coalesce(_either("timeout_ms", "timeoutMs").try_cast("bigint"), F.lit(60_000)).alias("timeout_ms"),
         F.coalesce(_either("default_priority", "defaultPriority"), F.lit("normal")).alias("default_priority"),
         F.coalesce(_either("tasks"), F.lit("[]")).alias("tasks"), F.col("value").alias("document"),
     )

@@ -118,3 +118,16 @@ def limited_stream(requests: DataFrame, capacity: float, rate_per_s: float) -> D
 def deliver(stream: DataFrame, send: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Outbox drain: every micro-batch of ready items goes to send, which returns (id, ok) and must be idempotent by id."""
     return stream.writeStream.foreachBatch(lambda batch, _: send(batch).count()).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def recorded(stream: DataFrame, send: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Deliver a stream and record what came of it: send gives the outcomes of a micro-batch, which are written to the batch's
+    own folder, so a batch that is run again after a failure takes the place of its first record."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, number: send(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
