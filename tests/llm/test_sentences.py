@@ -106,6 +106,16 @@ def test_long_text_without_line_breaks():
     assert split(" ".join(sentences)) == sentences
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    pick = random.Random(8)
+    lines = [" ".join(pick.choice(CASES)) for _ in range(300)]
+    texts = ["\r\n".join(lines), None, "\n".join(lines[:50]) + "\n\n", " ".join(lines[:40]), ""]
+    whole = unit_ends(texts)
+    for size in (50, 999, 5000):
+        monkeypatch.setattr("weftline.llm.sentences.CHUNK_CHARS", size)
+        assert unit_ends(texts) == whole
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "Ab cd. Ef.", 1), (3, "Ab cd. Ef.", 1), (None, "x", 1)], "doc_id BIGINT, text STRING, end_char INT")
     got = sorted(((r.doc_id, r.end_char) for r in sentence_units(df).collect()), key=str)

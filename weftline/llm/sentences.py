@@ -537,14 +537,28 @@ def units_of(t: Text) -> np.ndarray:
 CHUNK_CHARS = 1 << 20
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int, str]]:
+    """(text's number, start, piece): texts, the long ones parted at line breaks, across which no rule looks."""
+    for number, text in enumerate(texts):
+        start = 0
+        while text and len(text) - start > CHUNK_CHARS:
+            cut = text.rfind("\n", start, start + CHUNK_CHARS)
+            cut = text.find("\n", start + CHUNK_CHARS) if cut < 0 else cut
+            if cut < 0:
+                break
+            yield number, start, text[start:cut]
+            start = cut + 1
+        yield number, start, (text or "")[start:]
+
+
+def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
     held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1]) + 1
-        if size >= CHUNK_CHARS:
+    for piece in _pieces(texts):
+        if held and size + len(piece[2]) > CHUNK_CHARS:
             yield held
             held, size = [], 0
+        held.append(piece)
+        size += len(piece[2]) + 1
     if held:
         yield held
 
@@ -557,14 +571,15 @@ def unit_ends(texts: list[str | None]) -> list[list[int]]:
 
 def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The number of units of each text, and the ends of all of them."""
-    counts, ends = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    counts, ends = np.zeros(len(texts), dtype=np.int64), [np.zeros(0, dtype=np.int64)]
     for chunk in _chunks(texts):
-        t = Text(chunk)
+        numbers, starts = np.array([p[0] for p in chunk]), np.array([p[1] for p in chunk])
+        t = Text([p[2] for p in chunk])
         cuts = units_of(t)
-        doc = np.searchsorted(t.ends, cuts - 1)
-        counts.append(np.bincount(doc, minlength=len(chunk)))
-        ends.append(cuts - np.r_[0, t.ends[:-1] + 1][doc])
-    return np.concatenate(counts), np.concatenate(ends)
+        piece = np.searchsorted(t.ends, cuts - 1)
+        np.add.at(counts, numbers[piece], 1)
+        ends.append(cuts - np.r_[0, t.ends[:-1] + 1][piece] + starts[piece])
+    return counts, np.concatenate(ends)
 
 
 def sentence_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
