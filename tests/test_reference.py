@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -217,6 +219,27 @@ def test_leaky_bucket_and_permits(spark):
     assert [r.granted for r in lifecycle.concurrency_limit(events, "key", 1).orderBy("id").collect()] == [True, False, False, True, True]
 
 
+def test_hot_keys_leak_as_one_bucket(spark):
+    """Ranges of a key, with pauses and without any, give what one walk over it gives."""
+    pick = random.Random(4)
+    data, want = [], {}
+    for name, longest in (("dense", 2), ("paused", 40_000), ("one", 9_000), (None, 3)):
+        at, level, last = 0, 0.0, None
+        for i in range(700 if name != "one" else 1):
+            at += pick.choice([0, 1, longest])
+            cost = pick.choice([1.0, 1.0, 2.5, 9.0])
+            level = max(0.0, level - (at - last if last is not None else 0) / 1000.0)
+            accepted = level + cost <= 5.0
+            want[f"{name}{i:04}"] = (accepted, 0 if accepted else max(1, math.ceil((level + cost - 5.0) * 1000.0)))
+            level, last = level + cost * accepted, at
+            data.append((f"{name}{i:04}", name, at, cost))
+    data += [("late", "dense", None, 1.0), ("free", "dense", 5, None)]
+    df = spark.createDataFrame(data, "id STRING, k STRING, at_ms BIGINT, cost DOUBLE")
+    got = {r.id: (r.accepted, r.wait_ms) for r in lifecycle.leaky_bucket(df, "k", 5.0, 1.0).collect()}
+    assert got == want | {"late": (None, None), "free": (None, None)}
+    assert lifecycle.leaky_bucket(df.limit(0), "k", 5.0, 1.0).count() == 0
+
+
 def test_every_end_of_a_run_releases_its_permit(spark):
     kinds = ["run.started", "run.timed_out", "RUN.STARTED", "run.cancelled", "Run.Started", "RUN.FAILED", "run.started", "run.paused", None]
     events = spark.createDataFrame([(i, f"r{i // 2}", "t", i, k) for i, k in enumerate(kinds)], "seq BIGINT, run_id STRING, tenant STRING, created_at_ms BIGINT, kind STRING")

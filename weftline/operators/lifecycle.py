@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from weftline.operators.filters import TERMINAL_RUN
 from weftline.operators.relational import EVENT_KINDS
-from weftline.session import shuffle_partitions
+from weftline.session import cut_lineage, shuffle_partitions
 
 NO_TOKEN = ""
 
@@ -179,24 +179,90 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], start: Callable, s
 
 
 def leaky_bucket(requests: DataFrame, key: str, capacity: float, rate_per_s: float) -> DataFrame:
-    """(id, key, at_ms, accepted, wait_ms) of requests (id, key, at_ms, cost); failed tries advance the clock too."""
+    """(id, key, at_ms, accepted, wait_ms) of requests (id, key, at_ms, cost); failed tries advance the clock too. Requests
+    without a time or cost take no part, and accepted is null.
+
+    Rows are folded in even ranges of (key, time, id), so a hot key is spread over tasks. After a pause in which a full
+    bucket runs empty, what was before does not matter; so a task knows its states from its first pause or change of key
+    on. The rows before that, its head, are folded afterwards from the state the task before it ended with. Heads of
+    tasks without any pause are folded one behind the other: only a key without pauses is as slow as one task.
+    """
+    spark = requests.sparkSession
     capacity, rate = max(capacity, 1.0), max(rate_per_s, 0.001)
+    pause = capacity / rate * 1000.0 + 1
+    types = {f.name: f.dataType.simpleString() for f in requests.schema}
+    result = f"id {types['id']}, {key} {types[key]}, at_ms BIGINT, accepted BOOLEAN, wait_ms BIGINT"
+    timed = F.col("at_ms").isNotNull() & F.col("cost").isNotNull()
 
-    def step(state, r):
-        (level, last), (id_, at, now, cost) = state, r
+    def step(level, last, now, cost):
         if last is not None:
             level = max(0.0, level - max(now - last, 0) / 1000.0 * rate)
         if level + cost <= capacity:
-            return (id_, at, now, True, 0), (level + cost, now)
-        wait = max(1, math.ceil((level + cost - capacity) / rate * 1000.0))
-        return (id_, at, now, False, wait), (level, now)
+            return level + cost, True, 0
+        return level, False, max(1, math.ceil((level + cost - capacity) / rate * 1000.0))
 
-    rows = requests.select("id", key, "at_ms", "cost")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return ordered_fold(
-        rows, key, ["at_ms", "id"], lambda k: (0.0, None), step,
-        f"id {types['id']}, {key} {types[key]}, at_ms BIGINT, accepted BOOLEAN, wait_ms BIGINT", ["id", key, "at_ms", "accepted", "wait_ms"],
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = at = last = pid = None
+        level, head, begun = 0.0, True, False
+        for batch in batches:
+            out = []
+            for pid, id_, own, now, cost in zip(*(batch[c].tolist() for c in batch.columns)):
+                if not begun:
+                    first, begun = own, True
+                elif own != at or now - last >= pause:
+                    level, last, head = 0.0, None if own != at else last, False
+                if head:
+                    out.append((pid, id_, own, now, cost, None, None, "head"))
+                else:
+                    level, accepted, wait = step(level, last, now, cost)
+                    out.append((pid, id_, own, now, cost, accepted, wait, "done"))
+                at, last = own, now
+            yield pd.DataFrame(out, columns=names).astype(kinds)
+        if begun:
+            # What the task ended with: its first and last key, its state, and whether it was all head.
+            yield pd.DataFrame([(pid, None, at, last, level, head, None, "end"), (pid, None, first, None, None, None, None, "begin")], columns=names).astype(kinds)
+
+    names = ["pid", "id", key, "at_ms", "cost", "accepted", "wait_ms", "part"]
+    kinds = {"at_ms": "Int64", "cost": "float64", "accepted": "boolean", "wait_ms": "Int64"}
+    order = [key, "at_ms", "id"]
+    ranged = requests.where(timed).select("id", key, "at_ms", F.col("cost").cast("double").alias("cost"))
+    ranged = ranged.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("pid"), "id", key, "at_ms", "cost")
+    folded = cut_lineage(ranged.mapInPandas(run, f"pid INT, id {types['id']}, {key} {types[key]}, at_ms BIGINT, cost DOUBLE, accepted BOOLEAN, wait_ms BIGINT, part STRING"))
+
+    # Two rows a task come to the driver.
+    ends = {r["pid"]: r for r in folded.where("part = 'end'").collect()}
+    begins = {r["pid"]: r for r in folded.where("part = 'begin'").collect()}
+    chains, states, before = [], {}, None
+    for pid in sorted(ends):
+        if before is not None and ends[before][key] == begins[pid][key]:
+            if ends[before]["accepted"]:
+                chain = chains[-1][1]
+            else:
+                chain = pid
+                states[chain] = (ends[before]["cost"], ends[before]["at_ms"])
+        else:
+            chain = pid
+        chains.append((pid, chain))
+        before = pid
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, level, last = None, 0.0, None
+        for batch in batches:
+            out = []
+            for chain, id_, own, now, cost in zip(*(batch[c].tolist() for c in batch.columns)):
+                if chain != at:
+                    at, (level, last) = chain, states.get(chain, (0.0, None))
+                level, accepted, wait = step(level, last, now, cost)
+                last = now
+                out.append((id_, own, now, accepted, wait))
+            yield pd.DataFrame(out, columns=["id", key, "at_ms", "accepted", "wait_ms"])
+
+    of_chain = spark.createDataFrame(chains, "pid INT, chain INT")
+    heads = folded.where("part = 'head'").join(F.broadcast(of_chain), "pid").select("chain", "id", key, "at_ms", "cost")
+    heads = heads.repartition(shuffle_partitions(spark), "chain").sortWithinPartitions("chain", "at_ms", "id").mapInPandas(finish, result)
+    done = folded.where("part = 'done'").select("id", key, "at_ms", "accepted", "wait_ms")
+    untimed = requests.where(~timed).select("id", key, F.col("at_ms").cast("bigint").alias("at_ms"), F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("bigint").alias("wait_ms"))
+    return done.unionByName(heads).unionByName(untimed)
 
 
 def concurrency_limit(events: DataFrame, key: str, limit: int) -> DataFrame:
