@@ -16,13 +16,24 @@ def _profile(spark, d):
     return skew.per_key_profile(table(spark, d, "runs"), ["tenant", "def_name"])
 
 
+def _columns(spark, d):
+    """The flat tables with columns in place of their JSON: the text of a text, the number of fields of an object."""
+    rows, value = nested.flat_rows(spark, d), F.col("value")
+    text = F.when(F.startswith(value, F.lit('"')), F.try_variant_get(F.try_parse_json(value), "$", "string"))
+    return rows.select("parent_key", "child", "child_path", "parent_path", text.alias("text"), F.size(F.json_object_keys(value)).alias("n_fields")).distinct()
+
+
 QUERIES = {
     "p1_found": lambda spark, d: delivery.repeated_rows(table(spark, d, "run_events")),
     "p1_kept": lambda spark, d: delivery.kept_rows(table(spark, d, "run_events")).select("seq", "run_id", "status"),
     "p2_found": lambda spark, d: drift.changes_found(table(spark, d, "workflows")),
     "p2_table": lambda spark, d: drift.consistent_table(table(spark, d, "workflows")),
+    "p2_columns": lambda spark, d: drift.consistent_table(table(spark, d, "workflows")).select(
+        "tenant", "name", "version", "exporter", "file_no", "readable", "description", "timeout_ms", "n_tasks"
+    ),
     "p3_found": lambda spark, d: nested.flat_rows(spark, d, with_values=False),
     "p3_tables": lambda spark, d: nested.flat_rows(spark, d),
+    "p3_columns": _columns,
     "p4_found": lambda spark, d: hierarchy.cyclic_nodes(hierarchy.hierarchies(table(spark, d, "ml_training"))),
     "p4_tree": lambda spark, d: hierarchy.hierarchies(table(spark, d, "ml_training")).select(
         "tenant", "def_name", "name", "parent", "path", "depth", "root", "n_descendants", "cycle_head"
@@ -91,7 +102,7 @@ artifacts AS (
 ),
 artifact AS (SELECT parent_key, key AS i, value AS body FROM artifacts, json_each(a)),
 part AS (
-  SELECT parent_key, i, key AS j
+  SELECT parent_key, i, key AS j, value AS body
   FROM (SELECT parent_key, i, body->'$.parts' AS parts FROM artifact WHERE json_type(body->'$.parts') = 'ARRAY'), json_each(parts)
 )
 """
@@ -165,7 +176,73 @@ orphans AS (
 )
 """
 
+_DRIFT = r"""
+docs AS (
+  SELECT row_number() OVER () AS d, * FROM (
+    SELECT DISTINCT exporter, file_no, tenant, name, version, doc::JSON AS doc FROM (
+      SELECT *, CASE WHEN json_type(document) = 'VARCHAR' THEN json_extract_string(document, '$') ELSE document END AS doc FROM workflows WHERE json_valid(document)
+    ) WHERE json_valid(doc))
+),
+nodes AS MATERIALIZED (SELECT d, t.id AS n, t.parent AS p, t.key AS k, t.type AS ty, coalesce(t.value::VARCHAR, 'null') AS v FROM docs, json_tree(doc) t),
+walk AS (
+  SELECT d, n, ty, v, '' AS path, false AS named, false AS shut FROM nodes WHERE p IS NULL
+  UNION ALL
+  SELECT c.d, c.n, c.ty, c.v, CASE WHEN w.ty <> 'OBJECT' THEN w.path WHEN w.path = '' THEN c.k ELSE w.path || '.' || c.k END, w.ty = 'OBJECT',
+         w.ty = 'OBJECT' AND c.k IN ('input', 'meta', 'annotations', 'tags', 'labels', 'headers')
+  FROM walk w JOIN nodes c ON c.d = w.d AND c.p = w.n WHERE NOT w.shut
+),
+fields AS MATERIALIZED (
+  SELECT exporter, file_no, tenant, name, version, d, n, path, regexp_replace(path, '(^|\.)[^.]*$', '') AS above, v,
+         CASE ty WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN 'b' WHEN 'VARCHAR' THEN 's' WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' ELSE 'n' END AS kind
+  FROM walk JOIN docs USING (d) WHERE named
+),
+files AS (SELECT exporter, file_no, lag(file_no) OVER (PARTITION BY exporter ORDER BY file_no) AS before FROM (SELECT DISTINCT exporter, file_no FROM docs)),
+shapes AS (SELECT exporter, file_no, path, above, coalesce(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), []) AS kinds FROM fields GROUP BY 1, 2, 3, 4),
+sides AS (
+  SELECT f.exporter, f.file_no, f.before, 'old' AS side, s.path, s.above, s.kinds FROM files f JOIN shapes s ON s.exporter = f.exporter AND s.file_no = f.before
+  UNION ALL
+  SELECT f.exporter, f.file_no, f.before, 'new', s.path, s.above, s.kinds FROM files f JOIN shapes s ON s.exporter = f.exporter AND s.file_no = f.file_no WHERE f.before IS NOT NULL
+),
+single AS (
+  SELECT a.* FROM sides a ANTI JOIN sides b ON b.exporter = a.exporter AND b.file_no = a.file_no AND b.side <> a.side AND b.path = a.path
+  WHERE a.above = '' OR EXISTS (SELECT 1 FROM sides c WHERE c.exporter = a.exporter AND c.file_no = a.file_no AND c.side <> a.side AND c.path = a.above)
+),
+shown AS (SELECT exporter, file_no, tenant, name, path, list(v ORDER BY version, d, n) AS vs FROM fields GROUP BY 1, 2, 3, 4, 5),
+held AS (SELECT DISTINCT exporter, file_no, tenant, name FROM docs),
+agreed AS (
+  SELECT o.exporter, o.file_no, o.path AS old_path, w.path AS new_path, sum(CASE WHEN x.vs = y.vs THEN 1 ELSE 0 END) / count(*) AS share
+  FROM single o JOIN single w ON w.exporter = o.exporter AND w.file_no = o.file_no AND w.above = o.above AND o.side = 'old' AND w.side = 'new'
+  JOIN shown x ON x.exporter = o.exporter AND x.file_no = o.before AND x.path = o.path
+  JOIN held h ON h.exporter = o.exporter AND h.file_no = o.file_no AND h.tenant = x.tenant AND h.name = x.name
+  LEFT JOIN shown y ON y.exporter = o.exporter AND y.file_no = o.file_no AND y.path = w.path AND y.tenant = x.tenant AND y.name = x.name
+  GROUP BY 1, 2, 3, 4 HAVING 2 * sum(CASE WHEN x.vs = y.vs THEN 1 ELSE 0 END) >= count(*)
+),
+renamed AS (
+  SELECT exporter, file_no, old_path, new_path FROM (
+    SELECT *, row_number() OVER (PARTITION BY exporter, file_no, old_path ORDER BY share DESC, new_path) AS a, row_number() OVER (PARTITION BY exporter, file_no, new_path ORDER BY share DESC, old_path) AS b FROM agreed
+  ) WHERE a = 1 AND b = 1
+),
+changes AS (
+  SELECT exporter, file_no, 'renamed' AS change_kind, old_path, new_path FROM renamed
+  UNION ALL SELECT exporter, file_no, 'removed', path, path FROM single s WHERE side = 'old' AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.exporter = s.exporter AND r.file_no = s.file_no AND r.old_path = s.path)
+  UNION ALL SELECT exporter, file_no, 'added', path, path FROM single s WHERE side = 'new' AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.exporter = s.exporter AND r.file_no = s.file_no AND r.new_path = s.path)
+  UNION ALL SELECT o.exporter, o.file_no, 'retyped', o.path, o.path FROM sides o JOIN sides w ON w.exporter = o.exporter AND w.file_no = o.file_no AND w.path = o.path AND o.side = 'old' AND w.side = 'new'
+    WHERE len(o.kinds) > 0 AND len(w.kinds) > 0 AND o.kinds <> w.kinds
+)
+SELECT * FROM changes c WHERE NOT EXISTS (
+  SELECT 1 FROM changes r WHERE r.exporter = c.exporter AND r.file_no = c.file_no AND
+    CASE WHEN c.change_kind = 'added' THEN r.change_kind <> 'removed' AND starts_with(c.new_path, r.new_path || '.') ELSE r.change_kind <> 'added' AND starts_with(c.old_path, r.old_path || '.') END)
+"""
+
 SQL = {
+    "p2_columns": """
+        SELECT tenant, name, version, exporter, file_no, doc IS NOT NULL AS readable, coalesce(doc->>'$.description', doc->>'$.summary', doc->>'$.desc') AS description,
+               CASE json_type(wait) WHEN 'OBJECT' THEN (wait->>'$.value')::BIGINT * map {'ms': 1, 's': 1000, 'sec': 1000, 'm': 60000, 'min': 60000, 'h': 3600000, 'd': 86400000}[wait->>'$.unit']
+                 ELSE try_cast(wait->>'$' AS BIGINT) END AS timeout_ms, CASE json_type(doc, '$.tasks') WHEN 'ARRAY' THEN json_array_length(doc, '$.tasks') END::INT AS n_tasks
+        FROM (SELECT *, coalesce(nullif(doc->'$.timeout_ms', 'null'), nullif(doc->'$.timeoutMs', 'null'), nullif(doc->'$.deadline_ms', 'null')) AS wait FROM (
+          SELECT *, CASE WHEN json_valid(inner_) AND json_type(inner_) = 'OBJECT' THEN inner_::JSON END AS doc FROM (
+            SELECT *, CASE WHEN json_valid(document) THEN CASE WHEN json_type(document) = 'VARCHAR' THEN json_extract_string(document, '$') ELSE document END END AS inner_ FROM workflows)))""",
+    "p2_found": f"WITH RECURSIVE {_DRIFT}",
     "p1_found": f"WITH {_MESSAGES} SELECT seq FROM ranked WHERE r > 1",
     "p1_kept": f"WITH {_MESSAGES} SELECT e.seq, e.run_id, e.status FROM run_events e JOIN ranked USING (seq) WHERE r = 1",
     "p3_found": f"""WITH {_FLAT}
@@ -175,6 +252,15 @@ SQL = {
         UNION ALL SELECT DISTINCT parent_key, 'hook_header', i || '/' || unnest(json_keys(body->'$.headers')) FROM hook WHERE json_type(body->'$.headers') = 'OBJECT'
         UNION ALL SELECT DISTINCT parent_key, 'artifact', i::VARCHAR FROM artifact
         UNION ALL SELECT DISTINCT parent_key, 'artifact_part', i || '/' || j FROM part""",
+    "p3_columns": f"""WITH {_FLAT}, every AS (
+          SELECT parent_key, 'task' AS child, i::VARCHAR AS child_path, NULL::VARCHAR AS parent_path, body FROM task
+          UNION ALL SELECT parent_key, 'failure_hook', i::VARCHAR, NULL, body FROM hook
+          UNION ALL SELECT parent_key, 'hook_header', i || '/' || key, i::VARCHAR, value FROM (SELECT parent_key, i, body->'$.headers' AS headers FROM hook WHERE json_type(body->'$.headers') = 'OBJECT'), json_each(headers)
+          UNION ALL SELECT parent_key, 'artifact', i::VARCHAR, NULL, body FROM artifact
+          UNION ALL SELECT parent_key, 'artifact_part', i || '/' || j, i::VARCHAR, body FROM part)
+        SELECT DISTINCT parent_key, child, child_path, parent_path, CASE json_type(body) WHEN 'VARCHAR' THEN body->>'$' END AS text,
+          CASE json_type(body) WHEN 'OBJECT' THEN len(json_keys(body)) END::INT AS n_fields FROM every
+        UNION ALL SELECT DISTINCT parent_key, 'task_dep', i || '/' || j, i::VARCHAR, dep, NULL FROM (SELECT parent_key, i, unnest(range(len(names))) AS j, unnest(names) AS dep FROM dep_names)""",
     "p4_found": f"WITH RECURSIVE {_WALK} SELECT tenant, def_name, name, cycle_head FROM heads",
     "p4_tree": f"""WITH RECURSIVE {_WALK}
         SELECT l.tenant, l.def_name, l.name, l.parent,
