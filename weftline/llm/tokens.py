@@ -70,7 +70,8 @@ class RankQueue:
             if not self.middle[a]:
                 self.high &= ~(1 << a)
         bucket = self.buckets.pop(rank)
-        bucket.sort()
+        if len(bucket) > 1:
+            bucket.sort()
         return rank, bucket
 
 
@@ -102,12 +103,10 @@ class Encoder:
         self.kept = Kept(self.piece)
 
     def _rank(self, left: int, right: int) -> int:
-        """Rank, and id, of the token that two neighbours merge into; -1 if there is none."""
-        rank = self.pairs.get((left, right))
-        if rank is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            rank = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+        """Rank, and id, of the token that two neighbours merge into; -1 if there is none. It is kept in pairs."""
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        rank = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
 
     def piece(self, piece: bytes) -> list[int]:
@@ -116,33 +115,51 @@ class Encoder:
         size = len(ids)
         if size < 2:
             return ids
-        queue, rank_of = self.queue, self._rank
+        push, pop, kept, look = self.queue.push, self.queue.pop, self.pairs.get, self._rank
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        for i in range(size - 1):
-            if (rank := rank_of(ids[i], ids[i + 1])) >= 0:
-                queue.push(rank, i)
-        while (lowest := queue.pop()) is not None:
+        last = ids[0]
+        for i in range(1, size):
+            own = ids[i]
+            if (rank := kept((last, own))) is None:
+                rank = look(last, own)
+            if rank >= 0:
+                push(rank, i - 1)
+            last = own
+        while (lowest := pop()) is not None:
             rank, positions = lowest
             for k, at in enumerate(positions):
-                right = after[at]
-                if ids[at] < 0 or right >= size or rank_of(ids[at], ids[right]) != rank:
+                right, own = after[at], ids[at]
+                if own < 0 or right >= size:
+                    continue
+                other = ids[right]
+                # Skipped if the pair has changed since: its rank tells.
+                if (found := kept((own, other))) is None:
+                    found = look(own, other)
+                if found != rank:
                     continue
                 ids[at], ids[right] = rank, -1
                 after[at] = beyond = after[right]
                 least = rank
                 if beyond < size:
                     before[beyond] = at
-                    if (new := rank_of(rank, ids[beyond])) >= 0:
-                        queue.push(new, at)
+                    other = ids[beyond]
+                    if (new := kept((rank, other))) is None:
+                        new = look(rank, other)
+                    if new >= 0:
+                        push(new, at)
                         least = min(least, new)
                 left = before[at]
-                if left >= 0 and (new := rank_of(ids[left], rank)) >= 0:
-                    queue.push(new, left)
-                    least = min(least, new)
+                if left >= 0:
+                    other = ids[left]
+                    if (new := kept((other, rank))) is None:
+                        new = look(other, rank)
+                    if new >= 0:
+                        push(new, left)
+                        least = min(least, new)
                 if least < rank:
                     # A lower rank has opened: it goes first, the rest of this one waits.
                     for waiting in positions[k + 1 :]:
-                        queue.push(rank, waiting)
+                        push(rank, waiting)
                     break
         return [i for i in ids if i >= 0]
 
