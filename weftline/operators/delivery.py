@@ -375,9 +375,3 @@ def kept_rows(events: DataFrame) -> DataFrame:
     # After the last batch the dictionary has every key that came with a seq.
     fresh = keyed.join(state.keys(spark, state.manifest(spark)), "key", "left_anti").dropDuplicates(["key"])
     return rows.unionByName(fresh.select("_row.*"))
-
-
-def batches(events: DataFrame, column: str) -> Iterator[DataFrame]:
-    """Batches in ascending order of a column with few values, such as the day of arrival."""
-    for row in events.select(column).distinct().orderBy(column).toLocalIterator():
-        yield events.where(F.col(column).eqNullSafe(F.lit(row[0])))

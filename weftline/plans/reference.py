@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from weftline.functions import cron, scalars
 from weftline.functions.expressions import Context, Literal, Op, Variable, compile_expression, render_template
