@@ -8,9 +8,10 @@ from weftline.functions.handlers import with_builtins
 from weftline.functions.scalars import parse_tags, unwrapped
 from weftline.operators import filters, graph, lifecycle
 from weftline.operators.relational import status_bucket
-from weftline.plans import catalogue as c
+from weftline.plans import catalogue as c, reference
 from weftline.plans.catalogue import NOW_MS, Catalogue
 from weftline.plans.reference import DEF_KEY, RUN_EDGES
+from weftline.plans.reference import SQL as REFERENCE_SQL
 from weftline.session import table
 
 own = Catalogue()
@@ -20,6 +21,8 @@ QUERIES, SQL = own.queries, own.sql
 RETRYABLE = ("transient_failure", "timeout", "handler_crash")
 #: Error categories with their status codes (fixed values).
 ERROR_CATEGORIES = {"validation": 400, "config": 400, "not_found": 404, "conflict": 409, "state_machine": 409, "handler": 502, "storage": 500, "scheduler": 500, "server": 500, "internal": 500}
+#: Status codes with the code of the other protocol; any other status is Internal (fixed values).
+GRPC_CODES = {400: "InvalidArgument", 401: "Unauthenticated", 403: "PermissionDenied", 404: "NotFound", 409: "FailedPrecondition", 502: "Unavailable"}
 DEFAULT_TIMEOUT_MS = 60_000
 
 
@@ -127,11 +130,6 @@ def error_kinds(s, d):
     return c.current_runs(s, d, "error").where("error IS NOT NULL").groupBy(code.alias("code"), kind.isin(*RETRYABLE).alias("retryable")).agg(F.count("*").alias("n"))
 
 
-@own.add("error_categories", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in ERROR_CATEGORIES.items()) + ") AS t(category, http_status)")
-def error_categories(s, d):
-    return s.createDataFrame(list(ERROR_CATEGORIES.items()), "category STRING, http_status INT")
-
-
 @own.add("status_labels", "SELECT status, CASE WHEN status = 'timedout' THEN 'timed out' ELSE status END AS label, status IN ('succeeded', 'failed', 'cancelled', 'timedout') AS terminal, count(*) AS n FROM cur_runs GROUP BY 1")
 def status_labels(s, d):
     status = F.col("status")
@@ -256,6 +254,30 @@ def transition_apply(s, d):
     return both.select(F.col("run_id").alias("id"), "from_state", "to_state", outcome.alias("outcome"), F.when(F.col("legal"), F.col("to_state")).otherwise(F.col("from_state")).alias("state"))
 
 
+def _answers(errors):
+    """errors (request, id, category) with the codes that answer them."""
+    statuses = F.create_map(*[F.lit(x) for pair in ERROR_CATEGORIES.items() for x in pair])
+    codes = F.create_map(*[F.lit(x) for pair in GRPC_CODES.items() for x in pair])
+    answered = errors.withColumn("http_status", F.coalesce(statuses[F.col("category")], F.lit(500)))
+    return answered.withColumn("grpc_code", F.coalesce(F.try_element_at(codes, F.col("http_status")), F.lit("Internal")))
+
+
+@own.add(
+    "error_responses",
+    f"""SELECT 'define' AS request, tenant || '/' || name || '/' || version AS id, 'validation' AS category, 400 AS http_status, 'InvalidArgument' AS grpc_code FROM ({REFERENCE_SQL["definition_errors"]})
+        UNION ALL SELECT 'move', id, 'state_machine', 409, 'FailedPrecondition' FROM ({SQL["transition_apply"]}) WHERE outcome = 'rejected'
+        UNION ALL SELECT 'raise', tenant || '/' || name, CASE outcome WHEN 'missing' THEN 'not_found' ELSE 'conflict' END, CASE outcome WHEN 'missing' THEN 404 ELSE 409 END,
+          CASE outcome WHEN 'missing' THEN 'NotFound' ELSE 'FailedPrecondition' END FROM ({REFERENCE_SQL["version_cas"]}) WHERE outcome IN ('missing', 'conflict')""",
+)
+def error_responses(s, d):
+    """What answers every broken definition, illegal step of a run, and lost or conflicting update."""
+    broken = reference.definition_errors(s, d).select(F.lit("define").alias("request"), F.concat_ws("/", *DEF_KEY).alias("id"), F.lit("validation").alias("category"))
+    illegal = transition_apply(s, d).where("outcome = 'rejected'").select(F.lit("move"), "id", F.lit("state_machine"))
+    updates = reference.version_cas(s, d).where("outcome IN ('missing', 'conflict')")
+    lost = updates.select(F.lit("raise"), F.concat_ws("/", "tenant", "name"), F.when(F.col("outcome") == "missing", "not_found").otherwise("conflict"))
+    return _answers(broken.union(illegal).union(lost))
+
+
 @own.add(
     "placeholders",
     r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all('${run.input.' || p_brand || '} ${ meta.' || p_type || ' } ${} ${open', '\$\{([^}]*)\}', 1), lambda x: trim(x)), lambda x: x <> ''))), ',') AS refs FROM part",
