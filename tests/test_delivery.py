@@ -114,8 +114,11 @@ def test_two_committers(spark, tmp_path, monkeypatch):
             state.commit(spark, state.manifest(spark, 1))
 
 
-def test_many_batches_are_one_batch(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_many_batches_are_one_batch(spark, tmp_path, monkeypatch, most):
+    """Whether batches are broadcast to the dictionary or not."""
     monkeypatch.setattr(delivery, "MOST_PARTS", 2)
+    monkeypatch.setattr(delivery, "BROADCAST_BYTES", most)
     state, pick, kept, rows = SeenState(str(tmp_path / "seen")), random.Random(7), [], []
     for batch in range(5):
         # Each pair of run_id and kind has one identifier, which about half of its rows lack.

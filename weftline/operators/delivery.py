@@ -48,6 +48,8 @@ MOST_PARTS = 32
 BATCHES = 2
 CONTAINER_BITS = 16
 CONTAINER = 1 << CONTAINER_BITS
+#: A batch whose keys take no more is broadcast to the dictionary, which then stays where it is.
+BROADCAST_BYTES = 4 << 20
 #: Stands for the seq of a copy that was returned before; it comes before all others.
 RETURNED = -(1 << 63)
 KEY_SCHEMA = "key BINARY, part INT, place BIGINT"
@@ -203,10 +205,11 @@ class SeenState:
         rows = spark.read.schema(TAKEN_SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
         return rows.where(F.col("seq").isNotNull()).select("seq")
 
-    def encode(self, spark: SparkSession, found: dict, arrivals: DataFrame) -> dict:
-        """Publish the identifiers of arrivals (key) that the dictionary does not have."""
+    def encode(self, spark: SparkSession, found: dict, arrivals: DataFrame, few: bool = False) -> dict:
+        """Publish the identifiers of arrivals (key) that the dictionary does not have; few of them are broadcast to it."""
         folder, part = f"keys/{uuid.uuid4().hex}", F.lit(found["version"] + 1).alias("part")
-        fresh = arrivals.select("key").distinct().join(self.keys(spark, found).select("key"), "key", "left_anti")
+        keys, known = arrivals.select("key").distinct(), self.keys(spark, found).select("key")
+        fresh = keys.join(known.join(F.broadcast(keys), "key", "left_semi") if few else known, "key", "left_anti")
         fresh.select("key", part, F.monotonically_increasing_id().alias("place")).write.parquet(f"{self.path}/{folder}")
         parts = [*found["keys"], folder]
         if len(parts) > MOST_PARTS:
@@ -320,9 +323,10 @@ def select_batch(events: DataFrame, state: SeenState, batch_id: str | None = Non
         found = state.manifest(spark)
         names, pairs = state.name(spark, found, named_pairs(events, state.names(spark, found)))
         arrivals = cut_lineage(first_of_chunks(batch_keys(events, pairs), ["key"]))
+        few = (arrivals.agg(F.sum(F.octet_length("key") + 16)).first()[0] or 0) <= BROADCAST_BYTES
         try:
-            found = state.encode(spark, found, arrivals)
-            result = unseen_arrivals(arrivals, state.keys(spark, found), state.seen(spark, found))
+            found = state.encode(spark, found, arrivals, few)
+            result = unseen_arrivals(F.broadcast(arrivals) if few else arrivals, state.keys(spark, found), state.seen(spark, found))
             return state.unite(spark, found, batch, result, names)
         except Behind:
             continue
