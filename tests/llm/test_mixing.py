@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from weftline.llm import mixing
 from weftline.llm.mixing import mix, plan, route
 
 
@@ -94,6 +95,38 @@ def test_more_patterns_than_are_planned_with(spark):
     assert chosen.groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_thousands_of_patterns_are_planned_with(spark):
+    names = "abcdefghijklm"
+    sets = [list(c) for n in range(1, 14) for c in itertools.combinations(names, n)]
+    df = spark.createDataFrame([(i, "one two three", s) for i, s in enumerate(sets)], "doc_id BIGINT, text STRING, source ARRAY<STRING>")
+    goals = targets(spark, [(s, 1.0, 1) for s in names])
+    # Every source can have all of its 4,096 documents; if the total is less, no document is used twice.
+    _, report = mix(df, goals)
+    assert {(r.source, r.n_documents, r.tokens) for r in report.collect()} == {(s, 4096, 3 * 4096) for s in names}
+    chosen, report = mix(df, goals, total=3 * len(sets))
+    assert {(r.source, r.n_documents, r.tokens) for r in report.collect()} == {(s, 630, 1890) for s in names}
+    assert chosen.select("doc_id").distinct().count() == 13 * 630
+
+
+def test_more_documents_elsewhere_do_not_change_the_order(spark, monkeypatch):
+    pick = random.Random(5)
+    rows = [(i, "word " * pick.randrange(1, 9), "a" if i % 2 else "b") for i in range(400)]
+    mixed = lambda: {tuple(r) for r in mix(documents(spark, rows), targets(spark, [("a", 0.7, 1), ("b", 0.3, 1)]))[0].collect()}
+    first = mixed()
+    monkeypatch.setattr(mixing, "LEAST_BUCKETS", 7)
+    assert mixed() == first
+    monkeypatch.setattr(mixing, "DOCUMENTS_PER_BUCKET", 1)
+    assert mixed() == first
+
+
+def test_sources_that_take_nothing_part_no_patterns(spark):
+    rows = [(i, "one two three" + " four" * (i == 0), ["a", "none"] if i % 3 else ["none", "a", "b"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source ARRAY<STRING>")
+    _, report = mix(df, targets(spark, [("a", 0.5, 1), ("b", 0.5, 1), ("none", 0.0, 1)]))
+    by = {r.source: r for r in report.collect()}
+    assert by["none"].tokens == 0 and by["none"].longest == 4 and by["a"].longest == 4 and by["a"].asked == by["b"].asked == 301
+
+
 def test_asked_total_leaves_small_sources_short(spark):
     rows = [(i, "word " * 5, "big" if i < 900 else "small") for i in range(1000)]
     _, report = mix(documents(spark, rows), targets(spark, [("big", 0.5, 1), ("small", 0.5, 2)]), total=8000)

@@ -12,15 +12,20 @@ repeat enough stay short and the report shows it.
 
 Defined results: null sources and sources without a target are not in the mix, nor are documents without tokens (null
 and empty texts). A null or negative weight counts as 0, a null max_repeats as 1; of repeated target rows of a source
-the one with the largest weight holds. A source's tokens are met to within the halves of the two
-documents at its stretch's ends. Repeated rows are
-documents of their own. Without documents or targets the mix is empty.
+the one with the largest weight holds. A source's tokens are met to within the halves of the documents at its
+stretches' ends, two for each pattern of which it takes a part; most patterns are taken whole. Repeated rows are
+documents of their own. Without documents or targets the mix is empty. The input's size changes no rule: any number of
+patterns is planned with, and the seeded order is that of the documents' hashes alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import itertools
+import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,85 +34,136 @@ from weftline.llm.tokens import VOCABULARY, token_counts
 from weftline.session import buckets_for, cut_lineage
 
 DOCUMENTS_PER_BUCKET, LEAST_BUCKETS = 5_000, 256
-MOST_BROADCAST, MOST_PATTERNS = 10_000, 4_096
-
-
-@dataclass
-class Arc:
-    """An arc from a to b. With a unit its cost rises by one with each full unit that flows; without one it is free."""
-
-    a: int
-    b: int
-    most: int
-    unit: int | None = None
-    flow: int = 0
-
-    def forward(self) -> tuple[int, int]:
-        """Room and cost of the next stretch of equal cost."""
-        if self.unit is None:
-            return self.most - self.flow, 0
-        return min(self.most - self.flow, self.unit - self.flow % self.unit), self.flow // self.unit
-
-    def backward(self) -> tuple[int, int]:
-        if self.unit is None or not self.flow:
-            return self.flow, 0
-        return (self.flow - 1) % self.unit + 1, -((self.flow - 1) // self.unit)
-
-
-class Network:
-    """Least-cost flow from node 0 to node 1 by successive cheapest paths; its nodes are patterns and sources."""
-
-    def __init__(self):
-        self.arcs: list[Arc] = []
-
-    def add(self, a: int, b: int, most: int, unit: int | None = None) -> Arc:
-        self.arcs.append(Arc(a, b, most, unit))
-        return self.arcs[-1]
-
-    def reached(self) -> dict[int, tuple]:
-        """Of each node that node 0 reaches: the cost, and the arc, room and direction by which it is reached."""
-        found: dict[int, tuple] = {0: (0, None, 0, 1)}
-        steps = [(arc.a, arc.b, arc, 1, *arc.forward()) for arc in self.arcs] + [(arc.b, arc.a, arc, -1, *arc.backward()) for arc in self.arcs]
-        steps = [x for x in steps if x[4] > 0]
-        changed = True
-        while changed:
-            changed = False
-            for a, b, arc, way, room, cost in steps:
-                if a in found and (b not in found or found[a][0] + cost < found[b][0]):
-                    found[b], changed = (found[a][0] + cost, arc, room, way), True
+MOST_BROADCAST = 10_000
+
+
+class Flow:
+    """Least-cost flow from patterns to sources. A path into a source enters at a pattern and costs as much as the
+    pattern's use there; then it may go on from source to source, where one gives a pattern's tokens to the next. So the
+    cheapest paths come first if the uses of all patterns rise together, and the rest is a largest flow at every use.
+
+    All is done for many patterns at once, by arrays of a source's patterns, in the patterns' order; so but for one
+    pattern a step, patterns are taken by whole uses.
+    """
+
+    def __init__(self, member: np.ndarray, tokens: np.ndarray, repeats: list[int], quotas: list[int]):
+        self.tokens, self.need, self.top = tokens, list(quotas), max(quotas, default=0)
+        self.taken = np.zeros(member.shape, np.int64)
+        # Whole uses, more than the quota at most by one, which keeps products small.
+        self.spare = np.zeros(member.shape, np.int64)
+        for s, own in enumerate(member):
+            self.spare[s, own] = np.minimum(repeats[s], quotas[s] // tokens[own] + 1) * tokens[own]
+        self.used = np.zeros(len(tokens), np.int64)
+        self.room = self.used
+
+    def _entry(self, s: int) -> np.ndarray:
+        return np.minimum(self.room, self.spare[s])
+
+    def _passed(self, a: int, b: int) -> np.ndarray:
+        """Tokens of each pattern that a can leave to b."""
+        return np.minimum(self.taken[a], self.spare[b])
+
+    def _leading(self) -> list[int]:
+        """The sources that are short and those that can pass tokens on to them."""
+        found = [s for s, n in enumerate(self.need) if n]
+        left = [s for s, n in enumerate(self.need) if not n]
+        for b in found:
+            joined = [a for a in left if self._passed(a, b).any()]
+            found += joined
+            left = [a for a in left if a not in joined]
         return found
 
-    def run(self) -> set[int]:
-        """Fill the network; gives the nodes that node 0 still reaches, which are one side of a least cut."""
-        while 1 in (found := self.reached()):
-            path, at = [], 1
-            while at:
-                path.append(found[at])
-                at = path[-1][1].a if path[-1][3] > 0 else path[-1][1].b
-            push = min(x[2] for x in path)
-            for _, arc, _, way in path:
-                arc.flow += way * push
-        return set(found)
-
-
-def _filled(patterns: dict[frozenset, int], repeats: dict[str, int], quotas: dict[str, int], convex: bool) -> tuple[dict, dict[str, int], set[str]]:
-    """Tokens of each pattern for each source, tokens of each source, and the sources that could take more."""
-    names, keys = sorted(quotas), sorted(patterns, key=sorted)
-    net, drawn, out = Network(), [], {}
-    for i, key in enumerate(keys):
-        net.add(0, 2 + i, patterns[key] * sum(repeats[s] for s in key), patterns[key] if convex else None)
-        for s in sorted(key):
-            drawn.append((key, s, net.add(2 + i, 2 + len(keys) + names.index(s), patterns[key] * repeats[s])))
-    for j, s in enumerate(names):
-        out[s] = net.add(2 + len(keys) + j, 1, quotas[s])
-    left = net.run()
-    routes = {(key, s): arc.flow for key, s, arc in drawn if arc.flow}
-    return routes, {s: arc.flow for s, arc in out.items()}, {s for j, s in enumerate(names) if 2 + len(keys) + j in left}
+    def _path(self, sources: list[int]) -> list[int] | None:
+        """The shortest path of sources from one with an entry to one that is short."""
+        after: dict[int, int | None] = {s: None for s in sources if self.need[s]}
+        queue = list(after)
+        for s in queue:
+            if self._entry(s).any():
+                path = [s]
+                while (s := after[s]) is not None:
+                    path.append(s)
+                return path
+            for a in sources:
+                if a not in after and self._passed(a, s).any():
+                    after[a] = s
+                    queue.append(a)
+        return None
+
+    def _push(self, path: list[int]) -> None:
+        hops = list(itertools.pairwise(path))
+        parts = [self._entry(path[0])] + [self._passed(a, b) for a, b in hops]
+        amount = int(min(self.need[path[-1]], *(p.sum(dtype=float) for p in parts), math.inf))
+        # From the end, so that what a source gives is gone before it gets more.
+        for a, b in reversed(hops):
+            part = _first(self._passed(a, b), amount)
+            self.taken[a] -= part
+            self.spare[a] += part
+            self.taken[b] += part
+            self.spare[b] -= part
+        part = _first(self._entry(path[0]), amount)
+        self.taken[path[0]] += part
+        self.spare[path[0]] -= part
+        self.room -= part
+        self.used += part
+        self.need[path[-1]] -= amount
+
+    def run(self) -> np.ndarray:
+        """Tokens each source (row) takes of each pattern (column)."""
+        step = 1
+        while any(self.need):
+            sources = self._leading()
+            useful = (self.spare[sources] > 0).any(axis=0)
+            uses = self.used // self.tokens
+            # Several uses at once are the same as one after another if all of them are taken; otherwise they are undone.
+            saved = (self.taken.copy(), self.spare.copy(), self.used.copy(), list(self.need)) if step > 1 else None
+            rise = np.minimum(int(uses[useful].min()) + step - uses, self.top // self.tokens + 1)
+            self.room = np.maximum(rise * self.tokens - self.used % self.tokens, 0)
+            while (path := self._path(sources)) is not None:
+                self._push(path)
+            if saved and any(self._entry(s).any() for s in sources):
+                self.taken, self.spare, self.used, self.need = saved
+                step //= 2
+            else:
+                step *= 2
+        return self.taken
+
+
+def _first(parts: np.ndarray, amount: int) -> np.ndarray:
+    """Of the parts, the first that make up the amount."""
+    return np.clip(amount - (np.cumsum(parts, dtype=float) - parts), 0, parts).astype(np.int64)
+
+
+def _most(member: np.ndarray, tokens: np.ndarray, repeats: list[int]) -> list[int]:
+    """The most each source can take. Sources do not take it from each other, as each repeats on its own account."""
+    return [int(tokens[own].sum()) * r for own, r in zip(member, repeats)]
+
+
+def _asked(most: list[int], weights: list[float], total: int | None) -> list[int]:
+    """Tokens asked of each source; without a total, of the largest mix in which they all can give them."""
+    whole = sum(weights)
+    quotas = lambda size: [int(size * w / whole) for w in weights]
+    if total is None:
+        total = sum(most)
+        while any(q > m for q, m in zip(quotas(total), most)):
+            total = min(total - 1, int(min(m * whole / w for m, w in zip(most, weights))))
+    return quotas(total)
+
+
+def _filled(member: np.ndarray, tokens: np.ndarray, repeats: list[int], quotas: list[int]) -> np.ndarray:
+    return Flow(member, tokens, repeats, [min(q, m) for q, m in zip(quotas, _most(member, tokens, repeats))]).run()
+
+
+def _arrays(patterns: dict[frozenset, int], names: list[str]) -> tuple[list[frozenset], np.ndarray, np.ndarray]:
+    keys = sorted((k for k in patterns if patterns[k] > 0), key=lambda k: (len(k), sorted(k)))
+    return keys, np.array([[s in k for k in keys] for s in names], bool).reshape(len(names), len(keys)), np.array([patterns[k] for k in keys], np.int64)
 
 
 def route(patterns: dict[frozenset, int], repeats: dict[str, int], quotas: dict[str, int]) -> dict[tuple[frozenset, str], int]:
     """Tokens of each pattern for each source; the first use of tokens comes before a second one, and so on."""
-    return _filled(patterns, repeats, quotas, True)[0]
+    names = sorted(quotas)
+    keys, member, tokens = _arrays(patterns, names)
+    taken = _filled(member, tokens, [repeats[s] for s in names], [quotas[s] for s in names])
+    return {(keys[i], names[s]): int(taken[s, i]) for s, i in zip(*np.nonzero(taken))}
 
 
 def plan(
@@ -115,9 +171,6 @@ def plan(
 ) -> tuple[dict[tuple[frozenset, str], int], frozenset, dict[str, int]]:
     """The routes of the mix, the sources that take part, and the tokens asked of each; without a total, of the largest
     mix in which they all meet their weights. Patterns count without the sources that take no part.
-
-    The largest total is found by cuts: where a total asks too much, the sources behind the least cut bound it, and that
-    bound is tried next; each try shuts off another set of sources, so there are hardly more tries than sources.
     """
     alive = frozenset(s for key, tokens in patterns.items() if tokens > 0 for s in key if weights.get(s, 0) > 0 and repeats[s] > 0)
     if not alive:
@@ -126,77 +179,84 @@ def plan(
     for key, tokens in patterns.items():
         if tokens > 0 and key & alive:
             merged[key & alive] = merged.get(key & alive, 0) + tokens
-    whole = sum(weights[s] for s in alive)
-
-    def quotas(size: int) -> dict[str, int]:
-        return {s: int(size * weights[s] / whole) for s in alive}
-
-    if total is None:
-        total = sum(tokens * sum(repeats[s] for s in key) for key, tokens in merged.items())
-        while True:
-            wanted = quotas(total)
-            _, got, free = _filled(merged, repeats, wanted, False)
-            short = alive - free
-            if got == wanted or not short:
-                break
-            bound = int(sum(got[s] for s in short) * whole / sum(weights[s] for s in short))
-            total = min(bound, total - 1)
-    wanted = quotas(total)
+    names = sorted(alive)
+    _, member, held = _arrays(merged, names)
+    wanted = dict(zip(names, _asked(_most(member, held, [repeats[s] for s in names]), [weights[s] for s in names], total)))
     return route(merged, repeats, wanted), alive, wanted
 
 
 def mix(
     documents: DataFrame, targets: DataFrame, seed: int = 17, total: int | None = None, vocabulary: str = VOCABULARY,
-    most_patterns: int = MOST_PATTERNS,
+    most_patterns: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, copies, n_tokens) and its report, one row a target source.
 
     documents has doc_id, text, and source as a text or, where sources overlap, a list of texts. The driver gets the
-    targets and the patterns' sums, which are as many as the sets of target sources that occur; if there are more than
-    most_patterns, documents count for one of their sources only.
+    targets and the patterns' sums, which are as many as the sets of target sources that occur; all of them are planned
+    with. Only a caller who gives most_patterns has documents count for one of their sources where there are more.
     """
     spark = documents.sparkSession
     rows = targets.groupBy("source").agg(F.max(F.struct("weight", "max_repeats")).alias("t")).where("source IS NOT NULL").collect()
     weights = {r["source"]: max(0.0, r["t"]["weight"] or 0.0) for r in rows}
     repeats = {r["source"]: max(0, 1 if r["t"]["max_repeats"] is None else r["t"]["max_repeats"]) for r in rows}
-    wanted = F.array(*[F.lit(s) for s in sorted(weights)]) if weights else F.array().cast("array<string>")
+    named = lambda sources: F.array(*map(F.lit, sorted(sources))).cast("array<string>")
     listed = F.col("source") if documents.schema["source"].dataType.typeName() == "array" else F.array("source")
-    pattern = F.array_sort(F.array_distinct(F.array_intersect(F.coalesce(listed, F.array().cast("array<string>")), wanted)))
+    pattern = F.array_sort(F.array_distinct(F.array_intersect(F.coalesce(listed, named([])), named(weights))))
     members = documents.select("doc_id", "text", pattern.alias("pattern")).where((F.size("pattern") > 0) & F.col("text").isNotNull())
     sized = cut_lineage(token_counts(members, vocabulary=vocabulary).where("n_tokens > 0"))
-    sums_of = lambda df: df.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.max("n_tokens").alias("longest"))
-    found = sums_of(sized).limit(most_patterns + 1).collect()
-    if len(found) > most_patterns:
-        # Too many sets of sources to plan with: every document counts for its scarcest source alone, of which there are few.
+    longest = dict.fromkeys(weights, 0)
+    idle = [s for s in weights if not (weights[s] > 0 and repeats[s] > 0)]
+    if idle:
+        # Sources that take nothing do not part documents into patterns; only the report has them.
+        held = sized.select(F.explode(F.array_intersect("pattern", named(idle))).alias("s"), "n_tokens").groupBy("s")
+        longest |= {r["s"]: r["longest"] for r in held.agg(F.max("n_tokens").alias("longest")).collect()}
+        sized = sized.withColumn("pattern", F.array_except("pattern", named(idle))).where(F.size("pattern") > 0)
+    sums = sized.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.max("n_tokens").alias("longest"))
+    if most_patterns is not None and sums.limit(most_patterns + 1).count() > most_patterns:
         held = sized.select(F.explode("pattern").alias("s"), "n_tokens").groupBy("s").agg(F.sum("n_tokens").alias("n")).collect()
         ranks = F.create_map(*[F.lit(x) for i, r in enumerate(sorted(held, key=lambda r: (r["n"], r["s"]))) for x in (r["s"], i)])
         scarce = F.array_min(F.transform("pattern", lambda x: F.struct(ranks[x].alias("rank"), x.alias("s"))))["s"]
         sized = cut_lineage(sized.withColumn("pattern", F.array(scarce)))
-        found = sums_of(sized).collect()
-    sums = {frozenset(r["pattern"]): r["n"] for r in found}
-    buckets = buckets_for(sum(r["rows"] for r in found), DOCUMENTS_PER_BUCKET, LEAST_BUCKETS)
-    routes, alive, asked = plan(sums, weights, repeats, total)
+        sums = sized.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.max("n_tokens").alias("longest"))
+    found = sums.toArrow().combine_chunks()
+    keys = pa.concat_arrays([pa.array([], pa.list_(pa.string())), *(c.cast(pa.list_(pa.string())) for c in found["pattern"].chunks)])
+    names = sorted(pc.unique(keys.flatten()).to_pylist())
+    member = np.zeros((len(names), len(keys)), bool)
+    if names:
+        member[pc.index_in(keys.flatten(), pa.array(names)).to_numpy(), np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy())] = True
+    tokens, most = found["n"].to_numpy(), found["longest"].to_numpy()
+    longest |= {s: int(most[own].max()) for s, own in zip(names, member)}
+    if names:
+        # Patterns of few sources first, which leave the others for those who need them.
+        ranked = np.lexsort((*~member[::-1], member.sum(axis=0)))
+        keys, member, tokens = keys.take(pa.array(ranked)), member[:, ranked], tokens[ranked]
+    buckets = buckets_for(int(found["rows"].to_numpy().sum()), DOCUMENTS_PER_BUCKET, LEAST_BUCKETS)
+    times = [repeats[s] for s in names]
+    asked = _asked(_most(member, tokens, times), [weights[s] for s in names], total) if names else []
+    taken = _filled(member, tokens, times, asked)
+    asked = dict(zip(names, asked))
 
     # All documents of a pattern lie on a ring in a seeded order, each as long as its tokens. A source takes the stretch
     # behind the one before it, as often round the ring as its route asks for; so no document is used twice while
-    # another is unused. Patterns that differ only in sources without a part were routed as one and are split evenly.
-    merged: dict[frozenset, int] = {}
-    for key, tokens in sums.items():
-        merged[key & alive] = merged.get(key & alive, 0) + tokens
-    stretches = []
-    for key, tokens in sums.items():
-        at = 0
-        for s in sorted(key & alive):
-            part = routes.get((key & alive, s), 0) * tokens // merged[key & alive]
-            stretches.append((sorted(key), s, part // tokens, part % tokens, at, (at + part) % tokens, tokens))
-            at = (at + part) % tokens
+    # another is unused.
+    stretches, at = [], np.zeros(len(tokens), np.int64)
+    for s, part in zip(names, taken):
+        stop = (at + part) % tokens
+        own = np.flatnonzero(part)
+        ring = tokens[own]
+        stretches.append(pa.table({
+            "pattern": keys.take(pa.array(own)), "source": pa.array([s] * len(own), pa.string()), "whole": (part[own] // ring).astype(np.int32),
+            "rest": part[own] % ring, "start": at[own], "stop": stop[own], "ring": ring,
+        }))
+        at = stop
     # One row for each pattern and source; broadcast only while that is few.
-    small = F.broadcast if len(stretches) <= MOST_BROADCAST else lambda df: df
-    drawn = spark.createDataFrame(
-        stretches, "pattern ARRAY<STRING>, source STRING, whole INT, rest BIGINT, start BIGINT, stop BIGINT, ring BIGINT"
-    )
+    small = F.broadcast if sum(map(len, stretches)) <= MOST_BROADCAST else lambda df: df
+    schema = "pattern ARRAY<STRING>, source STRING, whole INT, rest BIGINT, start BIGINT, stop BIGINT, ring BIGINT"
+    drawn = spark.createDataFrame(pa.concat_tables(stretches), schema) if stretches else spark.createDataFrame([], schema)
     order = F.xxhash64(F.lit(seed), "doc_id")
-    placed = sized.withColumn("place", order).withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
+    # Buckets are ranges of that order, so their number does not change it.
+    range_of = F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * F.lit(buckets))
+    placed = sized.withColumn("place", order).withColumn("bucket", range_of)
     group = W.partitionBy("pattern")
     filled = placed.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("held"))
     before = F.sum("held").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
@@ -217,7 +277,6 @@ def mix(
     got = chosen.groupBy("source").agg(
         F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies")
     )
-    longest = {s: max((r["longest"] for r in found if s in r["pattern"]), default=0) for s in weights}
     goals = [(s, float(weights[s]), repeats[s], asked.get(s, 0), longest[s]) for s in sorted(weights)]
     goal = spark.createDataFrame(goals, "source STRING, weight DOUBLE, max_repeats INT, asked BIGINT, longest BIGINT")
     # As many rows as there are targets.
