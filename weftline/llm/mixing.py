@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.llm.tokens import VOCABULARY, token_counts
-from weftline.session import buckets_for, cut_lineage
+from weftline.session import buckets_for, cut_lineage, shared_folder
 
 DOCUMENTS_PER_BUCKET, LEAST_BUCKETS = 5_000, 256
 MOST_BROADCAST = 10_000
@@ -249,10 +249,18 @@ def mix(
             "rest": part[own] % ring, "start": at[own], "stop": stop[own], "ring": ring,
         }))
         at = stop
-    # One row for each pattern and source; broadcast only while that is few.
-    small = F.broadcast if sum(map(len, stretches)) <= MOST_BROADCAST else lambda df: df
+    # One row for each pattern and source; broadcast only while that is few. Many are written, a source at a time, so that
+    # plans and tasks do not carry them.
     schema = "pattern ARRAY<STRING>, source STRING, whole INT, rest BIGINT, start BIGINT, stop BIGINT, ring BIGINT"
-    drawn = spark.createDataFrame(pa.concat_tables(stretches), schema) if stretches else spark.createDataFrame([], schema)
+    few = sum(map(len, stretches)) <= MOST_BROADCAST
+    small = F.broadcast if few else lambda df: df
+    if few:
+        drawn = spark.createDataFrame(pa.concat_tables(stretches), schema) if stretches else spark.createDataFrame([], schema)
+    else:
+        folder = shared_folder(spark, "stretches")
+        for part in stretches:
+            spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        drawn = spark.read.schema(schema).parquet(folder)
     order = F.xxhash64(F.lit(seed), "doc_id")
     # Buckets are ranges of that order, so their number does not change it.
     range_of = F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * F.lit(buckets))
